@@ -2,11 +2,27 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import exact_dedup, quality_rules, sharding
+from ledgerline.llm import bpe, exact_dedup, html_text, packing, pii, quality_rules, secret_scan, sharding, token_counts
 from ledgerline.llm.staging import read
 
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(read(spark, sf_dir, "documents"), BYTE_BPE)
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest_columns(secret_scan.scan(read(spark, sf_dir, "documents")))
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read(spark, sf_dir, "pages"))
+
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_copies(read(spark, sf_dir, "documents"))
@@ -20,10 +36,28 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rate(read(spark, sf_dir, "documents"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), WORD_BPE)
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.suffix_sums(token_counts.histogram(read(spark, sf_dir, "documents"), BYTE_BPE))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest_columns(pii.find(read(spark, sf_dir, "documents")))
+
+
 QUERIES = {
+    "op2_bpe": op2_bpe,
+    "op3_secret_scan": op3_secret_scan,
+    "op4_html_text": op4_html_text,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_sharding": op6_sharding,
     "op7_quality_rules": op7_quality_rules,
+    "op8_packing": op8_packing,
+    "op9_token_counts": op9_token_counts,
+    "op10_pii": op10_pii,
 }
 
 ORACLE_SQL = {
