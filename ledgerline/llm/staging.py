@@ -21,12 +21,22 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def store(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage is cut, lost executors lose nothing."""
+    return _written(df, label)[0]
+
+
+def stage(df: DataFrame, label: str) -> DataFrame:
+    """Like ``store``, for tables that ``clear`` may delete."""
+    table, path = _written(df, label)
+    _WRITTEN.append(path)
+    return table
+
+
+def _written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     path = f"{shared_dir(df.sparkSession)}/ledgerline/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _WRITTEN.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def clear(spark: SparkSession) -> None:
