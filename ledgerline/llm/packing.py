@@ -30,8 +30,8 @@ from ledgerline.llm.staging import stage
 LENGTH, END = 2048, 1
 #: Hash buckets of a document vector, dimensions it is projected to, bits of the key for each.
 BUCKETS, DIMENSIONS, BITS = 1024, 4, 8
-#: Code points of text encoded at a time, and words kept before the cache starts anew.
-PART, CACHE = 1 << 20, 400_000
+#: Code points of text encoded at a time, and parts kept before the cache starts anew.
+PART, CACHE = 1 << 20, 800_000
 
 #: Fixed value: how the word-level vocabulary cuts a text, after NFC and lower case, into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -50,13 +50,14 @@ class Encoder:
         self.words = regex.compile(WORDS)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.cache: dict[str, bytes] = {}
+        self.known = {p: np.array([k], self.kind).tobytes() for p, k in self.special.items()}
         rng = np.random.default_rng(7)
         directions = rng.standard_normal((BUCKETS, DIMENSIONS)).astype(np.float32)
         ids = np.arange(self.tokenizer.get_vocab_size(), dtype=np.uint64)
         self.direction = directions[(ids * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % BUCKETS]
 
     def pieces(self, text: str) -> list[str]:
-        """The words of a text; special tokens stand as words of their own."""
+        """Parts of a text at spaces and line feeds, which no word spans; special tokens stand as parts of their own."""
         if "<" in text and any(s in text for s in self.special):
             return list(chain.from_iterable([p] if p in self.special else self._pieces(p) for p in self.cut.split(text)))
         return self._pieces(text)
@@ -64,20 +65,25 @@ class Encoder:
     def _pieces(self, text: str) -> list[str]:
         text = unicodedata.normalize("NFC", text)
         # Each letter is lowered by itself; str.lower() would look at what stands around a capital sigma.
-        return self.words.findall(text.replace("Σ", "σ").lower())
+        return text.replace("Σ", "σ").lower().replace("\n", " ").split(" ")
 
-    def learn(self, words: set[str]) -> None:
-        new = sorted(w for w in words if w not in self.cache)
+    def learn(self, parts: set[str]) -> None:
+        """Put the ids of these parts into the cache; the library encodes the words in them that are new."""
+        new = parts.difference(self.cache)
         if len(self.cache) + len(new) > CACHE:
             self.cache.clear()
-            new = sorted(words)
-        plain = [w for w in new if w not in self.special]
+            self.known = {p: np.array([k], self.kind).tobytes() for p, k in self.special.items()}
+            new = parts
+        words = {p: [p] if p in self.special else self.words.findall(p) for p in new}
+        plain = list(set(chain.from_iterable(words.values())).difference(self.known))
         if plain:
             coded = self.tokenizer.encode(plain, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(coded.ids, self.kind)
-            ends = np.cumsum(np.bincount(np.array(coded.word_ids, np.int64), minlength=len(plain)))
-            self.cache.update((w, ids[a:b].tobytes()) for w, a, b in zip(plain, np.r_[0, ends[:-1]].tolist(), ends.tolist()))
-        self.cache.update({w: np.array([self.special[w]], self.kind).tobytes() for w in new if w in self.special})
+            size = self.kind.itemsize
+            ids = np.array(coded.ids, self.kind).tobytes()
+            ends = (np.cumsum(np.bincount(np.array(coded.word_ids, np.int64), minlength=len(plain))) * size).tolist()
+            self.known.update(zip(plain, (ids[a:b] for a, b in zip([0, *ends[:-1]], ends))))
+        look = self.known.__getitem__
+        self.cache.update((p, look(w[0]) if len(w) == 1 else b"".join(map(look, w))) for p, w in words.items())
 
     def encode(self, values: list[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian bytes of ``kind``."""
@@ -112,8 +118,7 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
             turned = (axis >> b & 1).astype(bool)
             swap = np.where(turned, 0, (x[0] ^ axis) & below)
             x[0] ^= np.where(turned, below, swap)
-            if axis is not x[0]:
-                axis ^= swap
+            axis ^= swap
     for k in range(1, len(x)):
         x[k] ^= x[k - 1]
     turn = np.zeros(x.shape[1], np.int64)
