@@ -55,8 +55,11 @@ def row_chunks(df: DataFrame, order_by: list[str], chunk_rows: int) -> DataFrame
 
 
 def read_jdbc_partitioned(spark: SparkSession, url: str, table: str, pk: str, chunk_rows: int, properties: dict | None = None) -> DataFrame:
-    """A table read over JDBC in ranges of an integer key, one partition for each chunk."""
-    ends = spark.read.jdbc(url, f"(SELECT MIN({pk}) AS lo, MAX({pk}) AS hi, COUNT(*) AS n FROM {table}) AS ends", properties=properties or {}).first()
+    """A table read over JDBC in ranges of an integer key, one partition for each chunk.
+
+    ``pk`` is written as the database needs it, with quotes if its name has lower-case letters there.
+    """
+    ends = spark.read.jdbc(url, f"(SELECT MIN({pk}) AS lo, MAX({pk}) AS hi, COUNT(*) AS n FROM {table}) ends", properties=properties or {}).first()
     if ends[0] is None:
         return spark.read.jdbc(url, table, properties=properties or {})
     return spark.read.jdbc(url, table, column=pk, lowerBound=int(ends[0]), upperBound=int(ends[1]) + 1, numPartitions=max(1, -(-int(ends[2]) // chunk_rows)), properties=properties or {})
