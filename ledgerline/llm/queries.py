@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerline.llm import bpe, exact_dedup, html_text, near_dedup, packing, pii, quality_rules, secret_scan, sharding, token_counts
+from ledgerline.llm import bpe, exact_dedup, html_text, near_dedup, oracle, packing, pii, quality_rules, secret_scan, sharding, token_counts
 from ledgerline.llm.staging import read
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -37,7 +38,8 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.rate(read(spark, sf_dir, "documents"))
+    rated = quality_rules.rate(read(spark, sf_dir, "documents"))
+    return rated.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,14 +67,4 @@ QUERIES = {
     "op10_pii": op10_pii,
 }
 
-ORACLE_SQL = {
-    "op5_exact_dedup": """
-        WITH d AS (
-            SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
-            FROM documents
-        )
-        SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
-               doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
-        FROM d WINDOW g AS (PARTITION BY t)
-    """,
-}
+ORACLE_SQL = oracle.SQL
