@@ -127,7 +127,10 @@ def revealing_terms(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     near = stage(near_entities(docs, text_col).distinct(), "near")
     both = near.groupBy("term", "entity").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("key").alias("n_both")).filter(F.col("contexts") >= MIN_CONTEXTS)
-    both = stage(both, "both")
+    # A term lies near entities in no more documents than it occurs in: where that alone pushes the share
+    # below the threshold, the corpus need not be asked.
+    near_any = near.select("term", "key").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
+    both = stage(both.join(near_any, "term").filter(F.col("n_both") >= MIN_SHARE * F.col("n_near")).drop("n_near"), "both")
     n_entity = near.select("entity", "key").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     terms = stage(both.select("term").distinct(), "terms")
     words = _rows(docs, text_col).select(
