@@ -619,3 +619,173 @@ def byte_diff_orders(spark, sf_dir):
     df = fx.table(spark, sf_dir, "orders").filter("o_orderpriority <> o_orderstatus")
     return df.select("o_orderkey", F.col("o_orderpriority").alias("name"), cn.byte_diff("o_orderpriority", "o_orderstatus").alias("d")).select("o_orderkey", "name", "d.*")
 
+
+
+@query(f"SELECT {LINE_HASH} AS h, count(*) AS n FROM lineitem GROUP BY 1")
+def hash_counts_lineitem(spark, sf_dir):
+    return digests.hash_counts(fx.table(spark, sf_dir, "lineitem"), **COMPAT)
+
+
+@query()
+def table_digest_two_level_lineitem(spark, sf_dir):
+    return digests.table_digest(fx.table(spark, sf_dir, "lineitem"), exact=False)
+
+
+def _bucketed(table: str) -> str:
+    return f"(SELECT {BUCKET} AS bucket, count(*) AS n, md5(string_agg(h, ',' ORDER BY h)) AS digest FROM (SELECT {LINE_HASH} AS h FROM {table}) GROUP BY 1)"
+
+
+@query(
+    f"""
+    SELECT bucket, coalesce(s.n, 0) AS source_rows, coalesce(t.n, 0) AS target_rows FROM {_bucketed("lineitem")} s FULL JOIN {_bucketed(LINEITEM_TARGET)} t USING (bucket)
+    WHERE s.digest IS DISTINCT FROM t.digest
+    """
+)
+def bucket_digest_diff_lineitem(spark, sf_dir):
+    return compare.bucket_digest_diff(*fx.drifted_lineitem(spark, sf_dir), **COMPAT)
+
+
+def _light(c: str) -> str:
+    return f"coalesce(CASE WHEN CAST({c} AS VARCHAR) LIKE '%.%' THEN rtrim(rtrim(CAST({c} AS VARCHAR), '0'), '.') ELSE rtrim(CAST({c} AS VARCHAR)) END, '\\N')"
+
+
+_POSITIONAL = ["o_custkey", "o_orderkey", "o_orderpriority", "o_orderstatus"]
+
+
+@query(
+    "WITH s AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS position FROM orders ORDER BY o_orderkey LIMIT 500), "
+    f"t AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS position FROM {ORDERS_TARGET} ORDER BY o_orderkey LIMIT 500) "
+    + " UNION ALL ".join(
+        f"SELECT position::INT AS position, '{c}' AS column_name, {_light('s.' + c)} AS source_value, {_light('t.' + c)} AS target_value FROM s JOIN t USING (position) WHERE {_light('s.' + c)} <> {_light('t.' + c)}"
+        for c in _POSITIONAL
+    )
+)
+def positional_diff_orders(spark, sf_dir):
+    source, target = fx.drifted_orders(spark, sf_dir)
+    return compare.positional_diff(source.select(*_POSITIONAL), target.select(*_POSITIONAL), ["o_orderkey"], 500)
+
+
+@query(f"SELECT l_orderkey, l_linenumber, {_light('l_discount')} AS discount, {_light('l_quantity')} AS quantity FROM lineitem")
+def light_values_lineitem(spark, sf_dir):
+    return fx.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", cn.canonical_light("l_discount").alias("discount"), cn.canonical_light("l_quantity").alias("quantity"))
+
+
+@query(
+    """
+    SELECT o_orderkey AS lsn, CASE WHEN o_orderkey % 3 = 0 THEN 'old' || o_custkey ELSE 'k' || o_custkey END AS key_id,
+        CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 5 = 0 THEN 'id,status' ELSE 'id,status,priority' END AS set_cols
+    FROM orders
+    """
+)
+def decode_changes_orders(spark, sf_dir):
+    """Raw updates over orders: keys from old or new images, NULLs, unchanged columns."""
+    k = F.col("o_orderkey")
+
+    def cell(name, value, is_key=False, unchanged=False):
+        unchanged = unchanged if not isinstance(unchanged, bool) else F.lit(unchanged)
+        return F.struct(F.lit(name).alias("name"), value.cast("string").alias("value"), F.lit("text").alias("type"), F.lit(is_key).alias("is_key"), unchanged.alias("unchanged"))
+
+    new = F.array(
+        cell("id", F.concat(F.lit("k"), F.col("o_custkey")), True), cell("status", F.when(k % 4 != 0, F.col("o_orderstatus"))), cell("priority", F.col("o_orderpriority"), unchanged=k % 5 == 0)
+    )
+    old = F.when(k % 3 == 0, F.array(cell("id", F.concat(F.lit("old"), F.col("o_custkey")), True)))
+    raw = fx.table(spark, sf_dir, "orders").select(
+        k.alias("lsn"), F.lit(0).alias("ordinal"), F.lit(None).cast("timestamp").alias("ts"), F.lit("UPDATE").alias("kind"), F.lit("public").alias("schema"), F.lit("orders").alias("table"),
+        new.alias("columns"), old.alias("old_columns"), F.lit(None).cast("string").alias("ddl"),
+    )
+    return ch.decode_changes(raw).select("lsn", F.col("key")["id"].alias("key_id"), F.col("new")["status"].alias("status"), F.array_join("set_cols", ",").alias("set_cols"))
+
+
+@query("SELECT * REPLACE (CASE WHEN o_orderkey % 10 = 1 AND o_orderkey * 10 > 5000 THEN 'U' ELSE o_orderstatus END AS o_orderstatus) FROM orders")
+def bootstrap_orders(spark, sf_dir):
+    updates = fx.order_feed(spark, sf_dir).filter("kind = 'update' AND lsn % 10 = 0 AND floor(lsn / 10) % 10 = 1")
+    return ch.bootstrap(fx.table(spark, sf_dir, "orders"), updates, ["o_orderkey"], 5000)
+
+
+@query(f"SELECT k * 10 AS lsn FROM {FAULTS} WHERE m = 1 OR m = 11 OR m = 21")
+def drop_internal(spark, sf_dir):
+    feed = fx.faulty_feed(spark, sf_dir)
+    return ch.drop_internal(feed).filter(F.floor(F.col("lsn") / 10) % 40 % 10 == 1).select("lsn").filter(F.col("lsn") % 10 == 0)
+
+
+@query(
+    """
+    SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'not_running' WHEN o_orderkey % 5 = 0 THEN 'halted' WHEN o_orderkey % 60 > 30 OR o_orderkey % 3 = 0 THEN 'stale' ELSE 'running' END AS state FROM orders
+    """
+)
+def liveness_orders(spark, sf_dir):
+    from ledgerline.streaming.feed import liveness
+
+    now = F.lit("2024-01-01 00:02:00").cast("timestamp")
+    k = F.col("o_orderkey")
+    beats = fx.table(spark, sf_dir, "orders").select(
+        "o_orderkey", (k % 5 == 0).alias("halted"), (k % 3 != 0).alias("process_alive"), F.when(k % 7 != 0, F.timestamp_seconds(now.cast("long") - k % 60)).alias("updated")
+    )
+    return liveness(beats, now).select("o_orderkey", "state")
+
+
+@query("SELECT greatest(o_custkey - o_orderkey, 0)::BIGINT AS lag, o_orderkey / 10.0::DOUBLE AS events_per_second, 10.0::DOUBLE AS uptime_seconds FROM orders")
+def stream_metrics_orders(spark, sf_dir):
+    from ledgerline.streaming.feed import stream_metrics
+
+    counters = fx.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("received"), F.col("o_orderkey").alias("applied"), F.lit(5).alias("started"), F.lit(15).alias("now"))
+    return stream_metrics(counters)
+
+
+@query("SELECT 'public' AS schema, 't' || s_suppkey AS \"table\" FROM supplier WHERE s_suppkey IN (3, 5)")
+def list_tables_supplier(spark, sf_dir):
+    return src.list_tables(fx.fleet(spark, sf_dir)["tables"], include=["T3", "t5", "t7"], exclude=["t7"])
+
+
+@query("SELECT o_orderkey AS id, o_orderpriority AS ddl FROM orders WHERE o_orderkey > 700 ORDER BY o_orderkey DESC LIMIT 200")
+def recent_ddl_orders(spark, sf_dir):
+    log = fx.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("ddl"))
+    return src.recent_ddl(src.read_ddl_log(log, 700), 200)
+
+
+@query("SELECT 't' || l_suppkey % 50 AS \"table\", 'i' || l_orderkey AS index, string_agg('c' || l_linenumber || '_' || l_partkey, ',' ORDER BY l_linenumber, 'c' || l_linenumber || '_' || l_partkey) AS index_columns FROM lineitem GROUP BY 1, 2")
+def index_columns_lineitem(spark, sf_dir):
+    parts = fx.table(spark, sf_dir, "lineitem").select(
+        F.lit("s").alias("schema"), F.concat(F.lit("t"), (F.col("l_suppkey") % 50).cast("string")).alias("table"), F.concat(F.lit("i"), F.col("l_orderkey").cast("string")).alias("index"), F.col("l_linenumber").alias("position"),
+        F.concat(F.lit("c"), F.col("l_linenumber").cast("string"), F.lit("_"), F.col("l_partkey").cast("string")).alias("column"),
+    )
+    return profile.index_columns(parts).select("table", "index", F.array_join("index_columns", ",").alias("index_columns"))
+
+
+@query(
+    """
+    SELECT 'fk' || l_orderkey AS constraint, string_agg('c' || l_partkey, ',' ORDER BY l_linenumber, 'c' || l_partkey) AS columns,
+        any_value(CASE WHEN l_orderkey % 3 = 0 THEN NULL WHEN l_orderkey % 3 = 1 THEN 'CASCADE' ELSE 'NO ACTION' END) AS delete_rule FROM lineitem GROUP BY l_orderkey
+    """
+)
+def foreign_keys_lineitem(spark, sf_dir):
+    k = F.col("l_orderkey")
+    name = F.concat(F.lit("fk"), k.cast("string"))
+    parts = fx.table(spark, sf_dir, "lineitem").select(
+        F.lit("s").alias("schema"), F.lit("t").alias("table"), name.alias("constraint"), F.col("l_linenumber").alias("position"), F.concat(F.lit("c"), F.col("l_partkey").cast("string")).alias("column"),
+        F.lit("r").alias("ref_table"), F.lit("x").alias("ref_column"),
+    )
+    rules = fx.table(spark, sf_dir, "orders").filter("o_orderkey % 3 <> 0").select(
+        F.lit("s").alias("schema"), F.concat(F.lit("fk"), F.col("o_orderkey").cast("string")).alias("constraint"), F.when(F.col("o_orderkey") % 3 == 1, "CASCADE").otherwise("NO ACTION").alias("delete_rule")
+    )
+    return profile.foreign_keys(parts, rules).select("constraint", F.array_join("columns", ",").alias("columns"), "delete_rule")
+
+
+@query("SELECT 'function' AS object_type, s_name AS name FROM supplier UNION ALL SELECT 'trigger', c_name FROM customer")
+def unsupported_objects(spark, sf_dir):
+    return profile.unsupported(fx.table(spark, sf_dir, "customer").select(F.col("c_name").alias("name")), fx.fleet(spark, sf_dir)["functions"])
+
+
+@query("SELECT CASE WHEN o_orderkey % 4 = 0 THEN '[1,2,null]' WHEN o_orderkey % 4 = 1 THEN '[\"' || o_orderstatus || '\",true]' WHEN o_orderkey % 4 = 2 THEN '[[' || o_orderkey || '],[\"a b\"]]' ELSE o_orderpriority END AS json, o_orderkey FROM orders")
+def array_literals_orders(spark, sf_dir):
+    k = F.col("o_orderkey")
+    literal = (
+        F.when(k % 4 == 0, "{1,2,NULL}").when(k % 4 == 1, F.concat(F.lit("{"), F.col("o_orderstatus"), F.lit(",t}"))).when(k % 4 == 2, F.concat(F.lit("{{"), k.cast("string"), F.lit('},{"a b"}}'))).otherwise(F.col("o_orderpriority"))
+    )
+    return fx.table(spark, sf_dir, "orders").select("o_orderkey", cn.pg_array_to_json(literal).alias("json"))
+
+
+@query("SELECT o_orderkey, 'o_orderstatus' AS column_name, o_orderstatus AS source_value, 'Z' AS target_value FROM orders WHERE o_orderkey % 10 = 2 AND o_orderstatus <> 'Z' QUALIFY row_number() OVER (PARTITION BY column_name ORDER BY o_orderkey) <= 10")
+def first_diagnostics_orders(spark, sf_dir):
+    """The first ten differences of each column."""
+    return sampling.first_per_group(compare.column_diff(*fx.drifted_orders(spark, sf_dir), keys=["o_orderkey"]), ["column_name"], ["o_orderkey"], 10)
