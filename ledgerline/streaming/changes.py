@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerline.session import ensure_checkpoint_dir
+
 CELL = "array<struct<name:string,value:string,type:string,is_key:boolean,unchanged:boolean>>"
 RAW_SCHEMA = f"lsn bigint, ordinal int, ts timestamp, kind string, schema string, table string, columns {CELL}, old_columns {CELL}, ddl string"
 EVENT_SCHEMA = "lsn bigint, ordinal int, ts timestamp, kind string, schema string, table string, key map<string,string>, new map<string,string>, set_cols array<string>, ddl string"
@@ -180,6 +182,7 @@ def apply_with_key_changes(base: DataFrame, changes: DataFrame, keys: list[str],
     Keys that such updates link form groups; the events and base rows of a group are replayed in order
     together, in one small pandas frame each. All other keys take the native path.
     """
+    ensure_checkpoint_dir(base.sparkSession)
     _, moves = split_key_changes(changes, keys)
     old = F.concat_ws("\x1f", *[F.coalesce(F.col("key")[k], F.lit("\\N")) for k in keys])
     new = F.concat_ws("\x1f", *[F.coalesce(F.when(F.array_contains("set_cols", k), F.col("new")[k]).otherwise(F.col("key")[k]), F.lit("\\N")) for k in keys])

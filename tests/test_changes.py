@@ -97,8 +97,7 @@ def test_batches_do_not_matter(spark, data):
     assert state(again.filter("o_orderkey % 10 <> 7")) == state(ch.apply_changes(base, changes, ["o_orderkey"]).filter("o_orderkey % 10 <> 7"))
 
 
-def test_moved_keys(spark, tmp_path):
-    spark.sparkContext.setCheckpointDir(str(tmp_path))
+def test_moved_keys(spark):
     base = spark.createDataFrame([(1, "Ann", "a"), (2, "Bob", "b"), (5, "Eve", "e")], BASE)
     move = lambda a, b, **more: ("update", [cell("id", str(b), True), *[cell(k, v) for k, v in more.items()]], [cell("id", str(a), True)])
     rows = events(spark, [move(1, 3, name="Moved"), move(2, 1), ("update", [cell("id", "3", True), cell("email", "new")], None), move(3, 4), ("delete", None, [cell("id", "1", True)]), ("update", [cell("id", "5", True), cell("name", "Five")], None)])
