@@ -32,8 +32,8 @@ N_COMMON = 15
 LETTERS = [chr(97 + k) for k in range(N_COMMON)]
 
 #: Guards and thresholds of the verdict.
-MIN_CHARS, MIN_WORDS = 200, 100
-MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.25, 0.28
+MIN_CHARS, MIN_WORDS = 300, 100
+MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.3, 0.28
 
 
 def language(lang: Column) -> Column:
