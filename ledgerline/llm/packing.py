@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from ledgerline.llm.batches import texts
 from ledgerline.llm.staging import stage
@@ -41,14 +41,21 @@ class Encoder:
     """Ids of texts by the tokenizers library, which sees each different word once per task."""
 
     def __init__(self, path: str) -> None:
+        # The words that reach the library are normalised and cut already: its normaliser and its pattern go.
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.tokenizer.normalizer = normalizers.Sequence([])
+        self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         with open(path, encoding="utf-8") as file:
-            self.special = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+            data = json.load(file)
+        self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.words = regex.compile(WORDS)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        #: Whether a token ends a word.
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.last[[k for t, k in data["model"]["vocab"].items() if t.endswith(data["model"]["end_of_word_suffix"])]] = True
         self.cache: dict[str, bytes] = {}
         self.known = {p: np.array([k], self.kind).tobytes() for p, k in self.special.items()}
         rng = np.random.default_rng(7)
@@ -74,13 +81,15 @@ class Encoder:
             self.cache.clear()
             self.known = {p: np.array([k], self.kind).tobytes() for p, k in self.special.items()}
             new = parts
-        words = {p: [p] if p in self.special else self.words.findall(p) for p in new}
+        words = {p: [p] if p.isalpha() or p in self.special else self.words.findall(p) for p in new}
         plain = list(set(chain.from_iterable(words.values())).difference(self.known))
         if plain:
-            coded = self.tokenizer.encode(plain, is_pretokenized=True, add_special_tokens=False)
-            size = self.kind.itemsize
-            ids = np.array(coded.ids, self.kind).tobytes()
-            ends = (np.cumsum(np.bincount(np.array(coded.word_ids, np.int64), minlength=len(plain))) * size).tolist()
+            (coded,) = self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)
+            ids = np.array(coded.ids, self.kind)
+            ends = ((np.flatnonzero(self.last[ids]) + 1) * self.kind.itemsize).tolist()
+            ids = ids.tobytes()
+            if len(ends) != len(plain):
+                raise ValueError("the vocabulary does not mark the ends of words")
             self.known.update(zip(plain, (ids[a:b] for a, b in zip([0, *ends[:-1]], ends))))
         look = self.known.__getitem__
         self.cache.update((p, look(w[0]) if len(w) == 1 else b"".join(map(look, w))) for p, w in words.items())
