@@ -24,8 +24,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerline.llm.batches import texts, utf8
 from ledgerline.llm.components import components
@@ -37,8 +38,8 @@ WORDS, PERCENT = 3, 85
 KEEP, INDEXED, HOT = 32, 16, 64
 #: Share of a sketch that must be cold for its cold values to suffice, and share of common values that makes a candidate.
 COLD_ENOUGH, COMMON = 0.625, 0.25
-#: Classes in a block of exact comparisons.
-BLOCK = 256
+#: Set elements in a block of exact comparisons.
+BLOCK = 150_000
 #: Rows up to which a side of a join is broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 2_000_000
 #: Bytes of text that are shingled at a time.
@@ -186,12 +187,26 @@ def hot_stars(marked: DataFrame) -> DataFrame:
 def block_pairs(members: DataFrame, percent: int) -> DataFrame:
     """Stored classes of clusters with the block pair (i, j) and side each takes part in.
 
-    Members are range-sorted by cluster and size, and BLOCK neighbours form a block. A block is compared
-    with itself, and with later blocks of the same cluster as far as the sizes admit a link.
+    Members are range-sorted by cluster and size, and neighbours with BLOCK set elements in all form a
+    block. A block is compared with itself, and with later blocks of the same cluster as far as the sizes
+    admit a link.
     """
-    ordered = members.repartitionByRange("root", "n", "node").sortWithinPartitions("root", "n", "node").withColumn("at", F.monotonically_increasing_id())
-    block = F.shiftright("at", 33) * (1 << 24) + F.floor(F.col("at").bitwiseAND((1 << 33) - 1) / BLOCK)
-    rows = stage(ordered.withColumn("block", block.cast("long")).drop("at"), "blocks")
+    ordered = members.repartitionByRange("root", "n", "node").sortWithinPartitions("root", "n", "node").withColumn("part", F.spark_partition_id())
+    schema = T.StructType([*ordered.schema.fields, T.StructField("upto", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0
+        for batch in batches:
+            ends = total + np.cumsum(batch.column(batch.schema.get_field_index("n")).to_numpy())
+            total = int(ends[-1]) if len(ends) else total
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ends, pa.int64())], [*batch.schema.names, "upto"])
+
+    # Blocks run on from one partition to the next, so their number does not depend on the partitions'.
+    counted = stage(ordered.mapInArrow(run, schema), "counted")
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counted.groupBy("part").agg(F.sum("n").alias("elements")).select("part", F.coalesce(F.sum("elements").over(earlier), F.lit(0)).alias("base"))
+    block = F.floor((F.col("base") + F.col("upto")) / BLOCK).cast("long")
+    rows = stage(counted.join(F.broadcast(bases), "part").withColumn("block", block).drop("part", "upto", "base"), "blocks")
     parts = rows.groupBy("root", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     later = parts.select("root", F.col("block").alias("j"), F.col("low").alias("low_j"))
     pairs = parts.join(later, "root").filter((F.col("block") < F.col("j")) & (100 * F.col("high") >= percent * F.col("low_j"))).select("root", F.col("block").alias("i"), "j")

@@ -52,7 +52,7 @@ def test_given_documents(spark, data):
     check(spark, {r.doc_id: r.text for r in read(spark, data, "documents").collect()})
 
 
-@pytest.mark.parametrize("hot,block", [(64, 256), (3, 7)])
+@pytest.mark.parametrize("hot,block", [(64, 150_000), (3, 900)])
 def test_groups_passages_and_chains(spark, monkeypatch, hot, block):
     """Small limits send the same rows through hot lists and several blocks."""
     monkeypatch.setattr(near_dedup, "HOT", hot)
