@@ -38,10 +38,16 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rated = quality_rules.rate(read(spark, sf_dir, "documents"))
+    """References from the table itself, as the query's SQL has them."""
+    rated = quality_rules.rate_relative(read(spark, sf_dir, "documents"))
     return rated.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
+def op7_quality_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixed references, as the pipeline has them."""
+    return quality_rules.rate(read(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -62,6 +68,7 @@ QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_sharding": op6_sharding,
     "op7_quality_rules": op7_quality_rules,
+    "op7_quality_fixed": op7_quality_fixed,
     "op8_packing": op8_packing,
     "op9_token_counts": op9_token_counts,
     "op10_pii": op10_pii,

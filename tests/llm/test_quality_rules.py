@@ -62,3 +62,27 @@ def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert quality_rules.rate(empty).count() == 0
     assert quality_rules.keep_good(empty).count() == 0
+
+
+CLEAN = "The house stands near old river banks and boats carry heavy stones to market towns, where people trade bread, wool, candles in winter. "
+GERMAN = "Der Mann geht heute durch alte Gassen und sieht viele Boote, die Frau wartet lange in einer Stube, weil sein Bruder den Wagen holt. "
+
+
+def test_verdict_does_not_depend_on_the_other_rows(spark):
+    symbols = " ".join(f"w### o{k}$$$ th%%% an&&&" for k in range(60))
+    clean = [(k, CLEAN * 1 + f"Some{k} walls of stone were painted white for visitors, that nobody counted over {k} summers of rain. " + f"Gate{k} is open. " * 2, "en", "", "") for k in range(10)]
+    junk = [(100 + k, symbols + f" x{k}", "en", "", "") for k in range(30)]
+    alone = [(200, symbols, "fr", "", ""), (201, symbols, None, "", ""), (202, symbols, "xx", "", "")]
+    docs = spark.createDataFrame(clean + junk + alone, SCHEMA)
+    rated = {r.doc_id: r for r in quality_rules.rate(docs).collect()}
+    assert not any(r.base_failed for r in rated.values())
+    assert {k for k, r in rated.items() if r.kept} == set(range(10))
+    # A row by itself gets the same distances.
+    (one,) = quality_rules.rate(spark.createDataFrame(alone[1:2], SCHEMA)).collect()
+    assert one == rated[201]
+
+
+def test_unknown_languages_take_the_nearest_reference(spark):
+    docs = spark.createDataFrame([(1, GERMAN, "de", "", ""), (2, GERMAN, None, "", ""), (3, GERMAN, "xx", "", ""), (4, CLEAN, "en", "", ""), (5, CLEAN, None, "", "")], SCHEMA)
+    got = {r.doc_id: (r.class_distance, r.word_distance) for r in quality_rules.rate(docs).collect()}
+    assert got[1] == got[2] == got[3] and got[4] == got[5]
