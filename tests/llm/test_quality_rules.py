@@ -86,3 +86,12 @@ def test_unknown_languages_take_the_nearest_reference(spark):
     docs = spark.createDataFrame([(1, GERMAN, "de", "", ""), (2, GERMAN, None, "", ""), (3, GERMAN, "xx", "", ""), (4, CLEAN, "en", "", ""), (5, CLEAN, None, "", "")], SCHEMA)
     got = {r.doc_id: (r.class_distance, r.word_distance) for r in quality_rules.rate(docs).collect()}
     assert got[1] == got[2] == got[3] and got[4] == got[5]
+
+
+def test_short_tables_and_word_runs_go(spark):
+    names = [f"{a}{b}" for a in ("walt", "gorm", "pell", "rund", "sten", "harv", "mild", "torb") for b in ("en", "ia", "or", "us", "el")]
+    texts = {1: " | ".join(names) + ".", 2: " ".join(f"{w} " * 6 for w in names[:6]), 3: " ".join(w + "%%%" for w in names[:30]), 4: CLEAN + "That is what people told us."}
+    docs = spark.createDataFrame([(k, t, "en", "", "") for k, t in texts.items()], SCHEMA)
+    rated = {r.doc_id: r for r in quality_rules.rate(docs).collect()}
+    assert not any(r.base_failed for r in rated.values())
+    assert {k for k, r in rated.items() if r.kept} == {4}
