@@ -2,8 +2,9 @@
 
 Patterns find the protected entities (addresses, numbers). Then the corpus says how strongly a term
 reveals one of them: over all documents, with t near e in n(t,e) documents, t in n(t) and e in n(e) of
-N, the share n(t,e) / n(t) and the pointwise mutual information log2(n(t,e) N / (n(t) n(e))). Terms that
-exceed both thresholds, in enough different contexts, are removed like the entities themselves.
+N, the share n(t,e) / n(t) and the pointwise mutual information log2(n(t,e) N / (n(t) n(e))). The same is
+asked of each kind of entity, e being any value of it. Terms that exceed both thresholds, in enough
+different contexts or texts, are removed like the entities themselves.
 """
 
 from __future__ import annotations
@@ -24,8 +25,12 @@ TERM = "term"
 
 #: Words on either side of an entity that count as near it.
 NEAR = 5
-#: Different contexts a term and an entity must share; copies of one passage are one context.
+#: Different contexts a term and an entity must share, or different texts. Copies of a text are one text;
+#: a passage that different texts share is one context, but counts in each of them.
 MIN_CONTEXTS = 3
+MIN_TEXTS = 3
+#: Stands for any value, in the entity of a kind.
+ANY = "*"
 MIN_SHARE, MIN_PMI = 0.5, 3.0
 
 #: The patterns below match exactly where the plain ones would, but never look at a character twice:
@@ -102,7 +107,10 @@ def _rows(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def near_entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """key (hash of the text), entity, term, context (hash of the words around), for every entity in every document."""
+    """key (hash of the text), entity, term, context (hash of the words around), for every entity in every document.
+
+    Each word of a document with entities also has a row whose entity is null.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,6 +119,7 @@ def near_entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 spans = base_spans(text)
                 if spans:
                     out += [(key, *x) for x in dict.fromkeys(contexts_of(text, spans))]
+                    out += [(key, None, x, "") for x in dict.fromkeys(m[0].lower() for m in WORD.finditer(text))]
             columns = list(zip(*out)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.string()) for c in columns[1:])], ["key", "entity", "term", "context"])
 
@@ -121,16 +130,20 @@ def near_entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def revealing_terms(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """term, entity, n_both, n_term, n_entity, share, pmi for the terms that exceed the thresholds.
 
+    An entity is kind:value, or kind:* for any value of the kind.
     Documents are counted by text, so copies of one text are one document. The corpus is joined with
-    the terms that have enough contexts; Spark broadcasts those only if their stored size is below
+    the terms that have enough contexts or texts; Spark broadcasts those only if their stored size is below
     its threshold and shuffles the words otherwise.
     """
-    near = stage(near_entities(docs, text_col).distinct(), "near")
-    both = near.groupBy("term", "entity").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("key").alias("n_both")).filter(F.col("contexts") >= MIN_CONTEXTS)
-    # A term lies near entities in no more documents than it occurs in: where that alone pushes the share
-    # below the threshold, the corpus need not be asked.
-    near_any = near.select("term", "key").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
-    both = stage(both.join(near_any, "term").filter(F.col("n_both") >= MIN_SHARE * F.col("n_near")).drop("n_near"), "both")
+    rows = stage(near_entities(docs, text_col).distinct(), "near")
+    kind = F.concat(F.substring_index("entity", ":", 1), F.lit(f":{ANY}"))
+    near = rows.filter("entity IS NOT NULL").select("key", F.explode(F.array("entity", kind)).alias("entity"), "term", "context")
+    both = near.groupBy("term", "entity").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("key").alias("n_both"))
+    both = both.filter((F.col("contexts") >= MIN_CONTEXTS) | (F.col("n_both") >= MIN_TEXTS))
+    # A term stands in no fewer documents than those with entities that have it anywhere: where these alone
+    # push the share below the threshold, the corpus need not be asked.
+    n_least = rows.select("term", "key").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_least"))
+    both = stage(both.join(n_least, "term").filter(F.col("n_both") >= MIN_SHARE * F.col("n_least")).drop("n_least"), "both")
     n_entity = near.select("entity", "key").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     terms = stage(both.select("term").distinct(), "terms")
     words = _rows(docs, text_col).select(

@@ -88,3 +88,23 @@ def test_nulls_and_empty_tables(spark):
     assert pii.find(docs.limit(0)).count() == 0 and pii.mask(docs.limit(0)).count() == 0
     assert pii.masked("abc1.2.3.4def", [(1, 3, 10)]) == "abc[IP]def"
     assert pii.masked("0123456789", [(0, 1, 4), (1, 2, 6), (2, 8, 9)]) == "0[EMAIL]67[CARD]9"
+
+
+def test_terms_beside_a_kind_and_in_shared_passages_go(spark):
+    random.seed(7)
+    common = ["river", "house", "spring", "wall", "garden", "letter", "window", "stone"]
+
+    def prose(n=12):
+        return " ".join(random.choice(common) for _ in range(n))
+
+    # One name beside another address in every text: no address comes twice.
+    texts = [f"{prose()} Okafor box{k}@mail{k}.example {prose()}" for k in range(4)]
+    # One passage that different texts share is one context, but in four texts.
+    texts += [f"{prose(20)} river house wall stone Quillfeather same@mail.example garden letter window spring river {prose(20)}" for k in range(4)]
+    # Two texts are too few.
+    texts += [f"{prose()} Lonely once{k}@mail.example {prose()}" for k in range(2)]
+    texts += [f"{prose(30)} {k}y" for k in range(200)]
+    docs = spark.createDataFrame([(k, t, "", "", "") for k, t in enumerate(texts)], SCHEMA)
+    assert {(r.term, r.entity) for r in pii.revealing_terms(docs).collect()} == {("okafor", "email:*"), ("quillfeather", "email:*"), ("quillfeather", "email:same@mail.example")}
+    new = {r.doc_id: r.text for r in pii.mask(docs).collect()}
+    assert all("[TERM]" in new[k] for k in range(8)) and "Lonely" in new[8] and "Lonely" in new[9]
