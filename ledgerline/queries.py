@@ -388,6 +388,18 @@ def truncate_orders(spark, sf_dir):
     return ch.after_truncate(feed.unionByName(truncate, allowMissingColumns=True)).select("lsn")
 
 
+#: Positions of the order feed: the steps of each key's last digit.
+STEPS = "(SELECT o_orderkey * 10 + step AS lsn, o_orderkey AS k, step FROM orders, range(3) s(step) WHERE step < CASE o_orderkey % 10 WHEN 0 THEN 0 WHEN 4 THEN 3 WHEN 6 THEN 2 WHEN 7 THEN 3 WHEN 8 THEN 0 WHEN 9 THEN 0 ELSE 1 END)"
+
+
+@query(f"SELECT lsn FROM {STEPS} WHERE lsn > (SELECT max(o_orderkey) FROM orders) * 5")
+def truncate_orders_feed(spark, sf_dir):
+    """``truncate_orders`` over every event of the feed."""
+    cut = fx.table(spark, sf_dir, "orders").agg((F.max("o_orderkey") * 5).alias("lsn"))
+    truncate = cut.select("lsn", F.lit(1).alias("ordinal"), F.lit("truncate").alias("kind"), F.lit("public").alias("schema"), F.lit("orders").alias("table"))
+    return ch.after_truncate(fx.order_feed(spark, sf_dir).unionByName(truncate, allowMissingColumns=True)).select("lsn")
+
+
 @query(
     """
     SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN 'apply' WHEN 1 THEN 'skip' WHEN 2 THEN 'skip' WHEN 3 THEN 'apply' WHEN 4 THEN 'manual' ELSE 'skip' END AS action FROM orders
@@ -702,12 +714,32 @@ def bootstrap_orders(spark, sf_dir):
     return ch.bootstrap(fx.table(spark, sf_dir, "orders"), updates, ["o_orderkey"], 5000)
 
 
+@query(
+    """
+    SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 10 = 1 AND o_orderkey * 10 > 5000 THEN 'U' ELSE o_orderstatus END AS o_orderstatus, o_totalprice, o_orderdate, o_orderpriority
+    FROM orders WHERE o_orderkey % 10 NOT IN (2, 4, 6, 7) OR o_orderkey * 10 + CASE o_orderkey % 10 WHEN 2 THEN 0 WHEN 4 THEN 2 WHEN 6 THEN 1 ELSE 2 END <= 5000
+    UNION ALL SELECT o_orderkey + 1000000, o_custkey, 'I', o_totalprice, o_orderdate, NULL FROM orders WHERE o_orderkey % 10 = 3 AND o_orderkey * 10 > 5000
+    UNION ALL SELECT o_orderkey, NULL, 'N', NULL, NULL, '9-NEW' FROM orders WHERE o_orderkey % 10 = 6 AND o_orderkey * 10 > 5000
+    UNION ALL SELECT o_orderkey, NULL, 'R', 1.5, NULL, NULL FROM orders WHERE o_orderkey % 10 = 7 AND o_orderkey * 10 > 5000
+    """
+)
+def bootstrap_orders_feed(spark, sf_dir):
+    """``bootstrap_orders`` over every event of the feed; 5000 cuts no key's chain, as its key is 500."""
+    return ch.bootstrap(fx.table(spark, sf_dir, "orders"), fx.order_feed(spark, sf_dir), ["o_orderkey"], 5000)
+
+
 @query(f"SELECT k * 10 AS lsn FROM {FAULTS} WHERE m = 1 OR m = 11 OR m = 21")
 def drop_internal(spark, sf_dir):
     feed = fx.faulty_feed(spark, sf_dir)
     return ch.drop_internal(feed).filter(F.floor(F.col("lsn") / 10) % 40 % 10 == 1).select("lsn").filter(F.col("lsn") % 10 == 0)
 
 
+@query(f"SELECT lsn FROM {STEPS} WHERE k % 40 <> 31")
+def drop_internal_feed(spark, sf_dir):
+    """``drop_internal`` over every event of the feed."""
+    return ch.drop_internal(fx.faulty_feed(spark, sf_dir)).select("lsn")
+
+
 @query(
     """
     SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'not_running' WHEN o_orderkey % 5 = 0 THEN 'halted' WHEN o_orderkey % 60 > 30 OR o_orderkey % 3 = 0 THEN 'stale' ELSE 'running' END AS state FROM orders
