@@ -1,9 +1,14 @@
 """Main text of web pages: flat text blocks, classified by a decision tree.
 
-A page is cut into flat text blocks. Each is described by its own word count and link density, those of
-the blocks before and after it, whether it is a heading, and what the nearest marked element around it
-is (article, page furniture, or neither). A decision tree, trained on the small labelled table below,
-tells article blocks from the rest. Pages are independent, so there is no shuffle.
+A page is cut into flat text blocks. Each is described by its word count, its link density and whether it
+is a heading, and by the same of the blocks before and after it; marks of the page's author (element and
+class names) are no features. A decision tree, trained on the small labelled table below, tells blocks of
+running text from the rest. Then the blocks vote: every element of the page sums the words the tree takes
+less those it does not, and the element with the largest sum holds the article. If the element is marked as
+the article, or nearly all of its words were taken, all of it is kept, so that short lines, lists of links
+and formulas inside an article stay; else each block stands for itself. Elements marked as furniture
+(menus, forms, comments and so on) are left out of the article, and vote against what holds them. Pages
+are independent, so there is no shuffle.
 """
 
 from __future__ import annotations
@@ -22,50 +27,60 @@ from ledgerline.llm.batches import texts
 
 FURNITURE, PLAIN, MAIN = -1, 0, 1
 
-#: Labelled blocks in page order, a line of blocks for each page:
-#: (words, linked words, context, heading, 1 for article text).
-LABELLED = (
-    # An article between a menu, an advert and a footer; short lines inside the article belong to it.
-    ((1, 1, -1, 0, 0), (1, 1, -1, 0, 0), (2, 2, -1, 0, 0), (14, 0, -1, 0, 0), (9, 0, 1, 1, 1), (80, 2, 1, 0, 1), (3, 0, 1, 0, 1), (1, 0, 1, 0, 1), (45, 0, 1, 0, 1), (20, 1, -1, 0, 0)),
-    ((1, 1, -1, 0, 0), (3, 3, -1, 0, 0), (30, 0, -1, 0, 0), (5, 0, 1, 1, 1), (12, 0, 1, 0, 1), (1, 0, 1, 0, 1), (2, 0, 1, 0, 1), (150, 0, 1, 0, 1), (6, 0, 1, 0, 1), (35, 2, -1, 0, 0)),
-    # An article of one short paragraph; long furniture around it.
-    ((2, 2, -1, 0, 0), (60, 0, -1, 0, 0), (4, 0, 1, 1, 1), (7, 0, 1, 0, 1), (90, 3, -1, 0, 0), (40, 0, -1, 0, 0)),
-    # Articles that are the whole page, or end it.
-    ((1, 0, 1, 0, 1),),
-    ((50, 0, 1, 0, 1),),
-    ((6, 2, 1, 0, 1),),
-    ((3, 3, -1, 0, 0), (4, 0, 1, 1, 1), (90, 0, 1, 0, 1), (2, 0, 1, 0, 1)),
-    ((3, 3, -1, 0, 0), (8, 0, 1, 1, 1), (1, 0, 1, 0, 1), (70, 20, 1, 0, 1)),
-    # Paragraphs with many links, and lines that are links as a whole, between others.
-    ((2, 2, -1, 0, 0), (7, 0, 1, 1, 1), (30, 10, 1, 0, 1), (4, 0, 1, 0, 1), (12, 8, 1, 0, 1), (2, 1, 1, 0, 1), (25, 22, 1, 0, 1), (5, 0, 1, 0, 1), (20, 20, 1, 0, 1), (3, 0, 1, 0, 1), (16, 1, -1, 0, 0)),
-    ((4, 4, -1, 0, 0), (8, 0, 1, 1, 1), (55, 10, 1, 0, 1), (6, 6, 1, 0, 1), (70, 4, 1, 0, 1), (2, 2, 1, 0, 1), (9, 3, 1, 0, 1), (25, 25, -1, 0, 0)),
-    # Lists of links inside an article.
-    ((10, 0, 1, 1, 1), (33, 0, 1, 0, 1), (9, 9, 1, 0, 1), (48, 0, 1, 0, 1), (120, 12, 1, 0, 1), (4, 4, 1, 0, 0), (4, 4, 1, 0, 0), (3, 3, 1, 0, 0), (18, 2, -1, 0, 0)),
-    ((5, 0, 1, 1, 1), (40, 1, 1, 0, 1), (3, 3, 1, 0, 0), (4, 4, 1, 0, 0), (2, 2, 1, 0, 0), (5, 5, 1, 0, 0), (60, 0, 1, 0, 1), (7, 0, -1, 0, 0)),
-    # Pages without marked elements: runs of long blocks with few links are the article.
-    ((40, 0, 0, 0, 1),),
-    ((15, 1, 0, 0, 1),),
-    ((1, 1, 0, 0, 0), (1, 1, 0, 0, 0), (2, 2, 0, 0, 0), (7, 0, 0, 1, 1), (60, 1, 0, 0, 1), (90, 0, 0, 0, 1), (40, 3, 0, 0, 1), (3, 3, 0, 0, 0), (2, 2, 0, 0, 0), (5, 4, 0, 0, 0)),
-    ((3, 3, 0, 0, 0), (2, 2, 0, 0, 0), (6, 0, 0, 1, 1), (35, 0, 0, 0, 1), (8, 0, 0, 0, 1), (52, 2, 0, 0, 1), (75, 0, 0, 0, 1), (4, 4, 0, 0, 0), (6, 3, 0, 0, 0), (4, 0, 0, 0, 0)),
-    ((2, 2, 0, 0, 0), (4, 4, 0, 0, 0), (5, 0, 0, 1, 1), (110, 5, 0, 0, 1), (10, 0, 0, 0, 1), (64, 0, 0, 0, 1), (3, 0, 0, 0, 0), (2, 2, 0, 0, 0), (1, 1, 0, 0, 0)),
-    ((2, 2, 0, 0, 0), (3, 0, 0, 0, 0), (30, 0, 0, 0, 1), (45, 0, 0, 0, 1), (28, 4, 0, 0, 1)),
-    ((1, 1, 0, 0, 0), (80, 2, 0, 0, 1), (85, 0, 0, 0, 1), (2, 2, 0, 0, 0), (1, 1, 0, 0, 0)),
-    ((4, 4, 0, 0, 0), (66, 0, 0, 0, 1), (1, 1, 0, 0, 0), (95, 3, 0, 0, 1), (2, 2, 0, 0, 0)),
-    # Furniture with long texts: reader comments, a notice, a form.
-    ((30, 0, -1, 0, 0), (70, 1, -1, 0, 0), (6, 0, -1, 1, 0), (44, 0, -1, 0, 0), (100, 0, -1, 0, 0), (8, 0, 1, 1, 1), (58, 0, 1, 0, 1), (5, 0, -1, 1, 0), (40, 0, -1, 0, 0), (3, 0, -1, 0, 0)),
-    ((50, 0, -1, 0, 0),),
-    ((9, 0, -1, 1, 0), (65, 0, -1, 0, 0), (12, 0, -1, 0, 0), (80, 8, -1, 0, 0)),
-)
+#: Labelled blocks in page order, a line for each page. A block is its words, "/" and its linked words if it
+#: has any, "h" if it is a heading; "+" marks running text of the article.
+LABELLED = """
+1/1 1/1 2/2 14 +9h +80/2 +3 +1 +45 20/1
+1/1 3/3 30 +5h +12 +1 +2 +150 +6 35/2
+1/1 1/1 1/1 1/1 8 +7h +7 +60 +34 +9 8
+1/1 2/2 1/1 6 +12h +12 +100 +1 +1 +2 +41 +8 9
+2/2 1/1 1/1 9 +4h +4 +2 +1 +3 6
+1/1 1/1 1/1 5 +3h +3 +1 7
+1/1 1/1 1/1 7 +6h +25 4
+1/1 1/1 2/2 11 +10h +10 +1 12
+1/1 1/1 1/1 3 +8h +8 +6 +18 +4 +5 +70 10
+3/3 1/1 2/2 12 +2h +15 +2 +22 +16 3
+1/1 +9h +30 +4 +66 7
+1/1 1/1 +5h +5 +120 +3 +2 11/1
+1/1 1/1 1/1 9 +5h +5 +106 +41 +3 +83 +44 +2 +168 +16 +64 +18 +179 +1 +118 +75 +4 +63 +2 +63 +77 +162 +6 +133 +25 11
+1/1 2/2 1/1 5 +9h +65 +37 +21 +53 +15 +3 +210 +49 +6 +3 +131 +1 +1 +97 +66 +22 +5 +85 +4 10
+2/2 1/1 3/3 8 +14h +31 +70 +7 +12 +3 +19 +4 +240 +58 +2 +90 +1 7
++40
++15/1
++1
++6/2
++7h +40
++5h +20 +3
+3/3 +4h +90 +2
+3/3 +8h +1 +70/20
+2/2 +7h +30/10 +4 +12/8 +2/1 +25/22 +5 +20/20 +3 16/1
+4/4 +8h +55/10 6/6 +70/4 2/2 +9/3 25/25
++10h +33 9/9 +48 +120/12 4/4 4/4 3/3 18/2
++5h +40/1 3/3 4/4 2/2 5/5 +60 7
+1/1 1/1 2/2 +7h +60/1 +90 +40/3 3/3 2/2 5/4
+3/3 2/2 +6h +35 +8 +52/2 +75 4/4 6/3 4
+2/2 4/4 +5h +110/5 +10 +64 3 2/2 1/1
+2/2 3 +30 +45 +28/4
+1/1 +80/2 +85 2/2 1/1
+4/4 +66 1/1 +95/3 2/2
+1/1 2/2 3/3 +60 +60 +60 2/2 1/1
+1/1 1/1 3/3 +35 +1 +2 +44 4/4 3/3
+5/5 4/4 6/6 5/5 7/7
+1/1 1/1 9h 2/2 3/3 2/2 8h 4/4 3/3
+6/6 3h 12/12 10/10 9/9 4
+"""
 
 #: Element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp".split())
-DROPPED = frozenset("head noscript template svg math iframe object canvas audio video select button datalist".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+DROPPED = frozenset("head noscript template svg iframe object canvas audio video select button datalist".split())
+INLINE = frozenset("math mi mn mo mrow ms mtext msup msub mfrac msqrt mover munder a abbr acronym b bdi bdo big br cite code del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 HEAD_TAGS = frozenset("head title meta link style script base noscript template".split())
 FURNITURE_TAGS = frozenset("nav header footer aside form menu dialog".split())
 MAIN_TAGS = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that hold one block, and so are no candidates for the article.
+LEAF_TAGS = HEADINGS | frozenset("address blockquote caption dd dt figcaption li p pre th".split())
 #: Parts of class names and ids, and roles.
 FURNITURE_NAMES = frozenset(
     "ad ads adv advert advertisement adverts alert banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer gdpr header legal login masthead menu modal nav navbar navigation newsletter notice notification pager pagination popup promo promotion related replies reply search share sharing sidebar signup social sponsor sponsored subscribe teaser toolbar widget".split()
@@ -102,85 +117,109 @@ def _state(tag: str, attributes: str, around: int, locked: bool) -> tuple[int, b
     return around, locked
 
 
-def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
-    """(text, words, linked words, context, heading) of each text block, in page order."""
-    found: list[tuple[str, int, int, int, int]] = []
-    parts: list[tuple[str, bool]] = []
-    stack: list[tuple[str, int, bool]] = []
-    state, locked, links, heading, at = PLAIN, False, 0, 0, 0
-
-    def close() -> None:
-        if parts:
-            text = " ".join("".join(p for p, _ in parts).split())
-            if text and state != DROP:
-                found.append((text, text.count(" ") + 1, sum(len(p.split()) for p, linked in parts if linked), state, heading))
-            parts.clear()
-
-    while at < len(page):
-        token = TOKEN.search(page, at)
-        end = token.start() if token else len(page)
-        if end > at and state != DROP:
-            text = page[at:end]
-            parts.append((html.unescape(text) if "&" in text else text, links > 0))
-        if token is None:
-            break
-        at = token.end()
-        tag = (token[2] or "").lower()
-        if not tag:
-            continue
-        closing = bool(token[1])
-        if tag in INLINE:
-            if tag == "a":
-                links = 0 if closing else 1
-            elif tag == "br":
-                parts.append((" ", False))
-            continue
+class Page:
+    """blocks: (text, words, linked words, heading, state, element) of each text block, in page order.
+
+    parents, states and leaves describe the elements, which are numbered as they open; 0 is the page.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.blocks: list[tuple[str, int, int, int, int, int]] = []
+        self.parents, self.states, self.leaves = [0], [PLAIN], [False]
+        parts: list[tuple[str, bool]] = []
+        stack: list[tuple[str, int, bool, int]] = []
+        state, locked, element, links, heading, at = PLAIN, False, 0, 0, 0, 0
+
+        def close() -> None:
+            if parts:
+                text = " ".join("".join(p for p, _ in parts).split())
+                if text and state != DROP:
+                    self.blocks.append((text, text.count(" ") + 1, sum(len(p.split()) for p, linked in parts if linked), heading, state, element))
+                parts.clear()
+
+        def opened(tag: str) -> int:
+            self.parents.append(element)
+            self.states.append(state)
+            self.leaves.append(tag in LEAF_TAGS)
+            return len(self.parents) - 1
+
+        while at < len(page):
+            token = TOKEN.search(page, at)
+            end = token.start() if token else len(page)
+            if end > at and state != DROP:
+                text = page[at:end]
+                parts.append((html.unescape(text) if "&" in text else text, links > 0))
+            if token is None:
+                break
+            at = token.end()
+            tag = (token[2] or "").lower()
+            if not tag:
+                continue
+            closing = bool(token[1])
+            if tag in INLINE:
+                if tag == "a":
+                    links = 0 if closing else 1
+                elif tag == "br":
+                    parts.append((" ", False))
+                continue
+            close()
+            if tag in RAW:
+                if not closing:
+                    past = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
+                    at = past.end() if past else len(page)
+                continue
+            if tag in HEADINGS:
+                heading = 0 if closing else 1
+            elif tag == "p":
+                heading = 0
+            if stack and (tag == "p" == stack[-1][0] or stack[-1][0] == "head" and tag not in HEAD_TAGS):
+                _, state, locked, element = stack.pop()
+            if tag == "body" and not closing:
+                stack.clear()
+                element = 0
+                state, locked = _state(tag, token[3], PLAIN, False)
+                element = opened(tag)
+            elif tag in VOID or tag == "p" and (closing or not token[3]):
+                continue
+            elif not closing and not token[3].endswith("/"):
+                stack.append((tag, state, locked, element))
+                state, locked = _state(tag, token[3], state, locked)
+                element = opened(tag)
+                links = 0
+            elif closing and any(name == tag for name, *_ in stack):
+                while True:
+                    name, state, locked, element = stack.pop()
+                    if name == tag:
+                        break
+                links = 0
         close()
-        if tag in RAW:
-            if not closing:
-                past = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
-                at = past.end() if past else len(page)
-            continue
-        if tag in HEADINGS:
-            heading = 0 if closing else 1
-        elif tag == "p":
-            heading = 0
-        if stack and (tag == "p" == stack[-1][0] or stack[-1][0] == "head" and tag not in HEAD_TAGS):
-            _, state, locked = stack.pop()
-        if tag == "body" and not closing:
-            stack.clear()
-            state, locked = _state(tag, token[3], PLAIN, False)
-        elif tag in VOID or tag == "p" and (closing or not token[3]):
-            continue
-        elif not closing and not token[3].endswith("/"):
-            stack.append((tag, state, locked))
-            state, locked = _state(tag, token[3], state, locked)
-            links = 0
-        elif closing and any(name == tag for name, _, _ in stack):
-            while True:
-                name, state, locked = stack.pop()
-                if name == tag:
-                    break
-            links = 0
-    close()
-    return found
-
-
-FEATURES = ("words", "link_density", "words_before", "density_before", "words_after", "density_after", "context", "heading")
-
-
-def features(rows: list[tuple[int, int, int, int]]) -> list[tuple[float, ...]]:
-    """FEATURES of each (words, linked words, context, heading) in page order; beyond either end there is an empty block."""
-    sizes = [(0.0, 0.0), *((float(w), min(1.0, n / w)) for w, n, _, _ in rows), (0.0, 0.0)]
-    return [(*sizes[k + 1], *sizes[k], *sizes[k + 2], float(context), float(heading)) for k, (_, _, context, heading) in enumerate(rows)]
+
+
+FEATURES = tuple(f"{name}_{where}" for where in ("before", "here", "after") for name in ("words", "density", "heading"))
+
+
+def features(rows: list[tuple[int, int, int]]) -> list[tuple[float, ...]]:
+    """FEATURES of each (words, linked words, heading) in page order; beyond either end there is an empty block."""
+    none = (0.0, 0.0, 0.0)
+    sizes = [none, *((float(w), min(1.0, n / w), float(h)) for w, n, h in rows), none]
+    return [(*sizes[k], *sizes[k + 1], *sizes[k + 2]) for k in range(len(rows))]
+
+
+def labelled() -> list[list[tuple[int, int, int, int]]]:
+    """LABELLED as (words, linked words, heading, label) of each block of each page."""
+    pages = []
+    for line in LABELLED.strip().split("\n"):
+        found = [re.fullmatch(r"(\+?)(\d+)(?:/(\d+))?(h?)", block) for block in line.split()]
+        pages.append([(int(m[2]), int(m[3] or 0), int(m[4] == "h"), int(m[1] == "+")) for m in found])
+    return pages
 
 
 Tree = tuple | float
 
 
-def train(spark: SparkSession, depth: int = 8) -> Tree:
+def train(spark: SparkSession, depth: int = 10) -> Tree:
     """Fit the tree on LABELLED: nested (feature, threshold, tree up to it, tree above it), with labels at the leaves."""
-    table = [(Vectors.dense(x), float(row[4])) for page in LABELLED for x, row in zip(features([r[:4] for r in page]), page)]
+    table = [(Vectors.dense(x), float(row[3])) for page in labelled() for x, row in zip(features([r[:3] for r in page]), page)]
     frame = spark.createDataFrame(table, ["features", "label"])
     model = DecisionTreeClassifier(maxDepth=depth, maxBins=64, seed=1).fit(frame)
 
@@ -199,10 +238,44 @@ def is_article(tree: Tree, x: tuple[float, ...]) -> bool:
     return tree > 0.5
 
 
-def main_text(page: str, tree: Tree) -> str:
-    found = blocks(page)
-    judged = features([b[1:] for b in found])
-    return "\n".join(b[0] for b, x in zip(found, judged) if is_article(tree, x))
+#: Share of an element's words that the tree must take for all of it to be kept.
+NEARLY_ALL = 0.8
+
+
+def article(page: Page, taken: list[bool]) -> list[bool]:
+    """For each block, whether it is kept, from the tree's answers for the blocks."""
+    n = len(page.parents)
+    votes, words, count = [0] * n, [0] * n, [0] * n
+    for block, yes in zip(page.blocks, taken):
+        size, state, element = block[1], block[4], block[5]
+        votes[element] += size if yes and state != FURNITURE else -size
+        if state != FURNITURE:
+            words[element] += size
+        count[element] += 1
+    for e in range(n - 1, 0, -1):
+        votes[page.parents[e]] += votes[e]
+        words[page.parents[e]] += words[e]
+        count[page.parents[e]] += count[e]
+    able = [e for e in range(n) if e == 0 or page.states[e] == MAIN or page.states[e] == PLAIN and not page.leaves[e] and count[e] > 1]
+    best = max(able, key=lambda e: (votes[e], -e))
+    marked = [page.states[e] == MAIN != page.states[page.parents[e]] for e in range(n)]
+    inside, whole = [False] * n, [False] * n
+    for e in range(n):
+        up = page.parents[e]
+        inside[e] = e == best or e > 0 and inside[up]
+        if inside[e] and votes[e] > 0:
+            # Within an element, its words number (votes + words) / 2 taken ones.
+            tight = e == best and e > 0 and votes[e] + words[e] >= 2 * NEARLY_ALL * words[e]
+            whole[e] = tight or page.states[e] == MAIN and (e == best or marked[e])
+        if e > 0 and e != best and inside[up] and whole[up]:
+            whole[e] = True
+    return [inside[e] and state != FURNITURE and (yes or whole[e]) for (*_, state, e), yes in zip(page.blocks, taken)]
+
+
+def main_text(source: str, tree: Tree) -> str:
+    page = Page(source)
+    taken = [is_article(tree, x) for x in features([b[1:4] for b in page.blocks])]
+    return "\n".join(b[0] for b, kept in zip(page.blocks, article(page, taken)) if kept)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

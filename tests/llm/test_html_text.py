@@ -1,4 +1,5 @@
 import html
+import random
 import re
 
 import pytest
@@ -48,10 +49,44 @@ def test_pages_without_marked_elements(tree):
     assert html_text.main_text(page, tree).split("\n") == [("word " * 60).strip()] * 3
 
 
+def lines_of(source):
+    """The article element's lines, by a plain regular expression."""
+    parts = re.split(r"</?(?:p|h1|div)>", re.search(r"<article>(.*)</article>", source, re.S)[1])
+    return list(filter(None, (" ".join(html.unescape(re.sub(r"<[^>]*>", " " if "<br>" in p else "", p)).split()) for p in parts)))
+
+
+def test_text_features_alone_find_the_articles(spark, data, tree):
+    """The given pages with every mark of their author taken away: only word counts, links and headings are left."""
+    for r in read(spark, data, "pages").collect():
+        bare = re.sub(r"<(/?)(?:nav|article|footer)\b[^>]*>", r"<\1div>", r.html).replace(' class="ad"', "")
+        assert html_text.main_text(bare, tree).split("\n") == lines_of(r.html)
+
+
+def test_tree_decides(spark, data, tree):
+    """Features dealt to other blocks of the page change what is extracted."""
+    rng, changed = random.Random(3), 0
+    pages = read(spark, data, "pages").collect()
+    for r in pages:
+        page = html_text.Page(r.html)
+        x = html_text.features([b[1:4] for b in page.blocks])
+        right = html_text.article(page, [html_text.is_article(tree, y) for y in x])
+        rng.shuffle(x)
+        changed += right != html_text.article(page, [html_text.is_article(tree, y) for y in x])
+    assert changed > len(pages) / 4
+
+
+def test_all_of_an_article_stays(tree):
+    inside = "<h2>Title</h2>" + "<p>" + "word " * 70 + "</p><p>Where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p><ul>" + "".join(f"<li><a href=/{k}>Reference {k}</a></li>" for k in range(3)) + "</ul><p>" + "more " * 30 + "</p>"
+    expected = ["Title", ("word " * 70).strip(), "Where x=2 holds.", "Reference 0", "Reference 1", "Reference 2", ("more " * 30).strip()]
+    around = "<nav><a href=/>Home</a></nav>{}<footer>Imprint</footer>"
+    for tag in ('<article>{}</article>', '<div class="post-body">{}</div>', "<main><section>{}</section></main>", "<div>{}</div>"):
+        assert html_text.main_text(around.format(tag.format(inside)), tree).split("\n") == expected
+
+
 def test_labelled_table_is_learnt(tree):
-    for page in html_text.LABELLED:
-        for x, row in zip(html_text.features([r[:4] for r in page]), page):
-            assert html_text.is_article(tree, x) == bool(row[4])
+    for page in html_text.labelled():
+        for x, row in zip(html_text.features([r[:3] for r in page]), page):
+            assert html_text.is_article(tree, x) == bool(row[3])
 
 
 def test_edge_pages(spark):
