@@ -1,15 +1,17 @@
 """Personal data: patterns, and information-theoretic sanitisation of the terms that give it away.
 
 Patterns find the protected entities (addresses, numbers). Then the corpus says how strongly a term
-reveals one of them: over all documents, with t near e in n(t,e) documents, t in n(t) and e in n(e) of
+reveals one of them: over all different texts, with t near e in n(t,e) texts, t in n(t) and e in n(e) of
 N, the share n(t,e) / n(t) and the pointwise mutual information log2(n(t,e) N / (n(t) n(e))). The same is
-asked of each kind of entity, e being any value of it. Terms that exceed both thresholds, in enough
-different contexts or texts, are removed like the entities themselves.
+asked of each kind of entity, e being any value of it. Terms that exceed both thresholds in enough texts are
+taken out: a term that reveals a value is removed like the entity itself, one that only reveals a kind is
+generalised to its shape.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,14 +23,14 @@ from ledgerline.llm.batches import texts
 from ledgerline.llm.staging import stage
 
 KINDS = ("email", "ip", "card", "phone")
-TERM = "term"
+#: Terms that reveal a value, and terms that reveal a kind only.
+TERM, HINT = "term", "hint"
+ALL_KINDS = (*KINDS, TERM, HINT)
 
 #: Words on either side of an entity that count as near it.
 NEAR = 5
-#: Different contexts a term and an entity must share, or different texts. Copies of a text are one text;
-#: a passage that different texts share is one context, but counts in each of them.
-MIN_CONTEXTS = 3
-MIN_TEXTS = 3
+#: Different texts in which a term must be near an entity. Copies of a text are one text.
+MIN_TEXTS = 2
 #: Stands for any value, in the entity of a kind.
 ANY = "*"
 MIN_SHARE, MIN_PMI = 0.5, 3.0
@@ -89,25 +91,36 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-def contexts_of(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str, str, int]]:
-    """(entity, term, context) for the words near each span that no span covers."""
+def words_of(text: str, spans: list[tuple[int, int, int]]) -> list[re.Match]:
+    """Words of a text that no span touches."""
     inside = sorted((a, b) for _, a, b in spans)
+    ends = [0]
+    for _, b in inside:
+        ends.append(max(ends[-1], b))
+    # Of the spans that begin before a word ends, the furthest end must not reach into it.
+    return [m for m in WORD.finditer(text) if ends[bisect_left(inside, (m.end(), 0))] <= m.start()]
+
+
+def pairs_of(text: str, spans: list[tuple[int, int, int]]) -> set[tuple[str, str]]:
+    """(entity, term) for the NEAR words on either side of each span; entities are kind:value and kind:*."""
+    words = words_of(text, spans)
+    starts = [m.start() for m in words]
+    found = set()
     for rank, start, end in spans:
         value = re.sub(r"[\x20().-]", "", text[start:end]) if rank > 1 else text[start:end].lower()
-        left = [m for m in WORD.finditer(text, max(0, start - 40 * NEAR), start)][-NEAR:]
-        right = [m for _, m in zip(range(NEAR), WORD.finditer(text, end, min(len(text), end + 40 * NEAR)))]
-        words = [m[0].lower() for m in left + right if not any(a < m.end() and m.start() < b for a, b in inside)]
-        context = "\x1f".join(words)
-        for word in dict.fromkeys(words):
-            yield f"{KINDS[rank]}:{value}", word, context
+        left, right = bisect_left(starts, start), bisect_left(starts, end)
+        for m in words[max(0, left - NEAR) : left] + words[right : right + NEAR]:
+            found |= {(f"{KINDS[rank]}:{value}", m[0].lower()), (f"{KINDS[rank]}:{ANY}", m[0].lower())}
+    return found
 
 
 def _rows(docs: DataFrame, text_col: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(F.xxhash64(text).alias("key"), text.alias("text"))
 
 
 def near_entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """key (hash of the text), entity, term, context (hash of the words around), for every entity in every document.
+    """key (hash of the text), entity, term, for every entity and the words near it in every document.
 
     Each word of a document with entities also has a row whose entity is null.
     """
@@ -118,101 +131,112 @@ def near_entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 spans = base_spans(text)
                 if spans:
-                    out += [(key, *x) for x in dict.fromkeys(contexts_of(text, spans))]
-                    out += [(key, None, x, "") for x in dict.fromkeys(m[0].lower() for m in WORD.finditer(text))]
-            columns = list(zip(*out)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.string()) for c in columns[1:])], ["key", "entity", "term", "context"])
+                    out += [(key, *x) for x in pairs_of(text, spans)]
+                    out += [(key, None, x) for x in {m[0].lower() for m in WORD.finditer(text)}]
+            columns = list(zip(*out)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.string()) for c in columns[1:])], ["key", "entity", "term"])
 
-    rows = _rows(docs, text_col).select(F.xxhash64("text").alias("key"), "text")
-    return rows.mapInArrow(run, "key bigint, entity string, term string, context string").select("key", "entity", "term", F.xxhash64("context").alias("context"))
+    return _rows(docs, text_col).mapInArrow(run, "key bigint, entity string, term string")
 
 
-def revealing_terms(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """term, entity, n_both, n_term, n_entity, share, pmi for the terms that exceed the thresholds.
-
-    An entity is kind:value, or kind:* for any value of the kind.
-    Documents are counted by text, so copies of one text are one document. The corpus is joined with
-    the terms that have enough contexts or texts; Spark broadcasts those only if their stored size is below
-    its threshold and shuffles the words otherwise.
-    """
+def _candidates(docs: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stored: pairs (term, entity, n_both) that may exceed the thresholds, n_entity of each entity, and
+    the different texts (key) each candidate term occurs in. The corpus is cut into words once."""
     rows = stage(near_entities(docs, text_col).distinct(), "near")
-    kind = F.concat(F.substring_index("entity", ":", 1), F.lit(f":{ANY}"))
-    near = rows.filter("entity IS NOT NULL").select("key", F.explode(F.array("entity", kind)).alias("entity"), "term", "context")
-    both = near.groupBy("term", "entity").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("key").alias("n_both"))
-    both = both.filter((F.col("contexts") >= MIN_CONTEXTS) | (F.col("n_both") >= MIN_TEXTS))
-    # A term stands in no fewer documents than those with entities that have it anywhere: where these alone
+    near = rows.filter("entity IS NOT NULL")
+    both = near.groupBy("term", "entity").agg(F.count(F.lit(1)).alias("n_both")).filter(F.col("n_both") >= MIN_TEXTS)
+    # A term stands in no fewer texts than those with entities that have it anywhere: where these alone
     # push the share below the threshold, the corpus need not be asked.
-    n_least = rows.select("term", "key").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_least"))
+    n_least = rows.filter("entity IS NULL").groupBy("term").agg(F.count(F.lit(1)).alias("n_least"))
     both = stage(both.join(n_least, "term").filter(F.col("n_both") >= MIN_SHARE * F.col("n_least")).drop("n_least"), "both")
     n_entity = near.select("entity", "key").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    terms = stage(both.select("term").distinct(), "terms")
-    words = _rows(docs, text_col).select(
-        F.xxhash64("text").alias("key"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD_SQL), F.lit(0)))).alias("term")
-    )
-    n_term = words.join(terms, "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    total = _rows(docs, text_col).agg(F.approx_count_distinct(F.xxhash64("text"), 0.01).alias("n")).first()["n"]
+    terms = both.select("term").distinct()
+    found = F.transform(F.regexp_extract_all("text", F.lit(WORD_SQL), F.lit(0)), lambda w: F.lower(w))
+    words = _rows(docs, text_col).select("key", F.explode(F.array_distinct(found)).alias("term"))
+    return both, n_entity, stage(words.join(terms, "term").distinct(), "occurrences")
+
+
+def _judged(docs: DataFrame, text_col: str, both: DataFrame, n_entity: DataFrame, occurrences: DataFrame) -> DataFrame:
+    total = _rows(docs, text_col).select("key").distinct().count()
+    n_term = occurrences.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     judged = both.join(n_term, "term").join(n_entity, "entity").select(
         "term",
         "entity",
         "n_both",
         "n_term",
         "n_entity",
-        (F.col("n_both") / F.greatest("n_term", "n_both")).alias("share"),
-        F.log2(F.col("n_both") * F.lit(float(total)) / (F.greatest("n_term", "n_both") * F.col("n_entity"))).alias("pmi"),
+        (F.col("n_both") / F.col("n_term")).alias("share"),
+        F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity"))).alias("pmi"),
     )
     return judged.filter((F.col("share") >= MIN_SHARE) & (F.col("pmi") >= MIN_PMI))
 
 
+def revealing_terms(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """term, entity, n_both, n_term, n_entity, share, pmi for the terms that exceed the thresholds.
+
+    An entity is kind:value, or kind:* for any value of the kind. Documents are counted by text, so
+    copies of one text are one document; all counts are exact. Joins with candidate terms are shuffled
+    unless Spark finds the stored terms below its threshold for broadcasting.
+    """
+    return _judged(docs, text_col, *_candidates(docs, text_col))
+
+
 SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"
 SPANS_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
-def spans_of(text: str, terms: frozenset[str]) -> list[tuple[int, int, int]]:
-    """Base spans, then the revealing terms outside of them."""
+def spans_of(text: str, terms: dict[str, bool]) -> list[tuple[int, int, int]]:
+    """Base spans, then the revealing terms outside of them; terms say whether they reveal a value."""
     spans = base_spans(text)
     if terms:
-        inside = [(a, b) for _, a, b in spans]
-        spans += [(len(KINDS), *m.span()) for m in WORD.finditer(text) if m[0].lower() in terms and not any(a < m.end() and m.start() < b for a, b in inside)]
+        hits = [(len(KINDS) + (not terms[m[0].lower()]), *m.span()) for m in words_of(text, spans) if m[0].lower() in terms]
+        spans += sorted(hits)
     return spans
 
 
 def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
-    """The text with each span, or union of overlapping ones, replaced by the name of its first kind."""
+    """The text with each span, or union of overlapping ones, replaced by the name of its first kind, and hints by their shape."""
     out, at = [], 0
     for start, rank, end in sorted((a, rank, b) for rank, a, b in spans):
         if start >= at:
-            out += [text[at:start], "[", (*KINDS, TERM)[rank].upper(), "]"]
+            name = ALL_KINDS[rank].upper() if ALL_KINDS[rank] != HINT else "Name" if text[start].isupper() else "word"
+            out += [text[at:start], "[", name, "]"]
         at = max(at, end)
     return "".join(out) + text[at:]
 
 
 def sanitise(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The columns of ``docs`` in a struct ``doc``, with spans and the masked text beside it.
+    """The columns of ``docs`` in a struct ``doc``, with its text and revealing terms beside it.
 
-    spans hold kind, start and end in code points, by kind (email, ip, card, phone, term), then
-    start. Null texts have no spans and stay null; so have empty ones. Ids play no part, so null ids
+    Null texts have no spans and stay null; so have empty ones. Ids play no part, so null ids
     and repeated rows are handled like all others, and columns of any name may be there. Empty tables
-    give no rows. Texts are read whole.
+    give no rows. Texts are read whole. terms: those of the text, with whether they reveal a value.
     """
-    terms = stage(revealing_terms(docs, text_col).select("term").distinct(), "revealing")
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("key"))
-    words = _rows(docs, text_col).select(
-        F.xxhash64("text").alias("key"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD_SQL), F.lit(0)))).alias("term")
-    )
-    in_doc = stage(words.join(terms, "term").groupBy("key").agg(F.collect_set("term").alias("terms")), "terms-of-doc")
+    both, n_entity, occurrences = _candidates(docs, text_col)
+    judged = _judged(docs, text_col, both, n_entity, occurrences)
+    terms = stage(judged.groupBy("term").agg(F.bool_or(~F.col("entity").endswith(f":{ANY}")).alias("value")), "revealing")
+    in_doc = stage(occurrences.join(terms, "term").groupBy("key").agg(F.collect_list(F.struct("term", "value")).alias("terms")), "terms-of-doc")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))).alias("key"))
     return rows.join(in_doc, "key", "left").select("doc", F.col("doc")[text_col].alias("text"), "terms")
 
 
+def _as_dict(terms: list[dict] | None) -> dict[str, bool]:
+    return {t["term"]: t["value"] for t in terms or ()}
+
+
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         values, terms = texts(batch.column(1)).to_pylist(), batch.column(2).to_pylist()
-        spans = [spans_of(v, frozenset(t or ())) for v, t in zip(values, terms)]
-        named = [[{"kind": (*KINDS, TERM)[r], "start": a, "end": b} for r, a, b in x] for x in spans]
+        spans = [spans_of(v, _as_dict(t)) for v, t in zip(values, terms)]
+        named = [[{"kind": ALL_KINDS[r], "start": a, "end": b} for r, a, b in x] for x in spans]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(named, SPANS_ARROW)], ["doc_id", "spans"])
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and spans of each row, under the rules of ``sanitise``."""
+    """doc_id and spans of each row, under the rules of ``sanitise``.
+
+    spans hold kind, start and end in code points, by kind (email, ip, card, phone, term, hint), then start.
+    """
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = sanitise(narrow).select(F.col("doc.doc_id").alias("doc_id"), "text", "terms")
     return rows.mapInArrow(_spans, f"doc_id {docs.schema[id_col].dataType.simpleString()}, spans {SPANS}")
@@ -225,7 +249,7 @@ def listed(spans: Column) -> Column:
 
 def digest_columns(found: DataFrame) -> DataFrame:
     """doc_id, counts of the base kinds, the digest of the base spans, and all spans as text."""
-    base = F.filter("spans", lambda s: s["kind"] != TERM)
+    base = F.filter("spans", lambda s: s["kind"].isin(*KINDS))
     kinds = F.transform("spans", lambda s: s["kind"])
     counts = [F.size(F.filter(kinds, lambda x: x == kind)).cast("long").alias(f"n_{kind}") for kind in KINDS]  # noqa: B023
     return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
@@ -238,7 +262,7 @@ def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values, terms = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            new = [v if v is None else masked(v, spans_of(v, frozenset(t or ()))) for v, t in zip(values, terms)]
+            new = [v if v is None else masked(v, spans_of(v, _as_dict(t))) for v, t in zip(values, terms)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string())], ["doc", "text"])
 
     schema = T.StructType([rows.schema["doc"], T.StructField("text", T.StringType())])
