@@ -64,11 +64,11 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         "digests",
     )
     winners = F.broadcast(stage(frequent_winners(digests), "winners"))
-    same = Window.partitionBy("digest")
     hot = digests.join(winners, "digest")
-    cold = digests.join(winners, "digest", "left_anti").select(
-        "*", F.max(F.struct("doc_id", "row")).over(same).alias("winner"), F.count(F.lit(1)).over(same).alias("group_size")
-    )
+    rest = digests.join(winners, "digest", "left_anti")
+    # Counted with map-side combining and joined back, so that Spark can split what the sketch has left.
+    groups = rest.groupBy("digest").agg(F.max(F.struct("doc_id", "row")).alias("winner"), F.count(F.lit(1)).alias("group_size"))
+    cold = rest.join(groups, "digest")
     return hot.unionByName(cold).select(
         "doc_id",
         F.col("winner.doc_id").alias("keep_id"),
@@ -79,14 +79,19 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The kept rows of ``mark_copies``, with all their columns.
+    """One row of each group of equal texts, with all its columns: that of the largest id.
 
-    Losers among frequent digests go on the map side, before any shuffle; the rest meets once per digest.
+    Null texts count as empty and equal each other and ``''``. Null ids rank below all others. Rows of one
+    id whose texts differ in case are told apart by the hash of the text as it stands, so the result does
+    not depend on the order of rows; of rows equal in id and text any one stays. Empty tables give no rows;
+    columns of any names may be there. Texts of any length are hashed whole. Losers among frequent digests
+    go on the map side, before any shuffle; the rest meets once per digest.
     """
     columns = docs.columns
-    rows = docs.select(F.struct(*[docs[c] for c in columns]).alias("doc"), docs[id_col].alias("id"), digest(docs[text_col]).alias("digest"))
-    digests = stage(rows.select(F.col("id").alias("doc_id"), "digest", F.lit(0).cast("long").alias("row")), "digests")
-    winners = stage(frequent_winners(digests).select(F.col("digest").alias("hot"), F.col("winner.doc_id").alias("best")), "winners")
-    left = rows.join(F.broadcast(winners), F.col("digest") == F.col("hot"), "left").filter(F.col("hot").isNull() | F.col("id").eqNullSafe(F.col("best")))
-    first = Window.partitionBy("digest").orderBy(F.col("id").desc_nulls_last())
+    rows = docs.select(F.struct(*[docs[c] for c in columns]).alias("doc"), docs[id_col].alias("id"), digest(docs[text_col]).alias("digest"), F.xxhash64(docs[text_col]).alias("spelt"))
+    digests = stage(rows.select(F.col("id").alias("doc_id"), "digest", F.col("spelt").alias("row")), "digests")
+    winners = stage(frequent_winners(digests).select(F.col("digest").alias("hot"), F.col("winner").alias("best")), "winners")
+    best = F.col("id").eqNullSafe(F.col("best.doc_id")) & (F.col("spelt") == F.col("best.row"))
+    left = rows.join(F.broadcast(winners), F.col("digest") == F.col("hot"), "left").filter(F.col("hot").isNull() | best)
+    first = Window.partitionBy("digest").orderBy(F.col("id").desc_nulls_last(), F.col("spelt").desc())
     return left.withColumn("place", F.row_number().over(first)).filter(F.col("place") == 1).select("doc.*")

@@ -76,7 +76,9 @@ def _grams(strings: set[str]) -> Query:
 
 
 def trigram_query(pattern: str) -> Query:
-    """Alternatives, each a set of trigrams (lower case) that all occur in every text with a match.
+    """Alternatives, each a set of trigrams that all occur in every text with a match.
+
+    Trigrams are of UTF-8 bytes with A-Z in lower case, written as texts of one character a byte.
 
     ANY, the query with one empty alternative, stands for no mandatory trigram.
     """
@@ -105,14 +107,18 @@ def _follow(items) -> tuple[Query, set[str]]:
     return query, exact
 
 
+def _bytes(code: int) -> str:
+    return chr(code).encode("utf-8", "surrogatepass").lower().decode("latin-1")
+
+
 def _exact(op, arg) -> tuple[set[str] | None, Query]:
     """All strings an item matches, or None and the query for it."""
     if op is sre.LITERAL:
-        return {chr(arg).lower()}, ANY
+        return {_bytes(arg)}, ANY
     if op is sre.AT or op in (sre.ASSERT, sre.ASSERT_NOT):
         return {""}, ANY
     if op is sre.IN and len(arg) <= 8 and all(kind is sre.LITERAL for kind, _ in arg):
-        return {chr(c).lower() for _, c in arg}, ANY
+        return {_bytes(c) for _, c in arg}, ANY
     if op is sre.SUBPATTERN:
         return _whole(arg[-1])
     if op is sre.BRANCH:

@@ -7,12 +7,16 @@ the lightest shard. The map is stored by version; rebalancing edits the map and
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm.staging import shared_dir, stage
 
 VIRTUAL_SLOTS = 4096
+#: Parts in which the rows of one slot are numbered, so that a hot id is no single task.
+PARTS = 16
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = VIRTUAL_SLOTS) -> DataFrame:
@@ -93,23 +97,30 @@ def load_map(spark: SparkSession, root: str, version: int) -> DataFrame:
 
 
 def assign(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", slots: int = VIRTUAL_SLOTS, root: str | None = None) -> DataFrame:
-    """Every row with its shard: doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot.
+    """Every row with its shard: doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot, next_shard.
 
     Law ``bytes``: shards get nearly equal sizes. ``slot`` is the row's place in its shard, without
-    gaps from 0; grown_shard is null under this law. Null texts have size 1 and checksum 0. Repeated
+    gaps from 0; grown_shard is null under this law. ``next_shard`` is the row's shard in the second
+    version of the map, edited for one more shard. The maps are stored under ``root``, a folder of this call's
+    own if none is given. Null texts have size 1 and checksum 0. Repeated
     rows get places of their own in the same shard. Null ids are spread by size and checksum. Empty
     tables give no rows, empty texts size 1; other columns are ignored.
     """
     spark = docs.sparkSession
-    rows = stage(sized(docs, id_col, text_col, slots).withColumn("row", F.monotonically_increasing_id()), "sized")
-    root = root or f"{shared_dir(spark)}/ledgerline/slot-map-{spark.sparkContext.applicationId}-{id(rows):x}"
-    placed = save_map(initial_map(slot_bytes(rows), shards), root, 1)
-    before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
-    starts = placed.select("virtual_slot", "shard", F.coalesce(F.sum("n_rows").over(before), F.lit(0)).alias("start"))
-    within = Window.partitionBy("virtual_slot").orderBy("doc_id", "size", "text_crc32", "row")
+    rows = stage(sized(docs, id_col, text_col, slots).withColumn("row", F.monotonically_increasing_id()).withColumn("part", F.pmod(F.xxhash64("row"), F.lit(PARTS)).cast("int")), "sized")
+    root = root or f"{shared_dir(spark)}/ledgerline/slot-map-{uuid.uuid4().hex}"
+    slots_used = stage(slot_bytes(rows), "slots")
+    placed = save_map(initial_map(slots_used, shards), root, 1)
+    grown = save_map(rebalance(placed, slots_used, shards + 1), root, 2)
+    maps = placed.select("virtual_slot", "shard").join(F.broadcast(grown.select("virtual_slot", F.col("shard").alias("next_shard"))), "virtual_slot")
+    # At most PARTS rows for each slot, so the starts can be broadcast whatever the input.
+    counts = rows.groupBy("virtual_slot", "part").agg(F.count(F.lit(1)).alias("n_rows")).join(F.broadcast(maps), "virtual_slot")
+    before = Window.partitionBy("shard").orderBy("virtual_slot", "part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("virtual_slot", "part", "shard", "next_shard", F.coalesce(F.sum("n_rows").over(before), F.lit(0)).alias("start"))
+    within = Window.partitionBy("virtual_slot", "part").orderBy("doc_id", "size", "text_crc32", "row")
     return (
         rows.withColumn("place", F.row_number().over(within))
-        .join(F.broadcast(starts), "virtual_slot")
+        .join(F.broadcast(starts), ["virtual_slot", "part"])
         .select(
             "doc_id",
             "size",
@@ -119,5 +130,6 @@ def assign(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: s
             (F.col("start") + F.col("place") - 1).alias("slot"),
             F.lit(None).cast("int").alias("grown_shard"),
             "virtual_slot",
+            "next_shard",
         )
     )

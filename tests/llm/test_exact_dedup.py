@@ -43,6 +43,13 @@ def test_drop_keeps_columns_and_one_row_each(spark):
     assert {r.doc_id for r in got.collect() if r.text == "hot"} == {159}
 
 
+def test_rows_of_one_id_are_told_apart_by_their_spelling(spark):
+    for copies in (1, 40):
+        rows = [(9, "One Text"), (9, "one text"), (3, "ONE TEXT")] * copies
+        left = {exact_dedup.drop_copies(spark.createDataFrame([(*r, "d", "r") for r in part], SCHEMA)).collect()[0].text for part in (rows, rows[::-1])}
+        assert len(left) == 1 and left <= {"One Text", "one text"}
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert exact_dedup.mark_copies(empty).count() == 0

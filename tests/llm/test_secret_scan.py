@@ -58,5 +58,31 @@ def test_more_kinds_and_queries(spark):
                 assert any(all(g in text.lower() for g in way) for way in S.trigram_query(rule.pattern))
 
 
+def brute_rules(text, rules):
+    """Spans of any rules, without the index."""
+    found = [(m.start(), k, m.end(), r.kind) for k, r in enumerate(rules) for m in r.compiled().finditer(text or "") if m.end(r.group) - m.start(r.group) >= r.least]
+    return [(kind, a, b) for a, _, b, kind in sorted(found)]
+
+
+def test_all_rules_against_brute_force(spark, data):
+    random.seed(5)
+    bits = ["-----BEGIN ", "PRIVATE KEY-----", "RSA ", "ghp_", "GHO_", "a1B2" * 9, "xoxb-", "xoxb-1234567890", "eyJ", "eyJabcdefgh", ".", "_", " ", "é", "clé=", "Clé=", "CLÉ=", "abcdefgh", "鍵", "鍵は", "token=", "ſ"]
+    texts = [r.text for r in read(spark, data, "documents").limit(200).collect()] + ["".join(random.choice(bits) for _ in range(random.randint(0, 12))) for _ in range(3000)]
+    rules = (*S.RULES, S.Rule("accent", "clé=[a-z]{8}"), S.Rule("any_case", "clé=[a-z]{8}", any_case=True), S.Rule("wide", "鍵は?[a-z]+"), S.Rule("one_of", "[éè鍵]=?abc"))
+    docs = spark.createDataFrame([(k, t, "") for k, t in enumerate(texts)], SCHEMA)
+    got = S.scan(docs, rules=rules).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert [(s.kind, s.start, s.end) for s in r.spans] == brute_rules(texts[r.doc_id], rules)
+    found = {s.kind for r in got for s in r.spans}
+    assert {"accent", "any_case", "wide", "one_of", "private_key", "hosting_token", "chat_token"} <= found
+
+
+def test_null_ids_and_repeated_rows(spark):
+    rows = [(None, "password=hunter22", ""), (7, "password=hunter22", ""), (7, "password=hunter22", ""), (None, None, ""), (8, "", None)]
+    got = S.scan(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(((r.doc_id, len(r.spans)) for r in got), key=repr) == sorted([(None, 1), (7, 1), (7, 1), (None, 0), (8, 0)], key=repr)
+
+
 def test_empty_table(spark):
     assert S.scan(spark.createDataFrame([], SCHEMA)).count() == 0

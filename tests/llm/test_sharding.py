@@ -33,6 +33,20 @@ def test_every_row_has_a_place_and_bytes_are_even(spark):
     assert max(loads.values()) - min(loads.values()) <= max(r.size for r in got)
 
 
+def test_many_calls_and_a_hot_id(spark):
+    rows = [(1, "same", "", "")] * 3000 + [(k, f"t{k}", "", "") for k in range(300)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for _ in range(4):
+        got = sharding.assign(docs, shards=3).collect()
+        assert len(got) == len(rows)
+    loads = defaultdict(int)
+    for shard, own in placed(got).items():
+        assert sorted(r.slot for r in own) == list(range(len(own)))
+    for r in got:
+        loads[r.next_shard] += r.size
+    assert set(loads) <= set(range(4)) and len({(r.virtual_slot, r.shard, r.next_shard) for r in got}) == len({r.virtual_slot for r in got})
+
+
 def test_empty_table(spark):
     assert sharding.assign(spark.createDataFrame([], SCHEMA)).count() == 0
 
