@@ -7,9 +7,11 @@
    meet in a list and have like set sizes are compared by the sketch of their union.
 3. Classes whose sketches are mainly hot would be missed by that. Those, and only those, are also put
    together by their hot values, each with the smallest class of the list, not pair by pair.
-4. What so hangs together is a cluster. Clusters, ordered by set size, are cut into blocks; blocks whose
-   sizes admit a link are compared exactly on full sets, and a block pair returns a spanning forest of
-   its links, so its rows never exceed the classes in it.
+4. What so hangs together is a cluster. Clusters, ordered by set size, are cut into blocks, which are compared
+   exactly on full sets; a block pair returns a spanning forest of its links, so its rows never exceed the
+   classes in it. First each block meets itself and the leading block of its range of sizes. Of a cluster of
+   several blocks, what then is not in its largest component, and only that, meets all other blocks whose
+   sizes admit a link; so a large group of near copies takes time in proportion to its size.
 5. The links' connected components are the result.
 
 Two linked sets differ in at most 15 of 100 elements of their union. They are missed only if too few
@@ -20,6 +22,7 @@ a probability of about 1e-8, and at a similarity of 0.8 of about 2e-7.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +33,7 @@ from pyspark.sql import types as T
 
 from ledgerline.llm.batches import texts, utf8
 from ledgerline.llm.components import components
+from ledgerline.llm.skew import BROADCAST_BYTES, PARTS, small, split_join, stored_bytes
 from ledgerline.llm.staging import stage
 
 #: Words of a shingle and the least similarity, in hundredths, of a link.
@@ -40,8 +44,6 @@ KEEP, INDEXED, HOT = 32, 16, 64
 COLD_ENOUGH, COMMON = 0.625, 0.25
 #: Set elements in a block of exact comparisons.
 BLOCK = 150_000
-#: Rows up to which a side of a join is broadcast; larger ones are shuffled.
-BROADCAST_ROWS = 2_000_000
 #: Bytes of text that are shingled at a time.
 PART = 1 << 20
 
@@ -131,11 +133,6 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
 
 
-def small(df: DataFrame) -> DataFrame:
-    """``df``, which is a stored table, marked for broadcasting if its rows are few enough."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def candidates(marked: DataFrame, percent: int) -> DataFrame:
     """Pairs a, b of classes whose indexed cold values say they may be linked, each pair once."""
     rows = marked.select("node", "n", F.slice("cold", 1, INDEXED).alias("own")).filter("size(own) > 0")
@@ -178,18 +175,18 @@ def candidates(marked: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a bigint, b bigint")
 
 
-def hot_stars(marked: DataFrame) -> DataFrame:
-    """Edges a, b from each class that is mainly hot to the smallest such class of each of its hot values."""
+def hot_stars(marked: DataFrame, total: int) -> DataFrame:
+    """Edges a, b from each class that is mainly hot to the smallest such class of each of its hot values; ``total``: rows with hot values, or more."""
     rows = marked.filter(F.size("cold") < COLD_ENOUGH * (F.size("cold") + F.size("hot"))).select("node", F.explode(F.slice("hot", 1, INDEXED)).alias("value"))
-    return rows.join(rows.groupBy("value").agg(F.min("node").alias("b")), "value").select(F.col("node").alias("a"), "b")
+    least = rows.groupBy("value").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n"))
+    return split_join(rows, least, "value", total).select(F.col("node").alias("a"), "b")
 
 
-def block_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Stored classes of clusters with the block pair (i, j) and side each takes part in.
+def blocked(members: DataFrame, label: str) -> DataFrame:
+    """Stored classes of clusters (root, node, n, ...) with the block each is in.
 
     Members are range-sorted by cluster and size, and neighbours with BLOCK set elements in all form a
-    block. A block is compared with itself, and with later blocks of the same cluster as far as the sizes
-    admit a link.
+    block.
     """
     ordered = members.repartitionByRange("root", "n", "node").sortWithinPartitions("root", "n", "node").withColumn("part", F.spark_partition_id())
     schema = T.StructType([*ordered.schema.fields, T.StructField("upto", T.LongType())])
@@ -202,19 +199,53 @@ def block_pairs(members: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ends, pa.int64())], [*batch.schema.names, "upto"])
 
     # Blocks run on from one partition to the next, so their number does not depend on the partitions'.
-    counted = stage(ordered.mapInArrow(run, schema), "counted")
+    counted = stage(ordered.mapInArrow(run, schema), f"{label}-counted")
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counted.groupBy("part").agg(F.sum("n").alias("elements")).select("part", F.coalesce(F.sum("elements").over(earlier), F.lit(0)).alias("base"))
     block = F.floor((F.col("base") + F.col("upto")) / BLOCK).cast("long")
-    rows = stage(counted.join(F.broadcast(bases), "part").withColumn("block", block).drop("part", "upto", "base"), "blocks")
-    parts = rows.groupBy("root", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    later = parts.select("root", F.col("block").alias("j"), F.col("low").alias("low_j"))
-    pairs = parts.join(later, "root").filter((F.col("block") < F.col("j")) & (100 * F.col("high") >= percent * F.col("low_j"))).select("root", F.col("block").alias("i"), "j")
-    pairs = stage(pairs, "block-pairs")
-    own = rows.withColumn("i", F.col("block")).withColumn("j", F.col("block")).withColumn("side", F.lit(0))
-    left = rows.join(pairs.withColumn("block", F.col("i")), ["root", "block"]).withColumn("side", F.lit(0))
-    right = rows.join(pairs.withColumn("block", F.col("j")), ["root", "block"]).withColumn("side", F.lit(1))
-    return stage(own.unionByName(left).unionByName(right).drop("block"), "tasks")
+    return stage(counted.join(F.broadcast(bases), "part").withColumn("block", block).drop("part", "upto", "base"), label)
+
+
+def _bounds(rows: DataFrame, percent: int) -> DataFrame:
+    """root, block, sizes (low, high) and band of each block of a cluster; sizes of one band may be linked with its own and the next band's."""
+    step = math.log(100 / percent)
+    return rows.groupBy("root", "block").agg(F.min("n").alias("low"), F.max("n").alias("high")).withColumn("band", F.floor(F.log("low") / F.lit(step)).cast("long"))
+
+
+def _tasks(left: DataFrame, right: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows of both sides for each pair (root, i, j): blocks i of the left, j of the right."""
+    a = left.join(pairs.withColumn("block", F.col("i")), ["root", "block"]).withColumn("side", F.lit(0))
+    b = right.join(pairs.withColumn("block", F.col("j")), ["root", "block"]).withColumn("side", F.lit(1))
+    return a.unionByName(b).drop("block")
+
+
+def first_tasks(rows: DataFrame, percent: int) -> DataFrame:
+    """Each block against itself, and against the leading blocks of its own band of sizes and of the band below."""
+    parts = _bounds(rows, percent)
+    leaders = parts.groupBy("root", "band").agg(F.min("block").alias("i"))
+    near = parts.select("root", F.col("block").alias("j"), F.explode(F.array("band", F.col("band") - 1)).alias("band")).join(leaders, ["root", "band"])
+    pairs = near.filter("i < j").select("root", "i", "j").distinct()
+    own = rows.withColumn("i", F.col("block")).withColumn("j", F.col("block")).withColumn("side", F.lit(0)).drop("block")
+    return own.unionByName(_tasks(rows, rows, stage(pairs, "leader-pairs")))
+
+
+def rest_of(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """Members of clusters of several blocks that are not in their cluster's largest component so far."""
+    several = rows.groupBy("root").agg(F.count_distinct("block").alias("blocks")).filter("blocks > 1").select("root")
+    found = components(edges).withColumnRenamed("root", "component")
+    placed = rows.join(several, "root", "left_semi").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sizes = placed.groupBy("root", "component").agg(F.count(F.lit(1)).alias("size"))
+    largest = sizes.groupBy("root").agg(F.max_by("component", F.struct("size", "component")).alias("component"))
+    return placed.join(largest, ["root", "component"], "left_anti").drop("component", "block")
+
+
+def rest_tasks(rows: DataFrame, rest: DataFrame, percent: int) -> DataFrame:
+    """Blocks of ``rest`` against all blocks of their cluster whose sizes admit a link."""
+    a, b = _bounds(rest, percent), _bounds(rows, percent)
+    a = a.select("root", F.col("block").alias("i"), F.col("low").alias("low_i"), F.col("high").alias("high_i"))
+    b = b.select("root", F.col("block").alias("j"), "low", "high")
+    alike = (100 * F.col("high") >= percent * F.col("low_i")) & (100 * F.col("high_i") >= percent * F.col("low"))
+    return _tasks(rest, rows, stage(a.join(b, "root").filter(alike).select("root", "i", "j"), "rest-pairs"))
 
 
 def with_sets(docs: DataFrame, tasks: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -232,7 +263,7 @@ def with_sets(docs: DataFrame, tasks: DataFrame, id_col: str, text_col: str, wor
             sets = [s.tobytes() for s in sets_of(batch.column(5), words)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sets, pa.binary())], ["i", "j", "side", "root", "node", "set"])
 
-    tasks = small(tasks.withColumnRenamed("doc_id", "rep_id").withColumnRenamed("key", "rep_key"))
+    tasks = small(stage(tasks.withColumnRenamed("doc_id", "rep_id").withColumnRenamed("key", "rep_key"), "tasks"))
     rows = keyed(docs, id_col, text_col).join(tasks, (F.col("key") == F.col("rep_key")) & F.col("doc_id").eqNullSafe(F.col("rep_id")))
     return rows.select("i", "j", "side", "root", "node", "text").mapInArrow(run, "i bigint, j bigint, side int, root bigint, node bigint, set binary")
 
@@ -290,15 +321,19 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
     return sets.groupBy("i", "j").applyInArrow(run, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept.
+def _flagged(able: DataFrame, hot: DataFrame, total: int) -> DataFrame:
+    """node, n and value of ``able``, with is_hot where the value is in the stored table ``hot``, whose classes sum to ``total``."""
+    if stored_bytes(hot) <= BROADCAST_BYTES:
+        return able.join(F.broadcast(hot.select("value", "is_hot")), "value", "left")
+    found = split_join(able, hot.withColumnRenamed("classes", "n"), "value", total)
+    # What is not hot occurs HOT times at most, so this join has no hot key.
+    very = hot.filter(F.col("classes") > max(1, total // PARTS)).select("value")
+    rest = able.join(F.broadcast(very), "value", "left_anti").join(hot.select("value"), "value", "left_anti")
+    return found.unionByName(rest.withColumn("is_hot", F.lit(None).cast("boolean")))
 
-    component_id is the smallest id that links reach from the row, its own included; kept says whether
-    that is its own. Null and empty texts, and those of white space, have no shingles and are linked with
-    nothing. Rows with null ids take part; they never give the id of a component unless all of its ids are
-    null, and then it is null. Repeated rows are equal and share their result. Empty tables give no rows;
-    other columns are ignored. Texts are shingled whole.
-    """
+
+def _resolved(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Stored sketches of all rows; and root and component_id of each digest (``of``) of a set that is not empty."""
     rows = stage(sketches(docs, id_col, text_col, words).withColumn("row", F.monotonically_increasing_id()), "sketches")
     full = rows.filter("n > 0")
     classes = stage(
@@ -309,9 +344,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     # Different sets with fewer elements than this have no link.
     able = classes.filter(F.col("n") * (100 - percent) >= percent).select("node", "n", F.explode("sketch").alias("value"))
-    hot = stage(able.groupBy("value").agg(F.count(F.lit(1)).alias("classes")).filter(F.col("classes") > HOT), "hot").withColumn("is_hot", F.lit(True))
+    hot = stage(able.groupBy("value").agg(F.count(F.lit(1)).alias("classes")).filter(F.col("classes") > HOT).withColumn("is_hot", F.lit(True)), "hot")
+    total = hot.agg(F.coalesce(F.sum("classes"), F.lit(0))).first()[0]
     marked = stage(
-        able.join(small(hot.select("value", "is_hot")), "value", "left")
+        _flagged(able, hot, total)
         .groupBy("node", "n")
         .agg(
             F.sort_array(F.collect_list(F.when(F.col("is_hot").isNull(), F.col("value")))).alias("cold"),
@@ -319,15 +355,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         ),
         "marked",
     )
-    clusters = components(candidates(marked, percent).unionByName(hot_stars(marked)))
-    members = clusters.join(classes.select("node", "n", "doc_id", "key"), "node")
-    edges = stage(links(with_sets(docs, block_pairs(members, percent), id_col, text_col, words), percent), "links")
+    clusters = components(candidates(marked, percent).unionByName(hot_stars(marked, total)))
+    members = blocked(clusters.join(classes.select("node", "n", "doc_id", "key"), "node"), "blocks")
+    edges = stage(links(with_sets(docs, first_tasks(members, percent), id_col, text_col, words), percent), "links")
+    rest = rest_of(members, edges)
+    if not rest.isEmpty():
+        rest = blocked(rest, "rest")
+        edges = edges.unionByName(stage(links(with_sets(docs, rest_tasks(members, rest, percent), id_col, text_col, words), percent), "rest-links"))
     roots = components(edges)
     placed = classes.select("digest", "node", "least_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    labels = placed.join(least, "root").select(F.col("digest").alias("of"), "component_id")
+    return rows, placed.join(least, "root").select(F.col("digest").alias("of"), "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, kept.
+
+    component_id is the smallest id that links reach from the row, its own included; kept says whether
+    that is its own. Null and empty texts, and those of white space, have no shingles and are linked with
+    nothing. Rows with null ids take part; they never give the id of a component unless all of its ids are
+    null, and then it is null. Repeated rows are equal and share their result. Empty tables give no rows;
+    other columns are ignored. Texts are shingled whole.
+    """
+    rows, labels = _resolved(docs, id_col, text_col, words, percent)
     return (
-        full.join(labels, F.col("digest") == F.col("of"))
+        rows.filter("n > 0").join(labels, F.col("digest") == F.col("of"))
         .select("doc_id", F.col("n").alias("n_shingles"), "component_id")
         .unionByName(rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -335,7 +387,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns. Rows with null ids stay."""
-    gone = near_duplicates(docs, id_col, text_col, words, percent).filter("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    gone = stage(gone, "gone")
-    return docs.join(small(gone), docs[id_col] == gone["gone_id"], "left_anti")
+    """One row of each component of ``near_duplicates``, with all its columns: that of the smallest id.
+
+    Null ids rank above all others; rows of one id are told apart by the hash of their text, and of rows equal
+    in both any one stays. Rows without shingles all stay. Empty tables give no rows, and columns of any
+    names may be there. Texts are shingled whole.
+    """
+    rows, labels = _resolved(docs, id_col, text_col, words, percent)
+    found = rows.filter("n > 0").join(labels, F.col("digest") == F.col("of")).groupBy("root", "doc_id", "key").agg(F.count(F.lit(1)).alias("copies"))
+    found = stage(found, "found")
+    own = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "key")
+    best = found.groupBy("root").agg(F.min(own).alias("best"), F.count(F.lit(1)).alias("n"))
+    judged = split_join(found, best, "root", found.count()).withColumn("stays", own == F.col("best")).filter("copies > 1 OR NOT stays")
+    judged = stage(judged.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "stays"), "judged")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs[id_col].alias("id"), F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))).alias("key"))
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))
+    left = rows.join(small(judged), same, "left").filter("stays IS NULL OR stays")
+    first = Window.partitionBy("id", "key").orderBy("key")
+    single = left.filter("stays").withColumn("place", F.row_number().over(first)).filter("place = 1").select("doc.*")
+    return left.filter("stays IS NULL").select("doc.*").unionByName(single)

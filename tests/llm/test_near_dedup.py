@@ -52,11 +52,15 @@ def test_given_documents(spark, data):
     check(spark, {r.doc_id: r.text for r in read(spark, data, "documents").collect()})
 
 
-@pytest.mark.parametrize("hot,block", [(64, 150_000), (3, 900)])
-def test_groups_passages_and_chains(spark, monkeypatch, hot, block):
-    """Small limits send the same rows through hot lists and several blocks."""
+@pytest.mark.parametrize("hot,block,size", [(64, 150_000, 1 << 24), (3, 900, 0)])
+def test_groups_passages_and_chains(spark, monkeypatch, hot, block, size):
+    """Small limits send the same rows through hot lists, several blocks and joins that are shuffled."""
+    from ledgerline.llm import skew
+
     monkeypatch.setattr(near_dedup, "HOT", hot)
     monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "BROADCAST_BYTES", size)
+    monkeypatch.setattr(skew, "BROADCAST_BYTES", size)
     rng = random.Random(9)
     vocabulary = [f"w{k}" for k in range(3000)]
     base = [rng.choice(vocabulary) for _ in range(70)]
@@ -89,7 +93,26 @@ def test_null_ids_repeats_and_empty(spark):
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
     left = near_dedup.drop_near_copies(docs)
     assert left.columns == docs.columns
-    assert sorted((r.doc_id for r in left.collect()), key=repr) == sorted([None, 5, 5, None, 9], key=repr)
+    assert sorted((r.doc_id for r in left.collect()), key=repr) == sorted([None, 5, 9], key=repr)
+    # One id over texts of two components, and a component whose ids are all null.
+    other, third = (" ".join(f"{c}{k}" for k in range(40)) for c in "vu")
+    rows = [(5, text, "a", "", ""), (4, text + " x", "b", "", ""), (5, other, "c", "", ""), (None, third, "d", "", ""), (None, third + " x", "e", "", ""), (None, "", "f", "", ""), (None, None, "g", "", "")]
+    left = {r.key for r in near_dedup.drop_near_copies(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {"b", "c", "f", "g"} <= left and len(left & {"d", "e"}) == 1 and len(left) == 5
+
+
+def test_a_large_group_and_what_lies_beside_it(spark, monkeypatch):
+    """A group over many blocks: the rest of its cluster is found by the second round."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 500)
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(5000)}" for _ in range(60)]
+    texts = {k: edited(rng, base, rng.randrange(7)) for k in range(150)}
+    chain = list(base)
+    for k in range(200, 240):
+        chain = chain[1:] + [f"w{rng.randrange(5000)}"]
+        texts[k] = " ".join(chain)
+    check(spark, texts)
+    check(spark, texts, words=5, percent=80)
 
 
 def test_components_of_a_path_a_star_and_loops(spark):
