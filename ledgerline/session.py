@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str | None = None, **conf: str) -> SparkSession:
@@ -40,6 +41,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the checkpoint folder and read back; deleted when the application ends.
+
+    Like ``checkpoint()`` it cuts the lineage and survives lost executors; unlike it, the statistics of the
+    result are those of its files, which matters where a loop joins a table with itself again and again.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def ensure_importable(spark: SparkSession) -> None:
     """Let Python workers on this machine import the package from where the driver has it."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

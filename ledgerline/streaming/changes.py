@@ -2,19 +2,20 @@
 
 The end state of a key needs no replay. Which event last made or removed its row, and which event last
 set each column, are maxima over the order of events; so one grouping with map-side combining folds a
-change feed, however many events a key has.
+change feed, however many events a key has. Updates that change keys are resolved first: every row gets
+a number that stays with it from key to key, and its events are folded under that number.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.session import ensure_checkpoint_dir
+from ledgerline.operators.skew import split_join
+from ledgerline.session import stored
 
 CELL = "array<struct<name:string,value:string,type:string,is_key:boolean,unchanged:boolean>>"
 RAW_SCHEMA = f"lsn bigint, ordinal int, ts timestamp, kind string, schema string, table string, columns {CELL}, old_columns {CELL}, ddl string"
@@ -93,12 +94,43 @@ def _value(cell: Column, field: T.StructField) -> Column:
     return cell.try_cast(field.dataType)
 
 
-def _event_key(events: DataFrame, base: DataFrame, keys: list[str]) -> DataFrame:
-    """Key values as typed columns, and their canonical text ``row_key``; inserts take theirs from the new image."""
-    fields = {f.name: f for f in base.schema.fields}
-    cells = [_value(F.coalesce(F.col("key")[k], F.when(F.col("kind") == "insert", F.col("new")[k])), fields[k]).alias(f"_k_{k}") for k in keys]
-    text = F.concat_ws("\x1f", *[F.coalesce(F.col(f"_k_{k}").cast("string"), F.lit("\\N")) for k in keys])
-    return events.select("*", *cells).withColumn("row_key", text)
+def reject_misfits(events: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """(good, rejects): row events whose values all fit the types of a table, and those with a text that does not.
+
+    rejects carry a column reason, which names the columns. Columns the table does not have are ignored.
+    """
+    def bad(f: T.StructField, cells: str) -> Column:
+        cell = F.col(cells)[f.name]
+        return cell.isNotNull() & _value(cell, f).isNull()
+
+    fields = [f for f in schema.fields if not isinstance(f.dataType, T.StringType)]
+    names = F.array_compact(F.array(F.lit(None).cast("string"), *[F.when(bad(f, "new") | bad(f, "key"), f.name) for f in fields]))
+    judged = events.withColumn("_misfits", F.coalesce(names, F.array().cast("array<string>")))
+    good = judged.filter(F.size("_misfits") == 0).drop("_misfits")
+    reason = F.concat(F.lit("value does not fit: "), F.array_join("_misfits", ", "))
+    return good, judged.filter(F.size("_misfits") > 0).withColumn("reason", reason).drop("_misfits")
+
+
+def _key_text(cells: list[Column]) -> Column:
+    return F.concat_ws("\x1f", *[F.coalesce(c.cast("string"), F.lit("\\N")) for c in cells])
+
+
+def row_text(df: DataFrame, keys: list[str]) -> Column:
+    """The text ``apply_changes`` joins on: key values as Spark renders them."""
+    return _key_text([df[k] for k in keys])
+
+
+def event_keys(events: DataFrame, schema: T.StructType, keys: list[str]) -> DataFrame:
+    """Events with the text of their key, ``row_key``, and of the key an update leaves the row at, ``to_key``.
+
+    ``own`` and ``to`` hold the same as typed values. Inserts take their key from the new image.
+    """
+    fields = {f.name: f for f in schema.fields}
+    own = {k: F.coalesce(F.col("key")[k], F.when(F.col("kind") == "insert", F.col("new")[k])) for k in keys}
+    to = {k: F.when((F.col("kind") == "update") & F.array_contains("set_cols", k), F.col("new")[k]).otherwise(own[k]) for k in keys}
+    typed = {name: F.struct(*[_value(c, fields[k]).alias(k) for k, c in cells.items()]).alias(name) for name, cells in (("own", own), ("to", to))}
+    events = events.select("*", *typed.values())
+    return events.select("*", _key_text([F.col("own")[k] for k in keys]).alias("row_key"), _key_text([F.col("to")[k] for k in keys]).alias("to_key"))
 
 
 def _emptied(base: DataFrame, changes: DataFrame) -> DataFrame:
@@ -111,34 +143,45 @@ def apply_changes(base: DataFrame, changes: DataFrame, keys: list[str], on_confl
 
     insert makes the row, update sets the columns it has, delete removes the row; an update or delete of
     an absent row does nothing. Where an insert meets a row: replace takes the new row, insert_ignore and
-    skip keep the old one, upsert overwrites the columns given. A truncate empties the table. Updates that
-    change a key move the row (see ``split_key_changes``).
+    skip keep the old one, upsert overwrites the columns given. A truncate empties the table. An update that
+    changes the key moves the row, and takes the place of a row that is there. Values that do not fit
+    their type become NULL (see ``reject_misfits``).
     """
     if on_conflict not in STRATEGIES:
         raise ValueError(f"unknown strategy {on_conflict!r}; known are {', '.join(STRATEGIES)}")
     kept = _emptied(base, changes)
-    events = _event_key(after_truncate(changes), base, keys)
-    at = F.struct("lsn", "ordinal")
-    events = events.select("row_key", at.alias("at"), "kind", "new", "set_cols", *[f"_k_{k}" for k in keys])
-    if on_conflict in ("insert_ignore", "skip", "upsert"):
-        same = Window.partitionBy("row_key")
-        events = events.withColumn("gone", F.max(F.when(F.col("kind") == "delete", F.col("at"))).over(same))
-        born = F.min(F.when((F.col("kind") == "insert") & (F.col("gone").isNull() | (F.col("at") > F.col("gone"))), F.col("at"))).over(same)
-        events = events.withColumn("born", born)
-    fields = [f for f in base.schema.fields if f.name not in keys]
+    events = event_keys(after_truncate(changes), base.schema, keys).withColumn("at", F.struct("lsn", "ordinal"))
+    events = events.select("row_key", "to_key", "own", "to", "at", "kind", "new", "set_cols")
+    rows = kept.select(F.struct("*").alias("b"), row_text(kept, keys).alias("_bk"))
+    if events.filter(MOVES).isEmpty():
+        return _fold(rows, events, base.schema, keys, on_conflict).drop("_id")
+    return _fold_moved(rows, events, base.schema, keys, on_conflict)
+
+
+MOVES = "kind = 'update' AND row_key <> to_key"
+
+
+def _births(events: DataFrame) -> DataFrame:
+    """row_key, gone (position of the last delete), born and birth (position and image of the first insert after it)."""
+    ends = events.groupBy("row_key").agg(F.max(F.when(F.col("kind") == "delete", F.col("at"))).alias("gone"), F.count(F.lit(1)).alias("n"))
+    inserts = events.filter("kind = 'insert'").select("row_key", "at", "new")
+    later = split_join(inserts, ends, "row_key", events.count()).filter(F.col("gone").isNull() | (F.col("at") > F.col("gone")))
+    return later.groupBy("row_key").agg(F.min("at").alias("born"), F.min_by("new", "at").alias("birth"))
+
+
+def _fold(rows: DataFrame, events: DataFrame, schema: T.StructType, keys: list[str], on_conflict: str) -> DataFrame:
+    """Rows (struct b, key text _bk) after events that move none, and ``_id``, the key text of each row."""
+    fields = [f for f in schema.fields if f.name not in keys]
     insert, update = F.col("kind") == "insert", F.col("kind") == "update"
-    first_keys = [F.first(f"_k_{k}", ignorenulls=True).alias(f"_k_{k}") for k in keys]
+    kinds = update | insert if on_conflict == "upsert" else update
+    own = F.first("own", ignorenulls=True).alias("own")
+    sets = [F.max_by(F.struct("at", F.col("new")[f.name].alias("value")), F.when(kinds & F.array_contains("set_cols", f.name), F.col("at"))).alias(f"_u_{f.name}") for f in fields]
     if on_conflict == "replace":
-        reset = F.when(F.col("kind") != "update", F.col("at"))
-        aggregates = [F.max(reset).alias("reset"), F.max_by(F.struct("kind", "new"), reset).alias("last")]
-        sets = [F.max_by(F.struct("at", F.col("new")[f.name].alias("value")), F.when(update & F.array_contains("set_cols", f.name), F.col("at"))).alias(f"_u_{f.name}") for f in fields]
+        reset = F.when(~update, F.col("at"))
+        folded = events.groupBy("row_key").agg(own, F.max(reset).alias("reset"), F.max_by(F.struct("kind", "new"), reset).alias("last"), *sets)
     else:
         # Events before the row's birth in the feed do nothing, unless the base row lives on.
-        aggregates = [F.max("gone").alias("gone"), F.max("born").alias("born"), F.min_by("new", F.when(insert & (F.col("at") == F.col("born")), F.col("at"))).alias("birth")]
-        kinds = update | insert if on_conflict == "upsert" else update
-        sets = [F.max_by(F.struct("at", F.col("new")[f.name].alias("value")), F.when(kinds & F.array_contains("set_cols", f.name), F.col("at"))).alias(f"_u_{f.name}") for f in fields]
-    folded = events.groupBy("row_key").agg(*first_keys, *aggregates, *sets)
-    rows = kept.select(F.struct("*").alias("b"), row_text(kept, keys).alias("_bk"))
+        folded = events.groupBy("row_key").agg(own, F.max(F.when(F.col("kind") == "delete", F.col("at"))).alias("gone"), *sets).join(_births(events), "row_key", "left")
     both = rows.join(folded, F.col("_bk") == F.col("row_key"), "full_outer")
     was = F.col("b").isNotNull()
     touched = F.col("row_key").isNotNull()
@@ -155,18 +198,113 @@ def apply_changes(base: DataFrame, changes: DataFrame, keys: list[str], on_confl
         from_new = F.col("birth")
         newer = {f.name: F.col(f"_u_{f.name}").isNotNull() & (lives | (F.col(f"_u_{f.name}.at") >= F.col("born"))) for f in fields}
     columns = []
-    for f in base.schema.fields:
+    for f in schema.fields:
         if f.name in keys:
-            columns.append(F.when(was, F.col("b")[f.name]).otherwise(F.col(f"_k_{f.name}")).alias(f.name))
+            columns.append(F.when(was, F.col("b")[f.name]).otherwise(F.col("own")[f.name]).alias(f.name))
         else:
             value = F.when(newer[f.name], _value(F.col(f"_u_{f.name}.value"), f)).when(made, _value(from_new[f.name], f)).otherwise(F.col("b")[f.name])
             columns.append(F.when(touched, value).otherwise(F.col("b")[f.name]).alias(f.name))
-    return both.filter(F.coalesce(F.when(touched, exists).otherwise(was), F.lit(False))).select(*columns)
+    return both.filter(F.coalesce(F.when(touched, exists).otherwise(was), F.lit(False))).select(*columns, F.coalesce("_bk", "row_key").alias("_id"))
 
 
-def row_text(df: DataFrame, keys: list[str]) -> Column:
-    """The text ``apply_changes`` joins on: key values as Spark renders them."""
-    return F.concat_ws("\x1f", *[F.coalesce(F.col(k).cast("string"), F.lit("\\N")) for k in keys])
+def _timeline(rows: DataFrame, events: DataFrame) -> DataFrame:
+    """Stored steps of each key, numbered (id), with the step before (prev; plain updates are passed over).
+
+    kind is base, insert, delete, out (the row is moved to another key), in (one is moved here) or set.
+    """
+    start = F.struct(F.lit(-(1 << 63)).cast("bigint").alias("lsn"), F.lit(0).alias("ordinal"))
+    nothing = [F.lit(None).cast("map<string,string>").alias("new"), F.lit(None).cast("array<string>").alias("set_cols")]
+    move = F.expr(MOVES)
+    kind = F.when(move, "out").when(F.col("kind") == "update", "set").otherwise(F.col("kind")).alias("kind")
+    steps = (
+        rows.select(F.col("_bk").alias("key"), "own", start.alias("at"), F.lit("base").alias("kind"), *nothing)
+        .union(events.select(F.col("row_key").alias("key"), "own", "at", kind, "new", "set_cols"))
+        .union(events.filter(move).select(F.col("to_key").alias("key"), F.col("to").alias("own"), "at", F.lit("in").alias("kind"), "new", "set_cols"))
+    )
+    numbered = stored(steps.withColumn("id", F.monotonically_increasing_id()))
+    earlier = Window.partitionBy("key").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    return stored(numbered.withColumn("prev", F.last(F.when(F.col("kind") != "set", F.col("id")), ignorenulls=True).over(earlier)))
+
+
+def _alive(steps: DataFrame, moved: DataFrame) -> DataFrame:
+    """id of each step after which its key has a row.
+
+    After a move there is one if there was one at its source (src) or at its target (prev) before. Each
+    round settles the moves whose answers are known, and lets all others with a single open question
+    point past it; so chains of moves take a number of rounds that grows with the logarithm of their length.
+    """
+    known = steps.filter("kind NOT IN ('in', 'set')").select("id", F.col("kind").isin("base", "insert").alias("val"))
+    waiting, rounds = moved.select("id", F.col("src").alias("p"), F.col("prev").alias("q")), 0
+    while True:
+        a, b = known.select(F.col("id").alias("p"), F.col("val").alias("pv")), known.select(F.col("id").alias("q"), F.col("val").alias("qv"))
+        asked = waiting.join(a, "p", "left").join(b, "q", "left")
+        pv, qv = F.when(F.col("p").isNull(), False).otherwise(F.col("pv")), F.when(F.col("q").isNull(), False).otherwise(F.col("qv"))
+        asked = asked.select(
+            "id",
+            F.when(~pv, None).otherwise(F.col("p")).alias("p"),
+            F.when(~qv | F.col("p").eqNullSafe(F.col("q")), None).otherwise(F.col("q")).alias("q"),
+            F.when(F.coalesce(pv, F.lit(False)) | F.coalesce(qv, F.lit(False)), True).when(~F.coalesce(pv, F.lit(True)) & ~F.coalesce(qv, F.lit(True)), False).alias("val"),
+        )
+        asked = stored(asked)
+        known = known.unionByName(asked.filter("val IS NOT NULL").select("id", "val"))
+        waiting = asked.filter("val IS NULL").select("id", "p", "q")
+        if waiting.isEmpty():
+            return known.filter("val").select("id")
+        rounds += 1
+        if rounds % 8 == 0:
+            known = stored(known)
+        single = waiting.filter("p IS NULL OR q IS NULL").select(F.col("id").alias("s"), F.coalesce("p", "q").alias("past"))
+        for side in ("p", "q"):
+            waiting = waiting.join(single, F.col(side) == F.col("s"), "left").withColumn(side, F.coalesce("past", side)).drop("s", "past")
+
+
+def _origins(links: DataFrame) -> DataFrame:
+    """id and root of each (id, parent), where a root is its own parent, by pointer doubling."""
+    now = stored(links.select("id", F.col("parent").alias("root")))
+    while True:
+        up = now.select(F.col("id").alias("root"), F.col("root").alias("higher"))
+        after = stored(now.join(up, "root").select("id", F.col("higher").alias("root"), (F.col("root") != F.col("higher")).alias("moved")))
+        now = after.select("id", "root")
+        if after.filter("moved").isEmpty():
+            return now
+
+
+def _fold_moved(rows: DataFrame, events: DataFrame, schema: T.StructType, keys: list[str], on_conflict: str) -> DataFrame:
+    """``_fold`` where updates move rows: keys that moves touch are resolved together, all others apart from them."""
+    moves = events.filter(MOVES)
+    linked = stored(moves.select(F.col("row_key").alias("node")).union(moves.select("to_key")).distinct())
+    here = rows.join(linked, F.col("_bk") == F.col("node"), "left_semi").withColumn("own", F.struct(*[F.col("b")[k].alias(k) for k in keys]))
+    steps = _timeline(here, events.join(linked, F.col("row_key") == F.col("node"), "left_semi"))
+    out = steps.filter("kind = 'out'").select(F.col("at").alias("_at"), F.col("prev").alias("src"))
+    moved = stored(steps.filter("kind = 'in'").join(out, F.col("at") == F.col("_at")).drop("_at"))
+    alive = stored(_alive(steps, moved))
+    src, before = alive.withColumnRenamed("id", "src").withColumn("from_src", F.lit(True)), alive.withColumnRenamed("id", "prev").withColumn("from_prev", F.lit(True))
+    # The step whose row a step goes on with: its own where the row begins.
+    arrived = moved.join(src, "src", "left").join(before, "prev", "left")
+    arrived = arrived.withColumn("parent", F.when(F.col("from_src"), F.col("src")).when(F.col("from_prev"), F.col("prev"))).filter("parent IS NOT NULL")
+    arrived = stored(arrived)
+    inserted = steps.filter("kind = 'insert'").join(before, "prev", "left")
+    onto = F.lit(False) if on_conflict == "replace" else F.coalesce("from_prev", F.lit(False))
+    inserted = inserted.withColumn("parent", F.when(onto, F.col("prev")).otherwise(F.col("id")))
+    links = steps.filter("kind = 'base'").select("id", F.col("id").alias("parent")).unionByName(arrived.select("id", "parent")).unionByName(inserted.select("id", "parent"))
+    roots = _origins(links)
+    last = steps.filter("kind <> 'set'").groupBy("key").agg(F.max_by(F.struct("id", "own"), "at").alias("last"))
+    ends = last.select(F.col("last.id").alias("id"), F.col("last.own").alias("now")).join(roots, "id").select(F.col("root").cast("string").alias("_root"), "now")
+
+    def under_root(part: DataFrame, by: str, kind: str) -> DataFrame:
+        found = part.join(roots.withColumnRenamed("id", "_of"), F.col(by) == F.col("_of"))
+        return found.select(F.col("root").cast("string").alias("row_key"), "own", "at", F.lit(kind).alias("kind"), "new", "set_cols")
+
+    told = under_root(steps.filter("kind = 'set'"), "prev", "update").unionByName(under_root(arrived.filter("from_src"), "id", "update"))
+    told = told.unionByName(under_root(inserted.filter("parent = id"), "id", "insert"))
+    if on_conflict == "upsert":
+        told = told.unionByName(under_root(inserted.filter("parent <> id"), "id", "update"))
+    begun = steps.filter("kind = 'base'").select("key", F.col("id").cast("string").alias("_root"))
+    begun = here.join(begun, F.col("_bk") == F.col("key")).select("b", F.col("_root").alias("_bk"))
+    followed = _fold(begun, told, schema, keys, "replace").join(ends, F.col("_id") == F.col("_root"))
+    followed = followed.select(*[F.col("now")[f.name].alias(f.name) if f.name in keys else F.col(f.name) for f in schema.fields])
+    plain = _fold(rows.join(linked, F.col("_bk") == F.col("node"), "left_anti"), events.join(linked, F.col("row_key") == F.col("node"), "left_anti"), schema, keys, on_conflict)
+    return plain.drop("_id").unionByName(followed)
 
 
 def split_key_changes(changes: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -176,73 +314,9 @@ def split_key_changes(changes: DataFrame, keys: list[str]) -> tuple[DataFrame, D
     return changes.filter(~moved), changes.filter(moved)
 
 
-def apply_with_key_changes(base: DataFrame, changes: DataFrame, keys: list[str], on_conflict: str = "replace", rounds: int = 30) -> DataFrame:
-    """``apply_changes`` where updates may change keys.
-
-    Keys that such updates link form groups; the events and base rows of a group are replayed in order
-    together, in one small pandas frame each. All other keys take the native path.
-    """
-    ensure_checkpoint_dir(base.sparkSession)
-    _, moves = split_key_changes(changes, keys)
-    old = F.concat_ws("\x1f", *[F.coalesce(F.col("key")[k], F.lit("\\N")) for k in keys])
-    new = F.concat_ws("\x1f", *[F.coalesce(F.when(F.array_contains("set_cols", k), F.col("new")[k]).otherwise(F.col("key")[k]), F.lit("\\N")) for k in keys])
-    edges = after_truncate(changes.filter("kind = 'truncate'").unionByName(moves)).select(old.alias("a"), new.alias("b")).distinct().checkpoint()
-    if edges.isEmpty():
-        return apply_changes(base, changes, keys, on_conflict)
-    label = edges.select("a").union(edges.select("b")).distinct().select(F.col("a").alias("node"), F.col("a").alias("group"))
-    both = edges.union(edges.select("b", "a"))
-    for _ in range(rounds):
-        near = both.join(label, both["b"] == label["node"]).groupBy("a").agg(F.min("group").alias("g"))
-        after = label.join(near, label["node"] == near["a"], "left").select("node", F.least("group", "g").alias("group")).checkpoint()
-        changed = after.join(label.withColumnRenamed("group", "before"), "node").filter("group <> before")
-        done = changed.isEmpty()
-        label = after
-        if done:
-            break
-    else:
-        raise ValueError(f"keys are linked over more than {rounds} moves in one batch; apply it in smaller batches")
-    rows = after_truncate(changes)
-    key = F.when(rows["kind"] == "insert", F.concat_ws("\x1f", *[F.coalesce(F.col("key")[k], F.col("new")[k], F.lit("\\N")) for k in keys])).otherwise(old)
-    tagged = rows.withColumn("_key", key)
-    linked = tagged.join(F.broadcast(label), F.col("_key") == F.col("node"))
-    truncates = changes.filter("kind = 'truncate'")
-    plain = tagged.join(F.broadcast(label), F.col("_key") == F.col("node"), "left_anti").drop("_key").unionByName(truncates)
-    kept = _emptied(base, changes)
-    base_linked = kept.withColumn("_key", row_text(kept, keys)).join(F.broadcast(label), F.col("_key") == F.col("node"))
-    base_plain = base.withColumn("_key", row_text(base, keys)).join(F.broadcast(label), F.col("_key") == F.col("node"), "left_anti").drop("_key")
-    names = base.columns
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        table: dict[str, dict] = {}
-        for cells, kind, at, new_row, has in zip(pdf["base"], pdf["kind"], pdf["_key"], pdf["new"], pdf["set_cols"]):
-            new_row, has = dict(new_row) if new_row is not None else {}, list(has) if has is not None else []
-            if kind == "base":
-                table[at] = dict(cells)
-            elif kind == "insert":
-                if at not in table or on_conflict == "replace":
-                    table[at] = {c: new_row.get(c) for c in names}
-                elif on_conflict == "upsert":
-                    table[at] |= {c: new_row.get(c) for c in has if c in names}
-            elif kind == "delete":
-                table.pop(at, None)
-            elif at in table:
-                row = table[at] | {c: new_row.get(c) for c in has if c in names}
-                to = "\x1f".join("\\N" if row[k] is None else str(row[k]) for k in keys)
-                if to != at and to in table and on_conflict == "skip":
-                    continue
-                del table[at]
-                table[to] = row
-        return pd.DataFrame([[row[c] for c in names] for row in table.values()], columns=names, dtype=object)
-
-    as_map = F.create_map(*[x for c in names for x in (F.lit(c), F.col(c).cast("string"))])
-    empty = F.lit(None)
-    stream = linked.select("group", "lsn", "ordinal", "kind", "_key", "new", "set_cols", empty.cast("map<string,string>").alias("base")).unionByName(
-        base_linked.select("group", F.lit(-1).cast("bigint").alias("lsn"), F.lit(-1).alias("ordinal"), F.lit("base").alias("kind"), "_key", empty.cast("map<string,string>").alias("new"), empty.cast("array<string>").alias("set_cols"), as_map.alias("base"))
-    )
-    texts = T.StructType([T.StructField(c, T.StringType()) for c in names])
-    replayed = stream.groupBy("group").applyInPandas(lambda pdf: replay(pdf.sort_values(["lsn", "ordinal"])), texts)
-    typed = replayed.select(*[_value(F.col(f.name), f).alias(f.name) for f in base.schema.fields])
-    return apply_changes(base_plain, plain, keys, on_conflict).unionByName(typed)
+def apply_with_key_changes(base: DataFrame, changes: DataFrame, keys: list[str], on_conflict: str = "replace") -> DataFrame:
+    """The same as ``apply_changes``, which follows moved keys itself."""
+    return apply_changes(base, changes, keys, on_conflict)
 
 
 def change_stats(events: DataFrame, rejects: DataFrame | None = None, skip: tuple[str, ...] = ()) -> DataFrame:

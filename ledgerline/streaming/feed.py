@@ -1,14 +1,16 @@
-"""Change feeds as streams: sources, a versioned sink, and what monitoring asks of them."""
+"""Change feeds as streams: sources, a versioned sink of many tables, and what monitoring asks of them."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ledgerline.streaming.changes import RAW_SCHEMA, apply_changes, decode_changes, drop_internal, reject_structural, split_known_tables
+from ledgerline.streaming.changes import RAW_SCHEMA, apply_changes, decode_changes, drop_internal, event_keys, reject_misfits, reject_structural, row_text, split_known_tables
 
 
 def read_changes(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -19,12 +21,8 @@ def read_changes(spark: SparkSession, path: str, files_per_trigger: int | None =
     return decode_changes(reader.json(path))
 
 
-class VersionedTable:
-    """A Parquet table kept as one folder for each batch, with a pointer file to the current one.
-
-    A batch that is run again writes the same version again, and the pointer moves by a rename, so a
-    reader sees a whole version and a batch counts once.
-    """
+class _Folder:
+    """Files below a folder of any file system that Spark reaches."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
@@ -33,67 +31,171 @@ class VersionedTable:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def versions(self) -> list[int]:
-        """Versions that pointers have been set to, in order."""
-        path, fs = self._path("pointers")
-        return sorted(int(s.getPath().getName()) for s in fs.listStatus(path)) if fs.exists(path) else []
+    def names(self, folder: str) -> list[str]:
+        path, fs = self._path(folder)
+        return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
 
-    def read(self, before: int | None = None) -> DataFrame | None:
-        """The latest version, or the latest before one; None where there is none."""
-        known = [v for v in self.versions() if before is None or v < before]
-        return self.spark.read.parquet(f"{self.root}/v={known[-1]}") if known else None
+    def numbers(self, folder: str) -> list[int]:
+        return sorted(int(n) for n in self.names(folder) if n.isdigit())
 
-    def write(self, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.root}/v={version}")
-        temporary, fs = self._path(f"_pointer-{version}")
-        fs.create(temporary, True).close()
-        final, _ = self._path(f"pointers/{version}")
+    def delete(self, name: str) -> None:
+        path, fs = self._path(name)
+        fs.delete(path, True)
+
+    def move(self, name: str, to: str) -> None:
+        """Rename, unless there is something by the new name already."""
+        path, fs = self._path(name)
+        final, _ = self._path(to)
         fs.mkdirs(final.getParent())
-        if not fs.rename(temporary, final):
-            fs.delete(temporary, False)
+        if fs.exists(final) or not fs.rename(path, final):
+            fs.delete(path, True)
+
 
+class VersionedTable(_Folder):
+    """A Parquet table in hash buckets of its key. A version writes the buckets it changes and lists all.
 
-def apply_batch(table: VersionedTable, name: str, keys: list[str], on_conflict: str = "replace", inventory: DataFrame | None = None, max_held: int = 10) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that folds each batch's events of one table into its next version.
+    The list of a version is put in place by a rename once its files are complete, so a reader sees a whole
+    version. A version that is listed is never written again, so a batch that runs again counts once. The
+    last ``keep`` versions stay readable; older files are deleted. The number of buckets is fixed when the
+    table is made and bounds both the list and the files of a batch.
+    """
 
-    Structural errors stop the stream before the batch is committed. Events of unknown tables are held
-    back and read again with the next batch; after max_held batches they stop it as well.
+    def __init__(self, spark: SparkSession, root: str, keys: list[str], buckets: int = 64, keep: int = 2) -> None:
+        super().__init__(spark, root)
+        self.keys, self.buckets, self.keep = list(keys), buckets, keep
+
+    def bucket_of(self, text: Column) -> Column:
+        return F.pmod(F.xxhash64(text), F.lit(self.buckets)).cast("int")
+
+    def versions(self) -> list[int]:
+        """Versions that can be read, in order."""
+        return self.numbers("versions")
+
+    def _listed(self, version: int) -> dict:
+        return json.loads(self.spark.read.text(f"{self.root}/versions/{version}", wholetext=True).first()[0])
+
+    def read(self, before: int | None = None, buckets: list[int] | None = None) -> DataFrame | None:
+        """The latest version, or the latest before one; None where there is none. ``buckets`` reads only these."""
+        known = [v for v in self.versions() if before is None or v < before]
+        if not known:
+            return None
+        listed = self._listed(known[-1])
+        schema = T.StructType.fromJson(listed["schema"])
+        paths = [f"{self.root}/data/{v}/_bucket={b}" for b, v in listed["buckets"].items() if buckets is None or int(b) in buckets]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def write(self, df: DataFrame, version: int, touched: list[int] | None = None) -> None:
+        """Store a version: all rows, or those of the buckets ``touched``, while the others stay as they are."""
+        if version in self.versions():
+            return
+        schema = df.schema.jsonValue()
+        df.withColumn("_bucket", self.bucket_of(row_text(df, self.keys))).repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.root}/data/{version}")
+        older = [v for v in self.versions() if v < version]
+        there = self._listed(older[-1])["buckets"] if older and touched is not None else {}
+        there = {b: v for b, v in there.items() if int(b) not in touched}
+        there |= {n.partition("=")[2]: version for n in self.names(f"data/{version}") if n.startswith("_bucket=")}
+        line = self.spark.createDataFrame([(json.dumps({"schema": schema, "buckets": there}),)], "value string")
+        line.coalesce(1).write.mode("overwrite").text(f"{self.root}/_list-{version}")
+        self.move(f"_list-{version}", f"versions/{version}")
+        self._clean()
+
+    def _clean(self) -> None:
+        versions = self.versions()
+        kept = versions[-self.keep :]
+        used = {(str(v), f"_bucket={b}") for k in kept for b, v in self._listed(k)["buckets"].items()}
+        for v in versions[: -self.keep]:
+            self.delete(f"versions/{v}")
+        for v in self.names("data"):
+            if int(v) > kept[-1]:
+                continue
+            names = [n for n in self.names(f"data/{v}") if n.startswith("_bucket=")]
+            for n in names:
+                if (v, n) not in used:
+                    self.delete(f"data/{v}/{n}")
+            if not any((v, n) in used for n in names):
+                self.delete(f"data/{v}")
+
+
+def fold_batch(table: VersionedTable, events: DataFrame, version: int, on_conflict: str = "replace") -> None:
+    """The next version of a table, from the events of one batch; only buckets that hold a touched key are read and written."""
+    if version in table.versions():
+        return
+    base = table.read(before=version)
+    if events.filter("kind = 'truncate'").isEmpty():
+        keyed = event_keys(events.filter(F.col("kind").isin("insert", "update", "delete")), base.schema, table.keys)
+        touched = keyed.select(F.explode(F.array("row_key", "to_key")).alias("text")).select(table.bucket_of(F.col("text")).alias("bucket")).distinct()
+        touched = [r.bucket for r in touched.collect()]
+        table.write(apply_changes(table.read(before=version, buckets=touched), events, table.keys, on_conflict), version, touched)
+    else:
+        table.write(apply_changes(base, events, table.keys, on_conflict), version)
+
+
+def apply_batch(tables: dict[str, VersionedTable], state: str, on_conflict: str = "replace", inventory: DataFrame | None = None, max_held: int = 10) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that folds each batch's events into the next version of each of the tables.
+
+    tables are by lower-case name, with or without its schema. Structural errors, and values that do not fit
+    their column, stop the stream before the batch is committed. Events of tables outside of the inventory
+    are held back in the folder ``state``, which outlives the process, and are tried again with each batch;
+    those that have waited for max_held batches stop it as well. Events of tables in the inventory that are
+    not among ``tables`` are not applied.
     """
-    held: list[tuple[int, str]] = []
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        events = drop_internal(batch).persist()
+        spark = batch.sparkSession
+        folder = _Folder(spark, state)
+        events = drop_internal(batch).withColumn("_held_since", F.lit(batch_id).cast("long"))
+        earlier = [n for n in folder.numbers("held") if n < batch_id]
+        if earlier:
+            events = events.unionByName(spark.read.schema(events.schema).parquet(f"{folder.root}/held/{earlier[-1]}"))
+        events = events.persist()
         try:
             good, rejects = reject_structural(events)
-            bad = rejects.limit(1).collect()
-            if bad:
-                raise ValueError(f"batch {batch_id}: {bad[0]['reason']} in an event of {bad[0]['schema']}.{bad[0]['table']}")
+            _stop(rejects, batch_id)
             if inventory is not None:
-                spark = batch.sparkSession
-                waiting = [spark.read.parquet(path) for at, path in held if at < batch_id]
-                for part in waiting:
-                    good = good.unionByName(part)
-                good, unknown = split_known_tables(good, inventory)
-                if not unknown.isEmpty():
-                    if held and batch_id - held[0][0] >= max_held:
-                        raise ValueError(f"batch {batch_id}: events of an unknown table have waited for {max_held} batches")
-                    path = f"{table.root}/held/{batch_id}"
-                    unknown.write.mode("overwrite").parquet(path)
-                    first = held[0][0] if held else batch_id
-                    held[:] = [(first, path)]
-                else:
-                    held.clear()
-            base = table.read(before=batch_id + 1)
-            table.write(apply_changes(base, good.filter(F.lower("table") == name.lower()), keys, on_conflict), batch_id + 1)
+                good = _hold(folder, good, inventory, batch_id, max_held)
+            good = good.drop("_held_since")
+            parts = {}
+            for name, table in tables.items():
+                own = good.filter((F.lower("table") == name) | (F.lower(F.concat_ws(".", "schema", "table")) == name))
+                # A truncate takes no part in the check; it has no values.
+                _stop(reject_misfits(own, table.read().schema)[1], batch_id)
+                parts[name] = own
+            for name, own in parts.items():
+                fold_batch(tables[name], own, batch_id + 1, on_conflict)
         finally:
             events.unpersist()
 
     return run
 
 
-def start(events: DataFrame, table: VersionedTable, name: str, keys: list[str], checkpoint: str, on_conflict: str = "replace", available_now: bool = False, interval: str = "5 seconds", inventory: DataFrame | None = None) -> StreamingQuery:
-    """Run ``apply_batch`` over a stream. The table's version 0 is the snapshot that the feed continues."""
-    writer = events.writeStream.foreachBatch(apply_batch(table, name, keys, on_conflict, inventory)).option("checkpointLocation", checkpoint)
+def _stop(rejects: DataFrame, batch_id: int) -> None:
+    bad = rejects.limit(1).collect()
+    if bad:
+        raise ValueError(f"batch {batch_id}: {bad[0]['reason']} in an event of {bad[0]['schema']}.{bad[0]['table']}")
+
+
+def _hold(folder: _Folder, events: DataFrame, inventory: DataFrame, batch_id: int, max_held: int) -> DataFrame:
+    """The events of known tables. What is held back is stored first, so a batch that runs again holds the same back."""
+    if batch_id not in folder.numbers("held"):
+        _, unknown = split_known_tables(events, inventory)
+        first = unknown.agg(F.min("_held_since")).first()[0]
+        if first is not None and batch_id - first >= max_held:
+            raise ValueError(f"batch {batch_id}: events of an unknown table have waited for {max_held} batches")
+        unknown.write.mode("overwrite").parquet(f"{folder.root}/_held-{batch_id}")
+        folder.move(f"_held-{batch_id}", f"held/{batch_id}")
+    for n in folder.numbers("held"):
+        if n < batch_id - 1:
+            folder.delete(f"held/{n}")
+    held = folder.spark.read.schema(events.schema).parquet(f"{folder.root}/held/{batch_id}").select("lsn", "ordinal")
+    return events.join(held, ["lsn", "ordinal"], "left_anti").select(*events.columns)
+
+
+def start(
+    events: DataFrame, tables: dict[str, VersionedTable], checkpoint: str, on_conflict: str = "replace", available_now: bool = False, interval: str = "5 seconds", inventory: DataFrame | None = None
+) -> StreamingQuery:
+    """Run ``apply_batch`` over a stream; held events are kept beside its checkpoint. A table's version 0 is the snapshot that the feed continues."""
+    run = apply_batch(tables, f"{checkpoint.rstrip('/')}/ledgerline", on_conflict, inventory)
+    writer = events.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)).start()
 
 

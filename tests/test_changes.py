@@ -97,11 +97,80 @@ def test_batches_do_not_matter(spark, data):
     assert state(again.filter("o_orderkey % 10 <> 7")) == state(ch.apply_changes(base, changes, ["o_orderkey"]).filter("o_orderkey % 10 <> 7"))
 
 
+def move(a, b, **more):
+    return ("update", [cell("id", str(b), True), *[cell(k, v) for k, v in more.items()]], [cell("id", str(a), True)])
+
+
 def test_moved_keys(spark):
-    base = spark.createDataFrame([(1, "Ann", "a"), (2, "Bob", "b"), (5, "Eve", "e")], BASE)
-    move = lambda a, b, **more: ("update", [cell("id", str(b), True), *[cell(k, v) for k, v in more.items()]], [cell("id", str(a), True)])
-    rows = events(spark, [move(1, 3, name="Moved"), move(2, 1), ("update", [cell("id", "3", True), cell("email", "new")], None), move(3, 4), ("delete", None, [cell("id", "1", True)]), ("update", [cell("id", "5", True), cell("name", "Five")], None)])
-    assert state(ch.apply_with_key_changes(base, rows, ["id"])) == [(4, "Moved", "new"), (5, "Five", "e")]
+    base = [(1, "Ann", "a"), (2, "Bob", "b"), (5, "Eve", "e")]
+    rows = [move(1, 3, name="Moved"), move(2, 1), ("update", [cell("id", "3", True), cell("email", "new")], None), move(3, 4), ("delete", None, [cell("id", "1", True)]), ("update", [cell("id", "5", True), cell("name", "Five")], None)]
+    assert apply(spark, base, rows) == [(4, "Moved", "new"), (5, "Five", "e")]
+    # A row that is there gives way; a move of nothing does nothing.
+    assert apply(spark, base, [move(1, 2), move(9, 5, name="x")]) == [(2, "Ann", "a"), (5, "Eve", "e")]
+    assert apply(spark, base, [move(1, 7), ("truncate", None, None), move(2, 8), ("insert", [cell("id", "3", True)], None), move(3, 4)]) == [(4, None, None)]
+
+
+def replay_moves(base, rows, strategy):
+    """``replay`` where updates may change the key."""
+    table = {r[0]: dict(zip(("id", "name", "email"), r)) for r in base}
+    for kind, new, old in rows:
+        cells = {c["name"]: c["value"] for c in new or [] if not c["unchanged"]}
+        key = int(next(c["value"] for c in [*(old or []), *(new or [])] if c["is_key"]))
+        if kind == "insert":
+            if key not in table or strategy == "replace":
+                table[key] = {"id": key, "name": cells.get("name"), "email": cells.get("email")}
+            elif strategy == "upsert":
+                table[key] |= {c: v for c, v in cells.items() if c != "id"}
+        elif kind == "update" and key in table:
+            row = table.pop(key) | {c: v for c, v in cells.items() if c != "id"}
+            row["id"] = int(cells["id"])
+            table[row["id"]] = row
+        elif kind == "delete":
+            table.pop(key, None)
+    return sorted((tuple(r.values()) for r in table.values()), key=repr)
+
+
+@pytest.mark.parametrize("strategy", ch.STRATEGIES)
+def test_random_moves_against_replay(spark, strategy):
+    base = [(k, f"n{k}", f"e{k}") for k in range(4)]
+    for seed in range(2):
+        rng = random.Random(seed)
+        rows = random_feed(rng, 20)
+        for _ in range(25):
+            more = {c: rng.choice(["p", "q", None]) for c in ("name", "email") if rng.random() < 0.5}
+            rows.insert(rng.randrange(len(rows)), move(rng.randrange(7), rng.randrange(7), **more))
+        assert apply(spark, base, rows, on_conflict=strategy) == replay_moves(base, rows, strategy)
+
+
+@pytest.mark.parametrize("step", [1, -1])
+def test_every_key_moves_on_by_one(spark, step):
+    """``id = id + 1`` over 100,000 rows; in one order each row leaves before the next arrives, in the other each is overwritten."""
+    n = 100_000
+    base = spark.range(n).select(F.col("id").cast("int").alias("id"), F.concat(F.lit("n"), "id").alias("name"), F.lit("e").alias("email"))
+    at = F.col("id") if step == 1 else F.lit(n) - F.col("id")
+    feed_ = base.select(
+        at.cast("long").alias("lsn"), F.lit(0).alias("ordinal"), F.lit(None).cast("timestamp").alias("ts"), F.lit("update").alias("kind"), F.lit("public").alias("schema"), F.lit("users").alias("table"),
+        F.create_map(F.lit("id"), F.col("id").cast("string")).alias("key"), F.create_map(F.lit("id"), (F.col("id") + 1).cast("string")).alias("new"), F.array(F.lit("id")).alias("set_cols"), F.lit(None).cast("string").alias("ddl"),
+    )
+    got = ch.apply_changes(base, feed_, ["id"])
+    if step == 1:
+        assert state(got) == [(n, "n0", "e")]
+    else:
+        row = got.agg(F.count("*"), F.min("id"), F.max("id"), F.count_if(F.col("name") != F.concat(F.lit("n"), F.col("id") - 1)), F.count_distinct("id")).first()
+        assert tuple(row) == (n, 1, n, 0, n)
+
+
+def test_misfits(spark):
+    schema = spark.createDataFrame([], "id int, name string, flag boolean, price decimal(6,2)").schema
+    rows = events(spark, [
+        ("insert", [cell("id", "1", True), cell("flag", "t"), cell("price", "1.5"), cell("other", "x")], None),
+        ("update", [cell("id", "1", True), cell("flag", "maybe"), cell("price", "n/a")], None),
+        ("delete", None, [cell("id", "one", True)]),
+        ("update", [cell("id", "1", True), cell("price", None)], None),
+    ])
+    good, bad = ch.reject_misfits(rows, schema)
+    assert sorted(r.lsn for r in good.collect()) == [0, 3]
+    assert sorted(r.reason for r in bad.collect()) == ["value does not fit: flag, price", "value does not fit: id"]
 
 
 def test_globs_and_filters(spark):
@@ -132,14 +201,14 @@ def test_stream_reaches_the_batch_state(spark, data, tmp_path, files):
         import os
 
         os.utime(source / f"{f:03}.json", (1_700_000_000 + f, 1_700_000_000 + f))
-    table = feed.VersionedTable(spark, str(tmp_path / "table"))
+    table = feed.VersionedTable(spark, str(tmp_path / "table"), ["o_orderkey"], buckets=8)
     table.write(base, 0)
     stream = feed.read_changes(spark, str(source), files_per_trigger=1)
     known = spark.createDataFrame([("public", "orders")], "schema string, table string")
     for _ in range(2):
-        query = feed.start(stream, table, "orders", ["o_orderkey"], str(tmp_path / "checkpoint"), available_now=True, inventory=known)
+        query = feed.start(stream, {"orders": table}, str(tmp_path / "checkpoint"), available_now=True, inventory=known)
         query.awaitTermination()
-    assert table.versions() == list(range(files + 1))
+    assert table.versions() == list(range(files + 1))[-2:]
     got = table.read().select(*base.columns)
     # Keys sent in the new image are set as they were.
     assert state(got) == expected
@@ -147,23 +216,60 @@ def test_stream_reaches_the_batch_state(spark, data, tmp_path, files):
 
 def test_unknown_tables_wait_and_bad_events_stop(spark, tmp_path):
     base = spark.createDataFrame([(1, "a", "b")], BASE)
-    table = feed.VersionedTable(spark, str(tmp_path))
+    table = feed.VersionedTable(spark, str(tmp_path / "users"), ["id"], buckets=4)
     table.write(base, 0)
     known = spark.createDataFrame([("public", "other")], "schema string, table string")
     row = events(spark, [("update", [cell("id", "1", True), cell("name", "late")], None)])
-    waiting = feed.apply_batch(table, "users", ["id"], inventory=known)
-    waiting(row, 0)
+    held = str(tmp_path / "state")
+    feed.apply_batch({"users": table}, held, inventory=known)(row, 0)
     assert state(table.read()) == [(1, "a", "b")]
+    # A new process finds what the last one held back.
+    feed.apply_batch({"users": table}, held, inventory=known)(row.limit(0), 1)
     both = spark.createDataFrame([("public", "users")], "schema string, table string").union(known)
-    with pytest.raises(ValueError):
-        for k in range(1, 12):
-            waiting(row.limit(0), k)
-    known_later = feed.apply_batch(table, "users", ["id"], inventory=both)
-    known_later(row, 20)
+    later = feed.apply_batch({"users": table}, held, inventory=both)
+    later(row.limit(0), 2)
     assert state(table.read()) == [(1, "late", "b")]
-    with pytest.raises(ValueError):
-        known_later(events(spark, [("update", [cell("name", "x")], None)]), 21)
-    assert table.versions()[-1] == 21
+    # A batch that runs again changes nothing, also if the inventory is another by then.
+    feed.apply_batch({"users": table}, held, inventory=known)(row.limit(0), 2)
+    later(row.limit(0), 3)
+    assert state(table.read()) == [(1, "late", "b")] and table.versions() == [3, 4]
+    with pytest.raises(ValueError, match="no key"):
+        later(events(spark, [("update", [cell("name", "x")], None)]), 4)
+    with pytest.raises(ValueError, match="does not fit: id"):
+        later(events(spark, [("insert", [cell("id", "one", True)], None)]), 4)
+    assert table.versions()[-1] == 4
+    other = feed.apply_batch({"users": table}, held, inventory=known, max_held=3)
+    other(row, 5)
+    with pytest.raises(ValueError, match="waited"):
+        for k in range(6, 12):
+            other(row.limit(0), k)
+
+
+def test_many_tables_moves_and_files_that_stay(spark, tmp_path):
+    """Two tables in one feed of small batches: each equals its replay, and a batch writes the buckets it touches."""
+    base = [(k, f"n{k}", f"e{k}") for k in range(40)]
+    tables = {name: feed.VersionedTable(spark, str(tmp_path / name), ["id"], buckets=16) for name in ("users", "public.shops")}
+    for table in tables.values():
+        table.write(spark.createDataFrame(base, BASE), 0)
+    run = feed.apply_batch(tables, str(tmp_path / "state"))
+    rng, all_rows = random.Random(5), {"users": [], "shops": []}
+    for batch in range(4):
+        raw = []
+        for k in range(6):
+            name = rng.choice(["users", "shops"])
+            a, b = rng.randrange(45), rng.randrange(45)
+            event = rng.choice([move(a, b, name=f"m{batch}{k}"), ("delete", None, [cell("id", str(a), True)]), ("insert", [cell("id", str(a), True), cell("name", "i")], None)])
+            all_rows[name].append(event)
+            raw.append((100 * batch + k, 0, None, event[0], "public", name, event[1], event[2], None))
+        run(ch.decode_changes(spark.createDataFrame(raw, ch.RAW_SCHEMA)), batch)
+        for name, table in zip(("users", "shops"), tables.values()):
+            assert state(table.read()) == replay_moves(base, all_rows[name], "replace")
+    table = tables["users"]
+    written = {n for n in table.names("data/4") if n.startswith("_bucket=")} if "4" in table.names("data") else set()
+    assert len(written) < 16 and table.versions() == [3, 4]
+    truncate = ch.decode_changes(spark.createDataFrame([(900, 0, None, "truncate", "public", "users", None, None, None)], ch.RAW_SCHEMA))
+    run(truncate, 4)
+    assert state(table.read()) == [] and state(tables["public.shops"].read()) == replay_moves(base, all_rows["shops"], "replace")
 
 
 def test_monitoring(spark):
