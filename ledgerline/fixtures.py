@@ -128,6 +128,16 @@ def fleet(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
+def whole_fleet(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """``fleet`` with triggers (a customer each), enums (a label for each nation, named by region) and sequences (a part each)."""
+    nations = table(spark, sf_dir, "nation")
+    return fleet(spark, sf_dir) | {
+        "triggers": table(spark, sf_dir, "customer").select(F.col("c_name").alias("name")),
+        "enums": nations.select(F.lit("public").alias("schema"), F.concat(F.lit("e"), F.col("n_regionkey").cast("string")).alias("name"), F.col("n_nationkey").alias("position"), F.col("n_name").alias("label")),
+        "sequences": table(spark, sf_dir, "part").select(F.concat(F.lit("q"), F.col("p_partkey").cast("string")).alias("name")),
+    }
+
+
 def load_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A load ledger with an entry for each order."""
     k = F.col("o_orderkey")

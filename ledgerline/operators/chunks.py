@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerline.session import stored
+
 
 def range_chunks(df: DataFrame, pk: str, chunk_rows: int) -> DataFrame:
     """chunk, lo, hi, is_last: ranges [lo, hi) of equal width over an integer key; the last one has no end.
@@ -34,10 +36,11 @@ def position_chunks(df: DataFrame, order_by: list[str], chunk_rows: int) -> Data
     """``df`` with ``position`` (0, 1, ... in the order given) and ``chunk`` (position div chunk_rows).
 
     Rows are range-partitioned and numbered within their partition; the partitions' counts, one row each,
-    give the offsets. No task sees more than its own range.
+    give the offsets. No task sees more than its own range. The numbered rows are stored before they are
+    counted: ranges are cut by a sample, and planned twice they would be cut in two ways.
     """
     ordered = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
-    rows = ordered.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33))
+    rows = stored(ordered.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)))
     counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))

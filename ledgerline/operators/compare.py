@@ -41,10 +41,26 @@ def hash_group_diff(source: DataFrame, target: DataFrame, **options) -> DataFram
     One shuffle: both sides are tagged and counted in one grouping, so equal rows meet once and are
     combined before the exchange.
     """
+    return hash_group_counts(source, target, **options).filter("source_n <> target_n")
+
+
+def hash_group_counts(source: DataFrame, target: DataFrame, **options) -> DataFrame:
+    """h, source_n, target_n for each row hash of either side."""
     a = hashed(source, other=target, **options).withColumn("d", F.lit(1))
     b = hashed(target, other=source, **options).withColumn("d", F.lit(-1))
-    counts = a.unionByName(b).groupBy("h").agg(F.count_if(F.col("d") == 1).alias("source_n"), F.count_if(F.col("d") == -1).alias("target_n"))
-    return counts.filter("source_n <> target_n")
+    return a.unionByName(b).groupBy("h").agg(F.count_if(F.col("d") == 1).alias("source_n"), F.count_if(F.col("d") == -1).alias("target_n"))
+
+
+def surplus() -> Column:
+    """The larger one-sided surplus, as an aggregate over source_n and target_n."""
+    more, less = F.greatest(F.col("source_n") - F.col("target_n"), F.lit(0)), F.greatest(F.col("target_n") - F.col("source_n"), F.lit(0))
+    return F.coalesce(F.greatest(F.sum(more), F.sum(less)), F.lit(0))
+
+
+def hash_totals(source: DataFrame, target: DataFrame, **options) -> DataFrame:
+    """One row, source_rows, target_rows, diff_rows (see ``surplus``): both sides are read once."""
+    counts = hash_group_counts(source, target, **options)
+    return counts.agg(*[F.coalesce(F.sum(f"{side}_n"), F.lit(0)).alias(f"{side}_rows") for side in ("source", "target")], surplus().alias("diff_rows"))
 
 
 def missing_rows(source: DataFrame, target: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -100,11 +116,17 @@ def positional_diff(source: DataFrame, target: DataFrame, order_by: list[str], n
     return both.select("position", F.explode(F.array_compact(cells)).alias("d")).select("position", "d.*")
 
 
-def _outer(a: DataFrame, b: DataFrame, on: str) -> DataFrame:
+def _both(a: DataFrame, b: DataFrame, on: str) -> DataFrame:
     a = a.select(on, F.col("n_rows").alias("source_rows"), F.col("digest").alias("source_digest"))
     b = b.select(on, F.col("n_rows").alias("target_rows"), F.col("digest").alias("target_digest"))
     both = a.join(b, on, "full_outer").fillna(0, ["source_rows", "target_rows"])
-    return both.filter(~F.col("source_digest").eqNullSafe(F.col("target_digest"))).select(on, "source_rows", "target_rows")
+    return both.select(on, "source_rows", "target_rows", (~F.col("source_digest").eqNullSafe(F.col("target_digest"))).alias("differs"))
+
+
+def bucket_counts(source: DataFrame, target: DataFrame, buckets: int = 100, **options) -> DataFrame:
+    """bucket, source_rows, target_rows, diff_rows for each hash bucket of either side, by one grouping of hashes and one of buckets."""
+    counts = hash_group_counts(source, target, **options).withColumn("bucket", hash_bucket("h", buckets))
+    return counts.groupBy("bucket").agg(F.sum("source_n").alias("source_rows"), F.sum("target_n").alias("target_rows"), surplus().alias("diff_rows"))
 
 
 def bucket_diff(source: DataFrame, target: DataFrame, buckets: int = 100, **options) -> DataFrame:
@@ -112,24 +134,23 @@ def bucket_diff(source: DataFrame, target: DataFrame, buckets: int = 100, **opti
 
     diff_rows is the larger one-sided surplus of row hashes in the bucket.
     """
-    diff = hash_group_diff(source, target, **options).withColumn("bucket", hash_bucket("h", buckets))
-    surplus = diff.groupBy("bucket").agg(
-        F.greatest(F.sum(F.greatest(F.col("source_n") - F.col("target_n"), F.lit(0))), F.sum(F.greatest(F.col("target_n") - F.col("source_n"), F.lit(0)))).alias("diff_rows")
-    )
-    a = hashed(source, other=target, **options).select(hash_bucket("h", buckets).alias("bucket"), F.lit(1).alias("s"), F.lit(0).alias("t"))
-    b = hashed(target, other=source, **options).select(hash_bucket("h", buckets).alias("bucket"), F.lit(0).alias("s"), F.lit(1).alias("t"))
-    sizes = a.unionByName(b).groupBy("bucket").agg(F.sum("s").alias("source_rows"), F.sum("t").alias("target_rows"))
-    return sizes.join(surplus, "bucket").select("bucket", "source_rows", "target_rows", "diff_rows")
+    return bucket_counts(source, target, buckets, **options).filter("diff_rows > 0")
 
 
 def bucket_digest_diff(source: DataFrame, target: DataFrame, buckets: int = 100, **options) -> DataFrame:
     """bucket, source_rows, target_rows for each bucket whose digests differ."""
-    return _outer(bucket_digests(source, buckets, other=target, **options), bucket_digests(target, buckets, other=source, **options), "bucket")
+    both = _both(bucket_digests(source, buckets, other=target, **options), bucket_digests(target, buckets, other=source, **options), "bucket")
+    return both.filter("differs").drop("differs")
 
 
 def chunk_checksum_diff(source: DataFrame, target: DataFrame, keys: list[str], chunk_rows: int = 50_000, **options) -> DataFrame:
     """chunk, source_rows, target_rows for each chunk in key order whose digests differ."""
-    return _outer(chunk_digests(source, keys, chunk_rows, other=target, **options), chunk_digests(target, keys, chunk_rows, other=source, **options), "chunk")
+    return chunk_checksums(source, target, keys, chunk_rows, **options).filter("differs").drop("differs")
+
+
+def chunk_checksums(source: DataFrame, target: DataFrame, keys: list[str], chunk_rows: int = 50_000, **options) -> DataFrame:
+    """chunk, source_rows, target_rows, differs for each chunk in key order of either side."""
+    return _both(chunk_digests(source, keys, chunk_rows, other=target, **options), chunk_digests(target, keys, chunk_rows, other=source, **options), "chunk")
 
 
 def tables_equal(source: DataFrame, target: DataFrame, exact: bool = False, **options) -> DataFrame:

@@ -25,29 +25,39 @@ def list_digest(h: Column) -> Column:
     return F.md5(F.array_join(F.sort_array(F.collect_list(h)), ","))
 
 
-def table_digest(df: DataFrame, exact: bool = True, buckets: int = 4096, **options) -> DataFrame:
+def sums_line(bucket: str = "bucket") -> Column:
+    """Text of a bucket's count and order-free sums, ``bucket:n:s1:s2:s3``, where n is n_rows or n."""
+    return F.concat_ws(":", *[F.col(c).cast("string") for c in (bucket, "n", "s1", "s2", "s3")])
+
+
+def hash_sums() -> list[Column]:
+    """Count, and sums of the hex digits 1 to 15, 16 to 30 and 31 to 32, of the hashes h, as aggregates."""
+    parts = [F.conv(F.substring("h", k, n), 16, 10).cast("decimal(20,0)") for k, n in ((1, 15), (16, 15), (31, 2))]
+    return [F.count(F.lit(1)).alias("n"), *[F.sum(p).alias(f"s{k + 1}") for k, p in enumerate(parts)]]
+
+
+def table_digest(df: DataFrame, exact: bool = False, buckets: int = 4096, **options) -> DataFrame:
     """One row: n_rows and digest. Equal tables, as multisets of rows, have equal digests.
 
-    exact: MD5 of all sorted hashes, for tables whose hashes fit into one array. Otherwise two levels:
-    counts and order-free sums of the hashes per bucket, then MD5 over the buckets in their order, so that
-    a task sends no more than one row for each bucket.
+    Two levels: counts and order-free sums of the hashes per bucket, then MD5 over the buckets in their
+    order, so that a task sends no more than one row for each bucket. exact: MD5 of all sorted hashes, only
+    for tables whose hashes fit into one array.
     """
     rows = hashed(df, **options)
     if exact:
         return rows.agg(F.count(F.lit(1)).alias("n_rows"), list_digest(F.col("h")).alias("digest"))
-    half = [F.conv(F.substring("h", k, 15), 16, 10).cast("decimal(20,0)") for k in (1, 16)]
-    parts = rows.groupBy(hash_bucket("h", buckets).alias("bucket")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(half[0]).alias("s1"), F.sum(half[1]).alias("s2"), F.bit_xor(F.xxhash64("h")).alias("x")
-    )
-    line = F.concat_ws(":", *[F.col(c).cast("string") for c in ("bucket", "n", "s1", "s2", "x")])
+    parts = rows.groupBy(hash_bucket("h", buckets).alias("bucket")).agg(*hash_sums())
     return parts.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),
-        F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("bucket", line.alias("line")))), lambda x: x["line"]), ",")).alias("digest"),
+        F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("bucket", sums_line().alias("line")))), lambda x: x["line"]), ",")).alias("digest"),
     )
 
 
-def bucket_digests(df: DataFrame, buckets: int = 100, **options) -> DataFrame:
-    """bucket, n_rows, digest for each hash bucket."""
+def bucket_digests(df: DataFrame, buckets: int = 100, exact: bool = False, **options) -> DataFrame:
+    """bucket, n_rows, digest for each hash bucket: MD5 of order-free sums, or with ``exact`` of the sorted hashes, which then fill one array a bucket."""
+    if not exact:
+        sums = hashed(df, **options).groupBy(hash_bucket("h", buckets).alias("bucket")).agg(*hash_sums())
+        return sums.select("bucket", F.col("n").alias("n_rows"), F.md5(sums_line()).alias("digest"))
     return hashed(df, **options).groupBy(hash_bucket("h", buckets).alias("bucket")).agg(F.count(F.lit(1)).alias("n_rows"), list_digest(F.col("h")).alias("digest"))
 
 

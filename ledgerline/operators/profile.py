@@ -19,11 +19,14 @@ WEIGHTS = {"data_type": 0.25, "structure": 0.20, "index": 0.15, "view": 0.10, "f
 SCORES = {"compatible": 100.0, "convertible": 75.0, "manual_needed": 40.0, "incompatible": 0.0}
 #: Level of each data type; arrays and everything unknown are manual_needed.
 TYPE_LEVELS = {
-    "compatible": "integer int int4|bigint int8|smallint int2|text|character varying|varchar|numeric|decimal|real|float4|double precision|float8|boolean|bool|date|timestamp without time zone|timestamp|bytea|json",
-    "convertible": "character|bpchar|timestamp with time zone|timestamptz|jsonb|uuid|money",
-    "manual_needed": "bit|bit varying|varbit|xml|cidr|inet|macaddr",
-    "incompatible": "interval|point|line|lseg|box|path|polygon|circle",
-}
+    "integer": "compatible", "int": "compatible", "int4": "compatible", "bigint": "compatible", "int8": "compatible", "smallint": "compatible", "int2": "compatible",
+    "text": "compatible", "character varying": "compatible", "varchar": "compatible", "numeric": "compatible", "decimal": "compatible",
+    "real": "compatible", "float4": "compatible", "double precision": "compatible", "float8": "compatible", "boolean": "compatible", "bool": "compatible",
+    "date": "compatible", "timestamp without time zone": "compatible", "timestamp": "compatible", "bytea": "compatible", "json": "compatible",
+    "character": "convertible", "bpchar": "convertible", "timestamp with time zone": "convertible", "timestamptz": "convertible", "jsonb": "convertible", "uuid": "convertible", "money": "convertible",
+    "bit": "manual_needed", "bit varying": "manual_needed", "varbit": "manual_needed", "xml": "manual_needed", "cidr": "manual_needed", "inet": "manual_needed", "macaddr": "manual_needed",
+    "interval": "incompatible", "point": "incompatible", "line": "incompatible", "lseg": "incompatible", "box": "incompatible", "path": "incompatible", "polygon": "incompatible", "circle": "incompatible",
+}
 #: Index types that need no change, syntax that only the source has, levels of known extensions.
 PLAIN_INDEX = "btree"
 VIEW_TOKENS = [
@@ -124,6 +127,11 @@ def index_columns(index_parts: DataFrame) -> DataFrame:
     return index_parts.groupBy("schema", "table", "index").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "column"))), lambda x: x["column"]).alias("index_columns"))
 
 
+def enum_labels(labels: DataFrame) -> DataFrame:
+    """schema, enum, labels (in order) from (schema, enum, position, label)."""
+    return labels.groupBy("schema", "enum").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "label"))), lambda x: x["label"]).alias("labels"))
+
+
 def foreign_keys(parts: DataFrame, rules: DataFrame) -> DataFrame:
     """schema, table, constraint, columns, ref_table, ref_columns, delete_rule from key columns and their rules.
 
@@ -145,8 +153,7 @@ def _object(*parts: str) -> Column:
 
 
 def assess_data_type(columns: DataFrame) -> DataFrame:
-    levels = [(name, level) for level, names in TYPE_LEVELS.items() for group in names.split("|") for name in ([group] if group in ("character varying", "double precision", "timestamp without time zone", "timestamp with time zone", "bit varying") else group.split(" "))]
-    rules = _rules(columns.sparkSession, levels, "_type string, _level string")
+    rules = _rules(columns.sparkSession, list(TYPE_LEVELS.items()), "_type string, _level string")
     rows = columns.withColumn("_name", F.lower("data_type")).join(rules, F.col("_name") == F.col("_type"), "left")
     return _findings(rows, "data_type", "column", _object("schema", "table", "column"), F.coalesce("_level", F.lit("manual_needed")), F.col("_name"))
 

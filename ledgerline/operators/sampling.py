@@ -7,6 +7,8 @@ import random
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.functions.hashing import hash_bucket
+
 
 def sample_size(n: int, ratio: float, cap: int = 1000) -> int:
     """n times ratio, but at least 1 and at most cap."""
@@ -23,12 +25,17 @@ def sample_window(df: DataFrame, ratio: float, order_by: list[str], seed: int =
 
 
 def sample_keys(df: DataFrame, keys: list[str], ratio: float, seed: int = 0) -> DataFrame:
-    """Rows whose hashed key falls below the ratio: spread over the table, and the same keys on every side."""
+    """Rows whose hashed key falls below the ratio: spread over the table, and the same keys on every side.
+
+    The hash is the MD5 of the key's texts and the seed, joined by U+001F, so that other systems can repeat it.
+    """
     steps = 1_000_000
-    return df.filter(F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(steps)) < int(ratio * steps))
+    text = F.concat_ws("\x1f", *[F.coalesce(F.col(k).cast("string"), F.lit("\\N")) for k in keys], F.lit(str(seed)))
+    return df.filter(hash_bucket(F.md5(text), steps) < int(ratio * steps))
 
 
 def head_ordered(df: DataFrame, n: int, order_by: list[str]) -> DataFrame:
+    """The first n rows in an order; each task keeps n."""
     return df.orderBy(*order_by).limit(n)
 
 

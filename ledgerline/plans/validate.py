@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators import compare
 from ledgerline.operators.sampling import sample_keys, sample_size
-from ledgerline.sources.tables import estimate_rows
+from ledgerline.sources.tables import estimate_rows, estimate_rows_by_statistics
 
 #: Defaults: share of rows sampled, buckets, rows up to which unkeyed tables are compared row by row, rows of a chunk.
 RATIO, BUCKETS, GROUP_ROWS, CHUNK_ROWS = 0.01, 100, 1_000_000, 50_000
@@ -38,24 +38,23 @@ def validate_counts(source: DataFrame, target: DataFrame, table: str) -> DataFra
     return _report(_counts(source, target), table, "quick", F.col("source_rows") - F.col("target_rows"), "row counts differ: compare by hash")
 
 
-def validate_estimates(source: DataFrame, target: DataFrame, table: str, tolerance: float = 0.0) -> DataFrame:
-    """Row counts from statistics that need no scan; differences up to the tolerance only warn."""
-    a, b = estimate_rows(source), estimate_rows(target)
+def validate_estimates(source: DataFrame, target: DataFrame, table: str, tolerance: float = 0.0, statistics: bool = False) -> DataFrame:
+    """Row counts that need no scan; differences up to the tolerance only warn.
+
+    They are those of the files' footers, or with ``statistics`` what Spark's statistics say.
+    """
+    count = estimate_rows_by_statistics if statistics else estimate_rows
+    a, b = count(source), count(target)
     both = a.select(F.col("n_rows").alias("source_rows"), F.lit(1).alias("one")).join(b.select(F.col("n_rows").alias("target_rows"), F.lit(1).alias("one")), "one")
     out = _report(both, table, "quick-estimate", F.col("source_rows") - F.col("target_rows"), "estimates differ: count exactly")
     near = F.abs("diff_rows") <= tolerance * F.greatest("source_rows", "target_rows")
     return out.withColumn("status", F.when((F.col("status") == "fail") & near, "warn").otherwise(F.col("status")))
 
 
-def _surplus(diff: DataFrame) -> DataFrame:
-    more, less = F.greatest(F.col("source_n") - F.col("target_n"), F.lit(0)), F.greatest(F.col("target_n") - F.col("source_n"), F.lit(0))
-    return diff.agg(F.coalesce(F.greatest(F.sum(more), F.sum(less)), F.lit(0)).alias("d"), F.lit(1).alias("one"))
-
-
 def validate_hash_group(source: DataFrame, target: DataFrame, table: str, **options) -> DataFrame:
     """All rows of both sides, as multisets of row hashes; diff_rows is the larger one-sided surplus."""
-    diff = _surplus(compare.hash_group_diff(source, target, **options))
-    return _report(_counts(source, target).join(diff, "one"), table, "hash_group", F.col("d"), "list the differing hashes")
+    totals = compare.hash_totals(source, target, **options).withColumnRenamed("diff_rows", "d")
+    return _report(totals, table, "hash_group", F.col("d"), "list the differing hashes")
 
 
 def validate_digest(source: DataFrame, target: DataFrame, table: str, **options) -> DataFrame:
@@ -66,16 +65,18 @@ def validate_digest(source: DataFrame, target: DataFrame, table: str, **options)
 
 def validate_buckets(source: DataFrame, target: DataFrame, table: str, buckets: int = BUCKETS, **options) -> DataFrame:
     """Hash buckets whose multisets differ; diff_rows sums their surpluses."""
-    diff = compare.bucket_diff(source, target, buckets, **options).agg(F.coalesce(F.sum("diff_rows"), F.lit(0)).alias("d"), F.lit(1).alias("one"))
-    return _report(_counts(source, target).join(diff, "one"), table, "bucket", F.col("d"), "list the differing buckets")
+    by_bucket = compare.bucket_counts(source, target, buckets, **options)
+    totals = by_bucket.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("source_rows", "target_rows")], F.coalesce(F.sum("diff_rows"), F.lit(0)).alias("d"))
+    return _report(totals, table, "bucket", F.col("d"), "list the differing buckets")
 
 
 def validate_checksum(source: DataFrame, target: DataFrame, table: str, keys: list[str] | None = None, chunk_rows: int = CHUNK_ROWS, **options) -> DataFrame:
     """Digests of chunks in key order; diff_rows is the number of chunks that differ. Without keys, hash groups."""
     if not keys:
         return validate_hash_group(source, target, table, **options)
-    diff = compare.chunk_checksum_diff(source, target, keys, chunk_rows, **options).agg(F.count(F.lit(1)).alias("d"), F.lit(1).alias("one"))
-    return _report(_counts(source, target).join(diff, "one"), table, "checksum", F.col("d"), "compare the differing chunks by column")
+    chunks = compare.chunk_checksums(source, target, keys, chunk_rows, **options)
+    totals = chunks.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("source_rows", "target_rows")], F.count_if("differs").alias("d"))
+    return _report(totals, table, "checksum", F.col("d"), "compare the differing chunks by column")
 
 
 def validate_sample(source: DataFrame, target: DataFrame, table: str, keys: list[str] | None = None, ratio: float = RATIO, seed: int = 0, order_by: list[str] | None = None, **options) -> DataFrame:
@@ -105,8 +106,13 @@ def validate_light(source: DataFrame, target: DataFrame, table: str, order_by: l
 
 
 def validate_full(source: DataFrame, target: DataFrame, table: str, keys: list[str] | None = None, **options) -> DataFrame:
-    """Counts, chunk checksums and hash groups together; the largest difference counts."""
-    parts = validate_counts(source, target, table).unionByName(validate_checksum(source, target, table, keys, **options)).unionByName(validate_hash_group(source, target, table, **options))
+    """Counts, hash groups and, with keys, chunk checksums together; the largest difference counts.
+
+    Counts come with the hash groups, whose surplus is never less than their difference.
+    """
+    parts = validate_hash_group(source, target, table, **options)
+    if keys:
+        parts = parts.unionByName(validate_checksum(source, target, table, keys, **options))
     worst = F.max(F.struct((F.col("status") == "fail").alias("bad"), F.abs("diff_rows").alias("size"), F.struct("*").alias("row")))
     return parts.groupBy("table_name").agg(worst.alias("w")).select("table_name", F.lit("full").alias("mode"), *[f"w.row.{c}" for c in ("status", "source_rows", "target_rows", "diff_rows", "error", "suggestion")])
 

@@ -60,7 +60,7 @@ def row_hash_lineitem(spark, sf_dir):
 
 @query(f"SELECT count(*) AS n_rows, md5(string_agg(h, ',' ORDER BY h)) AS digest FROM (SELECT {LINE_HASH} AS h FROM lineitem)")
 def table_digest_lineitem(spark, sf_dir):
-    return digests.table_digest(fx.table(spark, sf_dir, "lineitem"), **COMPAT)
+    return digests.table_digest(fx.table(spark, sf_dir, "lineitem"), exact=True, **COMPAT)
 
 
 @query("SELECT count(*) AS source_rows, count(*) AS target_rows, true AS equal FROM lineitem")
@@ -71,7 +71,7 @@ def tables_equal_lineitem(spark, sf_dir):
 
 @query(f"SELECT {BUCKET} AS bucket, count(*) AS n_rows, md5(string_agg(h, ',' ORDER BY h)) AS digest FROM (SELECT {LINE_HASH} AS h FROM lineitem) GROUP BY 1")
 def bucket_digests_lineitem(spark, sf_dir):
-    return digests.bucket_digests(fx.table(spark, sf_dir, "lineitem"), **COMPAT)
+    return digests.bucket_digests(fx.table(spark, sf_dir, "lineitem"), exact=True, **COMPAT)
 
 
 GROUP_DIFF = f"""
@@ -155,6 +155,10 @@ def chunk_checksum_diff_orders(spark, sf_dir):
     return compare.chunk_checksum_diff(*fx.drifted_orders(spark, sf_dir), keys=["o_orderkey"], chunk_rows=1000, **COMPAT)
 
 
+def _sampled(ratio: float, seed: int, key: str = "o_orderkey") -> str:
+    return f"('0x' || substr(md5(concat_ws(chr(31), {key}, '{seed}')), 1, 8))::BIGINT % 1000000 < {int(ratio * 1_000_000)}"
+
+
 @query(
     f"""
     WITH s AS (SELECT * FROM orders ORDER BY o_orderkey LIMIT 1000 OFFSET 100)
@@ -168,7 +172,12 @@ def sample_diff_orders(spark, sf_dir):
     return compare.column_diff(sampled, compare.lookup_keys(target, sampled, ["o_orderkey"]), ["o_orderkey"])
 
 
-@query()
+@query(
+    f"""
+    SELECT s.o_orderkey, 'o_orderstatus' AS column_name, s.o_orderstatus AS source_value, t.o_orderstatus AS target_value
+    FROM orders s JOIN {ORDERS_TARGET} t USING (o_orderkey) WHERE s.o_orderstatus IS DISTINCT FROM t.o_orderstatus AND {_sampled(0.2, 1)}
+    """
+)
 def sample_keys_orders(spark, sf_dir):
     source, target = fx.drifted_orders(spark, sf_dir)
     sampled = sampling.sample_keys(source, ["o_orderkey"], 0.2, seed=1)
@@ -619,6 +628,48 @@ for _name in ("aggregate", "bucket", "checksum", "full", "auto", "light"):
     query(_sql, f"validate_{_name}")(_run)
 
 
+@query(
+    f"""
+    SELECT table_name, CASE WHEN source_rows = target_rows AND d = 0 THEN 'pass' ELSE 'fail' END AS status, source_rows, target_rows, d AS diff_rows FROM {COUNTS} JOIN (
+        SELECT 'orders' AS table_name, (SELECT count(*) FROM orders WHERE {_sampled(0.01, 0)} AND {ORDER_HASH} NOT IN (SELECT {ORDER_HASH} FROM {ORDERS_TARGET})) AS d UNION ALL SELECT 'customer', 0) USING (table_name)
+    """
+)
+def validate_sample_keyed(spark, sf_dir):
+    pairs = _pairs(spark, sf_dir)
+    return validate({t: pairs[t] for t in KEYS}, "sample", KEYS).select("table_name", "status", "source_rows", "target_rows", "diff_rows")
+
+
+def _rows_mode(mode: str, diffs: dict[str, str]) -> tuple[str, Query]:
+    """SQL and query of a mode with its diff_rows."""
+    found = " UNION ALL ".join(f"SELECT '{t}' AS table_name, {d} AS d" for t, d in diffs.items())
+    sql = f"SELECT table_name, CASE WHEN source_rows = target_rows AND d = 0 THEN 'pass' ELSE 'fail' END AS status, source_rows, target_rows, d AS diff_rows FROM {COUNTS} JOIN ({found}) USING (table_name)"
+    return sql, lambda spark, sf_dir: validate(_pairs(spark, sf_dir), mode, KEYS, **COMPAT).select("table_name", "status", "source_rows", "target_rows", "diff_rows")
+
+
+def _by_bucket(h: str, source: str, target: str) -> str:
+    """Sum over the buckets of each bucket's larger one-sided surplus."""
+    return f"""
+        (SELECT coalesce(sum(d), 0)::BIGINT FROM (SELECT greatest(sum(greatest(s - t, 0)), sum(greatest(t - s, 0))) AS d FROM (
+            SELECT h, sum(a) AS s, sum(b) AS t FROM (SELECT {h} AS h, 1 AS a, 0 AS b FROM {source} UNION ALL SELECT {h}, 0, 1 FROM {target}) GROUP BY 1) GROUP BY {BUCKET}))
+    """
+
+
+def _differ(h: str, source: str, target: str) -> str:
+    return f"CASE WHEN {_surplus(h, source, target)} > 0 THEN 1 ELSE 0 END"
+
+
+_LINES, _ORDERS = (LINE_HASH, "lineitem", LINEITEM_TARGET), (ORDER_HASH, "orders", ORDERS_TARGET)
+_CHUNKS = f"(SELECT count(*) FROM ({_chunked('orders').replace('// 1000', '// 50000')}) s FULL JOIN ({_chunked(ORDERS_TARGET).replace('// 1000', '// 50000')}) t USING (chunk) WHERE s.digest IS DISTINCT FROM t.digest)"
+for _name, _diffs in {
+    "aggregate": {"lineitem": _differ(*_LINES), "orders": _differ(*_ORDERS), "customer": "0"},
+    "bucket": {"lineitem": _by_bucket(*_LINES), "orders": _by_bucket(*_ORDERS), "customer": "0"},
+    "checksum": {"lineitem": _surplus(*_LINES), "orders": _CHUNKS, "customer": "0"},
+    "full": {"lineitem": _surplus(*_LINES), "orders": f"greatest({_surplus(*_ORDERS)}, {_CHUNKS})", "customer": "0"},
+}.items():
+    _sql, _run = _rows_mode(_name, _diffs)
+    query(_sql, f"validate_{_name}_rows")(_run)
+
+
 @query()
 def validate_sample(spark, sf_dir):
     return validate(_pairs(spark, sf_dir), "sample", KEYS)
@@ -638,9 +689,85 @@ def hash_counts_lineitem(spark, sf_dir):
     return digests.hash_counts(fx.table(spark, sf_dir, "lineitem"), **COMPAT)
 
 
-@query()
+def _sums(buckets: int, table: str = "lineitem") -> str:
+    part = lambda k, n: f"sum(('0x' || substr(h, {k}, {n}))::BIGINT)"
+    return f"""
+        (SELECT b AS bucket, count(*) AS n, concat_ws(':', b, count(*), {part(1, 15)}, {part(16, 15)}, {part(31, 2)}) AS line
+         FROM (SELECT h, ('0x' || substr(h, 1, 8))::BIGINT % {buckets} AS b FROM (SELECT {LINE_HASH} AS h FROM {table})) GROUP BY b)
+    """
+
+
+@query(f"SELECT sum(n)::BIGINT AS n_rows, md5(string_agg(line, ',' ORDER BY bucket)) AS digest FROM {_sums(4096)}")
 def table_digest_two_level_lineitem(spark, sf_dir):
-    return digests.table_digest(fx.table(spark, sf_dir, "lineitem"), exact=False)
+    return digests.table_digest(fx.table(spark, sf_dir, "lineitem"), **COMPAT)
+
+
+@query(f"SELECT bucket, n AS n_rows, md5(line) AS digest FROM {_sums(100)}")
+def bucket_sums_lineitem(spark, sf_dir):
+    return digests.bucket_digests(fx.table(spark, sf_dir, "lineitem"), **COMPAT)
+
+
+@query(f"SELECT (SELECT count(*) FROM lineitem) AS source_rows, (SELECT count(*) FROM {LINEITEM_TARGET}) AS target_rows, NOT EXISTS ({GROUP_DIFF}) AS equal")
+def tables_equal_drifted(spark, sf_dir):
+    """``tables_equal`` where rows may differ."""
+    return compare.tables_equal(*fx.drifted_lineitem(spark, sf_dir))
+
+
+@query(f"""
+    SELECT 'lineitem' AS table_name, (SELECT count(*) FROM lineitem) AS source_rows, (SELECT count(*) FROM {LINEITEM_TARGET}) AS target_rows, (SELECT count(*) FROM lineitem) - (SELECT count(*) FROM {LINEITEM_TARGET}) AS diff_rows
+    UNION ALL SELECT 'orders', (SELECT count(*) FROM orders), (SELECT count(*) FROM {ORDERS_TARGET}), (SELECT count(*) FROM orders) - (SELECT count(*) FROM {ORDERS_TARGET})
+    UNION ALL SELECT 'nation', (SELECT count(*) FROM nation), NULL, (SELECT count(*) FROM nation)
+""")
+def row_counts_drifted(spark, sf_dir):
+    """``row_counts`` where counts differ and a table is missing."""
+    lines, orders = fx.drifted_lineitem(spark, sf_dir), fx.drifted_orders(spark, sf_dir)
+    return compare.row_counts({"lineitem": lines[0], "orders": orders[0], "nation": fx.table(spark, sf_dir, "nation")}, {"lineitem": lines[1], "orders": orders[1]})
+
+
+@query("SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey) - 1 AS position, (row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 AS chunk FROM orders")
+def position_chunks_orders(spark, sf_dir):
+    """Positions of whole rows, of which the keys' order says nothing about the other columns."""
+    return chunks.position_chunks(fx.table(spark, sf_dir, "orders"), ["o_orderkey"], 1000).select("o_orderkey", "o_totalprice", "position", "chunk")
+
+
+@query("SELECT * FROM customer ORDER BY c_acctbal, c_custkey LIMIT 100")
+def head_ordered_customer(spark, sf_dir):
+    return sampling.head_ordered(src.read_table(spark, sf_dir, "customer"), 100, ["c_acctbal", "c_custkey"])
+
+
+@query("SELECT * REPLACE (o_orderkey + 1 AS o_orderkey) FROM orders")
+def shift_keys_orders(spark, sf_dir):
+    """``o_orderkey = o_orderkey + 1`` over all orders, the largest first, so that every key is left before it is taken."""
+    base = fx.table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    feed = base.select(
+        (-k).alias("lsn"), F.lit(0).alias("ordinal"), F.lit(None).cast("timestamp").alias("ts"), F.lit("update").alias("kind"), F.lit("public").alias("schema"), F.lit("orders").alias("table"),
+        F.create_map(F.lit("o_orderkey"), k.cast("string")).alias("key"), F.create_map(F.lit("o_orderkey"), (k + 1).cast("string")).alias("new"), F.array(F.lit("o_orderkey")).alias("set_cols"), F.lit(None).cast("string").alias("ddl"),
+    )
+    return ch.apply_changes(base, feed, ["o_orderkey"])
+
+
+@query(
+    "SELECT 'trigger' AS dimension, 'convertible' AS level, c_name AS object_name FROM customer UNION ALL SELECT 'custom_type', 'convertible', 'e' || n_regionkey FROM nation "
+    f"UNION ALL SELECT 'sequence', 'convertible', 'q' || p_partkey FROM part UNION ALL SELECT dimension, level, object_name FROM {FINDINGS}"
+)
+def assess_whole_fleet(spark, sf_dir):
+    return profile.assess(fx.whole_fleet(spark, sf_dir)).select("dimension", "level", "object_name")
+
+
+@query(
+    "SELECT 'triggers' AS item, count(*) AS n, CASE WHEN count(*) > 0 THEN 'warn' ELSE 'pass' END AS status FROM customer UNION ALL SELECT 'functions', count(*), CASE WHEN count(*) > 0 THEN 'warn' ELSE 'pass' END FROM supplier "
+    "UNION ALL SELECT 'enums', count(DISTINCT n_regionkey), CASE WHEN count(*) > 0 THEN 'warn' ELSE 'pass' END FROM nation UNION ALL SELECT 'extensions', count(*), CASE WHEN count(*) > 0 THEN 'warn' ELSE 'pass' END FROM supplier "
+    "UNION ALL SELECT 'collation', 1, 'pass'"
+)
+def precheck_whole_fleet(spark, sf_dir):
+    return profile.precheck(fx.whole_fleet(spark, sf_dir), collation="en_US.UTF-8")
+
+
+@query("SELECT 'e' || n_regionkey AS enum, string_agg(n_name, ',' ORDER BY n_nationkey) AS labels FROM nation GROUP BY 1")
+def enum_labels_nation(spark, sf_dir):
+    labels = fx.whole_fleet(spark, sf_dir)["enums"].withColumnRenamed("name", "enum")
+    return profile.enum_labels(labels).select("enum", F.array_join("labels", ",").alias("labels"))
 
 
 def _bucketed(table: str) -> str:

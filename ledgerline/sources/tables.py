@@ -38,6 +38,20 @@ def estimate_rows(df: DataFrame) -> DataFrame:
     return df.select().groupBy().agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def estimate_rows_by_statistics(df: DataFrame) -> DataFrame:
+    """One row, n_rows, by the optimizer's statistics: the row count of an analysed table, else the size over the width of a row."""
+    stats = df._jdf.queryExecution().optimizedPlan().stats()
+    rows = stats.rowCount()
+    width = 8 + sum(_width(f.dataType) for f in df.schema.fields)
+    n = int(str(rows.get())) if rows.isDefined() else int(str(stats.sizeInBytes())) // width
+    return df.sparkSession.range(1).select(F.lit(n).cast("long").alias("n_rows"))
+
+
+def _width(kind: T.DataType) -> int:
+    fixed = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "float": 4, "date": 4}
+    return fixed.get(kind.simpleString(), 20 if isinstance(kind, T.StringType) else 8)
+
+
 def tsv_lines(df: DataFrame) -> DataFrame:
     """One text column, value: tab-separated lines with escapes, NULL as ``\\N``, no header, no quotes."""
     return df.select(F.concat_ws("\t", *[export_text(F.col(f.name), f.dataType) for f in df.schema.fields]).alias("value"))
@@ -54,7 +68,19 @@ def write_tsv(df: DataFrame, path: str, by: str | None = None, mode: str = "erro
 
 
 def parse_tsv(lines: DataFrame, schema: T.StructType) -> DataFrame:
-    """Typed columns from lines of ``tsv_lines``; a value that does not fit its type becomes null."""
+    """Typed columns from lines of ``tsv_lines``; a value that does not fit its type becomes null (see ``tsv_misfits``)."""
+    return lines.select(*[value.alias(name) for name, _, value in _tsv_cells(schema)])
+
+
+def tsv_misfits(lines: DataFrame, schema: T.StructType) -> DataFrame:
+    """Lines of which a value does not fit its type, or with another number of fields, with an array bad_columns."""
+    bad = [F.when(text.isNotNull() & value.isNull(), F.lit(name)) for name, text, value in _tsv_cells(schema)]
+    count = F.when(F.size(F.split("value", "\t", -1)) != len(schema.fields), F.lit("number of fields"))
+    return lines.withColumn("bad_columns", F.array_compact(F.array(count, *bad))).filter(F.size("bad_columns") > 0)
+
+
+def _tsv_cells(schema: T.StructType) -> list[tuple[str, Column, Column]]:
+    """Name, text and typed value of each field of a line."""
     parts = F.split("value", "\t", -1)
     columns = []
     for k, f in enumerate(schema.fields):
@@ -67,8 +93,8 @@ def parse_tsv(lines: DataFrame, schema: T.StructType) -> DataFrame:
             value = F.from_json(text, f.dataType)
         else:
             value = text.try_cast(f.dataType)
-        columns.append(value.alias(f.name))
-    return lines.select(*columns)
+        columns.append((f.name, text, value))
+    return columns
 
 
 def read_tsv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

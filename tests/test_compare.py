@@ -5,12 +5,15 @@ from pyspark.sql import functions as F
 
 from ledgerline import fixtures
 from ledgerline.operators import chunks, compare, digests, sampling
-from ledgerline.plans.validate import MODES, choose_strategy, validate
+from ledgerline.plans.validate import MODES, choose_strategy, validate, validate_estimates
+from ledgerline.session import stored
+from ledgerline.sources.tables import estimate_rows_by_statistics
 
 
 @pytest.fixture(scope="module")
 def lineitem(spark, data):
-    return fixtures.table(spark, data, "lineitem").cache()
+    # Stored, as a cache would also stand in for the scans of other tests.
+    return stored(fixtures.table(spark, data, "lineitem"))
 
 
 @pytest.mark.parametrize("exact", [True, False])
@@ -44,6 +47,36 @@ def test_position_chunks_hold_every_row_once(spark, rows):
     assert all(r.chunk == r.position // rows for r in got)
 
 
+@pytest.mark.parametrize("partitions,adaptive", [(64, "true"), (200, "false")])
+def test_positions_of_many_wide_rows(spark, partitions, adaptive):
+    """Enough rows for sampled ranges, written with a column that is no key: every position once, in order."""
+    n = 3_000_000
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        df = spark.range(n).select(F.pmod(F.col("id") * 1_000_003, F.lit(n)).alias("k"), F.concat(F.lit("v"), "id").alias("v"))
+        got = chunks.position_chunks(df, ["k"], 1000)
+        row = got.agg(F.count("*"), F.count_if(F.col("k") != F.col("position")), F.max("position"), F.count_distinct("position"), F.count("v")).first()
+        assert tuple(row) == (n, 0, n - 1, n, n)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_sample_window_and_estimates(spark, lineitem):
+    keys = ["l_orderkey", "l_linenumber", "l_partkey"]
+    first = sampling.sample_window(lineitem, 0.01, keys, seed=3)
+    got = [tuple(r) for r in first.select(*keys).collect()]
+    whole = [tuple(r) for r in lineitem.orderBy(*keys).select(*keys).collect()]
+    assert len(got) == sampling.sample_size(len(whole), 0.01)
+    assert any(got == whole[k : k + len(got)] for k in range(len(whole)))
+    starts = {tuple(sampling.sample_window(lineitem, 0.01, keys, seed=s).select(*keys).first()) for s in range(4)}
+    assert len(starts) > 1
+    assert estimate_rows_by_statistics(lineitem).first()[0] > 0
+    assert validate_estimates(lineitem, lineitem, "t", statistics=True).first()["status"] == "pass"
+
+
 def test_range_chunks_cover_the_keys(spark):
     df = spark.range(3, 1000, 7).withColumnRenamed("id", "k")
     parts = chunks.range_chunks(df, "k", 20).orderBy("chunk").collect()

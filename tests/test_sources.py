@@ -25,6 +25,13 @@ def test_tsv_round_trip(spark, data, tmp_path):
     assert sorted(p.name for p in (tmp_path / "by").glob("part=*")) == ["part=0", "part=1", "part=2"]
 
 
+def test_lines_that_do_not_fit(spark):
+    schema = spark.createDataFrame([], "k int, flag boolean, at date").schema
+    lines = spark.createDataFrame([("1\tt\t2020-02-29",), ("x\t1\t2020-02-30",), ("2\t\\N\t\\N",), ("3\t1",), ("4\t0\t2020-01-01\tmore",)], "value string")
+    got = {r.value: r.bad_columns for r in src.tsv_misfits(lines, schema).collect()}
+    assert got == {"x\t1\t2020-02-30": ["k", "at"], "3\t1": ["number of fields"], "4\t0\t2020-01-01\tmore": ["number of fields"]}
+
+
 def test_record_counts(spark, tmp_path):
     for name, text in {"db.users.0.csv": "1\n2\n3\n", "db.users.1.csv": "4\n5", "db.users_old.0.csv": "1\n", "db.empty.0.csv": "", "db.users.schema.sql": "x\n"}.items():
         (tmp_path / name).write_text(text)
