@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.staging import shared_dir, stage
+from ledgerline.llm.staging import delete_on_exit, shared_dir, stage
 
 VIRTUAL_SLOTS = 4096
 #: Parts in which the rows of one slot are numbered, so that a hot id is no single task.
@@ -102,13 +102,15 @@ def assign(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: s
     Law ``bytes``: shards get nearly equal sizes. ``slot`` is the row's place in its shard, without
     gaps from 0; grown_shard is null under this law. ``next_shard`` is the row's shard in the second
     version of the map, edited for one more shard. The maps are stored under ``root``, a folder of this call's
-    own if none is given. Null texts have size 1 and checksum 0. Repeated
+    own, which goes with the application, if none is given. Null texts have size 1 and checksum 0. Repeated
     rows get places of their own in the same shard. Null ids are spread by size and checksum. Empty
     tables give no rows, empty texts size 1; other columns are ignored.
     """
     spark = docs.sparkSession
     rows = stage(sized(docs, id_col, text_col, slots).withColumn("row", F.monotonically_increasing_id()).withColumn("part", F.pmod(F.xxhash64("row"), F.lit(PARTS)).cast("int")), "sized")
-    root = root or f"{shared_dir(spark)}/ledgerline/slot-map-{uuid.uuid4().hex}"
+    if root is None:
+        root = f"{shared_dir(spark)}/ledgerline/slot-map-{uuid.uuid4().hex}"
+        delete_on_exit(spark, root)
     slots_used = stage(slot_bytes(rows), "slots")
     placed = save_map(initial_map(slots_used, shards), root, 1)
     grown = save_map(rebalance(placed, slots_used, shards + 1), root, 2)

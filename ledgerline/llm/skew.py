@@ -1,12 +1,14 @@
-"""Joins that stay even when a few keys hold most of the rows."""
+"""Joins that stay even when a few keys hold most of the rows, and broadcasts that are bound in bytes."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Keys with more than one of so many parts of all rows are hot; there are fewer than this of them, whatever the input.
-PARTS = 1000
+from ledgerline.operators.skew import PARTS, split_join
+
+__all__ = ["BROADCAST_BYTES", "PARTS", "small", "split_join", "stored_bytes"]
+
 #: Bytes of a stored table up to which it is broadcast whole.
 BROADCAST_BYTES = 16 << 20
 
@@ -19,14 +21,3 @@ def stored_bytes(table: DataFrame) -> int:
 def small(table: DataFrame) -> DataFrame:
     """``table``, which is stored, marked for broadcasting if its files are small enough; else it is left to a shuffle."""
     return F.broadcast(table) if stored_bytes(table) <= BROADCAST_BYTES else table
-
-
-def split_join(rows: DataFrame, lookup: DataFrame, key: str, total: int) -> DataFrame:
-    """``rows`` joined with ``lookup``, whose ``n`` is the number of rows of each key (or more) and ``total`` their sum (or more).
-
-    Hot keys of the lookup, fewer than PARTS by their definition, are broadcast; all others are shuffled.
-    """
-    least = max(1, total // PARTS)
-    hot, cold = lookup.filter(F.col("n") > least).drop("n"), lookup.filter(F.col("n") <= least).drop("n")
-    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
-    return rows.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))

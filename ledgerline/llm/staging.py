@@ -4,10 +4,35 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_WRITTEN: list[str] = []
+
+class Scope:
+    """Tables that ``stage`` writes while the scope is the innermost one."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def clear(self, spark: SparkSession) -> None:
+        """Delete the tables. Call it once the results built on them are stored."""
+        while self.paths:
+            delete(spark, self.paths.pop())
+
+
+_SCOPES: list[Scope] = []
+
+
+@contextmanager
+def scope() -> Iterator[Scope]:
+    own = Scope()
+    _SCOPES.append(own)
+    try:
+        yield own
+    finally:
+        _SCOPES.remove(own)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,29 +46,40 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def store(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage is cut, lost executors lose nothing."""
-    return _written(df, label)[0]
-
+def stage(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: lineage is cut, lost executors lose nothing.
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Like ``store``, for tables that ``clear`` may delete."""
-    table, path = _written(df, label)
-    _WRITTEN.append(path)
+    The table belongs to the innermost ``scope``, which may delete it; else it goes when the application ends.
+    """
+    table, path = store(df, label, compression)
+    if _SCOPES:
+        _SCOPES[-1].paths.append(path)
     return table
 
 
-def _written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    path = f"{shared_dir(df.sparkSession)}/ledgerline/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+def store(df: DataFrame, label: str, compression: str = "snappy") -> tuple[DataFrame, str]:
+    """Like ``stage``, for tables of no scope; also gives the path, for ``delete``."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/ledgerline/{label}-{uuid.uuid4().hex}"
+    df.write.option("compression", compression).parquet(path)
+    delete_on_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def _hadoop(spark: SparkSession, path: str) -> tuple:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    folder, files = _hadoop(spark, path)
+    files.delete(folder, True)
 
 
-def clear(spark: SparkSession) -> None:
-    """Delete the tables that ``stage`` has written so far. Call it once the results built on them are stored."""
-    while _WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    """Let a folder go when the application ends."""
+    folder, files = _hadoop(spark, path)
+    files.deleteOnExit(folder)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

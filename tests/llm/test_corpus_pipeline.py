@@ -44,3 +44,27 @@ def test_run_gives_the_last_stage(spark, data):
     assert got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     assert got.count() > 0
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "exact", "near", "private", "pack"]
+
+
+def test_stages_take_anything(spark, data):
+    """Null ids and texts, repeated rows, long texts, clashing names, empty tables."""
+    prose = read(spark, data, "documents").join(quality_rules.rate(read(spark, data, "documents")).filter("kept").select("doc_id"), "doc_id").orderBy("doc_id").limit(3).collect()
+    texts = [r.text for r in prose]
+    rows = [(1, None), (2, ""), (None, None), (None, texts[0]), (3, texts[0]), (3, texts[0]), (4, texts[1] + " mail a@b.example"), (None, texts[2]), (None, texts[2]), (5, " ".join(texts[1:] * 40)), (6, " \n ")]
+    docs = spark.createDataFrame([(k, t, None, "s", len(t or ""), "digest", "key") for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long, digest string, key string")
+    good = corpus_pipeline.quality(spark, docs, data)
+    assert good.columns == docs.columns and {r.text for r in good.collect()} <= {t for _, t in rows[3:]} and good.filter("doc_id = 3").count() == 2
+    single = corpus_pipeline.exact(spark, docs, data)
+    kept = sorted(((r.doc_id, (r.text or "")[:9]) for r in single.collect()), key=repr)
+    assert single.columns == docs.columns
+    assert kept == sorted([(2, ""), (3, texts[0][:9]), (4, texts[1][:9]), (None, texts[2][:9]), (5, texts[1][:9]), (6, " \n ")], key=repr)
+    alone = corpus_pipeline.near(spark, docs, data)
+    assert alone.columns == docs.columns
+    assert sorted((r.doc_id for r in alone.collect()), key=repr) == sorted([1, 2, None, 3, 4, None, 5, 6], key=repr)
+    masked = corpus_pipeline.private(spark, docs, data)
+    assert masked.columns == docs.columns and masked.count() == len(rows) and masked.filter("text IS NULL").count() == 2
+    assert masked.filter("text LIKE '%[EMAIL]%'").select("doc_id").collect() == [(4,)]
+    pieces = corpus_pipeline.pack(spark, docs, data)
+    assert pieces.filter("start = 0").count() == len(rows)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), data).count() == 0
