@@ -18,6 +18,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,14 +32,37 @@ LENGTH, END = 2048, 1
 #: Hash buckets of a document vector, dimensions it is projected to, bits of the key for each.
 BUCKETS, DIMENSIONS, BITS = 1024, 4, 8
 #: Code points of text encoded at a time, and parts kept before the cache starts anew.
-PART, CACHE = 1 << 20, 800_000
+PART, CACHE = 1 << 22, 800_000
 
 #: Fixed value: how the word-level vocabulary cuts a text, after NFC and lower case, into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+class Lists:
+    """Short lists of integers, one after the other in a flat array that grows by whole batches."""
+
+    def __init__(self, kind: np.dtype) -> None:
+        self.flat, self.sizes, self.starts = np.zeros(0, kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.flat = np.concatenate([self.flat, flat.astype(self.flat.dtype)])
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The elements of these lists in order, and how many each has."""
+        sizes = self.sizes[rows]
+        at = np.repeat(self.starts[rows] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        return self.flat[at], sizes
+
+
 class Encoder:
-    """Ids of texts by the tokenizers library, which sees each different word once per task."""
+    """Ids of texts by the tokenizers library, which sees each different word once per task.
+
+    Texts are cut into parts at spaces, parts into words, and words into ids. Different parts get a number
+    by an Arrow dictionary; only parts and words that are new are looked at one by one, and all else is
+    gathered from flat arrays.
+    """
 
     def __init__(self, path: str) -> None:
         # The words that reach the library are normalised and cut already: its normaliser and its pattern go.
@@ -56,64 +80,83 @@ class Encoder:
         #: Whether a token ends a word.
         self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.last[[k for t, k in data["model"]["vocab"].items() if t.endswith(data["model"]["end_of_word_suffix"])]] = True
-        self.cache: dict[str, bytes] = {}
-        self.known = {p: np.array([k], self.kind).tobytes() for p, k in self.special.items()}
+        self.forget()
         rng = np.random.default_rng(7)
         directions = rng.standard_normal((BUCKETS, DIMENSIONS)).astype(np.float32)
         ids = np.arange(self.tokenizer.get_vocab_size(), dtype=np.uint64)
         self.direction = directions[(ids * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % BUCKETS]
 
-    def pieces(self, text: str) -> list[str]:
-        """Parts of a text at spaces and line feeds, which no word spans; special tokens stand as parts of their own."""
+    def spaced(self, text: str) -> str:
+        """A normalised text whose parts, which no word spans, lie between spaces; special tokens are parts of their own."""
         if "<" in text and any(s in text for s in self.special):
-            return list(chain.from_iterable([p] if p in self.special else self._pieces(p) for p in self.cut.split(text)))
-        return self._pieces(text)
+            return " ".join(p if p in self.special else self._normal(p) for p in self.cut.split(text))
+        return self._normal(text)
 
-    def _pieces(self, text: str) -> list[str]:
+    def _normal(self, text: str) -> str:
         text = unicodedata.normalize("NFC", text)
         # Each letter is lowered by itself; str.lower() would look at what stands around a capital sigma.
-        return text.replace("Σ", "σ").lower().replace("\n", " ").split(" ")
-
-    def learn(self, parts: set[str]) -> None:
-        """Put the ids of these parts into the cache; the library encodes the words in them that are new."""
-        new = parts.difference(self.cache)
-        if len(self.cache) + len(new) > CACHE:
-            self.cache.clear()
-            self.known = {p: np.array([k], self.kind).tobytes() for p, k in self.special.items()}
+        return text.replace("Σ", "σ").lower().replace("\n", " ")
+
+    def forget(self) -> None:
+        """Start the caches anew: rows of parts in ``part_words`` (rows of words), and of words in ``word_ids``."""
+        self.part_row: dict[str, int] = {}
+        self.part_words = Lists(np.dtype(np.int64))
+        self.word_row = {p: k for k, p in enumerate(self.special)}
+        self.word_ids = Lists(self.kind)
+        self.word_ids.add(np.array(list(self.special.values()), np.int64), np.ones(len(self.special), np.int64))
+
+    def learn(self, parts: list[str]) -> np.ndarray:
+        """Rows of different parts; the library encodes the words in them that are new."""
+        new = [p for p in parts if p not in self.part_row]
+        if len(self.part_row) + len(new) > CACHE:
+            self.forget()
             new = parts
-        words = {p: [p] if p.isalpha() or p in self.special else self.words.findall(p) for p in new}
-        plain = list(set(chain.from_iterable(words.values())).difference(self.known))
+        words = [[p] if p.isalpha() or p in self.special else self.words.findall(p) for p in new]
+        flat = list(chain.from_iterable(words))
+        plain = list(dict.fromkeys(w for w in flat if w not in self.word_row))
         if plain:
             (coded,) = self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)
             ids = np.array(coded.ids, self.kind)
-            ends = ((np.flatnonzero(self.last[ids]) + 1) * self.kind.itemsize).tolist()
-            ids = ids.tobytes()
+            ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) != len(plain):
                 raise ValueError("the vocabulary does not mark the ends of words")
-            self.known.update(zip(plain, (ids[a:b] for a, b in zip([0, *ends[:-1]], ends))))
-        look = self.known.__getitem__
-        self.cache.update((p, look(w[0]) if len(w) == 1 else b"".join(map(look, w))) for p, w in words.items())
-
-    def encode(self, values: list[str]) -> Iterator[bytes]:
-        """The ids of each text as little-endian bytes of ``kind``."""
+            self.word_row.update(zip(plain, range(len(self.word_row), len(self.word_row) + len(plain))))
+            self.word_ids.add(ids, np.diff(ends, prepend=0))
+        if new:
+            self.part_row.update(zip(new, range(len(self.part_row), len(self.part_row) + len(new))))
+            rows = np.fromiter(map(self.word_row.__getitem__, flat), np.int64, len(flat))
+            self.part_words.add(rows, np.fromiter(map(len, words), np.int64, len(words)))
+        return np.fromiter(map(self.part_row.__getitem__, parts), np.int64, len(parts))
+
+    def encode_flat(self, values: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of runs of texts, one after the other, and how many each text has."""
         at = 0
         while at < len(values):
             cut, size = [], 0
             while at < len(values) and (not cut or size + len(values[at]) <= PART):
-                cut.append(self.pieces(values[at]))
+                cut.append(self.spaced(values[at]))
                 size += len(values[at])
                 at += 1
-            self.learn(set().union(*cut))
-            look = self.cache.__getitem__
-            for words in cut:
-                yield b"".join(map(look, words))
-
-    def key(self, blobs: list[bytes]) -> np.ndarray:
+            lists = pc.split_pattern(pa.array(cut, pa.large_string()), " ")
+            parts = lists.values.dictionary_encode()
+            rows = self.learn(parts.dictionary.to_pylist())[parts.indices.to_numpy()]
+            words, per_part = self.part_words.take(rows)
+            ids, per_word = self.word_ids.take(words)
+            edges = np.concatenate([[0], np.cumsum(per_word)])[np.concatenate([[0], np.cumsum(per_part)])][lists.offsets.to_numpy()]
+            yield ids, np.diff(edges)
+
+    def encode(self, values: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text."""
+        for ids, sizes in self.encode_flat(values):
+            yield from np.split(ids, np.cumsum(sizes)[:-1])
+
+    def key(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Hilbert key of each document's projected mean vector; documents without ids lie at the middle."""
-        point = np.zeros((len(blobs), DIMENSIONS), np.float32)
-        for k, blob in enumerate(blobs):
-            if blob:
-                point[k] = self.direction[np.frombuffer(blob, self.kind)].mean(0)
+        point = np.zeros((len(sizes), DIMENSIONS), np.float32)
+        full = sizes > 0
+        if full.any():
+            starts = (np.cumsum(sizes) - sizes)[full]
+            point[full] = np.add.reduceat(self.direction[ids], starts, axis=0) / sizes[full, None]
         cells = np.minimum((1 + np.tanh(3 * point)) / 2 * (1 << BITS), (1 << BITS) - 1).astype(np.int64)
         return hilbert(cells, BITS)
 
@@ -152,11 +195,13 @@ def tokenise(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(path)
         for batch in batches:
-            blobs = list(words.encode(texts(batch.column(1)).to_pylist()))
-            counts = [len(b) // words.kind.itemsize + 1 for b in blobs]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(words.key(blobs), pa.int64()), pa.array(blobs, pa.binary())], ["doc_id", "n_tokens", "key", "ids"]
-            )
+            at = 0
+            for ids, sizes in words.encode_flat(texts(batch.column(1)).to_pylist()):
+                edges = np.concatenate([[0], np.cumsum(sizes)]) * words.kind.itemsize
+                blobs = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(ids)])
+                columns = [batch.column(0).slice(at, len(sizes)), pa.array(sizes + 1, pa.int64()), pa.array(words.key(ids, sizes), pa.int64()), blobs.cast(pa.binary())]
+                at += len(sizes)
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "key", "ids"])
 
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return narrow.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_tokens bigint, key bigint, ids binary")
@@ -178,7 +223,7 @@ def along_curve(tokens: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ends - counts, pa.int64())], [*batch.schema.names, "before"])
 
     ordered = ordered.select("doc_id", "n_tokens", "ids", "part")
-    sized = stage(ordered.mapInArrow(run, f"{', '.join(f'{n} {t}' for n, t in ordered.dtypes)}, before bigint"), "curve")
+    sized = stage(ordered.mapInArrow(run, f"{', '.join(f'{n} {t}' for n, t in ordered.dtypes)}, before bigint"), "curve", "zstd")
     totals = sized.groupBy("part").agg(F.sum("n_tokens").alias("tokens"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("part", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)).alias("base"))
@@ -193,7 +238,7 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, id_col: str = "doc_id
     repeated rows are packed like all others. An empty table gives no pieces; other columns are
     ignored. Texts are encoded whole.
     """
-    tokens = stage(tokenise(docs, path, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "tokens")
+    tokens = stage(tokenise(docs, path, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "tokens", "zstd")
     kind = encoder(path).kind
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

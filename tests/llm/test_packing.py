@@ -63,10 +63,21 @@ def test_same_ids_as_the_library():
     random.seed(8)
     letters = "ab cdeE'stvm 019²½\t\n\r\x0b\x1c\x85\xa0　éÉé日本語🙂ñߣΣς#%..,!|İıſK​ǅﬁ"
     texts = ["".join(random.choice(letters) for _ in range(random.randint(0, 60))) for _ in range(5000)] + ["<|endoftext|>A", "ΑΣ ΣΑΣ", "it's IT'S 'S"]
-    got = [np.frombuffer(b, words.kind).tolist() for b in words.encode(texts)]
+    got = [ids.tolist() for ids in words.encode(texts)]
     assert got == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_caches_that_start_anew_and_parts_of_any_size(monkeypatch):
+    library = Tokenizer.from_file(PATH)
+    random.seed(9)
+    texts = [" ".join(random.choice(["one", "two,", "thr33", "ünï", "x" * 20, "", "\n", "<|endoftext|>"]) + str(random.randrange(40)) * random.randrange(2) for _ in range(random.randrange(30))) for _ in range(400)]
+    expected = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    for part, cache in ((1, 10), (200, 60), (1 << 20, 1 << 20)):
+        monkeypatch.setattr(packing, "PART", part)
+        monkeypatch.setattr(packing, "CACHE", cache)
+        assert [ids.tolist() for ids in packing.Encoder(PATH).encode(texts)] == expected
+
+
 def test_hilbert_is_a_curve():
     """All cells once, and neighbours on the curve are neighbours in space."""
     for dims, bits in ((2, 4), (3, 3), (4, 2)):
