@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerline.llm.quality_rules import COMMON_WORDS, MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, MIN_CHARS, MIN_WORDS, N_CLASSES, N_COMMON, OTHER
+from ledgerline.llm.quality_rules import COMMON_WORDS, MAX_CLASS_DISTANCE, MAX_SHAPE_DISTANCE, MAX_WORD_DISTANCE, MIN_CHARS, MIN_WORDS, N_CLASSES, N_COMMON, N_FINE, OTHER, REFERENCES, SHAPES
 
 FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORD = r"'[^\x20\x09-\x0D]+'"
@@ -53,7 +53,7 @@ def _counted(pattern: str) -> str:
     return f"(length(text) - length(regexp_replace(text, '{pattern}', '', 'g')))"
 
 
-QUALITY_RULES = rf"""
+QUALITY_RELATIVE = rf"""
     WITH d AS (
         SELECT doc_id, coalesce(text, '') AS text, CASE WHEN lang IN ({", ".join(f"'{c}'" for c in COMMON_WORDS)}) THEN lang ELSE '{OTHER}' END AS language FROM documents
     ), w AS (
@@ -85,4 +85,67 @@ QUALITY_RULES = rf"""
         round(class_distance, 6) AS class_distance, round(word_distance, 6) AS word_distance FROM v
 """
 
-SQL = {"op1_near_dedup": NEAR_DEDUP, "op5_exact_dedup": EXACT_DEDUP, "op7_quality_rules": QUALITY_RULES}
+
+_REFS = ", ".join(f"('{c}', {list(q[0])}, {list(q[1])}, {list(q[2])}, {_list(COMMON_WORDS[c])})" for c, q in REFERENCES.items())
+
+QUALITY_RULES = rf"""
+    WITH d AS (
+        SELECT doc_id, coalesce(text, '') AS text, CASE WHEN lang IN ({", ".join(f"'{c}'" for c in COMMON_WORDS)}) THEN lang ELSE '{OTHER}' END AS language FROM documents
+    ), w AS (
+        SELECT *, regexp_extract_all(text, {WORD}) AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d
+    ), windows AS (
+        SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, x) AS n FROM (
+            SELECT doc_id, unnest(range(1, len(w) - 6)) AS p, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) AS x FROM w)
+    ), repeated AS (
+        SELECT doc_id, sum(least(8, coalesce(next_p - p, 8)))::BIGINT AS n_repeat_words
+        FROM (SELECT doc_id, p, lead(p) OVER (PARTITION BY doc_id ORDER BY p) AS next_p FROM windows WHERE n > 1) GROUP BY 1
+    ), m AS (
+        SELECT doc_id, language, w, length(text) AS n_chars, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, {_counted('[#*$%&|<>]')}::BIGINT AS n_symbols,
+            (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, {_counted('\\p{Ll}')} AS n_lower, {_counted('\\p{Lu}')} AS n_upper, {_counted('\\p{Nd}')} AS n_digits,
+            {_counted('[|]')} AS n_bars, {_counted('[.,;:?!]')} AS n_sentence,
+            list_transform(w, lambda x, i: CASE WHEN NOT regexp_matches(x, '[\p{{L}}\p{{N}}]') THEN 's' WHEN i > 1 AND w[i - 1] = x THEN 'r' WHEN regexp_matches(x, '[#*$%&|<>]') THEN 'y'
+                WHEN NOT regexp_matches(x, '\p{{Ll}}') AND regexp_matches(x, '\p{{Lu}}\P{{Lu}}*\p{{Lu}}') THEN 'u' ELSE 'p' END) AS codes FROM w
+    ), h AS (
+        SELECT *, [n_lower, n_upper, n_digits, n_bars, n_symbols - n_bars, n_chars - word_chars, n_sentence, word_chars - n_lower - n_upper - n_digits - n_symbols - n_sentence] AS classes,
+            [{", ".join(f"len(list_filter(codes, lambda x: x = '{c}'))" for c in SHAPES)}] AS shapes FROM m
+    ), refs(c, q_classes, q_common, q_shapes, listed) AS (VALUES {_REFS}
+    ), pairs AS (
+        SELECT doc_id, classes, shapes, q_classes, q_common, q_shapes, list_append(hits, n_words - list_sum(hits)) AS common
+        FROM (SELECT *, list_transform(listed, lambda y: len(list_filter(w, lambda x: lower(x) = y))) AS hits FROM h JOIN refs ON language = c OR language = '{OTHER}')
+    ), far AS (
+        SELECT doc_id, {_distance("classes", "q_classes", N_FINE)} AS class_distance, {_distance("common", "q_common", N_COMMON + 1)} AS word_distance, {_distance("shapes", "q_shapes", len(SHAPES))} AS shape_distance FROM pairs
+    ), nearest AS (
+        SELECT * FROM far QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY word_distance, class_distance, shape_distance) = 1
+    ), v AS (
+        SELECT h.*, coalesce(n_repeat_words, 0) AS n_repeat_words, class_distance, word_distance, shape_distance, n_words < 20 OR 100 * coalesce(n_repeat_words, 0) > 30 * n_words AS base_failed,
+            (n_chars >= {MIN_CHARS} AND class_distance > {MAX_CLASS_DISTANCE}) OR (n_words >= {MIN_WORDS} AND word_distance > {MAX_WORD_DISTANCE}) OR shape_distance > {MAX_SHAPE_DISTANCE} AS odd
+        FROM h JOIN nearest USING (doc_id) LEFT JOIN repeated USING (doc_id)
+    )
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT odd AS kept,
+        round(class_distance, 6) AS class_distance, round(word_distance, 6) AS word_distance, round(shape_distance, 6) AS shape_distance FROM v
+"""
+
+SECRET_COUNTS = r"""
+    SELECT doc_id, len(list_filter(regexp_extract_all(t, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 6)) AS n_assign,
+        len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20)) AS n_access, len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 24)) AS n_hex
+    FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+"""
+
+SHARD_SUMS = """
+    SELECT sum(octet_length(encode(coalesce(text, ''))) + 1)::BIGINT AS bytes, count(*) AS n_rows, 8::BIGINT AS shards, true AS gapless, true AS even FROM documents
+"""
+
+#: Sum of the digits as the check digit has it: every second digit from the right counts twice, less 9 above 9.
+_LUHN = "list_sum(list_transform(range(1, length(x) + 1), lambda k: CASE WHEN (length(x) - k) % 2 = 0 THEN x[k]::INT WHEN x[k]::INT > 4 THEN 2 * x[k]::INT - 9 ELSE 2 * x[k]::INT END)) % 10 = 0"
+PII_COUNTS = rf"""
+    SELECT doc_id, len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+')) AS n_email,
+        len(list_filter(regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), lambda x: len(list_filter(string_split(x, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(try_cast(p AS INT), 256) > 255)) = 0)) AS n_ip,
+        len(list_filter(list_transform(regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+'), lambda x: regexp_replace(x, '[ -]', '', 'g')), lambda x: length(x) BETWEEN 16 AND 19 AND {_LUHN})) AS n_card,
+        len(list_filter(list_transform(regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')), lambda x: length(x) BETWEEN 8 AND 15)) AS n_phone
+    FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+"""
+
+SQL = {
+    "op1_near_dedup": NEAR_DEDUP, "op5_exact_dedup": EXACT_DEDUP, "op7_quality_rules": QUALITY_RULES, "op7_quality_relative": QUALITY_RELATIVE,
+    "op3_secret_counts": SECRET_COUNTS, "op6_shard_sums": SHARD_SUMS, "op10_pii_counts": PII_COUNTS,
+}

@@ -95,3 +95,28 @@ def test_short_tables_and_word_runs_go(spark):
     rated = {r.doc_id: r for r in quality_rules.rate(docs).collect()}
     assert not any(r.base_failed for r in rated.values())
     assert {k for k, r in rated.items() if r.kept} == {4}
+
+
+def test_references_are_fitted_on_labelled_rows(spark, monkeypatch):
+    small = "/root/testdata/sf0.01"
+    docs, labels = read(spark, small, "documents"), read(spark, small, "labels")
+    got = {r.language: (r.fine_classes, r.common, r.shapes) for r in quality_rules.fit_references(docs, labels).collect()}
+    assert got == quality_rules.REFERENCES
+    monkeypatch.setattr(quality_rules, "MOST_LABELLED", 5)
+    few = {r.language: sum(r.common) for r in quality_rules.fit_references(docs, labels).collect()}
+    assert set(few) == set(got) and all(few[c] < sum(got[c][1]) for c in few)
+    assert quality_rules.fit_references(docs.limit(0), labels).count() == 0
+
+
+def test_a_lone_junk_document_goes(spark):
+    """Nothing else in the table, so only fixed references can tell."""
+    for lang in ("en", None):
+        docs = spark.createDataFrame([(1, " ".join(f"##{k} $$ %%{k}" for k in range(70)), lang, "", "")], SCHEMA)
+        (row,) = quality_rules.rate(docs).collect()
+        assert not row.base_failed and not row.kept
+
+
+def test_null_ids_and_repeated_rows(spark):
+    rows = [(None, CLEAN + "That is what people told us.", "en", "", ""), (3, CLEAN + "That is what people told us.", None, "", ""), (3, CLEAN + "That is what people told us.", None, "", ""), (None, None, None, None, None)]
+    got = quality_rules.rate(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(((r.doc_id, r.kept) for r in got), key=repr) == sorted([(None, True), (3, True), (3, True), (None, False)], key=repr)
