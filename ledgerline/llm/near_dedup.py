@@ -231,12 +231,14 @@ def first_tasks(rows: DataFrame, percent: int) -> DataFrame:
 
 def rest_of(rows: DataFrame, edges: DataFrame) -> DataFrame:
     """Members of clusters of several blocks that are not in their cluster's largest component so far."""
-    several = rows.groupBy("root").agg(F.count_distinct("block").alias("blocks")).filter("blocks > 1").select("root")
     found = components(edges).withColumnRenamed("root", "component")
-    placed = rows.join(several, "root", "left_semi").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    sizes = placed.groupBy("root", "component").agg(F.count(F.lit(1)).alias("size"))
-    largest = sizes.groupBy("root").agg(F.max_by("component", F.struct("size", "component")).alias("component"))
-    return placed.join(largest, ["root", "component"], "left_anti").drop("component", "block")
+    placed = rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sizes = placed.groupBy("root", "component").agg(F.count(F.lit(1)).alias("size"), F.min("block").alias("low"), F.max("block").alias("high"))
+    largest = sizes.groupBy("root").agg(
+        F.sum("size").alias("n"), F.max_by("component", F.struct("size", "component")).alias("largest"), (F.min("low") < F.max("high")).alias("several")
+    )
+    judged = split_join(placed, largest.filter("several"), "root", rows.count())
+    return judged.filter("component <> largest").drop("component", "largest", "several", "block")
 
 
 def rest_tasks(rows: DataFrame, rest: DataFrame, percent: int) -> DataFrame:
@@ -364,8 +366,8 @@ def _resolved(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
         edges = edges.unionByName(stage(links(with_sets(docs, rest_tasks(members, rest, percent), id_col, text_col, words), percent), "rest-links"))
     roots = components(edges)
     placed = classes.select("digest", "node", "least_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return rows, placed.join(least, "root").select(F.col("digest").alias("of"), "root", "component_id")
+    least = placed.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    return rows, split_join(placed, least, "root", classes.count()).select(F.col("digest").alias("of"), "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
