@@ -335,12 +335,12 @@ def _flagged(able: DataFrame, hot: DataFrame, total: int) -> DataFrame:
 
 
 def _resolved(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Stored sketches of all rows; and root and component_id of each digest (``of``) of a set that is not empty."""
+    """Stored sketches of all rows; and digest, root and component_id of each set that is not empty, with the number of its rows (n)."""
     rows = stage(sketches(docs, id_col, text_col, words).withColumn("row", F.monotonically_increasing_id()), "sketches")
     full = rows.filter("n > 0")
     classes = stage(
-        full.groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("least_id"), F.min_by(F.struct("doc_id", "key", "n", "sketch"), "row").alias("rep")).select(
-            "digest", "node", "least_id", "rep.*"
+        full.groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("least_id"), F.min_by(F.struct("doc_id", "key", "n", "sketch"), "row").alias("rep"), F.count(F.lit(1)).alias("copies")).select(
+            "digest", "node", "least_id", "copies", "rep.*"
         ),
         "classes",
     )
@@ -365,9 +365,16 @@ def _resolved(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
         rest = blocked(rest, "rest")
         edges = edges.unionByName(stage(links(with_sets(docs, rest_tasks(members, rest, percent), id_col, text_col, words), percent), "rest-links"))
     roots = components(edges)
-    placed = classes.select("digest", "node", "least_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = classes.select("digest", "node", "least_id", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
-    return rows, split_join(placed, least, "root", classes.count()).select(F.col("digest").alias("of"), "root", "component_id")
+    labels = split_join(placed, least, "root", classes.count()).select("digest", "root", "component_id", F.col("copies").alias("n"))
+    return rows, stage(labels, "labels")
+
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows with shingles, with root and component_id; a set that very many rows have is no hot key."""
+    full = rows.filter("n > 0").select("doc_id", "key", "digest", F.col("n").alias("n_shingles"))
+    return split_join(full, labels, "digest", rows.count())
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -381,8 +388,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows, labels = _resolved(docs, id_col, text_col, words, percent)
     return (
-        rows.filter("n > 0").join(labels, F.col("digest") == F.col("of"))
-        .select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+        _labelled(rows, labels).select("doc_id", "n_shingles", "component_id")
         .unionByName(rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
@@ -396,7 +402,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     names may be there. Texts are shingled whole.
     """
     rows, labels = _resolved(docs, id_col, text_col, words, percent)
-    found = rows.filter("n > 0").join(labels, F.col("digest") == F.col("of")).groupBy("root", "doc_id", "key").agg(F.count(F.lit(1)).alias("copies"))
+    found = _labelled(rows, labels).groupBy("root", "doc_id", "key").agg(F.count(F.lit(1)).alias("copies"))
     found = stage(found, "found")
     own = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "key")
     best = found.groupBy("root").agg(F.min(own).alias("best"), F.count(F.lit(1)).alias("n"))
