@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerline.llm.batches import texts
+from ledgerline.llm.skew import salted_join
 from ledgerline.llm.staging import stage
 
 KINDS = ("email", "ip", "card", "phone")
@@ -150,10 +151,10 @@ def _candidates(docs: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame, D
     n_least = rows.filter("entity IS NULL").groupBy("term").agg(F.count(F.lit(1)).alias("n_least"))
     both = stage(both.join(n_least, "term").filter(F.col("n_both") >= MIN_SHARE * F.col("n_least")).drop("n_least"), "both")
     n_entity = near.select("entity", "key").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    terms = both.select("term").distinct()
+    terms = stage(both.select("term").distinct(), "candidate-terms")
     found = F.transform(F.regexp_extract_all("text", F.lit(WORD_SQL), F.lit(0)), lambda w: F.lower(w))
     words = _rows(docs, text_col).select("key", F.explode(F.array_distinct(found)).alias("term"))
-    return both, n_entity, stage(words.join(terms, "term").distinct(), "occurrences")
+    return both, n_entity, stage(salted_join(words, terms, "term").distinct(), "occurrences")
 
 
 def _judged(docs: DataFrame, text_col: str, both: DataFrame, n_entity: DataFrame, occurrences: DataFrame) -> DataFrame:
@@ -175,8 +176,8 @@ def revealing_terms(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """term, entity, n_both, n_term, n_entity, share, pmi for the terms that exceed the thresholds.
 
     An entity is kind:value, or kind:* for any value of the kind. Documents are counted by text, so
-    copies of one text are one document; all counts are exact. Joins with candidate terms are shuffled
-    unless Spark finds the stored terms below its threshold for broadcasting.
+    copies of one text are one document; all counts are exact. The candidate terms are broadcast if their
+    files are small, else words and copies of one text are dealt over salted keys.
     """
     return _judged(docs, text_col, *_candidates(docs, text_col))
 
@@ -217,7 +218,7 @@ def sanitise(docs: DataFrame, text_col: str = "text") -> DataFrame:
     terms = stage(judged.groupBy("term").agg(F.bool_or(~F.col("entity").endswith(f":{ANY}")).alias("value")), "revealing")
     in_doc = stage(occurrences.join(terms, "term").groupBy("key").agg(F.collect_list(F.struct("term", "value")).alias("terms")), "terms-of-doc")
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))).alias("key"))
-    return rows.join(in_doc, "key", "left").select("doc", F.col("doc")[text_col].alias("text"), "terms")
+    return salted_join(rows, in_doc, "key", "left").select("doc", F.col("doc")[text_col].alias("text"), "terms")
 
 
 def _as_dict(terms: list[dict] | None) -> dict[str, bool]:

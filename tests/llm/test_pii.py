@@ -3,7 +3,9 @@ import math
 import random
 import re
 
-from ledgerline.llm import pii
+import pytest
+
+from ledgerline.llm import pii, skew
 from ledgerline.llm.staging import read
 
 SCHEMA = "doc_id long, text string, doc string, terms string, key string"
@@ -121,7 +123,10 @@ def check_terms(spark, texts):
     return expected
 
 
-def test_term_spans_against_brute_force(spark, data):
+@pytest.mark.parametrize("size", [1 << 24, 0])
+def test_term_spans_against_brute_force(spark, data, monkeypatch, size):
+    """With a size of 0, joins with terms go by salted keys."""
+    monkeypatch.setattr(skew, "BROADCAST_BYTES", size)
     assert check_terms(spark, {r.doc_id: r.text for r in read(spark, data, "documents").collect()}) is not None
     random.seed(8)
     texts = {}
