@@ -229,10 +229,9 @@ def first_tasks(rows: DataFrame, percent: int) -> DataFrame:
     return own.unionByName(_tasks(rows, rows, stage(pairs, "leader-pairs")))
 
 
-def rest_of(rows: DataFrame, edges: DataFrame) -> DataFrame:
-    """Members of clusters of several blocks that are not in their cluster's largest component so far."""
-    found = components(edges).withColumnRenamed("root", "component")
-    placed = rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+def rest_of(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of clusters of several blocks that are not in their cluster's largest component so far (node, root)."""
+    placed = rows.join(roots.withColumnRenamed("root", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = placed.groupBy("root", "component").agg(F.count(F.lit(1)).alias("size"), F.min("block").alias("low"), F.max("block").alias("high"))
     largest = sizes.groupBy("root").agg(
         F.sum("size").alias("n"), F.max_by("component", F.struct("size", "component")).alias("largest"), (F.min("low") < F.max("high")).alias("several")
@@ -360,11 +359,13 @@ def _resolved(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
     clusters = components(candidates(marked, percent).unionByName(hot_stars(marked, total)))
     members = blocked(clusters.join(classes.select("node", "n", "doc_id", "key"), "node"), "blocks")
     edges = stage(links(with_sets(docs, first_tasks(members, percent), id_col, text_col, words), percent), "links")
-    rest = rest_of(members, edges)
+    roots = components(edges)
+    rest = rest_of(members, roots)
     if not rest.isEmpty():
         rest = blocked(rest, "rest")
-        edges = edges.unionByName(stage(links(with_sets(docs, rest_tasks(members, rest, percent), id_col, text_col, words), percent), "rest-links"))
-    roots = components(edges)
+        more = stage(links(with_sets(docs, rest_tasks(members, rest, percent), id_col, text_col, words), percent), "rest-links")
+        # What is known hangs on its roots already, so the links of the rest are all there is to settle.
+        roots = components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     placed = classes.select("digest", "node", "least_id", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
     labels = split_join(placed, least, "root", classes.count()).select("digest", "root", "component_id", F.col("copies").alias("n"))
