@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ledgerline.llm.chat_format import PROBE, Template
 from ledgerline.llm.quality_rules import COMMON_WORDS, MAX_CLASS_DISTANCE, MAX_SHAPE_DISTANCE, MAX_WORD_DISTANCE, MIN_CHARS, MIN_WORDS, N_CLASSES, N_COMMON, N_FINE, OTHER, REFERENCES, SHAPES
 
 FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -145,7 +146,91 @@ PII_COUNTS = rf"""
     FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 """
 
+FILTER_AUDIT = rf"""
+    WITH d AS (
+        SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {WORD}) AS w, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents
+    ), l AS (
+        SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY 1
+    ), m AS (
+        SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, (len(w) < 100)::INT + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::INT
+            + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text))::INT + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(doc_id > first, false)::INT AS mask
+        FROM d LEFT JOIN l USING (doc_id)
+    ), cells AS (
+        SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY ALL
+    ), letters(c, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)
+    ), orders AS (
+        SELECT a.c || b.c || c.c || d.c || e.c AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM letters a, letters b, letters c, letters d, letters e WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31
+    ), steps AS (
+        SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[:step - 1]), 0)::INT AS before FROM orders, (SELECT unnest(range(1, 6))::INT AS step)
+    ), told AS (
+        SELECT part, filter_order, step, bit, coalesce(sum(n) FILTER (mask & (before | bit) = 0), 0) AS kept, coalesce(sum(n) FILTER (mask & bit > 0 AND mask & before = 0), 0) AS removed,
+            coalesce(sum(n) FILTER (mask & bit > 0 AND mask & before > 0), 0) AS redundant, coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails,
+            coalesce(sum(good) FILTER (mask & bit > 0 AND mask & before = 0), 0) AS good_lost, coalesce(sum(toxic) FILTER (mask & bit > 0 AND mask & before = 0), 0) AS toxic_lost
+        FROM cells, steps GROUP BY ALL
+    )
+    SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
+        toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM told
+"""
+
+_ASSIGNED = """a{k} AS (
+        SELECT vec_id, p, any_value(x) AS x, arg_min(e, dist * 256 + e) AS e, min(dist) AS dist
+        FROM (SELECT vec_id, p, x, e, list_sum(list_transform(list_zip(x, y), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS dist FROM parts JOIN c{k} USING (p)) GROUP BY 1, 2
+    )"""
+#: Entry by component: floor(sum / count) in integers.
+_MOVED = """c{k} AS (
+        SELECT p, e, list(coalesce(m, y) ORDER BY i) AS y FROM (SELECT p, e, unnest(range(1, len(y) + 1)) AS i, unnest(y) AS y FROM c{before})
+        LEFT JOIN (SELECT p, e, i, ((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS m
+            FROM (SELECT p, e, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS x FROM a{before}) GROUP BY 1, 2, 3) USING (p, e, i) GROUP BY 1, 2
+    )"""
+VECTOR_CODES = f"""
+    WITH kept AS (
+        SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), parts AS (
+        SELECT vec_id, p, v[p * len(v) // 4 + 1:(p + 1) * len(v) // 4] AS x FROM kept, (SELECT unnest(range(4)) AS p)
+    ), c0 AS (
+        SELECT p, e, x AS y FROM parts JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept QUALIFY e < 256) USING (vec_id)
+    ), {", ".join(_ASSIGNED.format(k=k) + ", " + _MOVED.format(k=k + 1, before=k) for k in range(4))}, {_ASSIGNED.format(k=4)}, coded AS (
+        SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(dist)::BIGINT AS error FROM a4 GROUP BY 1
+    ), books AS (
+        SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c4
+    )
+    SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded JOIN kept USING (vec_id), books
+"""
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _escapes(text: str) -> str:
+    """How many backslashes escaping adds: places where control strings begin, of which no two of the default template overlap."""
+    return " + ".join(f"(length({text}) - length(replace({text}, {_quoted(c)}, ''))) // {len(c)}" for c in ("\\", *Template().controls))
+
+
+def _chat_sql() -> str:
+    t = Template()
+    heads = " ".join(f"WHEN {_quoted(r)} THEN {len(h)}" for r, h in t.headers.items())
+    named = len(t.other) + len(t.named)
+    return f"""
+    WITH t AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), {_quoted(PROBE)}
+    ), c AS (
+        SELECT *, (CASE role {heads} ELSE {named} + length(role) + {_escapes("role")} + (length(role) - length(replace(role, {_quoted(t.named)}, ''))) // {len(t.named)} END)
+            + length(text) + {_escapes("text")} + {len(t.close)} AS chars,
+            coalesce(lag(role) OVER w, 'start') || ' ' || role AS met, CASE WHEN lead(role) OVER w IS NULL THEN role || ' end' END AS last FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text)
+    ), f AS (
+        SELECT *, (met NOT IN ({", ".join(f"'{a} {b}'" for a, after in t.follows.items() for b in after)}) OR coalesce(last <> 'assistant end', false))::INT AS fault FROM c
+    )
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
+        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+        sum(chars)::BIGINT AS formatted_chars, sum(fault)::BIGINT AS n_faults FROM f GROUP BY 1
+"""
+
+
 SQL = {
     "op1_near_dedup": NEAR_DEDUP, "op5_exact_dedup": EXACT_DEDUP, "op7_quality_rules": QUALITY_RULES, "op7_quality_relative": QUALITY_RELATIVE,
     "op3_secret_counts": SECRET_COUNTS, "op6_shard_sums": SHARD_SUMS, "op10_pii_counts": PII_COUNTS,
+    "op11_filter_audit": FILTER_AUDIT, "op12_vector_codes": VECTOR_CODES, "op13_chat_format": _chat_sql(),
 }

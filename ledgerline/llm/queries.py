@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import bpe, exact_dedup, html_text, near_dedup, oracle, packing, pii, quality_rules, secret_scan, sharding, token_counts
+from ledgerline.llm import bpe, chat_format, exact_dedup, filter_audit, html_text, near_dedup, oracle, packing, pii, quality_rules, secret_scan, sharding, token_counts, vector_codes
 from ledgerline.llm.staging import read
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -82,6 +82,20 @@ def op10_pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_pii(spark, sf_dir).select("doc_id", *[f"n_{kind}" for kind in pii.KINDS])
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(read(spark, sf_dir, "embeddings"))
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and the probe, formatted and read back."""
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat_format.read_back(chat_format.format_chats(rows.unionByName(chat_format.probe(spark))))
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_bpe": op2_bpe,
@@ -94,6 +108,9 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_token_counts": op9_token_counts,
     "op10_pii": op10_pii,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_chat_format": op13_chat_format,
     "op3_secret_counts": op3_secret_counts,
     "op6_shard_sums": op6_shard_sums,
     "op10_pii_counts": op10_pii_counts,

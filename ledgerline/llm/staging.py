@@ -46,22 +46,23 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def stage(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
+def stage(df: DataFrame, label: str, compression: str = "snappy", by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage is cut, lost executors lose nothing.
 
     The table belongs to the innermost ``scope``, which may delete it; else it goes when the application ends.
+    ``by`` gives each value of these columns a folder, and so files, of its own.
     """
-    table, path = store(df, label, compression)
+    table, path = store(df, label, compression, by)
     if _SCOPES:
         _SCOPES[-1].paths.append(path)
     return table
 
 
-def store(df: DataFrame, label: str, compression: str = "snappy") -> tuple[DataFrame, str]:
+def store(df: DataFrame, label: str, compression: str = "snappy", by: tuple[str, ...] = ()) -> tuple[DataFrame, str]:
     """Like ``stage``, for tables of no scope; also gives the path, for ``delete``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ledgerline/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    df.write.option("compression", compression).partitionBy(*by).parquet(path)
     delete_on_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path), path
 

@@ -10,7 +10,8 @@ from ledgerline.llm.queries import QUERIES
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_its_sql(spark, data, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
+    for table in ("documents", "labels", "embeddings", "conversations"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{data}/{table}.parquet'")
     found = con.execute(SQL[name])
     columns = [c[0] for c in found.description]
     got = QUERIES[name](spark, data)
