@@ -106,6 +106,57 @@ def faulty_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def typed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders with bytes, arrays and mixed-case names: OrderId, Payload, Tags, Grid, Open, Note."""
+    priority, status, customer = F.col("o_orderpriority"), F.col("o_orderstatus"), F.col("o_custkey").cast("int")
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("OrderId"), F.encode(priority, "UTF-8").alias("Payload"), F.array(status, priority).alias("Tags"),
+        F.array(F.array(customer), F.array().cast("array<int>")).alias("Grid"), (F.col("o_orderkey") % 2 == 0).alias("Open"), priority.alias("Note"),
+    )
+
+
+def typed_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw change messages for ``typed_orders``, whose names differ from the columns' by case, by the last digit of the key.
+
+    1: bytes in hex; 2: a text that looks like them, for the same column; 3: a quoted array; 4: a nested one and a boolean; 5: a long text; 6: an insert
+    of a new key; 7: a JSON array; 8: delete; 9: an array less deep than its column; 0: an unknown column, or another key column.
+    """
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+
+    def cell(name: str, value: F.Column, kind: str = "text", is_key: bool = False) -> F.Column:
+        return F.struct(F.lit(name).alias("name"), value.alias("value"), F.lit(kind).alias("type"), F.lit(is_key).alias("is_key"), F.lit(False).alias("unchanged"))
+
+    def message(rows: F.Column, kind: str, cells: list, key: str = "orderid", shift: int = 0) -> DataFrame:
+        own = cell(key, (k + shift).cast("string"), "int8", True)
+        old = F.array(own) if kind == "delete" else F.lit(None)
+        new = F.array(own, *cells) if kind != "delete" else F.lit(None)
+        kinds = "array<struct<name:string,value:string,type:string,is_key:boolean,unchanged:boolean>>"
+        return o.filter(rows).select(
+            k.alias("lsn"), F.lit(0).alias("ordinal"), F.lit(None).cast("timestamp").alias("ts"), F.lit(kind).alias("kind"), F.lit("public").alias("schema"), F.lit("typed").alias("table"),
+            new.cast(kinds).alias("columns"), old.cast(kinds).alias("old_columns"), F.lit(None).cast("string").alias("ddl"),
+        )
+
+    text, digit = F.lit, k % 10
+    key = k.cast("string")
+    parts = [
+        message(digit == 1, "update", [cell("PAYLOAD", text("\\x0aff"), "bytea")]),
+        message(digit == 2, "update", [cell("PAYLOAD", text("\\x41"), "text")], "ORDERID"),
+        message(digit == 3, "update", [cell("tags", F.concat(text('{"x,y",NULL,"q\\"'), key, text('",NULLS}')))]),
+        message(digit == 4, "update", [cell("GRID", F.concat(text("{{1,2},{NULL,"), key, text("}}")), "_int4"), cell("open", text("f"), "bool")]),
+        message(digit == 5, "update", [cell("note", F.concat(text("long \U0001f600 "), key, text("n" * 40)))], "OrderId"),
+        message(digit == 6, "insert", [cell("payload", text("\\x"), "oid_17"), cell("tags", text("{}")), cell("grid", text(None).cast("string")), cell("OPEN", text("1"))], shift=1_000_000),
+        message(digit == 7, "update", [cell("Tags", text('["j",null]'), "jsonb")]),
+        message(digit == 8, "delete", [], "ORDERID"),
+        message(digit == 9, "update", [cell("grid", text("{1,2}"))]),
+        message(k % 20 == 0, "update", [cell("colour", text("red"))]),
+        message(k % 20 == 10, "update", [cell("note", text("lost"))], "other_id"),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def fleet(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Catalog tables of a fleet: a table for each supplier, a column for each part, and so on."""
     part, customer = table(spark, sf_dir, "part"), table(spark, sf_dir, "customer")

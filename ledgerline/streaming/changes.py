@@ -10,16 +10,19 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerline.functions.decode import bytes_text, decode_value
 from ledgerline.operators.skew import split_join
 from ledgerline.session import stored
 
 CELL = "array<struct<name:string,value:string,type:string,is_key:boolean,unchanged:boolean>>"
 RAW_SCHEMA = f"lsn bigint, ordinal int, ts timestamp, kind string, schema string, table string, columns {CELL}, old_columns {CELL}, ddl string"
-EVENT_SCHEMA = "lsn bigint, ordinal int, ts timestamp, kind string, schema string, table string, key map<string,string>, new map<string,string>, set_cols array<string>, ddl string"
+#: ``types``, the source type of each value, may be left out.
+EVENT_SCHEMA = "lsn bigint, ordinal int, ts timestamp, kind string, schema string, table string, key map<string,string>, new map<string,string>, set_cols array<string>, ddl string, types map<string,string>"
+ROW_KINDS = ("insert", "update", "delete")
 STRATEGIES = ("replace", "insert_ignore", "upsert", "skip")
 #: Reserved bookkeeping tables, never applied; a deployment adds its own with ``skip``.
 INTERNAL = ("_ledgerline_ddl_log",)
@@ -34,9 +37,12 @@ def decode_changes(raw: DataFrame) -> DataFrame:
     def keys(image: str) -> Column:
         return F.filter(F.coalesce(F.col(image), F.expr(f"cast(array() as {CELL})")), lambda c: c["is_key"] & ~F.coalesce(c["unchanged"], F.lit(False)))
 
-    def as_map(cells: Column) -> Column:
-        return F.map_from_entries(F.transform(cells, lambda c: F.struct(c["name"].alias("key"), c["value"].alias("value"))))
+    def as_map(cells: Column, what: str = "value") -> Column:
+        return F.map_from_entries(F.transform(cells, lambda c: F.struct(c["name"].alias("key"), c[what].alias("value"))))
 
+    old = F.when(F.size(keys("old_columns")) > 0, keys("old_columns")).otherwise(keys("columns"))
+    typed = F.filter(F.coalesce(F.col("columns"), F.expr(f"cast(array() as {CELL})")), lambda c: c["type"].isNotNull())
+    more = F.filter(old, lambda c: c["type"].isNotNull() & ~F.exists(typed, lambda t: t["name"] == c["name"]))
     present = F.filter(F.coalesce(F.col("columns"), F.expr(f"cast(array() as {CELL})")), lambda c: ~F.coalesce(c["unchanged"], F.lit(False)))
     return raw.select(
         "lsn",
@@ -45,10 +51,11 @@ def decode_changes(raw: DataFrame) -> DataFrame:
         F.lower("kind").alias("kind"),
         "schema",
         "table",
-        F.when(F.size(keys("old_columns")) > 0, as_map(keys("old_columns"))).otherwise(as_map(keys("columns"))).alias("key"),
+        as_map(old).alias("key"),
         as_map(present).alias("new"),
         F.transform(present, lambda c: c["name"]).alias("set_cols"),
         "ddl",
+        as_map(F.concat(typed, more), "type").alias("types"),
     )
 
 
@@ -88,88 +95,168 @@ def after_truncate(events: DataFrame) -> DataFrame:
     return rows.join(cut, same, "left").filter(F.col("cutoff").isNull() | (F.struct("lsn", "ordinal") > F.col("cutoff"))).select(*rows.columns)
 
 
-def _value(cell: Column, field: T.StructField) -> Column:
-    if isinstance(field.dataType, T.BooleanType):
-        return F.when(cell.isin("t", "1"), True).when(cell.isin("f", "0"), False).otherwise(cell.try_cast("boolean"))
-    return cell.try_cast(field.dataType)
+def _spelling(name: Column, schema: T.StructType) -> Column:
+    """The name of the column that is meant: the name itself, or the only one that differs from it by case alone; else the name as it is."""
+    by_case: dict[str, list[str]] = {}
+    for n in schema.names:
+        by_case.setdefault(n.lower(), []).append(n)
+    lone = [x for low, names in by_case.items() if len(names) == 1 for x in (F.lit(low), F.lit(names[0]))]
+    found = F.create_map(*lone)[F.lower(name)] if lone else F.lit(None).cast("string")
+    return F.when(name.isin(*schema.names), name).otherwise(F.coalesce(found, name))
 
 
-def reject_misfits(events: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """(good, rejects): row events whose values all fit the types of a table, and those with a text that does not.
+def _conformed(events: DataFrame, schema: T.StructType) -> dict[str, Column]:
+    """key, new and set_cols of events of one table in the spelling of its schema, and byte strings as ``decode_value`` takes them."""
+    binary = [f.name for f in schema.fields if isinstance(f.dataType, T.BinaryType)]
 
-    rejects carry a column reason, which names the columns. Columns the table does not have are ignored.
+    def spelled(name: str) -> Column:
+        image = F.col(name)
+        if binary and "types" in events.columns:
+            image = F.transform_values(image, lambda c, v: F.when(_spelling(c, schema).isin(*binary), bytes_text(v, F.col("types")[c])).otherwise(v))
+        lone = F.size(F.array_distinct(F.transform(F.map_keys(name), lambda c: _spelling(c, schema)))) == F.size(name)
+        return F.when(lone, F.transform_keys(image, lambda c, _: _spelling(c, schema))).otherwise(image)
+
+    return {"key": spelled("key"), "new": spelled("new"), "set_cols": F.array_distinct(F.transform("set_cols", lambda c: _spelling(c, schema)))}
+
+
+def _with_conformed(events: DataFrame, schema: T.StructType, prefix: str = "") -> DataFrame:
+    # By a generator, through which filters and projections do not multiply the expressions.
+    told = F.struct(*[c.alias(f"{prefix}{name}") for name, c in _conformed(events, schema).items()])
+    return events.select(*[c for c in events.columns if prefix or c not in ("key", "new", "set_cols")], F.inline(F.array(told)))
+
+
+def conform_events(events: DataFrame, schema: T.StructType) -> DataFrame:
+    """Events of one table with column names as its schema spells them: exactly if there is such a column, else without regard to case.
+
+    An image that has two names for one column is left as it is, so that only exact names count.
     """
+    return _with_conformed(events, schema).select(*events.columns)
+
+
+def resolve(schema: T.StructType, names: list[str]) -> list[str]:
+    """Columns as the schema spells them."""
+    out = []
+    for name in names:
+        found = [n for n in schema.names if n == name] or [n for n in schema.names if n.lower() == name.lower()]
+        if len(found) != 1:
+            raise ValueError(f"no column {name!r}" if not found else f"{name!r} may be {' or '.join(found)}")
+        out += found
+    return out
+
+
+def _has_keys(keys: list[str]) -> Column:
+    """Whether a row event has a value, or NULL, for each key column."""
+    def has(image: str, k: str) -> Column:
+        return F.coalesce(F.map_contains_key(image, k), F.lit(False))
+
+    return reduce(lambda a, b: a & b, [has("key", k) | ((F.col("kind") == "insert") & has("new", k)) for k in keys])
+
+
+def reject_misfits(events: DataFrame, schema: T.StructType, keys: list[str] | None = None, max_length: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(good, rejects): row events that ``apply_changes`` applies without loss, and those that it does not.
+
+    rejects carry a column reason: values that do not fit their column's type. If ``keys`` are given, also columns that the table
+    does not have, which are ignored else, and key columns that an event lacks. Other events, as truncates, are good.
+    """
+    judged = _with_conformed(events, schema, "_")
+
     def bad(f: T.StructField, cells: str) -> Column:
         cell = F.col(cells)[f.name]
-        return cell.isNotNull() & _value(cell, f).isNull()
+        return cell.isNotNull() & decode_value(cell, f.dataType, max_length).isNull()
 
+    def listed(what: str, names: Column) -> Column:
+        return F.when(F.size(names) > 0, F.concat(F.lit(what), F.array_join(names, ", ")))
+
+    none = F.array().cast("array<string>")
     fields = [f for f in schema.fields if not isinstance(f.dataType, T.StringType)]
-    names = F.array_compact(F.array(F.lit(None).cast("string"), *[F.when(bad(f, "new") | bad(f, "key"), f.name) for f in fields]))
-    judged = events.withColumn("_misfits", F.coalesce(names, F.array().cast("array<string>")))
-    good = judged.filter(F.size("_misfits") == 0).drop("_misfits")
-    reason = F.concat(F.lit("value does not fit: "), F.array_join("_misfits", ", "))
-    return good, judged.filter(F.size("_misfits") > 0).withColumn("reason", reason).drop("_misfits")
+    misfits = F.array_compact(F.array(F.lit(None).cast("string"), *[F.when(bad(f, "_new") | bad(f, "_key"), f.name) for f in fields]))
+    lacking = unknown = none
+    if keys:
+        keys = resolve(schema, keys)
+        given = F.array_distinct(F.concat(F.coalesce(F.map_keys("_key"), none), F.coalesce(F.map_keys("_new"), none), F.coalesce("_set_cols", none)))
+        unknown = F.array_sort(F.filter(given, lambda n: ~n.isin(*schema.names)))
+        has = {k: F.coalesce(F.map_contains_key("_key", k), F.lit(False)) | ((F.col("kind") == "insert") & F.coalesce(F.map_contains_key("_new", k), F.lit(False))) for k in keys}
+        lacking = F.array_compact(F.array(*[F.when(~h, k) for k, h in has.items()]))
+    reasons = [listed("value does not fit: ", misfits), listed("no such column: ", unknown), listed("no value for key column: ", lacking)]
+    reason = F.when(F.col("kind").isin(*ROW_KINDS), F.concat_ws("; ", *reasons))
+    judged = judged.select(*events.columns, F.explode(F.array(reason)).alias("reason")).withColumn("reason", F.nullif("reason", F.lit("")))
+    return judged.filter("reason IS NULL").drop("reason"), judged.filter("reason IS NOT NULL")
 
 
-def _key_text(cells: list[Column]) -> Column:
-    return F.concat_ws("\x1f", *[F.coalesce(c.cast("string"), F.lit("\\N")) for c in cells])
+def _key_text(cells: list[Column], fields: list[T.StructField]) -> Column:
+    texts = [F.hex(c) if isinstance(f.dataType, T.BinaryType) else c.cast("string") for c, f in zip(cells, fields, strict=True)]
+    return F.concat_ws("\x1f", *[F.coalesce(c, F.lit("\\N")) for c in texts])
 
 
 def row_text(df: DataFrame, keys: list[str]) -> Column:
-    """The text ``apply_changes`` joins on: key values as Spark renders them."""
-    return _key_text([df[k] for k in keys])
+    """The text ``apply_changes`` joins on: key values as Spark renders them, bytes in hex."""
+    keys = resolve(df.schema, keys)
+    return _key_text([df[k] for k in keys], [df.schema[k] for k in keys])
 
 
-def event_keys(events: DataFrame, schema: T.StructType, keys: list[str]) -> DataFrame:
-    """Events with the text of their key, ``row_key``, and of the key an update leaves the row at, ``to_key``.
+def event_keys(events: DataFrame, schema: T.StructType, keys: list[str], max_length: int = 0) -> DataFrame:
+    """Row events in the spelling of the schema, with the text of their key, ``row_key``, and of the key an update leaves the row at, ``to_key``.
 
-    ``own`` and ``to`` hold the same as typed values. Inserts take their key from the new image.
+    ``own`` and ``to`` hold the same as typed values. Inserts take their key from the new image. Events that lack a key column are left out.
     """
-    fields = {f.name: f for f in schema.fields}
+    fields, keys = {f.name: f for f in schema.fields}, resolve(schema, keys)
+    events = conform_events(events, schema).filter(_has_keys(keys))
     own = {k: F.coalesce(F.col("key")[k], F.when(F.col("kind") == "insert", F.col("new")[k])) for k in keys}
     to = {k: F.when((F.col("kind") == "update") & F.array_contains("set_cols", k), F.col("new")[k]).otherwise(own[k]) for k in keys}
-    typed = {name: F.struct(*[_value(c, fields[k]).alias(k) for k, c in cells.items()]).alias(name) for name, cells in (("own", own), ("to", to))}
+    typed = {name: F.struct(*[decode_value(c, fields[k].dataType, max_length).alias(k) for k, c in cells.items()]).alias(name) for name, cells in (("own", own), ("to", to))}
     events = events.select("*", *typed.values())
-    return events.select("*", _key_text([F.col("own")[k] for k in keys]).alias("row_key"), _key_text([F.col("to")[k] for k in keys]).alias("to_key"))
-
-
-def _emptied(base: DataFrame, changes: DataFrame) -> DataFrame:
-    """The base, or none of it if the feed truncates the table."""
-    return base if changes.filter("kind = 'truncate'").isEmpty() else base.limit(0)
+    texts = [_key_text([F.col(name)[k] for k in keys], [fields[k] for k in keys]).alias(alias) for name, alias in (("own", "row_key"), ("to", "to_key"))]
+    return events.select("*", *texts)
 
 
-def apply_changes(base: DataFrame, changes: DataFrame, keys: list[str], on_conflict: str = "replace") -> DataFrame:
+def apply_changes(base: DataFrame, changes: DataFrame, keys: list[str], on_conflict: str = "replace", max_length: int = 0) -> DataFrame:
     """``base`` after all row events of one table, in order of (lsn, ordinal), which is unique.
 
     insert makes the row, update sets the columns it has, delete removes the row; an update or delete of
     an absent row does nothing. Where an insert meets a row: replace takes the new row, insert_ignore and
     skip keep the old one, upsert overwrites the columns given. A truncate empties the table. An update that
-    changes the key moves the row, and takes the place of a row that is there. Values that do not fit
-    their type become NULL (see ``reject_misfits``).
+    changes the key moves the row, and takes the place of a row that is there.
+
+    Column names are told without regard to case where that is unambiguous. Values are decoded by the types of
+    the source and of the column (``decode_value``); texts are cut to max_length characters unless that is 0. Values that do not fit
+    become NULL, columns that the table does not have are ignored, and events that lack a key column do nothing: ``reject_misfits`` finds all
+    of them. The feed is read once to see what it holds, and once to fold it.
     """
     if on_conflict not in STRATEGIES:
         raise ValueError(f"unknown strategy {on_conflict!r}; known are {', '.join(STRATEGIES)}")
-    kept = _emptied(base, changes)
-    events = event_keys(after_truncate(changes), base.schema, keys).withColumn("at", F.struct("lsn", "ordinal"))
-    events = events.select("row_key", "to_key", "own", "to", "at", "kind", "new", "set_cols")
+    schema, keys = base.schema, resolve(base.schema, keys)
+    held = _held(changes, schema, keys)
+    left = after_truncate(changes) if held.truncates else changes.filter(F.col("kind").isin(*ROW_KINDS))
+    events = event_keys(left, schema, keys, max_length)
+    events = events.withColumn("at", F.struct("lsn", "ordinal")).select("row_key", "to_key", "own", "to", "at", "kind", "new", "set_cols")
+    kept = base.limit(0) if held.truncates else base
     rows = kept.select(F.struct("*").alias("b"), row_text(kept, keys).alias("_bk"))
-    if events.filter(MOVES).isEmpty():
-        return _fold(rows, events, base.schema, keys, on_conflict).drop("_id")
-    return _fold_moved(rows, events, base.schema, keys, on_conflict)
+    if not held.moves:
+        return _fold(rows, events, schema, keys, on_conflict, held.n, max_length).drop("_id")
+    return _fold_moved(rows, events, schema, keys, on_conflict, held.n, max_length)
 
 
 MOVES = "kind = 'update' AND row_key <> to_key"
 
 
-def _births(events: DataFrame) -> DataFrame:
+def _held(changes: DataFrame, schema: T.StructType, keys: list[str]) -> Row:
+    """One row: how many truncates and row events a feed holds, and how many updates give a key column a text other than before."""
+    events = conform_events(changes, schema)
+    differs = reduce(lambda a, b: a | b, [F.array_contains("set_cols", k) & ~F.col("new")[k].eqNullSafe(F.col("key")[k]) for k in keys])
+    return events.agg(
+        F.count_if(F.col("kind") == "truncate").alias("truncates"), F.count_if(F.col("kind").isin(*ROW_KINDS)).alias("n"), F.count_if((F.col("kind") == "update") & differs).alias("moves")
+    ).first()
+
+
+def _births(events: DataFrame, total: int) -> DataFrame:
     """row_key, gone (position of the last delete), born and birth (position and image of the first insert after it)."""
     ends = events.groupBy("row_key").agg(F.max(F.when(F.col("kind") == "delete", F.col("at"))).alias("gone"), F.count(F.lit(1)).alias("n"))
     inserts = events.filter("kind = 'insert'").select("row_key", "at", "new")
-    later = split_join(inserts, ends, "row_key", events.count()).filter(F.col("gone").isNull() | (F.col("at") > F.col("gone")))
+    later = split_join(inserts, ends, "row_key", total).filter(F.col("gone").isNull() | (F.col("at") > F.col("gone")))
     return later.groupBy("row_key").agg(F.min("at").alias("born"), F.min_by("new", "at").alias("birth"))
 
 
-def _fold(rows: DataFrame, events: DataFrame, schema: T.StructType, keys: list[str], on_conflict: str) -> DataFrame:
+def _fold(rows: DataFrame, events: DataFrame, schema: T.StructType, keys: list[str], on_conflict: str, total: int, max_length: int = 0) -> DataFrame:
     """Rows (struct b, key text _bk) after events that move none, and ``_id``, the key text of each row."""
     fields = [f for f in schema.fields if f.name not in keys]
     insert, update = F.col("kind") == "insert", F.col("kind") == "update"
@@ -181,7 +268,7 @@ def _fold(rows: DataFrame, events: DataFrame, schema: T.StructType, keys: list[s
         folded = events.groupBy("row_key").agg(own, F.max(reset).alias("reset"), F.max_by(F.struct("kind", "new"), reset).alias("last"), *sets)
     else:
         # Events before the row's birth in the feed do nothing, unless the base row lives on.
-        folded = events.groupBy("row_key").agg(own, F.max(F.when(F.col("kind") == "delete", F.col("at"))).alias("gone"), *sets).join(_births(events), "row_key", "left")
+        folded = events.groupBy("row_key").agg(own, F.max(F.when(F.col("kind") == "delete", F.col("at"))).alias("gone"), *sets).join(_births(events, total), "row_key", "left")
     both = rows.join(folded, F.col("_bk") == F.col("row_key"), "full_outer")
     was = F.col("b").isNotNull()
     touched = F.col("row_key").isNotNull()
@@ -190,19 +277,19 @@ def _fold(rows: DataFrame, events: DataFrame, schema: T.StructType, keys: list[s
         wiped = F.coalesce(F.col("last.kind") == "delete", F.lit(False))
         exists = F.when(made, True).when(wiped, False).otherwise(was)
         from_new = F.col("last.new")
-        newer = {f.name: F.col(f"_u_{f.name}").isNotNull() & (F.col("reset").isNull() | (F.col(f"_u_{f.name}.at") > F.col("reset"))) for f in fields}
+        newer = {f.name: F.col(f"_u_{f.name}").isNotNull() & (F.col("reset").isNull() | (F.col(f"_u_{f.name}")["at"] > F.col("reset"))) for f in fields}
     else:
         lives = was & F.col("gone").isNull()
         made = ~lives & F.col("born").isNotNull()
         exists = lives | made
         from_new = F.col("birth")
-        newer = {f.name: F.col(f"_u_{f.name}").isNotNull() & (lives | (F.col(f"_u_{f.name}.at") >= F.col("born"))) for f in fields}
+        newer = {f.name: F.col(f"_u_{f.name}").isNotNull() & (lives | (F.col(f"_u_{f.name}")["at"] >= F.col("born"))) for f in fields}
     columns = []
     for f in schema.fields:
         if f.name in keys:
             columns.append(F.when(was, F.col("b")[f.name]).otherwise(F.col("own")[f.name]).alias(f.name))
         else:
-            value = F.when(newer[f.name], _value(F.col(f"_u_{f.name}.value"), f)).when(made, _value(from_new[f.name], f)).otherwise(F.col("b")[f.name])
+            value = F.when(newer[f.name], decode_value(F.col(f"_u_{f.name}")["value"], f.dataType, max_length)).when(made, decode_value(from_new[f.name], f.dataType, max_length)).otherwise(F.col("b")[f.name])
             columns.append(F.when(touched, value).otherwise(F.col("b")[f.name]).alias(f.name))
     return both.filter(F.coalesce(F.when(touched, exists).otherwise(was), F.lit(False))).select(*columns, F.coalesce("_bk", "row_key").alias("_id"))
 
@@ -269,7 +356,7 @@ def _origins(links: DataFrame) -> DataFrame:
             return now
 
 
-def _fold_moved(rows: DataFrame, events: DataFrame, schema: T.StructType, keys: list[str], on_conflict: str) -> DataFrame:
+def _fold_moved(rows: DataFrame, events: DataFrame, schema: T.StructType, keys: list[str], on_conflict: str, total: int, max_length: int = 0) -> DataFrame:
     """``_fold`` where updates move rows: keys that moves touch are resolved together, all others apart from them."""
     moves = events.filter(MOVES)
     linked = stored(moves.select(F.col("row_key").alias("node")).union(moves.select("to_key")).distinct())
@@ -301,9 +388,9 @@ def _fold_moved(rows: DataFrame, events: DataFrame, schema: T.StructType, keys:
         told = told.unionByName(under_root(inserted.filter("parent <> id"), "id", "update"))
     begun = steps.filter("kind = 'base'").select("key", F.col("id").cast("string").alias("_root"))
     begun = here.join(begun, F.col("_bk") == F.col("key")).select("b", F.col("_root").alias("_bk"))
-    followed = _fold(begun, told, schema, keys, "replace").join(ends, F.col("_id") == F.col("_root"))
+    followed = _fold(begun, told, schema, keys, "replace", total, max_length).join(ends, F.col("_id") == F.col("_root"))
     followed = followed.select(*[F.col("now")[f.name].alias(f.name) if f.name in keys else F.col(f.name) for f in schema.fields])
-    plain = _fold(rows.join(linked, F.col("_bk") == F.col("node"), "left_anti"), events.join(linked, F.col("row_key") == F.col("node"), "left_anti"), schema, keys, on_conflict)
+    plain = _fold(rows.join(linked, F.col("_bk") == F.col("node"), "left_anti"), events.join(linked, F.col("row_key") == F.col("node"), "left_anti"), schema, keys, on_conflict, total, max_length)
     return plain.drop("_id").unionByName(followed)
 
 
@@ -314,11 +401,6 @@ def split_key_changes(changes: DataFrame, keys: list[str]) -> tuple[DataFrame, D
     return changes.filter(~moved), changes.filter(moved)
 
 
-def apply_with_key_changes(base: DataFrame, changes: DataFrame, keys: list[str], on_conflict: str = "replace") -> DataFrame:
-    """The same as ``apply_changes``, which follows moved keys itself."""
-    return apply_changes(base, changes, keys, on_conflict)
-
-
 def change_stats(events: DataFrame, rejects: DataFrame | None = None, skip: tuple[str, ...] = ()) -> DataFrame:
     """One row: received, applied, failed, skipped."""
     skipped = F.lower("table").isin(*INTERNAL, *[t.lower() for t in skip])
@@ -344,9 +426,9 @@ def classify_ddl(log: DataFrame) -> DataFrame:
     return log.withColumn("action", F.when((target == "") | target.startswith("--"), "manual").when(apply, "apply").otherwise("skip"))
 
 
-def bootstrap(base: DataFrame, changes: DataFrame, keys: list[str], lsn0: int, on_conflict: str = "replace") -> DataFrame:
+def bootstrap(base: DataFrame, changes: DataFrame, keys: list[str], lsn0: int, on_conflict: str = "replace", max_length: int = 0) -> DataFrame:
     """A snapshot taken at position lsn0, and the changes after it. Replaying more than once gives the same."""
-    return apply_changes(base, changes.filter(F.col("lsn") > lsn0), keys, on_conflict)
+    return apply_changes(base, changes.filter(F.col("lsn") > lsn0), keys, on_conflict, max_length)
 
 
 def glob_to_regex(pattern: str, compat: bool = False) -> str:

@@ -158,7 +158,7 @@ def apply_batch(tables: dict[str, VersionedTable], state: str, on_conflict: str
             for name, table in tables.items():
                 own = good.filter((F.lower("table") == name) | (F.lower(F.concat_ws(".", "schema", "table")) == name))
                 # A truncate takes no part in the check; it has no values.
-                _stop(reject_misfits(own, table.read().schema)[1], batch_id)
+                _stop(reject_misfits(own, table.read().schema, table.keys)[1], batch_id)
                 parts[name] = own
             for name, own in parts.items():
                 fold_batch(tables[name], own, batch_id + 1, on_conflict)
