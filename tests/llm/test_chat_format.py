@@ -97,8 +97,9 @@ def test_any_text_is_read_back_from_any_pieces(turns, size, whole):
     reader, got = Reader(template), []
     for role, text in turns:
         for piece, loss in template.turn(role, text):
-            for at in range(0, len(piece), len(piece) if whole else size):
-                reader.feed(piece[at : at + (len(piece) if whole else size)], loss)
+            step = max(1, len(piece)) if whole else size
+            for at in range(0, len(piece), step):
+                reader.feed(piece[at : at + step], loss)
                 got += reader.turns
                 reader.turns = []
     assert reader.held == ""
