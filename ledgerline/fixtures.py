@@ -33,6 +33,15 @@ def drifted_orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     return source, changed.unionByName(added)
 
 
+def nearly_equal_orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """orders and a copy with one more row in front, and a changed status at a few keys."""
+    source = table(spark, sf_dir, "orders")
+    least = source.agg(F.min("o_orderkey").alias("least"))
+    front = source.join(F.broadcast(least), F.col("o_orderkey") == F.col("least"), "left_semi").withColumn("o_orderkey", F.col("o_orderkey") - 1_000_000)
+    changed = source.withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 4999 == 17, "Z").otherwise(F.col("o_orderstatus")))
+    return source, changed.unionByName(front)
+
+
 def noisy_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents with CRLF, trailing blanks, NULL marks, tabs and backslashes in their texts."""
     text = F.col("text")

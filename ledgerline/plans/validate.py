@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.operators import compare
+from ledgerline.operators.ranges import range_checksum_diff
 from ledgerline.operators.sampling import sample_keys, sample_size
 from ledgerline.sources.tables import estimate_rows, estimate_rows_by_statistics
 
@@ -79,6 +80,14 @@ def validate_checksum(source: DataFrame, target: DataFrame, table: str, keys: li
     return _report(totals, table, "checksum", F.col("d"), "compare the differing chunks by column")
 
 
+def validate_ranges(source: DataFrame, target: DataFrame, table: str, keys: list[str] | None = None, chunk_rows: int = CHUNK_ROWS, **options) -> DataFrame:
+    """Digests of key ranges of the source; diff_rows is the number of ranges that differ, so rows that one side lacks count where they lie. Without keys, hash groups."""
+    if not keys:
+        return validate_hash_group(source, target, table, **options)
+    diff = range_checksum_diff(source, target, keys, chunk_rows, **options).agg(F.count(F.lit(1)).alias("d"), F.lit(1).alias("one"))
+    return _report(_counts(source, target).join(diff, "one"), table, "ranges", F.col("d"), "compare the differing ranges by column")
+
+
 def validate_sample(source: DataFrame, target: DataFrame, table: str, keys: list[str] | None = None, ratio: float = RATIO, seed: int = 0, order_by: list[str] | None = None, **options) -> DataFrame:
     """Counts, then a sample: by hashed key where there is one, else by position in an order.
 
@@ -138,6 +147,7 @@ MODES = {
     "bucket": validate_buckets,
     "auto": validate_auto,
     "checksum": validate_checksum,
+    "ranges": validate_ranges,
     "light": validate_light,
     "full": validate_full,
 }
@@ -149,7 +159,7 @@ def validate(pairs: dict[str, tuple[DataFrame, DataFrame]], mode: str = "sample"
         raise ValueError(f"unknown mode {mode!r}; known are {', '.join(MODES)}")
     out = None
     for table, (source, target) in pairs.items():
-        extra = {"keys": (keys or {}).get(table)} if mode in ("sample", "checksum", "auto", "full") else {}
+        extra = {"keys": (keys or {}).get(table)} if mode in ("sample", "checksum", "ranges", "auto", "full") else {}
         if mode == "light":
             extra = {"order_by": (keys or {}).get(table) or compare.common_columns(source, target)}
         one = MODES[mode](source, target, table, **extra, **options)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerline import fixtures as fx
 from ledgerline import functions as cn
-from ledgerline.operators import chunks, compare, digests, profile, sampling
+from ledgerline.operators import chunks, compare, digests, profile, ranges, sampling
 from ledgerline.plans import report
 from ledgerline.plans.validate import validate
 from ledgerline.sources import tables as src
@@ -155,6 +155,41 @@ def chunk_checksum_diff_orders(spark, sf_dir):
     return compare.chunk_checksum_diff(*fx.drifted_orders(spark, sf_dir), keys=["o_orderkey"], chunk_rows=1000, **COMPAT)
 
 
+def _ranged(source: str, target: str, keys: str, h: str, rows: int) -> str:
+    """Key ranges that differ: borders are every so many rows of the source."""
+    return f"""
+        WITH b AS (
+            SELECT {keys}, max(place // {rows}) AS chunk FROM (SELECT {keys}, row_number() OVER (ORDER BY {keys}) - 1 AS place FROM {source}) WHERE place > 0 AND place % {rows} = 0 GROUP BY ALL
+        ), r AS (
+            SELECT {keys}, {h} AS h, 1 AS d FROM {source} UNION ALL SELECT {keys}, {h}, -1 FROM {target}
+        ), found AS (
+            SELECT r.h, r.d, coalesce(b.chunk, 0) AS chunk FROM (SELECT *, row({keys}) AS k FROM r) r ASOF LEFT JOIN (SELECT row({keys}) AS k, chunk FROM b) b ON r.k >= b.k
+        )
+        SELECT chunk, count(*) FILTER (d = 1) AS source_rows, count(*) FILTER (d = -1) AS target_rows FROM found GROUP BY 1
+        HAVING string_agg(h, ',' ORDER BY h) FILTER (d = 1) IS DISTINCT FROM string_agg(h, ',' ORDER BY h) FILTER (d = -1)
+    """
+
+
+#: ``nearly_equal_orders``.
+NEAR_ORDERS = """
+    (SELECT * REPLACE (CASE WHEN o_orderkey % 4999 = 17 THEN 'Z' ELSE o_orderstatus END AS o_orderstatus) FROM orders
+     UNION ALL SELECT * REPLACE (o_orderkey - 1000000 AS o_orderkey) FROM orders WHERE o_orderkey = (SELECT min(o_orderkey) FROM orders))
+"""
+
+
+@query(_ranged("orders", NEAR_ORDERS, "o_orderkey", ORDER_HASH, 100))
+def range_checksum_diff_orders(spark, sf_dir):
+    """A row more in front marks its own range; ranges of 100 rows, descended to in steps of eight."""
+    found = ranges.range_checksum_diff(*fx.nearly_equal_orders(spark, sf_dir), keys=["o_orderkey"], chunk_rows=100, fan_out=8, **COMPAT)
+    return found.drop("lo")
+
+
+@query(_ranged("lineitem", LINEITEM_TARGET, "l_orderkey, l_linenumber", LINE_HASH, 500))
+def range_checksum_diff_lineitem(spark, sf_dir):
+    found = ranges.range_checksum_diff(*fx.drifted_lineitem(spark, sf_dir), keys=["l_orderkey", "l_linenumber"], chunk_rows=500, **COMPAT)
+    return found.drop("lo")
+
+
 def _sampled(ratio: float, seed: int, key: str = "o_orderkey") -> str:
     return f"('0x' || substr(md5(concat_ws(chr(31), {key}, '{seed}')), 1, 8))::BIGINT % 1000000 < {int(ratio * 1_000_000)}"
 
@@ -655,6 +690,7 @@ for _name, _diffs in {
     "aggregate": {"lineitem": _differ(*_LINES), "orders": _differ(*_ORDERS), "customer": "0"},
     "bucket": {"lineitem": _by_bucket(*_LINES), "orders": _by_bucket(*_ORDERS), "customer": "0"},
     "checksum": {"lineitem": _surplus(*_LINES), "orders": _CHUNKS, "customer": "0"},
+    "ranges": {"lineitem": _surplus(*_LINES), "orders": f"(SELECT count(*) FROM ({_ranged('orders', ORDERS_TARGET, 'o_orderkey', ORDER_HASH, 50_000)}))", "customer": "0"},
     "full": {"lineitem": _surplus(*_LINES), "orders": f"greatest({_surplus(*_ORDERS)}, {_CHUNKS})", "customer": "0"},
 }.items():
     _sql, _run = _rows_mode(_name, _diffs)
