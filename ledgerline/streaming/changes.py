@@ -59,15 +59,19 @@ def decode_changes(raw: DataFrame) -> DataFrame:
     )
 
 
+def structural_reason() -> Column:
+    """Why an event cannot be applied to any table: an update or delete has no key, or an update sets nothing. NULL if it can."""
+    no_key = F.col("kind").isin("update", "delete") & (F.coalesce(F.size("key"), F.lit(0)) < 1)
+    nothing = (F.col("kind") == "update") & (F.coalesce(F.size("set_cols"), F.lit(0)) < 1)
+    return F.when(no_key, "no key").when(nothing, "no column to set")
+
+
 def reject_structural(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good, rejects): an update that sets nothing, and an update or delete without a key, cannot be applied.
 
     rejects carry a column reason. A caller halts where there are any.
     """
-    no_key = F.col("kind").isin("update", "delete") & (F.coalesce(F.size("key"), F.lit(0)) < 1)
-    nothing = (F.col("kind") == "update") & (F.coalesce(F.size("set_cols"), F.lit(0)) < 1)
-    reason = F.when(no_key, "no key").when(nothing, "no column to set")
-    return events.filter(~no_key & ~nothing), events.withColumn("reason", reason).filter("reason IS NOT NULL")
+    return events.filter(structural_reason().isNull()), events.withColumn("reason", structural_reason()).filter("reason IS NOT NULL")
 
 
 def split_known_tables(events: DataFrame, inventory: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -159,6 +163,14 @@ def reject_misfits(events: DataFrame, schema: T.StructType, keys: list[str] | No
     does not have, which are ignored else, and key columns that an event lacks. Other events, as truncates, are good.
     """
     judged = _with_conformed(events, schema, "_")
+    reason = misfit_reason(schema, keys, max_length, "_")
+    judged = judged.select(*events.columns, F.explode(F.array(reason)).alias("reason")).withColumn("reason", F.nullif("reason", F.lit("")))
+    return judged.filter("reason IS NULL").drop("reason"), judged.filter("reason IS NOT NULL")
+
+
+def misfit_reason(schema: T.StructType, keys: list[str] | None = None, max_length: int = 0, prefix: str = "") -> Column:
+    """Why a conformed event (columns key, new and set_cols, with the prefix) does not fit a table; empty or NULL if it does."""
+    key, new, set_cols = (f"{prefix}{name}" for name in ("key", "new", "set_cols"))
 
     def bad(f: T.StructField, cells: str) -> Column:
         cell = F.col(cells)[f.name]
@@ -169,18 +181,16 @@ def reject_misfits(events: DataFrame, schema: T.StructType, keys: list[str] | No
 
     none = F.array().cast("array<string>")
     fields = [f for f in schema.fields if not isinstance(f.dataType, T.StringType)]
-    misfits = F.array_compact(F.array(F.lit(None).cast("string"), *[F.when(bad(f, "_new") | bad(f, "_key"), f.name) for f in fields]))
+    misfits = F.array_compact(F.array(F.lit(None).cast("string"), *[F.when(bad(f, new) | bad(f, key), f.name) for f in fields]))
     lacking = unknown = none
     if keys:
         keys = resolve(schema, keys)
-        given = F.array_distinct(F.concat(F.coalesce(F.map_keys("_key"), none), F.coalesce(F.map_keys("_new"), none), F.coalesce("_set_cols", none)))
+        given = F.array_distinct(F.concat(F.coalesce(F.map_keys(key), none), F.coalesce(F.map_keys(new), none), F.coalesce(set_cols, none)))
         unknown = F.array_sort(F.filter(given, lambda n: ~n.isin(*schema.names)))
-        has = {k: F.coalesce(F.map_contains_key("_key", k), F.lit(False)) | ((F.col("kind") == "insert") & F.coalesce(F.map_contains_key("_new", k), F.lit(False))) for k in keys}
+        has = {k: F.coalesce(F.map_contains_key(key, k), F.lit(False)) | ((F.col("kind") == "insert") & F.coalesce(F.map_contains_key(new, k), F.lit(False))) for k in keys}
         lacking = F.array_compact(F.array(*[F.when(~h, k) for k, h in has.items()]))
     reasons = [listed("value does not fit: ", misfits), listed("no such column: ", unknown), listed("no value for key column: ", lacking)]
-    reason = F.when(F.col("kind").isin(*ROW_KINDS), F.concat_ws("; ", *reasons))
-    judged = judged.select(*events.columns, F.explode(F.array(reason)).alias("reason")).withColumn("reason", F.nullif("reason", F.lit("")))
-    return judged.filter("reason IS NULL").drop("reason"), judged.filter("reason IS NOT NULL")
+    return F.when(F.col("kind").isin(*ROW_KINDS), F.concat_ws("; ", *reasons))
 
 
 def _key_text(cells: list[Column], fields: list[T.StructField]) -> Column:
@@ -199,8 +209,13 @@ def event_keys(events: DataFrame, schema: T.StructType, keys: list[str], max_len
 
     ``own`` and ``to`` hold the same as typed values. Inserts take their key from the new image. Events that lack a key column are left out.
     """
-    fields, keys = {f.name: f for f in schema.fields}, resolve(schema, keys)
-    events = conform_events(events, schema).filter(_has_keys(keys))
+    keys = resolve(schema, keys)
+    return with_keys(conform_events(events, schema).filter(_has_keys(keys)), schema, keys, max_length)
+
+
+def with_keys(events: DataFrame, schema: T.StructType, keys: list[str], max_length: int = 0) -> DataFrame:
+    """The columns of ``event_keys`` for conformed events."""
+    fields = {f.name: f for f in schema.fields}
     own = {k: F.coalesce(F.col("key")[k], F.when(F.col("kind") == "insert", F.col("new")[k])) for k in keys}
     to = {k: F.when((F.col("kind") == "update") & F.array_contains("set_cols", k), F.col("new")[k]).otherwise(own[k]) for k in keys}
     typed = {name: F.struct(*[decode_value(c, fields[k].dataType, max_length).alias(k) for k, c in cells.items()]).alias(name) for name, cells in (("own", own), ("to", to))}
@@ -209,7 +224,7 @@ def event_keys(events: DataFrame, schema: T.StructType, keys: list[str], max_len
     return events.select("*", *texts)
 
 
-def apply_changes(base: DataFrame, changes: DataFrame, keys: list[str], on_conflict: str = "replace", max_length: int = 0) -> DataFrame:
+def apply_changes(base: DataFrame, changes: DataFrame, keys: list[str], on_conflict: str = "replace", max_length: int = 0, held: Row | None = None) -> DataFrame:
     """``base`` after all row events of one table, in order of (lsn, ordinal), which is unique.
 
     insert makes the row, update sets the columns it has, delete removes the row; an update or delete of
@@ -220,12 +235,12 @@ def apply_changes(base: DataFrame, changes: DataFrame, keys: list[str], on_confl
     Column names are told without regard to case where that is unambiguous. Values are decoded by the types of
     the source and of the column (``decode_value``); texts are cut to max_length characters unless that is 0. Values that do not fit
     become NULL, columns that the table does not have are ignored, and events that lack a key column do nothing: ``reject_misfits`` finds all
-    of them. The feed is read once to see what it holds, and once to fold it.
+    of them. The feed is read once to see what it holds, unless ``held`` (see ``holdings``) says it, and once to fold it.
     """
     if on_conflict not in STRATEGIES:
         raise ValueError(f"unknown strategy {on_conflict!r}; known are {', '.join(STRATEGIES)}")
     schema, keys = base.schema, resolve(base.schema, keys)
-    held = _held(changes, schema, keys)
+    held = held or conform_events(changes, schema).agg(*holdings(keys)).first()
     left = after_truncate(changes) if held.truncates else changes.filter(F.col("kind").isin(*ROW_KINDS))
     events = event_keys(left, schema, keys, max_length)
     events = events.withColumn("at", F.struct("lsn", "ordinal")).select("row_key", "to_key", "own", "to", "at", "kind", "new", "set_cols")
@@ -239,13 +254,10 @@ def apply_changes(base: DataFrame, changes: DataFrame, keys: list[str], on_confl
 MOVES = "kind = 'update' AND row_key <> to_key"
 
 
-def _held(changes: DataFrame, schema: T.StructType, keys: list[str]) -> Row:
-    """One row: how many truncates and row events a feed holds, and how many updates give a key column a text other than before."""
-    events = conform_events(changes, schema)
+def holdings(keys: list[str]) -> list[Column]:
+    """Aggregates over conformed events of one table: how many truncates and row events there are, and how many updates that set a key column anew."""
     differs = reduce(lambda a, b: a | b, [F.array_contains("set_cols", k) & ~F.col("new")[k].eqNullSafe(F.col("key")[k]) for k in keys])
-    return events.agg(
-        F.count_if(F.col("kind") == "truncate").alias("truncates"), F.count_if(F.col("kind").isin(*ROW_KINDS)).alias("n"), F.count_if((F.col("kind") == "update") & differs).alias("moves")
-    ).first()
+    return [F.count_if(F.col("kind") == "truncate").alias("truncates"), F.count_if(F.col("kind").isin(*ROW_KINDS)).alias("n"), F.count_if((F.col("kind") == "update") & differs).alias("moves")]
 
 
 def _births(events: DataFrame, total: int) -> DataFrame:

@@ -3,14 +3,31 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+import time
+import uuid
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
+from itertools import chain
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-
-from ledgerline.streaming.changes import RAW_SCHEMA, apply_changes, decode_changes, drop_internal, event_keys, reject_misfits, reject_structural, row_text, split_known_tables
+from pyspark.sql.streaming.listener import StreamingQueryListener
+
+from ledgerline.streaming.changes import (
+    INTERNAL,
+    RAW_SCHEMA,
+    apply_changes,
+    conform_events,
+    decode_changes,
+    holdings,
+    misfit_reason,
+    resolve,
+    row_text,
+    structural_reason,
+    with_keys,
+)
 
 
 def read_changes(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -42,6 +59,25 @@ class _Folder:
         path, fs = self._path(name)
         fs.delete(path, True)
 
+    def put(self, name: str, text: str) -> None:
+        """A small file, complete or not there."""
+        part, fs = self._path(f"_part-{uuid.uuid4().hex}")
+        stream = fs.create(part)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        final, _ = self._path(name)
+        fs.mkdirs(final.getParent())
+        fs.delete(final, False)
+        fs.rename(part, final)
+
+    def get(self, name: str) -> str:
+        path, fs = self._path(name)
+        stream = fs.open(path)
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
     def move(self, name: str, to: str) -> None:
         """Rename, unless there is something by the new name already."""
         path, fs = self._path(name)
@@ -72,7 +108,7 @@ class VersionedTable(_Folder):
         return self.numbers("versions")
 
     def _listed(self, version: int) -> dict:
-        return json.loads(self.spark.read.text(f"{self.root}/versions/{version}", wholetext=True).first()[0])
+        return json.loads(self.get(f"versions/{version}"))
 
     def read(self, before: int | None = None, buckets: list[int] | None = None) -> DataFrame | None:
         """The latest version, or the latest before one; None where there is none. ``buckets`` reads only these."""
@@ -94,9 +130,7 @@ class VersionedTable(_Folder):
         there = self._listed(older[-1])["buckets"] if older and touched is not None else {}
         there = {b: v for b, v in there.items() if int(b) not in touched}
         there |= {n.partition("=")[2]: version for n in self.names(f"data/{version}") if n.startswith("_bucket=")}
-        line = self.spark.createDataFrame([(json.dumps({"schema": schema, "buckets": there}),)], "value string")
-        line.coalesce(1).write.mode("overwrite").text(f"{self.root}/_list-{version}")
-        self.move(f"_list-{version}", f"versions/{version}")
+        self.put(f"versions/{version}", json.dumps({"schema": schema, "buckets": there}))
         self._clean()
 
     def _clean(self) -> None:
@@ -116,94 +150,216 @@ class VersionedTable(_Folder):
                 self.delete(f"data/{v}")
 
 
-def fold_batch(table: VersionedTable, events: DataFrame, version: int, on_conflict: str = "replace") -> None:
+def _looked_at(table: VersionedTable, events: DataFrame, base: DataFrame, max_length: int) -> Row:
+    """What a table's events hold (``holdings``), the first misfit, and the buckets they touch: one job."""
+    schema, keys = base.schema, resolve(base.schema, table.keys)
+    conformed = conform_events(events, schema)
+    reason = F.nullif(misfit_reason(schema, keys, max_length), F.lit(""))
+    keyed = with_keys(conformed.withColumn("_reason", reason), schema, keys, max_length)
+    buckets = F.collect_set(F.when(F.col("kind").isin("insert", "update", "delete"), table.bucket_of(F.col("row_key"))))
+    moved_to = F.collect_set(F.when(F.col("kind") == "update", table.bucket_of(F.col("to_key"))))
+    # At most as many entries as the table has buckets.
+    return keyed.agg(*holdings(keys), F.min("_reason").alias("misfit"), F.array_union(buckets, moved_to).alias("touched")).first()
+
+
+def fold_batch(table: VersionedTable, events: DataFrame, version: int, on_conflict: str = "replace", max_length: int = 0, looked_at: Row | None = None) -> None:
     """The next version of a table, from the events of one batch; only buckets that hold a touched key are read and written."""
     if version in table.versions():
         return
     base = table.read(before=version)
-    if events.filter("kind = 'truncate'").isEmpty():
-        keyed = event_keys(events.filter(F.col("kind").isin("insert", "update", "delete")), base.schema, table.keys)
-        touched = keyed.select(F.explode(F.array("row_key", "to_key")).alias("text")).select(table.bucket_of(F.col("text")).alias("bucket")).distinct()
-        touched = [r.bucket for r in touched.collect()]
-        table.write(apply_changes(table.read(before=version, buckets=touched), events, table.keys, on_conflict), version, touched)
+    held = looked_at or _looked_at(table, events, base, max_length)
+    if held.truncates:
+        table.write(apply_changes(base, events, table.keys, on_conflict, max_length, held), version)
     else:
-        table.write(apply_changes(base, events, table.keys, on_conflict), version)
+        table.write(apply_changes(table.read(before=version, buckets=held.touched), events, table.keys, on_conflict, max_length, held), version, held.touched)
+
 
+def _in_pools(spark: SparkSession, parallel: int, work: Callable[[str], object], names: Iterable[str]) -> dict:
+    """``work`` for each name by a bounded number of threads, each of which has a scheduler pool of its own; the first error is raised once all have ended."""
+    context = spark.sparkContext
+    inherited = {k: context.getLocalProperty(k) for k in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel")}
 
-def apply_batch(tables: dict[str, VersionedTable], state: str, on_conflict: str = "replace", inventory: DataFrame | None = None, max_held: int = 10) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that folds each batch's events into the next version of each of the tables.
+    def run(place: int, name: str) -> object:
+        for k, v in inherited.items():
+            context.setLocalProperty(k, v)
+        context.setLocalProperty("spark.scheduler.pool", f"ledgerline-{place % parallel}")
+        try:
+            return work(name)
+        finally:
+            context.setLocalProperty("spark.scheduler.pool", None)
+
+    with ThreadPoolExecutor(max_workers=parallel) as threads:
+        tasks = {name: threads.submit(run, k, name) for k, name in enumerate(names)}
+    return {name: task.result() for name, task in tasks.items()}
+
+
+def apply_batch(
+    tables: dict[str, VersionedTable], state: str, on_conflict: str = "replace", inventory: DataFrame | None = None, max_held: int = 10, parallel: int = 4, max_length: int = 0
+) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that folds each batch's events into the next version of each table that they touch.
 
-    tables are by lower-case name, with or without its schema. Structural errors, and values that do not fit
-    their column, stop the stream before the batch is committed. Events of tables outside of the inventory
-    are held back in the folder ``state``, which outlives the process, and are tried again with each batch;
-    those that have waited for max_held batches stop it as well. Events of tables in the inventory that are
-    not among ``tables`` are not applied.
+    tables are by lower-case name, with or without its schema. The batch is stored once, in a folder for each table, so what a table costs depends
+    on its own events; tables without events are not looked at and get no version. ``parallel`` tables are folded at a time, each in a scheduler pool
+    of its own. Structural errors, values that do not fit their column, columns that a table does not have, and key columns without a value stop the
+    stream before any table of the batch is written. Events of tables outside of the inventory are held back in the folder ``state``, which outlives the
+    process, and are tried again with each batch; those that have waited for max_held batches stop it as well. Events of tables in the inventory that
+    are not among ``tables`` are not applied, but counted: each batch leaves a line of counters in ``state`` (``counters``), which are taken from
+    the stored batch and so count each event once, whatever tasks run again.
     """
+    names = list(tables)
+    targets = F.create_map(*[x for k, name in enumerate(names) for x in (F.lit(name.lower()), F.lit(k))]) if tables else F.create_map().cast("map<string,int>")
+    to = F.coalesce(targets[F.lower(F.concat_ws(".", "schema", "table"))], targets[F.lower("table")], F.lit(UNLISTED))
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
+        spark, started, version = batch.sparkSession, time.time(), batch_id + 1
         folder = _Folder(spark, state)
-        events = drop_internal(batch).withColumn("_held_since", F.lit(batch_id).cast("long"))
+        events = batch.withColumn("_held_since", F.lit(batch_id).cast("long"))
         earlier = [n for n in folder.numbers("held") if n < batch_id]
         if earlier:
             events = events.unionByName(spark.read.schema(events.schema).parquet(f"{folder.root}/held/{earlier[-1]}"))
-        events = events.persist()
-        try:
-            good, rejects = reject_structural(events)
-            _stop(rejects, batch_id)
-            if inventory is not None:
-                good = _hold(folder, good, inventory, batch_id, max_held)
-            good = good.drop("_held_since")
-            parts = {}
-            for name, table in tables.items():
-                own = good.filter((F.lower("table") == name) | (F.lower(F.concat_ws(".", "schema", "table")) == name))
-                # A truncate takes no part in the check; it has no values.
-                _stop(reject_misfits(own, table.read().schema, table.keys)[1], batch_id)
-                parts[name] = own
-            for name, own in parts.items():
-                fold_batch(tables[name], own, batch_id + 1, on_conflict)
-        finally:
-            events.unpersist()
+        events = _sorted_out(folder, events, to, inventory, batch_id)
+        part = f"{folder.root}/_batch-{batch_id}"
+        events.write.mode("overwrite").partitionBy("_to").parquet(part)
+        schema = events.drop("_to").schema
+        new = F.col("_held_since") == batch_id
+        counts = spark.read.schema(events.schema).parquet(part).groupBy("_to").agg(F.count(F.lit(1)).alias("n"), F.count_if(new).alias("new"), F.max(F.when(new, F.struct("lsn", "ordinal"))).alias("position"))
+        # A row for each table that the batch touches.
+        there = {r["_to"]: r for r in counts.collect()}
+
+        def own(k: int) -> DataFrame:
+            return spark.read.schema(schema).parquet(f"{part}/_to={k}")
+
+        if FAILED in there:
+            first = own(FAILED).withColumn("reason", structural_reason()).first()
+            raise ValueError(f"batch {batch_id}: {first['reason']} in an event of {first['schema']}.{first['table']}")
+        if inventory is not None and batch_id not in folder.numbers("held"):
+            _hold(folder, own(HELD) if HELD in there else spark.createDataFrame([], schema), batch_id, max_held)
+        todo = [k for k in sorted(there) if k >= 0 and version not in tables[names[k]].versions()]
+        found = _in_pools(spark, parallel, lambda k: _looked_at(tables[names[k]], own(k), tables[names[k]].read(before=version), max_length), todo)
+        for k, looked_at in found.items():
+            if looked_at.misfit is not None:
+                raise ValueError(f"batch {batch_id}: {looked_at.misfit} in an event of {names[k]}")
+        _in_pools(spark, parallel, lambda k: fold_batch(tables[names[k]], own(k), version, on_conflict, max_length, found[k]), todo)
+        _count(folder, batch_id, started, there)
+        folder.delete(f"_batch-{batch_id}")
 
     return run
 
 
-def _stop(rejects: DataFrame, batch_id: int) -> None:
-    bad = rejects.limit(1).collect()
-    if bad:
-        raise ValueError(f"batch {batch_id}: {bad[0]['reason']} in an event of {bad[0]['schema']}.{bad[0]['table']}")
+#: Where events go that belong to none of the tables.
+FAILED, HELD, UNLISTED, RESERVED = -1, -2, -3, -4
+
+
+def _sorted_out(folder: _Folder, events: DataFrame, to: Column, inventory: DataFrame | None, batch_id: int) -> DataFrame:
+    """Events with ``_to``: the number of their table, or one of OTHERS. A batch that runs again holds back what it did, also if the inventory is another by then."""
+    to = F.when(F.lower("table").isin(*INTERNAL), RESERVED).when(structural_reason().isNotNull(), FAILED).when(F.col("_waits"), HELD).otherwise(to)
+    if inventory is None:
+        return events.withColumn("_waits", F.lit(False)).withColumn("_to", to).drop("_waits")
+    if batch_id in folder.numbers("held"):
+        held = folder.spark.read.schema(events.schema).parquet(f"{folder.root}/held/{batch_id}").select("lsn", "ordinal", F.lit(True).alias("_waits"))
+        marked = events.join(held, ["lsn", "ordinal"], "left").select(*events.columns, F.coalesce("_waits", F.lit(False)).alias("_waits"))
+    else:
+        known = inventory.select(F.lower("schema").alias("_s"), F.lower("table").alias("_t"), F.lit(False).alias("_waits")).distinct()
+        marked = events.join(known, (F.lower("schema") == F.col("_s")) & (F.lower("table") == F.col("_t")), "left").select(*events.columns, F.coalesce("_waits", F.lit(True)).alias("_waits"))
+    return marked.withColumn("_to", to).drop("_waits")
+
+
+def _hold(folder: _Folder, unknown: DataFrame, batch_id: int, max_held: int) -> None:
+    """Store the events that are held back for the next batch."""
+    first = unknown.agg(F.min("_held_since")).first()[0]
+    if first is not None and batch_id - first >= max_held:
+        raise ValueError(f"batch {batch_id}: events of an unknown table have waited for {max_held} batches")
+    unknown.write.mode("overwrite").parquet(f"{folder.root}/_held-{batch_id}")
+    folder.move(f"_held-{batch_id}", f"held/{batch_id}")
+    for k in folder.numbers("held"):
+        if k < batch_id - 1:
+            folder.delete(f"held/{k}")
+
+
+#: Sums over all batches: received from the stream, of these internal; applied, in the inventory but not among the tables, and held back, an event once a batch.
+COUNTS = ("received", "internal", "applied", "unlisted", "held")
+COUNTER_SCHEMA = "batch bigint, batches bigint, tables int, lsn bigint, ordinal int, first double, started double, updated double, " + ", ".join(f"{c} bigint" for c in COUNTS)
+#: Lines of counters that are kept, one for each batch.
+KEPT_LINES = 100
+
+
+def _count(folder: _Folder, batch_id: int, started: float, there: dict[int, Row]) -> None:
+    """The line of counters of a batch, which goes on from the line before it."""
+    before = [n for n in folder.numbers("counters") if n < batch_id]
+    last = json.loads(folder.get(f"counters/{before[-1]}")) if before else {}
+    lsn, ordinal = max((tuple(r["position"]) for r in there.values() if r["position"]), default=(last.get("lsn"), last.get("ordinal")))
+    here = {name: there[k]["n"] if k in there else 0 for k, name in ((RESERVED, "internal"), (UNLISTED, "unlisted"), (HELD, "held"))}
+    here |= {"received": sum(r["new"] for r in there.values()), "applied": sum(r["n"] for k, r in there.items() if k >= 0)}
+    line = {"batch": batch_id, "batches": last.get("batches", 0) + 1, "tables": sum(k >= 0 for k in there), "lsn": lsn, "ordinal": ordinal, "first": last.get("first", started), "started": started, "updated": time.time()}
+    folder.put(f"counters/{batch_id}", json.dumps(line | {c: last.get(c, 0) + here[c] for c in COUNTS}))
+    for n in before[: -KEPT_LINES + 1]:
+        folder.delete(f"counters/{n}")
+
+
+class Heartbeats(StreamingQueryListener):
+    """Writes a line for a query whenever it starts, makes progress, idles or ends, in place of the one before."""
+
+    def __init__(self, spark: SparkSession, state: str, name: str) -> None:
+        self.folder, self.name, self.id = _Folder(spark, state), name, None
+
+    def _beat(self, event: object, alive: bool = True, halted: bool = False) -> None:
+        if str(event.id) == self.id:
+            self.folder.put(f"beats/{event.runId}", json.dumps({"run": str(event.runId), "halted": halted, "process_alive": alive, "updated": time.time()}))
+
+    def onQueryStarted(self, event: object) -> None:
+        if event.name == self.name:
+            self.id = str(event.id)
+            self._beat(event)
+
+    def onQueryProgress(self, event: object) -> None:
+        self._beat(event.progress)
+
+    def onQueryIdle(self, event: object) -> None:
+        self._beat(event)
+
+    def onQueryTerminated(self, event: object) -> None:
+        self._beat(event, alive=False, halted=event.exception is not None)
+
+
+def counters(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """Lines of the last batches of a feed that ``start`` ran, COUNTER_SCHEMA."""
+    return spark.read.schema(COUNTER_SCHEMA).json(f"{_state(checkpoint)}/counters")
+
+
+def feed_metrics(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """``stream_metrics`` of a feed and its position: batches, lsn, ordinal, lag, events_per_second, uptime_seconds. No row before the first batch."""
+    last = counters(spark, checkpoint).agg(F.max_by(F.struct("*"), "batch").alias("c")).filter("c IS NOT NULL").select("c.*")
+    left = last.withColumn("applied", F.col("applied") + F.col("internal") + F.col("unlisted"))
+    told = left.select("batches", "lsn", "ordinal", "received", "applied", F.timestamp_seconds("first").alias("started"), F.timestamp_seconds("updated").alias("now"))
+    return stream_metrics(told, "batches", "lsn", "ordinal")
+
+
+def feed_state(spark: SparkSession, checkpoint: str, now: Column | None = None, stale_after: int = 30) -> DataFrame:
+    """``liveness`` of each run of a feed by the heartbeats of its query: run, halted, process_alive, updated, state."""
+    beats = spark.read.schema("run string, halted boolean, process_alive boolean, updated double").json(f"{_state(checkpoint)}/beats")
+    return liveness(beats.withColumn("updated", F.timestamp_seconds("updated")), now, stale_after)
 
 
-def _hold(folder: _Folder, events: DataFrame, inventory: DataFrame, batch_id: int, max_held: int) -> DataFrame:
-    """The events of known tables. What is held back is stored first, so a batch that runs again holds the same back."""
-    if batch_id not in folder.numbers("held"):
-        _, unknown = split_known_tables(events, inventory)
-        first = unknown.agg(F.min("_held_since")).first()[0]
-        if first is not None and batch_id - first >= max_held:
-            raise ValueError(f"batch {batch_id}: events of an unknown table have waited for {max_held} batches")
-        unknown.write.mode("overwrite").parquet(f"{folder.root}/_held-{batch_id}")
-        folder.move(f"_held-{batch_id}", f"held/{batch_id}")
-    for n in folder.numbers("held"):
-        if n < batch_id - 1:
-            folder.delete(f"held/{n}")
-    held = folder.spark.read.schema(events.schema).parquet(f"{folder.root}/held/{batch_id}").select("lsn", "ordinal")
-    return events.join(held, ["lsn", "ordinal"], "left_anti").select(*events.columns)
+def _state(checkpoint: str) -> str:
+    return f"{checkpoint.rstrip('/')}/ledgerline"
 
 
 def start(
-    events: DataFrame, tables: dict[str, VersionedTable], checkpoint: str, on_conflict: str = "replace", available_now: bool = False, interval: str = "5 seconds", inventory: DataFrame | None = None
+    events: DataFrame, tables: dict[str, VersionedTable], checkpoint: str, on_conflict: str = "replace", available_now: bool = False, interval: str = "5 seconds", inventory: DataFrame | None = None, parallel: int = 4, max_length: int = 0
 ) -> StreamingQuery:
-    """Run ``apply_batch`` over a stream; held events are kept beside its checkpoint. A table's version 0 is the snapshot that the feed continues."""
-    run = apply_batch(tables, f"{checkpoint.rstrip('/')}/ledgerline", on_conflict, inventory)
-    writer = events.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    """Run ``apply_batch`` over a stream; held events, counters and heartbeats are kept beside its checkpoint. A table's version 0 is the snapshot that the feed continues."""
+    spark, name = events.sparkSession, f"ledgerline-{uuid.uuid4().hex}"
+    run = apply_batch(tables, _state(checkpoint), on_conflict, inventory, parallel=parallel, max_length=max_length)
+    spark.streams.addListener(Heartbeats(spark, _state(checkpoint), name))
+    writer = events.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).queryName(name)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)).start()
 
 
-def stream_metrics(progress: DataFrame) -> DataFrame:
-    """lag (received less applied, at least 0), events_per_second and uptime_seconds from counters (received, applied, started, now)."""
+def stream_metrics(progress: DataFrame, *more: str) -> DataFrame:
+    """lag (received less applied, at least 0), events_per_second and uptime_seconds from counters (received, applied, started, now), and the columns ``more``."""
     seconds = F.col("now").cast("double") - F.col("started").cast("double")
     return progress.select(
-        F.greatest(F.col("received") - F.col("applied"), F.lit(0)).alias("lag"), F.try_divide(F.col("applied").cast("double"), seconds).alias("events_per_second"), seconds.alias("uptime_seconds")
+        *more, F.greatest(F.col("received") - F.col("applied"), F.lit(0)).alias("lag"), F.try_divide(F.col("applied").cast("double"), seconds).alias("events_per_second"), seconds.alias("uptime_seconds")
     )
 
 

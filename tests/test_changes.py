@@ -231,12 +231,13 @@ def test_unknown_tables_wait_and_bad_events_stop(spark, tmp_path):
     # A batch that runs again changes nothing, also if the inventory is another by then.
     feed.apply_batch({"users": table}, held, inventory=known)(row.limit(0), 2)
     later(row.limit(0), 3)
-    assert state(table.read()) == [(1, "late", "b")] and table.versions() == [3, 4]
+    # Batches without events of the table make no version of it.
+    assert state(table.read()) == [(1, "late", "b")] and table.versions() == [0, 3]
     with pytest.raises(ValueError, match="no key"):
         later(events(spark, [("update", [cell("name", "x")], None)]), 4)
     with pytest.raises(ValueError, match="does not fit: id"):
         later(events(spark, [("insert", [cell("id", "one", True)], None)]), 4)
-    assert table.versions()[-1] == 4
+    assert table.versions()[-1] == 3
     other = feed.apply_batch({"users": table}, held, inventory=known, max_held=3)
     other(row, 5)
     with pytest.raises(ValueError, match="waited"):
