@@ -320,9 +320,30 @@ def _timeline(rows: DataFrame, events: DataFrame) -> DataFrame:
         .union(events.select(F.col("row_key").alias("key"), "own", "at", kind, "new", "set_cols"))
         .union(events.filter(move).select(F.col("to_key").alias("key"), F.col("to").alias("own"), "at", F.lit("in").alias("kind"), "new", "set_cols"))
     )
-    numbered = stored(steps.withColumn("id", F.monotonically_increasing_id()))
-    earlier = Window.partitionBy("key").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    return stored(numbered.withColumn("prev", F.last(F.when(F.col("kind") != "set", F.col("id")), ignorenulls=True).over(earlier)))
+    return stored(with_previous(steps).select("id", *steps.columns, "prev"))
+
+
+def with_previous(steps: DataFrame) -> DataFrame:
+    """Steps (key, at, kind and more) with ``id``, ``part``, and ``prev``: the id of the key's last step before that is no plain update.
+
+    A prefix scan in two levels: steps are dealt out by ranges of key and position, so that a key with very many steps lies in
+    many parts. Within a part a window looks back; what lies before the part is told by the parts' last steps, of which there
+    is one a part.
+    """
+    ordered = steps.repartitionByRange("key", "at").sortWithinPartitions("key", "at").withColumn("id", F.monotonically_increasing_id())
+    # Stored, as ranges are cut by a sample: planned twice they would be cut in two ways.
+    rows = stored(ordered.withColumn("part", F.shiftright("id", 33)))
+    within = Window.partitionBy("part", "key").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    end = F.col("kind") != "set"
+    parts = rows.groupBy("part").agg(F.min_by("key", "id").alias("head"), F.max_by("key", "id").alias("tail"), F.max(F.when(end, F.struct("id", "key"))).alias("end"))
+    tails = parts.select("part", F.col("tail").alias("key"), F.when(F.col("end.key") == F.col("tail"), F.col("end.id")).alias("left"), F.lit(1).alias("place"))
+    heads = parts.select("part", F.col("head").alias("key"), F.lit(None).cast("bigint").alias("left"), F.lit(0).alias("place"))
+    before = Window.partitionBy("key").orderBy("part", "place").rowsBetween(Window.unboundedPreceding, -1)
+    carried = heads.unionByName(tails).withColumn("carried", F.last("left", ignorenulls=True).over(before)).filter("place = 0 AND carried IS NOT NULL")
+    looked = rows.withColumn("prev", F.last(F.when(end, F.col("id")), ignorenulls=True).over(within))
+    # A row a part.
+    both = looked.join(F.broadcast(carried.select("part", "key", "carried")), ["part", "key"], "left")
+    return both.withColumn("prev", F.coalesce("prev", "carried")).drop("carried")
 
 
 def _alive(steps: DataFrame, moved: DataFrame) -> DataFrame:

@@ -272,6 +272,44 @@ def test_many_tables_moves_and_files_that_stay(spark, tmp_path):
     assert state(table.read()) == [] and state(tables["public.shops"].read()) == replay_moves(base, all_rows["shops"], "replace")
 
 
+def test_a_hot_moved_key_lies_in_many_parts(spark):
+    rng = random.Random(9)
+    rows = [("hot", k, 0, rng.choice(["set"] * 30 + ["insert", "out"])) for k in range(6000)] + [("hot", 10_000 + k, 0, "set") for k in range(3000)] + [(f"k{rng.randrange(40)}", k, 1, rng.choice(["set", "set", "delete"])) for k in range(1000)]
+    steps = spark.createDataFrame(rows, "key string, lsn long, ordinal int, kind string").select("key", F.struct("lsn", "ordinal").alias("at"), "kind")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = ch.with_previous(steps).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    ids = {(r.key, r["at"]["lsn"], r["at"]["ordinal"]): r.id for r in got}
+    last, expected = {}, {}
+    for key, lsn, ordinal, kind in sorted(rows):
+        expected[key, lsn, ordinal] = last.get(key)
+        if kind != "set":
+            last[key] = ids[key, lsn, ordinal]
+    assert {(r.key, r["at"]["lsn"], r["at"]["ordinal"]): r.prev for r in got} == expected
+    sizes = {}
+    for r in got:
+        sizes[r.part] = sizes.get(r.part, 0) + 1
+    assert len(sizes) > 8 and max(sizes.values()) < 3 * len(rows) / 16
+    assert sum(r.key == "hot" for r in got) == 9000 and len({r.part for r in got if r.key == "hot"}) > 8
+
+
+def test_moves_of_a_key_with_many_events_against_replay(spark):
+    rng = random.Random(11)
+    rows = []
+    for k in range(400):
+        rows.append(("update", [cell("id", "1", True), cell("name", f"n{k}")], None))
+        if k % 97 == 5:
+            rows += [move(1, 2), move(2, 1)]
+    rows += [move(rng.randrange(4), rng.randrange(4), email=f"e{k}") for k in range(20)]
+    base = [(1, "a", "b"), (3, "c", "d")]
+    assert apply(spark, base, rows) == replay_moves(base, rows, "replace")
+
+
 def test_monitoring(spark):
     beats = spark.sql(
         "SELECT * FROM VALUES (false, true, TIMESTAMP'2024-01-01 00:00:50'), (false, true, TIMESTAMP'2024-01-01 00:00:10'), (false, false, TIMESTAMP'2024-01-01 00:00:50'), (true, true, TIMESTAMP'2024-01-01 00:00:00'), (false, true, NULL) AS t(halted, process_alive, updated)"
