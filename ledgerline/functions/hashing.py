@@ -61,6 +61,12 @@ def row_hash(df: DataFrame, columns: list[str] | None = None, style: str = "safe
     return F.md5(F.concat_ws("|", *parts))
 
 
+def column_texts(df: DataFrame, columns: list[str], trim: set[str], compat: bool = True, float_digits: int | None = None) -> list[Column]:
+    """The canonical texts that ``row_hash`` takes of the columns, NULL as NULL."""
+    fields = {f.name.lower(): f.name for f in df.schema.fields}
+    return [F.when(df[fields[n.lower()]].isNotNull(), t) for n, t in zip(columns, _texts(df, columns, trim, compat, float_digits))]
+
+
 def row_key(df: DataFrame, keys: list[str]) -> Column:
     """Canonical text of a key, its parts joined by U+001F."""
     return F.concat_ws("\x1f", *_texts(df, keys, set(), True, None))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerline import fixtures as fx
 from ledgerline import functions as cn
-from ledgerline.operators import chunks, compare, digests, profile, ranges, sampling
+from ledgerline.operators import chunks, compare, digests, pairing, profile, ranges, sampling
 from ledgerline.plans import report
 from ledgerline.plans.validate import validate
 from ledgerline.sources import tables as src
@@ -177,6 +177,26 @@ NEAR_ORDERS = """
 """
 
 
+_OTHERS = "l_linenumber, l_linestatus, l_orderkey, l_partkey, l_shipdate, l_suppkey"
+
+
+@query(
+    f"""
+    WITH s AS (SELECT {LINE_HASH} AS h, count(*) AS n, any_value(l_returnflag) AS flag, any_value(row({_OTHERS})) AS others FROM lineitem GROUP BY 1),
+    t AS (SELECT {LINE_HASH} AS h, count(*) AS n, any_value(l_returnflag) AS flag, any_value(row({_OTHERS})) AS others FROM {LINEITEM_TARGET} GROUP BY 1),
+    a AS (SELECT s.h, s.n - coalesce(t.n, 0) AS n, s.flag, s.others FROM s LEFT JOIN t ON s.h = t.h WHERE s.n > coalesce(t.n, 0)),
+    b AS (SELECT t.h, t.n - coalesce(s.n, 0) AS n, t.flag, t.others FROM t LEFT JOIN s ON s.h = t.h WHERE t.n > coalesce(s.n, 0)),
+    pairs AS (SELECT a.h AS source_h, b.h AS target_h, 'l_returnflag' AS column_name, a.flag AS source_value, b.flag AS target_value, least(a.n, b.n) AS n, a.n AS x, b.n AS y FROM a JOIN b USING (others))
+    SELECT source_h, target_h, column_name, source_value, target_value, n FROM pairs
+    UNION ALL SELECT h, NULL, NULL, NULL, NULL, a.n - coalesce(p.n, 0) FROM a LEFT JOIN pairs p ON h = source_h WHERE a.n > coalesce(p.n, 0)
+    UNION ALL SELECT NULL, h, NULL, NULL, NULL, b.n - coalesce(p.n, 0) FROM b LEFT JOIN pairs p ON h = target_h WHERE b.n > coalesce(p.n, 0)
+    """
+)
+def row_changes_lineitem(spark, sf_dir):
+    """Rows of a table taken as one without a key: which changed, in which column, and which came or went."""
+    return pairing.row_changes(*fx.drifted_lineitem(spark, sf_dir), **COMPAT)
+
+
 @query(_ranged("orders", NEAR_ORDERS, "o_orderkey", ORDER_HASH, 100))
 def range_checksum_diff_orders(spark, sf_dir):
     """A row more in front marks its own range; ranges of 100 rows, descended to in steps of eight."""
