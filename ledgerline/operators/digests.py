@@ -46,7 +46,16 @@ def table_digest(df: DataFrame, exact: bool = False, buckets: int = 4096, **opti
     rows = hashed(df, **options)
     if exact:
         return rows.agg(F.count(F.lit(1)).alias("n_rows"), list_digest(F.col("h")).alias("digest"))
-    parts = rows.groupBy(hash_bucket("h", buckets).alias("bucket")).agg(*hash_sums())
+    return digest_of(rows.groupBy(hash_bucket("h", buckets).alias("bucket")).agg(*hash_sums()))
+
+
+def digest_sums(df: DataFrame, buckets: int = 4096, **options) -> DataFrame:
+    """bucket, n, s1, s2, s3: what ``table_digest`` is made of. Sums of two tables add up to those of both together."""
+    return hashed(df, **options).groupBy(hash_bucket("h", buckets).alias("bucket")).agg(*hash_sums())
+
+
+def digest_of(parts: DataFrame) -> DataFrame:
+    """One row, n_rows and digest, from the sums of all buckets."""
     return parts.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),
         F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("bucket", sums_line().alias("line")))), lambda x: x["line"]), ",")).alias("digest"),

@@ -13,7 +13,9 @@ from ledgerline.operators import chunks, compare, digests, pairing, profile, ran
 from ledgerline.plans import report
 from ledgerline.plans.validate import validate
 from ledgerline.sources import tables as src
+from ledgerline.session import scratch
 from ledgerline.streaming import changes as ch
+from ledgerline.streaming.feed import VersionedTable, fold_batch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -155,6 +157,22 @@ def chunk_checksum_diff_orders(spark, sf_dir):
     return compare.chunk_checksum_diff(*fx.drifted_orders(spark, sf_dir), keys=["o_orderkey"], chunk_rows=1000, **COMPAT)
 
 
+def _apply_sql(strategy: str) -> str:
+    """The end state of the order feed, written down case by case."""
+    over = {
+        "replace": "o_orderkey, NULL, 'N', NULL, NULL, '9-NEW'",
+        "upsert": "o_orderkey, o_custkey, 'N', o_totalprice, o_orderdate, '9-NEW'",
+        "insert_ignore": "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, '9-NEW'",
+    }["insert_ignore" if strategy == "skip" else strategy]
+    return f"""
+        SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 10 = 1 THEN 'U' ELSE o_orderstatus END AS o_orderstatus, o_totalprice, o_orderdate, o_orderpriority
+        FROM orders WHERE o_orderkey % 10 NOT IN (2, 4, 6, 7)
+        UNION ALL SELECT o_orderkey + 1000000, o_custkey, 'I', o_totalprice, o_orderdate, NULL FROM orders WHERE o_orderkey % 10 = 3
+        UNION ALL SELECT {over} FROM orders WHERE o_orderkey % 10 = 6
+        UNION ALL SELECT o_orderkey, NULL, 'R', 1.5, NULL, NULL FROM orders WHERE o_orderkey % 10 = 7
+    """
+
+
 def _ranged(source: str, target: str, keys: str, h: str, rows: int) -> str:
     """Key ranges that differ: borders are every so many rows of the source."""
     return f"""
@@ -370,22 +388,6 @@ def conform_rejects_orders(spark, sf_dir):
     return profile.conform(df, {"o_totalprice": "decimal(12,1)"})[1].select("o_orderkey", "bad_columns")
 
 
-def _apply_sql(strategy: str) -> str:
-    """The end state of the order feed, written down case by case."""
-    over = {
-        "replace": "o_orderkey, NULL, 'N', NULL, NULL, '9-NEW'",
-        "upsert": "o_orderkey, o_custkey, 'N', o_totalprice, o_orderdate, '9-NEW'",
-        "insert_ignore": "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, '9-NEW'",
-    }["insert_ignore" if strategy == "skip" else strategy]
-    return f"""
-        SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 10 = 1 THEN 'U' ELSE o_orderstatus END AS o_orderstatus, o_totalprice, o_orderdate, o_orderpriority
-        FROM orders WHERE o_orderkey % 10 NOT IN (2, 4, 6, 7)
-        UNION ALL SELECT o_orderkey + 1000000, o_custkey, 'I', o_totalprice, o_orderdate, NULL FROM orders WHERE o_orderkey % 10 = 3
-        UNION ALL SELECT {over} FROM orders WHERE o_orderkey % 10 = 6
-        UNION ALL SELECT o_orderkey, NULL, 'R', 1.5, NULL, NULL FROM orders WHERE o_orderkey % 10 = 7
-    """
-
-
 def _apply(strategy: str) -> Query:
     def run(spark, sf_dir):
         return ch.apply_changes(fx.table(spark, sf_dir, "orders"), fx.order_feed(spark, sf_dir), ["o_orderkey"], strategy)
@@ -749,6 +751,23 @@ def table_digest_two_level_lineitem(spark, sf_dir):
     return digests.table_digest(fx.table(spark, sf_dir, "lineitem"), **COMPAT)
 
 
+_STATE_HASH = ORDER_HASH.replace("strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')", "coalesce(strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), '\\N')")
+for _column in ("o_custkey", "o_orderpriority", "o_orderstatus"):
+    _STATE_HASH = _STATE_HASH.replace(_column, f"coalesce({_column}::VARCHAR, '\\N')")
+
+
+@query(f"SELECT sum(n)::BIGINT AS n_rows, md5(string_agg(line, ',' ORDER BY bucket)) AS digest FROM {_sums(4096, f'({_apply_sql("replace")})').replace(LINE_HASH, _STATE_HASH)}")
+def version_digest_orders(spark, sf_dir):
+    """The digest that a versioned table carries after the order feed in three batches; its rows are not read for it."""
+    table = VersionedTable(spark, scratch(spark, "versions"), ["o_orderkey"], buckets=16, digests=COMPAT)
+    base, feed = fx.table(spark, sf_dir, "orders"), fx.order_feed(spark, sf_dir)
+    table.write(base, 0)
+    third = base.agg(F.max("o_orderkey")).first()[0] * 10 // 3
+    for k in range(3):
+        fold_batch(table, feed.filter((F.col("lsn") > (k * third if k else -1)) & (F.col("lsn") <= (k + 1) * third if k < 2 else F.lit(True))), k + 1)
+    return table.digest()
+
+
 @query(f"SELECT bucket, n AS n_rows, md5(line) AS digest FROM {_sums(100)}")
 def bucket_sums_lineitem(spark, sf_dir):
     return digests.bucket_digests(fx.table(spark, sf_dir, "lineitem"), **COMPAT)

@@ -41,6 +41,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the checkpoint folder, whose files are deleted when the application ends."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{label}-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(hadoop)
+    files.deleteOnExit(hadoop)
+    return path
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the checkpoint folder and read back; deleted when the application ends.
 

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
+from ledgerline.operators.digests import digest_of, digest_sums
 from ledgerline.streaming.changes import (
     INTERNAL,
     RAW_SCHEMA,
@@ -87,6 +88,10 @@ class _Folder:
             fs.delete(path, True)
 
 
+#: Types of stored sums of row hashes.
+SUM_TYPES = {"n": "bigint", "s1": "decimal(38,0)", "s2": "decimal(38,0)", "s3": "decimal(38,0)"}
+
+
 class VersionedTable(_Folder):
     """A Parquet table in hash buckets of its key. A version writes the buckets it changes and lists all.
 
@@ -94,11 +99,14 @@ class VersionedTable(_Folder):
     version. A version that is listed is never written again, so a batch that runs again counts once. The
     last ``keep`` versions stay readable; older files are deleted. The number of buckets is fixed when the
     table is made and bounds both the list and the files of a batch.
+
+    With ``digests``, the options of row hashes (``{}`` for none), each version carries the order-free sums of its row hashes, so that ``digest`` is that of
+    ``table_digest`` without a scan. A batch takes the old rows of the buckets it touches out of the sums, and adds the new ones.
     """
 
-    def __init__(self, spark: SparkSession, root: str, keys: list[str], buckets: int = 64, keep: int = 2) -> None:
+    def __init__(self, spark: SparkSession, root: str, keys: list[str], buckets: int = 64, keep: int = 2, digests: dict | None = None) -> None:
         super().__init__(spark, root)
-        self.keys, self.buckets, self.keep = list(keys), buckets, keep
+        self.keys, self.buckets, self.keep, self.digests = list(keys), buckets, keep, digests
 
     def bucket_of(self, text: Column) -> Column:
         return F.pmod(F.xxhash64(text), F.lit(self.buckets)).cast("int")
@@ -115,10 +123,7 @@ class VersionedTable(_Folder):
         known = [v for v in self.versions() if before is None or v < before]
         if not known:
             return None
-        listed = self._listed(known[-1])
-        schema = T.StructType.fromJson(listed["schema"])
-        paths = [f"{self.root}/data/{v}/_bucket={b}" for b, v in listed["buckets"].items() if buckets is None or int(b) in buckets]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        return self._rows(self._listed(known[-1]), buckets)
 
     def write(self, df: DataFrame, version: int, touched: list[int] | None = None) -> None:
         """Store a version: all rows, or those of the buckets ``touched``, while the others stay as they are."""
@@ -130,15 +135,48 @@ class VersionedTable(_Folder):
         there = self._listed(older[-1])["buckets"] if older and touched is not None else {}
         there = {b: v for b, v in there.items() if int(b) not in touched}
         there |= {n.partition("=")[2]: version for n in self.names(f"data/{version}") if n.startswith("_bucket=")}
-        self.put(f"versions/{version}", json.dumps({"schema": schema, "buckets": there}))
+        listed = {"schema": schema, "buckets": there}
+        if self.digests is not None:
+            self._write_sums(df.schema, version, older[-1] if older else None, touched, listed)
+        self.put(f"versions/{version}", json.dumps(listed))
         self._clean()
 
+    def _rows(self, listed: dict, buckets: list[int] | None = None) -> DataFrame:
+        schema = T.StructType.fromJson(listed["schema"])
+        paths = [f"{self.root}/data/{v}/_bucket={b}" for b, v in listed["buckets"].items() if buckets is None or int(b) in buckets]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def _write_sums(self, schema: T.StructType, version: int, before: int | None, touched: list[int] | None, listed: dict) -> None:
+        old = self._listed(before) if before is not None else None
+        listed["digests"] = self.digests
+        goes_on = old is not None and touched is not None and old.get("digests") == self.digests and old["schema"] == schema.jsonValue()
+        sums = digest_sums(self._rows(listed, touched if goes_on else None), **self.digests)
+        if goes_on:
+            out = digest_sums(self._rows(old, touched), **self.digests)
+            signed = out.select("bucket", *[(-F.col(c)).alias(c) for c in ("n", "s1", "s2", "s3")])
+            both = self._sums(before).unionByName(sums.select(*self._sums(before).columns)).unionByName(signed)
+            sums = both.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("n", "s1", "s2", "s3")]).filter("n <> 0")
+        # A row for each bucket of hashes, however large the table.
+        kept = sums.select("bucket", *[F.col(c).cast(k).alias(c) for c, k in SUM_TYPES.items()]).coalesce(1)
+        kept.write.mode("overwrite").parquet(f"{self.root}/digests/{version}")
+
+    def _sums(self, version: int) -> DataFrame:
+        return self.spark.read.schema("bucket bigint, " + ", ".join(f"{c} {k}" for c, k in SUM_TYPES.items())).parquet(f"{self.root}/digests/{version}")
+
+    def digest(self, version: int | None = None) -> DataFrame:
+        """n_rows and digest of a version, the latest if none is named, from its sums alone."""
+        known = [v for v in self.versions() if "digests" in self._listed(v) and version in (None, v)]
+        if not known:
+            raise ValueError(f"no digest of version {version} of {self.root}")
+        return digest_of(self._sums(known[-1]))
+
     def _clean(self) -> None:
         versions = self.versions()
         kept = versions[-self.keep :]
         used = {(str(v), f"_bucket={b}") for k in kept for b, v in self._listed(k)["buckets"].items()}
         for v in versions[: -self.keep]:
             self.delete(f"versions/{v}")
+            self.delete(f"digests/{v}")
         for v in self.names("data"):
             if int(v) > kept[-1]:
                 continue

@@ -1,6 +1,7 @@
 """Feeds of many tables: what a batch costs, what it counts, and what monitoring finds."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -107,3 +108,32 @@ def test_metrics_and_liveness_of_a_run(spark, tmp_path):
     assert feed.counters(spark, checkpoint).count() == 1
     later = F.timestamp_seconds(F.lit(4_000_000_000))
     assert "stale" in [r.state for r in feed.feed_state(spark, checkpoint, later).collect()]
+
+
+def test_digests_of_versions_equal_those_of_the_whole(spark, tmp_path):
+    from ledgerline.operators.digests import table_digest
+
+    table = feed.VersionedTable(spark, str(tmp_path / "t"), ["id"], buckets=4, digests={})
+    table.write(spark.createDataFrame([(k, f"n{k}") for k in range(30)], BASE), 0)
+    run = feed.apply_batch({"t": table}, str(tmp_path / "state"))
+    rng = random.Random(4)
+    assert table.digest().collect() == table_digest(table.read()).collect()
+    for n in range(4):
+        rows = []
+        for k in range(6):
+            row = update(10 * n + k, "t", rng.randrange(40), rng.choice(["x", "y"]))
+            kind = rng.choice(["insert", "update", "delete"])
+            rows.append((*row[:3], kind, *row[4:6], None, row[6][:1], None) if kind == "delete" else (*row[:3], kind, *row[4:]))
+        run(batch(spark, rows), n)
+        assert table.digest().collect() == table_digest(table.read()).collect()
+    run(batch(spark, [(90, 0, None, "truncate", "public", "t", None, None, None)]), 4)
+    assert [r.n_rows for r in table.digest().collect()] == [0] and table.digest().collect() == table_digest(table.read()).collect()
+    run(batch(spark, [(*update(91, "t", 5, "z")[:3], "insert", *update(91, "t", 5, "z")[4:])]), 5)
+    assert table.digest().collect() == table_digest(table.read()).collect()
+    assert sorted(p.name for p in (tmp_path / "t" / "digests").iterdir()) == ["5", "6"]
+    with pytest.raises(ValueError, match="no digest"):
+        table.digest(1)
+    # Other options, or another schema, begin anew.
+    other = feed.VersionedTable(spark, str(tmp_path / "t"), ["id"], buckets=4, digests={"style": "compat"})
+    feed.fold_batch(other, batch(spark, [update(99, "t", 5, "w")]), 9)
+    assert other.digest().collect() == table_digest(other.read(), style="compat").collect()
