@@ -4,10 +4,11 @@ A page is cut into flat text blocks. Each is described by its word count, its li
 is a heading, and by the same of the blocks before and after it; marks of the page's author (element and
 class names) are no features. A decision tree, trained on the small labelled table below, tells blocks of
 running text from the rest. Then the blocks vote: every element of the page sums the words the tree takes
-less those it does not, and the element with the largest sum holds the article. If the element is marked as
-the article, or nearly all of its words were taken, all of it is kept, so that short lines, lists of links
-and formulas inside an article stay; else each block stands for itself. Elements marked as furniture
-(menus, forms, comments and so on) are left out of the article, and vote against what holds them. Pages
+less those it does not, and the element with the largest sum holds the article. If nearly all of its words were taken, all of
+it is kept, so that short lines, lists of links and formulas inside an article stay; else each block stands for itself.
+Marks have no say in this: no element counts as the article by its name, and blocks in what may be furniture (navigation, headers, footers,
+menus) vote like others and stay where the tree takes them, but not for the sake of the rest; of elements with equal votes the one with less of it is chosen. Only what may read like an article's own text, which are
+forms, sidebars, notices, adverts and readers' comments, is left out by its marks, and votes against what holds it. Pages
 are independent, so there is no shuffle.
 """
 
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm.batches import texts
 
-FURNITURE, PLAIN, MAIN = -1, 0, 1
+#: What marks say of an element: nothing, that it may be furniture, or that it is some that may read like an article (adverts, notices, comments, sidebars, forms).
+PLAIN, SUSPECT, FURNITURE = 0, 1, 2
 
 #: Labelled blocks in page order, a line for each page. A block is its words, "/" and its linked words if it
 #: has any, "h" if it is a heading; "+" marks running text of the article.
@@ -66,6 +68,12 @@ LABELLED = """
 1/1 2/2 3/3 +60 +60 +60 2/2 1/1
 1/1 1/1 3/3 +35 +1 +2 +44 4/4 3/3
 5/5 4/4 6/6 5/5 7/7
+1/1 1/1 +6h +60 +3h +45 +80 +2h +70 +12 8/2
+2/2 1/1 3/3 +9h +25 +60 +1h +60 +4h +20 +60 2/2 1/1
+3/3 1/1 +1h +60 +1h +20 +60 5/2 1/1
++8h +40/3 +2h +15 +5h +90 +30 +3h +4 +65 1/1 3/3
+1/1 2/2 +5h +110 +4h +6 +3 +50 +2h +25 +140 +9 2h 4/4 5/5 3/3
+2/2 2/2 +7h +3h +35 +60 +2h +55 +4h +75/4 3h 8/8 7/7 2/2
 1/1 1/1 9h 2/2 3/3 2/2 8h 4/4 3/3
 6/6 3h 12/12 10/10 9/9 4
 """
@@ -76,17 +84,19 @@ RAW = frozenset("script style textarea title xmp".split())
 DROPPED = frozenset("head noscript template svg iframe object canvas audio video select button datalist".split())
 INLINE = frozenset("math mi mn mo mrow ms mtext msup msub mfrac msqrt mover munder a abbr acronym b bdi bdo big br cite code del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 HEAD_TAGS = frozenset("head title meta link style script base noscript template".split())
-FURNITURE_TAGS = frozenset("nav header footer aside form menu dialog".split())
-MAIN_TAGS = frozenset("article main".split())
+SUSPECT_TAGS = frozenset("nav header footer".split())
+FURNITURE_TAGS = frozenset("aside form menu dialog".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that hold one block, and so are no candidates for the article.
 LEAF_TAGS = HEADINGS | frozenset("address blockquote caption dd dt figcaption li p pre th".split())
-#: Parts of class names and ids, and roles.
+#: Words of class names and ids, and roles. A name counts if it has one of these words and else only words of layout.
 FURNITURE_NAMES = frozenset(
-    "ad ads adv advert advertisement adverts alert banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer gdpr header legal login masthead menu modal nav navbar navigation newsletter notice notification pager pagination popup promo promotion related replies reply search share sharing sidebar signup social sponsor sponsored subscribe teaser toolbar widget".split()
+    "ad ads adv advert advertisement adverts alert comment comments consent cookie cookies disqus gdpr modal newsletter notice notification popup promo promotion replies reply sidebar sponsor sponsored subscribe".split()
 )
-MAIN_NAMES = frozenset("article content entry main post story".split())
-FURNITURE_ROLES = frozenset("banner complementary contentinfo dialog form menu menubar navigation search alert".split())
+SUSPECT_NAMES = frozenset("banner breadcrumb breadcrumbs copyright footer header legal login masthead menu nav navbar navigation pager pagination related search share sharing signup social teaser toolbar widget".split())
+LAYOUT_NAMES = frozenset("area bar block body bottom box buttons col column container content fixed global group inner item items left link links list main outer page panel post posts primary right row section secondary site slot top unit wrap wrapper".split())
+FURNITURE_ROLES = frozenset("complementary dialog form menu menubar search alert".split())
+SUSPECT_ROLES = frozenset("banner contentinfo navigation".split())
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"<]*+"|'[^'<]*+'|["'])*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -94,27 +104,29 @@ NAME = re.compile(r"[A-Za-z]+")
 DROP = -2
 
 
-def _state(tag: str, attributes: str, around: int, locked: bool) -> tuple[int, bool]:
-    """Context inside a new element, and whether furniture holds for all that is inside."""
+def _named(name: str) -> int:
+    """What one class name or id says."""
+    words = set(NAME.findall(name))
+    if words <= FURNITURE_NAMES | SUSPECT_NAMES | LAYOUT_NAMES:
+        return FURNITURE if words & FURNITURE_NAMES else SUSPECT if words & SUSPECT_NAMES else PLAIN
+    return PLAIN
+
+
+def _state(tag: str, attributes: str, around: int) -> int:
+    """What holds for the text in a new element: the stronger of its own marks and those around it."""
     if around == DROP or tag in DROPPED:
-        return DROP, locked
-    names: set[str] = set()
+        return DROP
+    said = FURNITURE if tag in FURNITURE_TAGS else SUSPECT if tag in SUSPECT_TAGS else PLAIN
     if attributes:
         for key, value in ATTRIBUTE.findall(attributes):
             key, value = key.lower(), value.strip("\"'").lower()
             if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
-                return DROP, locked
-            if key == "role" and value in FURNITURE_ROLES:
-                return FURNITURE, True
-            if key in ("class", "id"):
-                names.update(NAME.findall(value))
-    if tag in FURNITURE_TAGS:
-        return FURNITURE, True
-    if names & FURNITURE_NAMES and tag not in ("body", "html"):
-        return FURNITURE, locked
-    if not locked and (tag in MAIN_TAGS or names & MAIN_NAMES and tag not in ("body", "html")):
-        return MAIN, locked
-    return around, locked
+                return DROP
+            if key == "role":
+                said = max(said, FURNITURE if value in FURNITURE_ROLES else SUSPECT if value in SUSPECT_ROLES else PLAIN)
+            elif key in ("class", "id") and tag not in ("body", "html"):
+                said = max([said, *map(_named, value.split())])
+    return max(around, said)
 
 
 class Page:
@@ -127,8 +139,8 @@ class Page:
         self.blocks: list[tuple[str, int, int, int, int, int]] = []
         self.parents, self.states, self.leaves = [0], [PLAIN], [False]
         parts: list[tuple[str, bool]] = []
-        stack: list[tuple[str, int, bool, int]] = []
-        state, locked, element, links, heading, at = PLAIN, False, 0, 0, 0, 0
+        stack: list[tuple[str, int, int]] = []
+        state, element, links, heading, at = PLAIN, 0, 0, 0, 0
 
         def close() -> None:
             if parts:
@@ -173,22 +185,22 @@ class Page:
             elif tag == "p":
                 heading = 0
             if stack and (tag == "p" == stack[-1][0] or stack[-1][0] == "head" and tag not in HEAD_TAGS):
-                _, state, locked, element = stack.pop()
+                _, state, element = stack.pop()
             if tag == "body" and not closing:
                 stack.clear()
                 element = 0
-                state, locked = _state(tag, token[3], PLAIN, False)
+                state = _state(tag, token[3], PLAIN)
                 element = opened(tag)
             elif tag in VOID or tag == "p" and (closing or not token[3]):
                 continue
             elif not closing and not token[3].endswith("/"):
-                stack.append((tag, state, locked, element))
-                state, locked = _state(tag, token[3], state, locked)
+                stack.append((tag, state, element))
+                state = _state(tag, token[3], state)
                 element = opened(tag)
                 links = 0
             elif closing and any(name == tag for name, *_ in stack):
                 while True:
-                    name, state, locked, element = stack.pop()
+                    name, state, element = stack.pop()
                     if name == tag:
                         break
                 links = 0
@@ -245,31 +257,25 @@ NEARLY_ALL = 0.8
 def article(page: Page, taken: list[bool]) -> list[bool]:
     """For each block, whether it is kept, from the tree's answers for the blocks."""
     n = len(page.parents)
-    votes, words, count = [0] * n, [0] * n, [0] * n
+    votes, words, yeses, suspect, count = [0] * n, [0] * n, [0] * n, [0] * n, [0] * n
     for block, yes in zip(page.blocks, taken):
         size, state, element = block[1], block[4], block[5]
         votes[element] += size if yes and state != FURNITURE else -size
         if state != FURNITURE:
             words[element] += size
+            yeses[element] += size * yes
+            suspect[element] += size * (state == SUSPECT)
         count[element] += 1
     for e in range(n - 1, 0, -1):
-        votes[page.parents[e]] += votes[e]
-        words[page.parents[e]] += words[e]
-        count[page.parents[e]] += count[e]
-    able = [e for e in range(n) if e == 0 or page.states[e] == MAIN or page.states[e] == PLAIN and not page.leaves[e] and count[e] > 1]
-    best = max(able, key=lambda e: (votes[e], -e))
-    marked = [page.states[e] == MAIN != page.states[page.parents[e]] for e in range(n)]
-    inside, whole = [False] * n, [False] * n
+        for sums in (votes, words, yeses, suspect, count):
+            sums[page.parents[e]] += sums[e]
+    able = [e for e in range(n) if e == 0 or page.states[e] != FURNITURE and not page.leaves[e] and count[e] > 1]
+    best = max(able, key=lambda e: (votes[e], -suspect[e], -e))
+    inside = [False] * n
     for e in range(n):
-        up = page.parents[e]
-        inside[e] = e == best or e > 0 and inside[up]
-        if inside[e] and votes[e] > 0:
-            # Within an element, its words number (votes + words) / 2 taken ones.
-            tight = e == best and e > 0 and votes[e] + words[e] >= 2 * NEARLY_ALL * words[e]
-            whole[e] = tight or page.states[e] == MAIN and (e == best or marked[e])
-        if e > 0 and e != best and inside[up] and whole[up]:
-            whole[e] = True
-    return [inside[e] and state != FURNITURE and (yes or whole[e]) for (*_, state, e), yes in zip(page.blocks, taken)]
+        inside[e] = e == best or e > 0 and inside[page.parents[e]]
+    whole = best > 0 and votes[best] > 0 and yeses[best] >= NEARLY_ALL * words[best]
+    return [inside[e] and state != FURNITURE and (yes or whole and state != SUSPECT) for (*_, state, e), yes in zip(page.blocks, taken)]
 
 
 def main_text(source: str, tree: Tree) -> str:

@@ -75,6 +75,39 @@ def test_tree_decides(spark, data, tree):
     assert changed > len(pages) / 4
 
 
+def test_given_pages_need_the_tree(spark, data, tree):
+    """A tree that takes every block extracts other text from nearly all given pages."""
+    pages = [r.html for r in read(spark, data, "pages").collect()]
+    assert sum(html_text.main_text(p, 1.0) != html_text.main_text(p, tree) for p in pages) > len(pages) / 2
+
+
+@pytest.mark.parametrize(
+    ("part", "kept"),
+    [
+        ('<div class="legal-history"><p>{}</p></div>', True),
+        ('<div id="search-algorithms"><p>{}</p></div>', True),
+        ('<p class="share-price">{}</p>', True),
+        ('<header><h2>Head</h2><p>{}</p></header>', True),
+        ('<section class="menu"><p>{}</p></section>', True),
+        ('<div class="ad-banner"><p>{}</p></div>', False),
+        ('<div class="comment-list"><p>{}</p></div>', False),
+        ("<aside><p>{}</p></aside>", False),
+        ('<div role="complementary"><p>{}</p></div>', False),
+    ],
+)
+def test_names_do_not_decide_over_running_text(tree, part, kept):
+    around = "<html><body><nav><ul><li><a href=1>Home</a></li><li><a href=2>News</a></li></ul></nav><article><h1>Title</h1><p>" + "word " * 60 + "</p>{}<p>" + "more " * 60 + "</p></article><footer>Imprint</footer>"
+    got = html_text.main_text(around.format(part.format("inner " * 25)), tree).split("\n")
+    assert got[0] == "Title" and got[1].startswith("word") and got[-1].startswith("more")
+    assert (("inner " * 25).strip() in got) == kept
+
+
+def test_articles_with_subheadings(tree):
+    inside = "<h1>Title</h1>" + "".join(f"<h2>Part {k}</h2><p>" + "word " * (20 + 15 * k) + "</p><p>" + "more " * 50 + "</p>" for k in range(4))
+    got = html_text.main_text(f"<body><nav><a href=1>Home</a></nav><div><div>{inside}</div></div><footer>Imprint</footer>", tree).split("\n")
+    assert [x for x in got if x.startswith("Part")] == [f"Part {k}" for k in range(4)] and len(got) == 13
+
+
 def test_all_of_an_article_stays(tree):
     inside = "<h2>Title</h2>" + "<p>" + "word " * 70 + "</p><p>Where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p><ul>" + "".join(f"<li><a href=/{k}>Reference {k}</a></li>" for k in range(3)) + "</ul><p>" + "more " * 30 + "</p>"
     expected = ["Title", ("word " * 70).strip(), "Where x=2 holds.", "Reference 0", "Reference 1", "Reference 2", ("more " * 30).strip()]
