@@ -119,7 +119,7 @@ QUALITY_RULES = rf"""
         SELECT * FROM far QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY word_distance, class_distance, shape_distance) = 1
     ), v AS (
         SELECT h.*, coalesce(n_repeat_words, 0) AS n_repeat_words, class_distance, word_distance, shape_distance, n_words < 20 OR 100 * coalesce(n_repeat_words, 0) > 30 * n_words AS base_failed,
-            (n_chars >= {MIN_CHARS} AND class_distance > {MAX_CLASS_DISTANCE}) OR (n_words >= {MIN_WORDS} AND word_distance > {MAX_WORD_DISTANCE}) OR shape_distance > {MAX_SHAPE_DISTANCE} AS odd
+            (n_chars >= {MIN_CHARS} AND class_distance > {MAX_CLASS_DISTANCE}) OR (language <> '{OTHER}' AND n_words >= {MIN_WORDS} AND word_distance > {MAX_WORD_DISTANCE}) OR shape_distance > {MAX_SHAPE_DISTANCE} AS odd
         FROM h JOIN nearest USING (doc_id) LEFT JOIN repeated USING (doc_id)
     )
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT odd AS kept,

@@ -142,7 +142,7 @@ def near_entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def _candidates(docs: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Stored: pairs (term, entity, n_both) that may exceed the thresholds, n_entity of each entity, and
-    the different texts (key) each candidate term occurs in. The corpus is cut into words once."""
+    the different texts (key) each candidate term occurs in. Texts with entities are cut into words once for what is near, all texts once more for the candidates."""
     rows = stage(near_entities(docs, text_col).distinct(), "near")
     near = rows.filter("entity IS NOT NULL")
     both = near.groupBy("term", "entity").agg(F.count(F.lit(1)).alias("n_both")).filter(F.col("n_both") >= MIN_TEXTS)
@@ -160,7 +160,11 @@ def _candidates(docs: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame, D
 def _judged(docs: DataFrame, text_col: str, both: DataFrame, n_entity: DataFrame, occurrences: DataFrame) -> DataFrame:
     total = _rows(docs, text_col).select("key").distinct().count()
     n_term = occurrences.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    judged = both.join(n_term, "term").join(n_entity, "entity").select(
+    counted = both.join(n_term, "term")
+    # Under a kind stand up to all candidate terms, so its four rows are broadcast; values go by salted keys.
+    of_kind, n_entity = F.col("entity").endswith(f":{ANY}"), stage(n_entity, "entities")
+    met = counted.filter(of_kind).join(F.broadcast(n_entity.filter(of_kind)), "entity").unionByName(salted_join(counted.filter(~of_kind), n_entity.filter(~of_kind), "entity"))
+    judged = met.select(
         "term",
         "entity",
         "n_both",

@@ -187,7 +187,7 @@ def fit_references(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     or with a null id take no part. Empty tables give no rows.
     """
     good = labels.filter("quality = 1").select(F.col("doc_id").alias("_id")).distinct()
-    named = docs.filter(docs[lang_col].isin(*COMMON_WORDS)).join(F.broadcast(good), docs[id_col] == F.col("_id"), "left_semi")
+    named = docs.filter(docs[lang_col].isin(*COMMON_WORDS)).join(good, docs[id_col] == F.col("_id"), "left_semi")
     place = F.row_number().over(Window.partitionBy("language").orderBy("doc_id"))
     rows = _verdict(stage(_measured(named, id_col, text_col, lang_col), "labelled").withColumns({c: F.lit(0.0) for c in ("class_distance", "word_distance")})).filter("NOT base_failed")
     rows = rows.withColumn("place", place).filter(F.col("place") <= MOST_LABELLED)
@@ -211,12 +211,14 @@ def _distance(p: Column | str, q: Column | str) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)))
 
 
+def _words_far() -> Column:
+    return (F.col("n_words") >= MIN_WORDS) & (F.col("word_distance") > MAX_WORD_DISTANCE)
+
+
 def _verdict(rows: DataFrame, *more: Column) -> DataFrame:
     """Add base_failed and kept to rows that have their distances."""
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    odd = ((F.col("n_chars") >= MIN_CHARS) & (F.col("class_distance") > MAX_CLASS_DISTANCE)) | (
-        (F.col("n_words") >= MIN_WORDS) & (F.col("word_distance") > MAX_WORD_DISTANCE)
-    )
+    odd = (F.col("n_chars") >= MIN_CHARS) & (F.col("class_distance") > MAX_CLASS_DISTANCE)
     for also in more:
         odd = odd | also
     return rows.withColumn("base_failed", failed).withColumn("kept", ~failed & ~odd)
@@ -225,7 +227,8 @@ def _verdict(rows: DataFrame, *more: Column) -> DataFrame:
 def judge(rows: DataFrame) -> DataFrame:
     """Add the distances of classes, words and shapes, base_failed and kept to the measurements, by the fixed references.
 
-    Rows in no known language get the distances to the language whose common words lie nearest.
+    Rows in no known language get the distances to the language whose common words lie nearest. Their words are no ground to reject them: a text in a
+    language without a reference has none of the listed words, whatever it says.
     """
     rows = rows.withColumns({"p_classes": _shares("fine_classes"), "p_shapes": _shares("shapes"), "p_common": _shares("common")}).withColumn("p_commons", F.transform("commons", _shares))
     found = []
@@ -238,7 +241,7 @@ def judge(rows: DataFrame) -> DataFrame:
         found.append(F.when(F.col("language").isin(c, OTHER), here))
     rows = rows.withColumn("nearest", F.array_min(F.array(*found)))
     rows = rows.withColumns({c: F.col("nearest")[c] for c in ("class_distance", "word_distance", "shape_distance")})
-    return _verdict(rows, F.col("shape_distance") > MAX_SHAPE_DISTANCE)
+    return _verdict(rows, F.col("shape_distance") > MAX_SHAPE_DISTANCE, _words_far() & (F.col("language") != OTHER))
 
 
 def judge_relative(rows: DataFrame) -> DataFrame:
@@ -246,7 +249,7 @@ def judge_relative(rows: DataFrame) -> DataFrame:
     rows = rows.join(F.broadcast(references(rows)), "language")
     for name in ("classes", "common"):
         rows = rows.withColumn(f"p_{name}", _shares(name)).withColumn(f"q_{name}", _shares(f"ref_{name}"))
-    return _verdict(rows.withColumn("class_distance", _distance("p_classes", "q_classes")).withColumn("word_distance", _distance("p_common", "q_common")))
+    return _verdict(rows.withColumn("class_distance", _distance("p_classes", "q_classes")).withColumn("word_distance", _distance("p_common", "q_common")), _words_far())
 
 
 RATED = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance"]
@@ -262,7 +265,7 @@ def rate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     base_failed, kept, class_distance, word_distance, shape_distance.
 
     Null and empty texts have no words, so base_failed holds. Null or unknown languages are held
-    against the nearest reference. Null ids stay null and repeated rows are rated one by one. Empty tables give no rows;
+    against the nearest reference, and not judged by its common words. Null ids stay null and repeated rows are rated one by one. Empty tables give no rows;
     other columns are ignored. Words in repeated windows are found by 64-bit hashes of the windows.
     """
     return judge(stage(_measured(docs, id_col, text_col, lang_col), "features")).select(*RATED, "shape_distance")
@@ -280,7 +283,7 @@ def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -
     """The rows of ``docs`` that ``rate`` keeps, with all their columns; texts are measured once.
 
     Null and empty texts go, as they have no words. Ids play no part: null ones and repeated rows are judged one
-    by one. Null or unknown languages take the nearest reference. Empty tables give no rows; columns of any
+    by one. Null or unknown languages take the nearest reference, but not its common words. Empty tables give no rows; columns of any
     names may be there. Texts are read whole.
     """
     return judge(stage(features(docs, text_col, lang_col), "measured")).filter("kept").select("doc.*")

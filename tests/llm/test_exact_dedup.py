@@ -50,6 +50,14 @@ def test_rows_of_one_id_are_told_apart_by_their_spelling(spark):
         assert len(left) == 1 and left <= {"One Text", "one text"}
 
 
+def test_repeats_of_a_frequent_row_leave_one(spark):
+    rows = [(9, "Same"), (None, "alone")] * 300 + [(8, "same"), (1, "x")]
+    got = exact_dedup.drop_copies(spark.createDataFrame([(*r, "d", "r") for r in rows], SCHEMA))
+    assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == [(0, "alone"), (1, "x"), (9, "Same")]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and "first(doc" in plan
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert exact_dedup.mark_copies(empty).count() == 0

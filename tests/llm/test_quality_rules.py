@@ -88,6 +88,18 @@ def test_unknown_languages_take_the_nearest_reference(spark):
     assert got[1] == got[2] == got[3] and got[4] == got[5]
 
 
+RUSSIAN = "Утром мы вышли из дома и долго шли по старой дороге к реке, где вода была тёмной и холодной. Вечером соседи рассказывали о том, как раньше в деревне жили большие семьи, работали в поле и пели песни до самой ночи. "
+ITALIAN = "La mattina siamo usciti di casa e abbiamo camminato a lungo verso il fiume, dove l'acqua era scura e fredda. La sera i vicini raccontavano come una volta nel paese vivevano famiglie numerose, che lavoravano nei campi e cantavano fino a tardi. "
+
+
+def test_clean_texts_in_other_languages_stay(spark):
+    texts = [" ".join(w + w[::-1] + w[::2] + w[1::2] + w[::3]) for w in (RUSSIAN.split(), ITALIAN.split())]
+    rows = [(k, t, lang, "", "") for k, (t, lang) in enumerate([(texts[0], "ru"), (texts[1], "it"), (texts[1], None), ("table | of | cells | " * 3 + " | ".join(f"c{x}" for x in range(60)), "ru")])]
+    got = {r.doc_id: r for r in quality_rules.rate(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[k].n_words >= 100 and not got[k].base_failed for k in range(3))
+    assert [got[k].kept for k in range(4)] == [True, True, True, False]
+
+
 def test_short_tables_and_word_runs_go(spark):
     names = [f"{a}{b}" for a in ("walt", "gorm", "pell", "rund", "sten", "harv", "mild", "torb") for b in ("en", "ia", "or", "us", "el")]
     texts = {1: " | ".join(names) + ".", 2: " ".join(f"{w} " * 6 for w in names[:6]), 3: " ".join(w + "%%%" for w in names[:30]), 4: CLEAN + "That is what people told us."}
