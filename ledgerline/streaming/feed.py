@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from ledgerline.operators.digests import digest_of, digest_sums
+from ledgerline.sources.folders import Folder
 from ledgerline.streaming.changes import (
     INTERNAL,
     RAW_SCHEMA,
@@ -39,60 +40,11 @@ def read_changes(spark: SparkSession, path: str, files_per_trigger: int | None =
     return decode_changes(reader.json(path))
 
 
-class _Folder:
-    """Files below a folder of any file system that Spark reaches."""
-
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def _path(self, name: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def names(self, folder: str) -> list[str]:
-        path, fs = self._path(folder)
-        return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
-
-    def numbers(self, folder: str) -> list[int]:
-        return sorted(int(n) for n in self.names(folder) if n.isdigit())
-
-    def delete(self, name: str) -> None:
-        path, fs = self._path(name)
-        fs.delete(path, True)
-
-    def put(self, name: str, text: str) -> None:
-        """A small file, complete or not there."""
-        part, fs = self._path(f"_part-{uuid.uuid4().hex}")
-        stream = fs.create(part)
-        stream.write(bytearray(text.encode()))
-        stream.close()
-        final, _ = self._path(name)
-        fs.mkdirs(final.getParent())
-        fs.delete(final, False)
-        fs.rename(part, final)
-
-    def get(self, name: str) -> str:
-        path, fs = self._path(name)
-        stream = fs.open(path)
-        try:
-            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-
-    def move(self, name: str, to: str) -> None:
-        """Rename, unless there is something by the new name already."""
-        path, fs = self._path(name)
-        final, _ = self._path(to)
-        fs.mkdirs(final.getParent())
-        if fs.exists(final) or not fs.rename(path, final):
-            fs.delete(path, True)
-
-
 #: Types of stored sums of row hashes.
 SUM_TYPES = {"n": "bigint", "s1": "decimal(38,0)", "s2": "decimal(38,0)", "s3": "decimal(38,0)"}
 
 
-class VersionedTable(_Folder):
+class VersionedTable(Folder):
     """A Parquet table in hash buckets of its key. A version writes the buckets it changes and lists all.
 
     The list of a version is put in place by a rename once its files are complete, so a reader sees a whole
@@ -250,7 +202,7 @@ def apply_batch(
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark, started, version = batch.sparkSession, time.time(), batch_id + 1
-        folder = _Folder(spark, state)
+        folder = Folder(spark, state)
         events = batch.withColumn("_held_since", F.lit(batch_id).cast("long"))
         earlier = [n for n in folder.numbers("held") if n < batch_id]
         if earlier:
@@ -288,7 +240,7 @@ def apply_batch(
 FAILED, HELD, UNLISTED, RESERVED = -1, -2, -3, -4
 
 
-def _sorted_out(folder: _Folder, events: DataFrame, to: Column, inventory: DataFrame | None, batch_id: int) -> DataFrame:
+def _sorted_out(folder: Folder, events: DataFrame, to: Column, inventory: DataFrame | None, batch_id: int) -> DataFrame:
     """Events with ``_to``: the number of their table, or one of OTHERS. A batch that runs again holds back what it did, also if the inventory is another by then."""
     to = F.when(F.lower("table").isin(*INTERNAL), RESERVED).when(structural_reason().isNotNull(), FAILED).when(F.col("_waits"), HELD).otherwise(to)
     if inventory is None:
@@ -302,7 +254,7 @@ def _sorted_out(folder: _Folder, events: DataFrame, to: Column, inventory: DataF
     return marked.withColumn("_to", to).drop("_waits")
 
 
-def _hold(folder: _Folder, unknown: DataFrame, batch_id: int, max_held: int) -> None:
+def _hold(folder: Folder, unknown: DataFrame, batch_id: int, max_held: int) -> None:
     """Store the events that are held back for the next batch."""
     first = unknown.agg(F.min("_held_since")).first()[0]
     if first is not None and batch_id - first >= max_held:
@@ -321,7 +273,7 @@ COUNTER_SCHEMA = "batch bigint, batches bigint, tables int, lsn bigint, ordinal
 KEPT_LINES = 100
 
 
-def _count(folder: _Folder, batch_id: int, started: float, there: dict[int, Row]) -> None:
+def _count(folder: Folder, batch_id: int, started: float, there: dict[int, Row]) -> None:
     """The line of counters of a batch, which goes on from the line before it."""
     before = [n for n in folder.numbers("counters") if n < batch_id]
     last = json.loads(folder.get(f"counters/{before[-1]}")) if before else {}
@@ -338,7 +290,7 @@ class Heartbeats(StreamingQueryListener):
     """Writes a line for a query whenever it starts, makes progress, idles or ends, in place of the one before."""
 
     def __init__(self, spark: SparkSession, state: str, name: str) -> None:
-        self.folder, self.name, self.id = _Folder(spark, state), name, None
+        self.folder, self.name, self.id = Folder(spark, state), name, None
 
     def _beat(self, event: object, alive: bool = True, halted: bool = False) -> None:
         if str(event.id) == self.id:
