@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerline.functions.canonical import canonical_light
 from ledgerline.functions.hashing import hash_bucket
@@ -190,3 +193,42 @@ def detect_keys(df: DataFrame, candidates: list[list[str]]) -> DataFrame:
         row = row.withColumn("is_key", (F.col("n_rows") == F.col("n_distinct")) & (F.col("n_nulls") == 0))
         out = row if out is None else out.unionByName(row)
     return out
+
+
+#: Relative standard deviation of the sketches of key discovery; a set of columns is given up where its estimate lies FAR of these below the rows.
+SKETCH_ERROR, FAR = 0.05, 4
+#: Sketches that one pass over the table keeps.
+SKETCHES = 16
+
+
+def discover_keys(df: DataFrame, most: int = 3, columns: list[str] | None = None) -> DataFrame:
+    """key, n_rows, n_distinct, n_nulls, is_key: every smallest set of up to ``most`` columns that tells all rows apart and has no NULL.
+
+    Level by level, from single columns on. A set is not looked at if a key is part of it, if a column has NULLs, or if its columns' distinct values are too few
+    even in all combinations; sketches of those left, many in one pass, drop the sets that are clearly no keys; what remains is proved by ``detect_keys``. Columns are those of exact
+    atomic types unless named. Names are listed in the order of the table. A table without rows has no keys.
+    """
+    fields = {f.name: f.dataType for f in df.schema.fields}
+    names = columns or [c for c, t in fields.items() if not isinstance(t, (T.FloatType, T.DoubleType, T.ArrayType, T.MapType, T.StructType, T.VariantType))]
+    first = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(F.col(f"`{c}`")).alias(f"_{k}") for k, c in enumerate(names)]).first()
+    n, left = first["n"], [c for k, c in enumerate(names) if first[f"_{k}"] == first["n"]]
+    allowed = n * (1 - FAR * SKETCH_ERROR)
+    counts: dict[tuple[str, ...], float] = {}
+    found: list[list[str]] = []
+    for size in range(1, most + 1 if n else 1):
+        sets = [s for s in combinations(left, size) if not any(set(k) <= set(s) for k in found)]
+        sets = [s for s in sets if size == 1 or _combined(s, counts) >= allowed]
+        for at in range(0, len(sets), SKETCHES):
+            part = sets[at : at + SKETCHES]
+            told = df.agg(*[F.approx_count_distinct(F.struct(*[F.col(f"`{c}`") for c in s]), SKETCH_ERROR).alias(f"_{k}") for k, s in enumerate(part)]).first()
+            counts |= {s: told[f"_{k}"] for k, s in enumerate(part)}
+        likely = [list(s) for s in sets if counts[s] >= allowed]
+        if likely:
+            found += [r.key.split(",") for r in detect_keys(df, likely).filter("is_key").collect()]
+    empty = df.sparkSession.createDataFrame([], "key string, n_rows bigint, n_distinct bigint, n_nulls bigint, is_key boolean")
+    return detect_keys(df, found) if found else empty
+
+
+def _combined(columns: tuple[str, ...], counts: dict[tuple[str, ...], float]) -> float:
+    """The most distinct values that columns can have together, by sketches of all but one of them and of that one."""
+    return min(counts[rest] * counts[(c,)] * (1 + FAR * SKETCH_ERROR) ** 2 if (rest := tuple(x for x in columns if x != c)) in counts else float("inf") for c in columns)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -215,6 +216,27 @@ def row_changes_lineitem(spark, sf_dir):
     return pairing.row_changes(*fx.drifted_lineitem(spark, sf_dir), **COMPAT)
 
 
+def _smallest_keys(table: str, columns: list[str], most: int) -> str:
+    """Each set of columns counted; those that are unique without one that is part of them."""
+    sets = [s for size in range(1, most + 1) for s in combinations(columns, size)]
+    counts = " UNION ALL ".join(f"SELECT '{','.join(s)}' AS key, {list(s)} AS parts, count(DISTINCT {f'row({", ".join(s)})' if len(s) > 1 else s[0]}) AS d FROM {table}" for s in sets)
+    return f"""
+        WITH c AS ({counts}), u AS (SELECT * FROM c WHERE d = (SELECT count(*) FROM {table}))
+        SELECT key, d AS n_rows, d AS n_distinct, 0::BIGINT AS n_nulls, true AS is_key FROM u a WHERE NOT EXISTS (FROM u b WHERE b.key <> a.key AND list_has_all(a.parts, b.parts))
+    """
+
+
+@query(_smallest_keys("lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate"], 3))
+def discover_keys_lineitem(spark, sf_dir):
+    """The table's keys of up to three columns, found without candidates."""
+    return compare.discover_keys(fx.table(spark, sf_dir, "lineitem"))
+
+
+@query(_smallest_keys("orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"], 2))
+def discover_keys_orders(spark, sf_dir):
+    return compare.discover_keys(fx.table(spark, sf_dir, "orders"), most=2)
+
+
 @query(_ranged("orders", NEAR_ORDERS, "o_orderkey", ORDER_HASH, 100))
 def range_checksum_diff_orders(spark, sf_dir):
     """A row more in front marks its own range; ranges of 100 rows, descended to in steps of eight."""

@@ -110,3 +110,26 @@ def test_detect_keys(spark):
     df = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, None, "c")], "x int, y int, z string")
     got = {r.key: r.is_key for r in compare.detect_keys(df, [["x"], ["x", "y"], ["z"]]).collect()}
     assert got == {"x": False, "x,y": False, "z": True}
+
+
+def test_keys_are_discovered(spark):
+    rows = [(a, b, c, None if a == b == c == 0 else a, "x") for a in range(12) for b in range(12) for c in range(12)]
+    df = spark.createDataFrame([(*r, k, float(k)) for k, r in enumerate(rows)], "a int, b int, `c d` int, e int, f string, g int, h double").drop("g")
+    assert [r.key for r in compare.discover_keys(df).collect()] == ["a,b,c d"]
+    assert compare.discover_keys(df, most=2).count() == 0
+    numbered = df.withColumn("id", F.monotonically_increasing_id()).withColumn("twin", F.col("id") * 2)
+    assert sorted(r.key for r in compare.discover_keys(numbered).collect()) == ["a,b,c d", "id", "twin"]
+    assert [r.key for r in compare.discover_keys(numbered, columns=["a", "id"]).collect()] == ["id"]
+    # Nearly unique is no key.
+    nearly = numbered.unionByName(numbered.limit(1))
+    assert compare.discover_keys(nearly, most=1).count() == 0
+    assert compare.discover_keys(df.limit(0)).count() == 0
+
+
+def test_sets_that_cannot_be_keys_are_not_counted(spark, monkeypatch):
+    proved = []
+    detect = compare.detect_keys
+    monkeypatch.setattr(compare, "detect_keys", lambda df, sets: proved.extend(sets) or detect(df, sets))
+    df = spark.range(2000).select("id", (F.col("id") % 10).alias("ten"), F.floor(F.col("id") / 10).alias("rest"), (F.col("id") % 3).alias("three"))
+    assert sorted(r.key for r in compare.discover_keys(df, most=2).collect()) == ["id", "ten,rest"]
+    assert sorted(map(tuple, proved)) == [("id",), ("id",), ("ten", "rest"), ("ten", "rest")]
