@@ -17,6 +17,7 @@ from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from ledgerline.operators.digests import digest_of, digest_sums
 from ledgerline.sources.folders import Folder
+from ledgerline.streaming.alters import Alter, alter, parse_alters
 from ledgerline.streaming.changes import (
     INTERNAL,
     RAW_SCHEMA,
@@ -164,6 +165,45 @@ def fold_batch(table: VersionedTable, events: DataFrame, version: int, on_confli
         table.write(apply_changes(table.read(before=version, buckets=held.touched), events, table.keys, on_conflict, max_length, held), version, held.touched)
 
 
+def _segments(table: VersionedTable, events: DataFrame, base: DataFrame) -> list[tuple[DataFrame, list[Alter]]]:
+    """A table's events cut at its column changes: those of each segment, and the changes after it. Changes of columns are few, and come to the driver."""
+    told = events.filter("kind = 'ddl' AND ddl IS NOT NULL").select("lsn", "ordinal", "ddl").orderBy("lsn", "ordinal").collect()
+    at, out, low = F.struct("lsn", "ordinal"), [], None
+    for r in told:
+        changes = parse_alters(r.ddl)
+        if changes:
+            high = F.struct(F.lit(r.lsn).cast("bigint").alias("lsn"), F.lit(r.ordinal).cast("int").alias("ordinal"))
+            out.append((events.filter(at < high if low is None else (at > low) & (at < high)), changes))
+            low = high
+    return [*out, (events if low is None else events.filter(at > low), [])]
+
+
+def fold_altered(table: VersionedTable, events: DataFrame, version: int, on_conflict: str = "replace", max_length: int = 0) -> None:
+    """``fold_batch`` for events among which columns are added, dropped or renamed: each row event counts by the columns its table had at its place.
+
+    Only columns without a default can be added without writing all buckets. The version carries the new schema.
+    """
+    if version in table.versions():
+        return
+    shape = table.read(before=version)
+    segments, looked = _segments(table, events, shape), []
+    for part, changes in segments:
+        seen = _looked_at(table, part, shape, max_length)
+        if seen.misfit is not None:
+            raise ValueError(f"{seen.misfit} in an event of {table.root}")
+        looked.append(seen)
+        for change in changes:
+            shape = alter(shape, change, table.keys)
+    whole = any(seen.truncates for seen in looked) or any(c.rewrites for _, changes in segments for c in changes)
+    touched = None if whole else sorted({b for seen in looked for b in seen.touched})
+    rows = table.read(before=version, buckets=touched)
+    for (part, changes), seen in zip(segments, looked, strict=True):
+        rows = apply_changes(rows, part, table.keys, on_conflict, max_length, seen)
+        for change in changes:
+            rows = alter(rows, change, table.keys)
+    table.write(rows, version, touched)
+
+
 def _in_pools(spark: SparkSession, parallel: int, work: Callable[[str], object], names: Iterable[str]) -> dict:
     """``work`` for each name by a bounded number of threads, each of which has a scheduler pool of its own; the first error is raised once all have ended."""
     context = spark.sparkContext
@@ -191,7 +231,7 @@ def apply_batch(
     tables are by lower-case name, with or without its schema. The batch is stored once, in a folder for each table, so what a table costs depends
     on its own events; tables without events are not looked at and get no version. ``parallel`` tables are folded at a time, each in a scheduler pool
     of its own. Structural errors, values that do not fit their column, columns that a table does not have, and key columns without a value stop the
-    stream before any table of the batch is written. Events of tables outside of the inventory are held back in the folder ``state``, which outlives the
+    stream before any table of the batch is written; where columns change within the batch (``fold_altered``), before any table whose columns do not. Events of tables outside of the inventory are held back in the folder ``state``, which outlives the
     process, and are tried again with each batch; those that have waited for max_held batches stop it as well. Events of tables in the inventory that
     are not among ``tables`` are not applied, but counted: each batch leaves a line of counters in ``state`` (``counters``), which are taken from
     the stored batch and so count each event once, whatever tasks run again.
@@ -212,7 +252,7 @@ def apply_batch(
         events.write.mode("overwrite").partitionBy("_to").parquet(part)
         schema = events.drop("_to").schema
         new = F.col("_held_since") == batch_id
-        counts = spark.read.schema(events.schema).parquet(part).groupBy("_to").agg(F.count(F.lit(1)).alias("n"), F.count_if(new).alias("new"), F.max(F.when(new, F.struct("lsn", "ordinal"))).alias("position"))
+        counts = spark.read.schema(events.schema).parquet(part).groupBy("_to").agg(F.count(F.lit(1)).alias("n"), F.count_if(new).alias("new"), F.max(F.when(new, F.struct("lsn", "ordinal"))).alias("position"), F.count_if((F.col("kind") == "ddl") & F.col("ddl").isNotNull()).alias("alters"))
         # A row for each table that the batch touches.
         there = {r["_to"]: r for r in counts.collect()}
 
@@ -225,11 +265,21 @@ def apply_batch(
         if inventory is not None and batch_id not in folder.numbers("held"):
             _hold(folder, own(HELD) if HELD in there else spark.createDataFrame([], schema), batch_id, max_held)
         todo = [k for k in sorted(there) if k >= 0 and version not in tables[names[k]].versions()]
-        found = _in_pools(spark, parallel, lambda k: _looked_at(tables[names[k]], own(k), tables[names[k]].read(before=version), max_length), todo)
+        altered = {k for k in todo if there[k]["alters"]}
+        found = _in_pools(spark, parallel, lambda k: _looked_at(tables[names[k]], own(k), tables[names[k]].read(before=version), max_length), [k for k in todo if k not in altered])
         for k, looked_at in found.items():
             if looked_at.misfit is not None:
                 raise ValueError(f"batch {batch_id}: {looked_at.misfit} in an event of {names[k]}")
-        _in_pools(spark, parallel, lambda k: fold_batch(tables[names[k]], own(k), version, on_conflict, max_length, found[k]), todo)
+
+        def fold(k: int) -> None:
+            if k in altered:
+                fold_altered(tables[names[k]], own(k), version, on_conflict, max_length)
+            else:
+                fold_batch(tables[names[k]], own(k), version, on_conflict, max_length, found[k])
+
+        # Those whose columns change may still stop the batch; they go before all others.
+        _in_pools(spark, parallel, fold, sorted(altered))
+        _in_pools(spark, parallel, fold, [k for k in todo if k not in altered])
         _count(folder, batch_id, started, there)
         folder.delete(f"_batch-{batch_id}")
 

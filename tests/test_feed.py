@@ -137,3 +137,72 @@ def test_digests_of_versions_equal_those_of_the_whole(spark, tmp_path):
     other = feed.VersionedTable(spark, str(tmp_path / "t"), ["id"], buckets=4, digests={"style": "compat"})
     feed.fold_batch(other, batch(spark, [update(99, "t", 5, "w")]), 9)
     assert other.digest().collect() == table_digest(other.read(), style="compat").collect()
+
+
+def told(lsn, table, ddl):
+    return (lsn, 0, None, "ddl", "public", table, None, None, ddl)
+
+
+def row(lsn, table, kind, key, **cells):
+    new = [{"name": n, "value": v, "type": "text", "is_key": n == "id", "unchanged": False} for n, v in {"id": str(key), **cells}.items()]
+    return (lsn, 0, None, kind, "public", table, None if kind == "delete" else new, new[:1], None)
+
+
+def test_columns_change_within_a_batch(spark, tmp_path):
+    tables = make(spark, tmp_path, ["t", "u"])
+    run = feed.apply_batch(tables, str(tmp_path / "state"))
+    rows = [
+        row(1, "t", "update", 1, name="before"),
+        told(2, "t", 'ALTER TABLE public.t ADD COLUMN "Size" integer, ADD COLUMN tags text[] DEFAULT \'{x,"y,z"}\''),
+        row(3, "t", "insert", 3, name="new", size="7"),
+        row(4, "t", "update", 2, size="9", tags="{}"),
+        told(5, "t", "ALTER TABLE t RENAME name TO label;"),
+        row(6, "t", "update", 1, label="after"),
+        told(7, "t", "CREATE INDEX i ON t (id)"),
+        told(8, "t", "ALTER TABLE t DROP COLUMN tags"),
+        row(9, "t", "delete", 3),
+        row(10, "u", "update", 1, name="other"),
+    ]
+    run(batch(spark, rows), 0)
+    got = tables["t"].read()
+    assert got.columns == ["id", "label", "Size"] and dict(got.dtypes)["Size"] == "int"
+    assert sorted(map(tuple, got.collect())) == [(1, "after", None), (2, "b", 9)]
+    assert sorted(r.name for r in tables["u"].read().collect()) == ["b", "other"]
+    # The old version keeps its schema; later batches know the new one.
+    assert tables["t"].read(before=1).columns == ["id", "name"]
+    run(batch(spark, [row(11, "t", "insert", 4, label="l", size="1")]), 1)
+    assert (4, "l", 1) in list(map(tuple, tables["t"].read().collect()))
+
+
+def test_a_new_column_leaves_untouched_buckets_alone(spark, tmp_path):
+    table = feed.VersionedTable(spark, str(tmp_path / "t"), ["id"], buckets=8, digests={})
+    table.write(spark.createDataFrame([(k, f"n{k}") for k in range(40)], BASE), 0)
+    run = feed.apply_batch({"t": table}, str(tmp_path / "state"))
+    run(batch(spark, [told(1, "t", "alter table only t add if not exists more numeric(6,2)"), row(2, "t", "update", 5, more="1.5")]), 0)
+    assert len([n for n in table.names("data/1") if n.startswith("_bucket=")]) == 1
+    got = {r.id: r.more for r in table.read().collect()}
+    assert len(got) == 40 and str(got.pop(5)) == "1.50" and set(got.values()) == {None}
+    from ledgerline.operators.digests import table_digest
+
+    assert table.digest().collect() == table_digest(table.read()).collect()
+
+
+def test_changes_that_cannot_be_followed_stop_the_batch(spark, tmp_path):
+    tables = make(spark, tmp_path, ["t", "u"])
+    run = feed.apply_batch(tables, str(tmp_path / "state"))
+    for ddl, message in [("ALTER TABLE t DROP id", "key column"), ("ALTER TABLE t ADD name text", "already"), ("ALTER TABLE t DROP nothing", "no column nothing"), ("ALTER TABLE t ADD x hyperloglog", "no type here"), ("ALTER TABLE t ALTER COLUMN name TYPE int", "cannot follow")]:
+        with pytest.raises(ValueError, match=message):
+            run(batch(spark, [told(1, "t", ddl), row(2, "u", "update", 1, name="x")]), 0)
+    # An event by the new column before the column is there.
+    with pytest.raises(ValueError, match="no such column: size"):
+        run(batch(spark, [row(1, "t", "update", 1, size="1"), told(2, "t", "ALTER TABLE t ADD size int")]), 0)
+    assert [t.versions() for t in tables.values()] == [[0], [0]]
+
+
+def test_statements():
+    from ledgerline.streaming.alters import parse_alters
+
+    found = parse_alters("ALTER TABLE IF EXISTS \"S\".\"T x\" ADD a varchar(10) DEFAULT 'it''s, (', DROP COLUMN IF EXISTS b CASCADE, ADD CONSTRAINT c CHECK (a > 1), ADD COLUMN \"D\"\"\" timestamp with time zone NOT NULL")
+    assert [(c.kind, c.name, c.default, c.lenient) for c in found] == [("add", "a", "it's, (", False), ("drop", "b", None, True), ("add", 'D"', None, False)]
+    assert [c.dtype.simpleString() for c in found if c.dtype] == ["string", "timestamp"]
+    assert parse_alters("DROP TABLE t") == [] and parse_alters("ALTER TABLE t OWNER TO me") == []
