@@ -92,9 +92,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     digests = stage(rows.select(F.col("id").alias("doc_id"), "digest", F.col("spelt").alias("row")), "digests")
     winners = stage(frequent_winners(digests).select(F.col("digest").alias("hot"), F.col("winner").alias("best")), "winners")
     best = F.col("id").eqNullSafe(F.col("best.doc_id")) & (F.col("spelt") == F.col("best.row"))
-    # Repeats of a frequent winner, equal in id and spelling, are combined before they meet.
-    hot = rows.join(F.broadcast(winners), (F.col("digest") == F.col("hot")) & best).groupBy("digest").agg(F.first("doc").alias("doc"))
-    cold = rows.join(F.broadcast(winners), F.col("digest") == F.col("hot"), "left_anti")
+    left = rows.join(F.broadcast(winners), F.col("digest") == F.col("hot"), "left").filter(F.col("hot").isNull() | best)
+    # Of rows that repeat, each task sends one: Spark limits the groups of a first row number before they are shuffled.
     first = Window.partitionBy("digest").orderBy(F.col("id").desc_nulls_last(), F.col("spelt").desc())
-    left = cold.withColumn("place", F.row_number().over(first)).filter(F.col("place") == 1)
-    return hot.select("doc.*").unionByName(left.select("doc.*"))
+    return left.withColumn("place", F.row_number().over(first)).filter(F.col("place") == 1).select("doc.*")
