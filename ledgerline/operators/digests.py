@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from itertools import islice
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.hashing import hash_bucket, hashable_columns, row_hash, text_columns
+from ledgerline.functions.md5_state import Md5
 from ledgerline.operators.chunks import position_chunks
+from ledgerline.session import stored
+
+#: Hashes that one task takes for an exact digest, about.
+PART_ROWS = 1_000_000
 
 
 def hashed(df: DataFrame, other: DataFrame | None = None, keep: tuple[str, ...] = (), **options) -> DataFrame:
@@ -36,15 +45,49 @@ def hash_sums() -> list[Column]:
     return [F.count(F.lit(1)).alias("n"), *[F.sum(p).alias(f"s{k + 1}") for k, p in enumerate(parts)]]
 
 
-def table_digest(df: DataFrame, exact: bool = False, buckets: int = 4096, **options) -> DataFrame:
+def _continued(state: bytes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The state of an MD5 after the sorted hashes of one part, each n times, that were joined by commas to those before."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        md5 = Md5(state)
+        pieces = (f",{h}" * min(left, 1000) for b in batches for h, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for left in range(n, 0, -1000))
+        while text := "".join(islice(pieces, 1000)):
+            md5.update(text[md5.empty :].encode())
+        yield pa.RecordBatch.from_pydict({"state": pa.array([md5.state], pa.binary())})
+
+    return run
+
+
+def chained_digest(rows: DataFrame, n_rows: int, part_rows: int = PART_ROWS) -> DataFrame:
+    """n_rows and digest, the ``list_digest`` of the hashes h, of any number of rows.
+
+    Equal hashes are counted together, and lie in parts by their first bits, which are spread evenly. MD5 takes its text in order, so the parts come one
+    after the other, each in a task of its own that goes on from the state, 92 bytes, in which the one before left it.
+    """
+    bits = ((max(n_rows, 1) - 1) // part_rows).bit_length()
+    first = F.conv(F.substring("h", 1, 8), 16, 10).cast("bigint")
+    counts = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    parts = stored(counts.withColumn("part", F.shiftright(first, 32 - bits)).repartition(1 << bits, "part"), by=["part"])
+    md5 = Md5()
+    for part in range(1 << bits):
+        one = parts.filter(F.col("part") == part).select("h", "n").coalesce(1).sortWithinPartitions("h")
+        left = one.mapInArrow(_continued(md5.state), "state binary").first()
+        # Without any file there is no task.
+        md5 = Md5(bytes(left["state"])) if left else md5
+    return rows.sparkSession.createDataFrame([(n_rows, md5.hexdigest())], "n_rows bigint, digest string")
+
+
+def table_digest(df: DataFrame, exact: bool = False, buckets: int = 4096, part_rows: int = PART_ROWS, **options) -> DataFrame:
     """One row: n_rows and digest. Equal tables, as multisets of rows, have equal digests.
 
     Two levels: counts and order-free sums of the hashes per bucket, then MD5 over the buckets in their
-    order, so that a task sends no more than one row for each bucket. exact: MD5 of all sorted hashes, only
-    for tables whose hashes fit into one array.
+    order, so that a task sends no more than one row for each bucket. exact: MD5 of all sorted hashes, in one
+    array up to ``part_rows`` rows, else part by part (``chained_digest``).
     """
     rows = hashed(df, **options)
     if exact:
+        n_rows = df.count()
+        if n_rows > part_rows:
+            return chained_digest(rows, n_rows, part_rows)
         return rows.agg(F.count(F.lit(1)).alias("n_rows"), list_digest(F.col("h")).alias("digest"))
     return digest_of(rows.groupBy(hash_bucket("h", buckets).alias("bucket")).agg(*hash_sums()))
 

@@ -52,8 +52,8 @@ def scratch(spark: SparkSession, label: str) -> str:
     return path
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet to the checkpoint folder and read back; deleted when the application ends.
+def stored(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``df`` written as Parquet to the checkpoint folder, in a folder for each value of ``by``, and read back; deleted when the application ends.
 
     Like ``checkpoint()`` it cuts the lineage and survives lost executors; unlike it, the statistics of the
     result are those of its files, which matters where a loop joins a table with itself again and again.
@@ -61,7 +61,7 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by or []).parquet(path)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return spark.read.schema(df.schema).parquet(path)
