@@ -57,8 +57,13 @@ def noisy_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", noisy.alias("text"))
 
 
-def order_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Change events over orders, by the last digit of the key.
+def copied_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders whose key has a second part, o_copy, 0 for all of them: keys that a feed makes up have 1 there, and so meet no row however many orders there are."""
+    return table(spark, sf_dir, "orders").withColumn("o_copy", F.lit(0))
+
+
+def order_feed(spark: SparkSession, sf_dir: str, copied: bool = False) -> DataFrame:
+    """Change events over orders, or with ``copied`` over ``copied_orders``, by the last digit of the key.
 
     1: update; 2: delete; 3: insert of a new key; 4: update, delete, update; 5: update of an absent key;
     6: insert over a row, then update; 7: delete, insert, update.
@@ -70,7 +75,8 @@ def order_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.col(c).cast("string")
 
     def event(digit: int, step: int, kind: str, cells: dict, shift: int = 0) -> DataFrame:
-        key = F.create_map(F.lit("o_orderkey"), (k + shift).cast("string"))
+        copy = [F.lit("o_copy"), F.lit("1" if shift else "0")] if copied else []
+        key = F.create_map(F.lit("o_orderkey"), (k + shift).cast("string"), *copy)
         pairs = [x for c, v in cells.items() for x in (F.lit(c), v)]
         new = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
         return o.filter(k % 10 == digit).select(
@@ -115,16 +121,17 @@ def faulty_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def typed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """orders with bytes, arrays and mixed-case names: OrderId, Payload, Tags, Grid, Open, Note."""
+def typed_orders(spark: SparkSession, sf_dir: str, copied: bool = False) -> DataFrame:
+    """orders with bytes, arrays and mixed-case names: OrderId, Payload, Tags, Grid, Open, Note, and with ``copied`` Copy, 0 (see ``copied_orders``)."""
     priority, status, customer = F.col("o_orderpriority"), F.col("o_orderstatus"), F.col("o_custkey").cast("int")
     return table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("OrderId"), F.encode(priority, "UTF-8").alias("Payload"), F.array(status, priority).alias("Tags"),
         F.array(F.array(customer), F.array().cast("array<int>")).alias("Grid"), (F.col("o_orderkey") % 2 == 0).alias("Open"), priority.alias("Note"),
+        *([F.lit(0).alias("Copy")] if copied else []),
     )
 
 
-def typed_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def typed_feed(spark: SparkSession, sf_dir: str, copied: bool = False) -> DataFrame:
     """Raw change messages for ``typed_orders``, whose names differ from the columns' by case, by the last digit of the key.
 
     1: bytes in hex; 2: a text that looks like them, for the same column; 3: a quoted array; 4: a nested one and a boolean; 5: a long text; 6: an insert
@@ -136,9 +143,11 @@ def typed_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.struct(F.lit(name).alias("name"), value.alias("value"), F.lit(kind).alias("type"), F.lit(is_key).alias("is_key"), F.lit(False).alias("unchanged"))
 
     def message(rows: F.Column, kind: str, cells: list, key: str = "orderid", shift: int = 0) -> DataFrame:
-        own = cell(key, (k + shift).cast("string"), "int8", True)
-        old = F.array(own) if kind == "delete" else F.lit(None)
-        new = F.array(own, *cells) if kind != "delete" else F.lit(None)
+        own = [cell(key, (k + shift).cast("string"), "int8", True)]
+        if copied:
+            own.append(cell("COPY", F.lit("1" if shift else "0"), "int4", True))
+        old = F.array(*own) if kind == "delete" else F.lit(None)
+        new = F.array(*own, *cells) if kind != "delete" else F.lit(None)
         kinds = "array<struct<name:string,value:string,type:string,is_key:boolean,unchanged:boolean>>"
         return o.filter(rows).select(
             k.alias("lsn"), F.lit(0).alias("ordinal"), F.lit(None).cast("timestamp").alias("ts"), F.lit(kind).alias("kind"), F.lit("public").alias("schema"), F.lit("typed").alias("table"),
