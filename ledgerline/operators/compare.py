@@ -214,7 +214,7 @@ def discover_keys(df: DataFrame, most: int = 3, columns: list[str] | None = None
     n, left = first["n"], [c for k, c in enumerate(names) if first[f"_{k}"] == first["n"]]
     allowed = n * (1 - FAR * SKETCH_ERROR)
     counts: dict[tuple[str, ...], float] = {}
-    found: list[list[str]] = []
+    found, proofs = [], []
     for size in range(1, most + 1 if n else 1):
         sets = [s for s in combinations(left, size) if not any(set(k) <= set(s) for k in found)]
         sets = [s for s in sets if size == 1 or _combined(s, counts) >= allowed]
@@ -224,9 +224,9 @@ def discover_keys(df: DataFrame, most: int = 3, columns: list[str] | None = None
             counts |= {s: told[f"_{k}"] for k, s in enumerate(part)}
         likely = [list(s) for s in sets if counts[s] >= allowed]
         if likely:
-            found += [r.key.split(",") for r in detect_keys(df, likely).filter("is_key").collect()]
-    empty = df.sparkSession.createDataFrame([], "key string, n_rows bigint, n_distinct bigint, n_nulls bigint, is_key boolean")
-    return detect_keys(df, found) if found else empty
+            proofs += (proved := detect_keys(df, likely).filter("is_key").collect())
+            found += [r.key.split(",") for r in proved]
+    return df.sparkSession.createDataFrame([tuple(r) for r in proofs], "key string, n_rows bigint, n_distinct bigint, n_nulls bigint, is_key boolean")
 
 
 def _combined(columns: tuple[str, ...], counts: dict[tuple[str, ...], float]) -> float:
