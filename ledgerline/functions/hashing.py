@@ -53,12 +53,14 @@ def row_hash(df: DataFrame, columns: list[str] | None = None, style: str = "safe
     before it and marks NULL apart from the text that reads ``\\N``.
     """
     names = sorted(columns if columns is not None else hashable_columns(df, float_digits=float_digits), key=str.lower)
-    texts = _texts(df, names, text_columns(df) if trim is None else trim, compat, float_digits)
+    return texts_hash(column_texts(df, names, text_columns(df) if trim is None else trim, compat, float_digits), style)
+
+
+def texts_hash(texts: list[Column], style: str = "safe") -> Column:
+    """``row_hash`` of the texts that ``column_texts`` gives."""
     if style == "compat":
-        return F.md5(F.concat_ws("|", *texts))
-    fields = {f.name.lower(): f.name for f in df.schema.fields}
-    parts = [F.when(df[fields[n.lower()]].isNull(), F.lit("N")).otherwise(F.concat(F.length(t).cast("string"), F.lit(":"), t)) for n, t in zip(names, texts)]
-    return F.md5(F.concat_ws("|", *parts))
+        return F.md5(F.concat_ws("|", *[F.coalesce(t, F.lit(NULL_TEXT)) for t in texts]))
+    return F.md5(F.concat_ws("|", *[F.when(t.isNull(), F.lit("N")).otherwise(F.concat(F.length(t).cast("string"), F.lit(":"), t)) for t in texts]))
 
 
 def column_texts(df: DataFrame, columns: list[str], trim: set[str], compat: bool = True, float_digits: int | None = None) -> list[Column]:

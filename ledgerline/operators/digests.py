@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.hashing import hash_bucket, hashable_columns, row_hash, text_columns
+from ledgerline.functions.hashing import column_texts, hash_bucket, hashable_columns, text_columns, texts_hash
 from ledgerline.functions.md5_state import Md5
 from ledgerline.operators.chunks import position_chunks
 from ledgerline.session import stored
@@ -21,7 +21,11 @@ PART_ROWS = 1_000_000
 def hashed(df: DataFrame, other: DataFrame | None = None, keep: tuple[str, ...] = (), **options) -> DataFrame:
     """The columns ``keep`` and ``h``, the row hash over the columns that both sides can hash."""
     names = hashable_columns(df, other, exclude=options.pop("exclude", ()), float_digits=options.get("float_digits"))
-    return df.select(*keep, row_hash(df, names, trim=text_columns(df, other), **options).alias("h"))
+    style = options.pop("style", "safe")
+    # Columns of their own, as an expression that is used twice is not merged into the next projection, and so is worked out once.
+    texts = {f"_text_{k}": text for k, text in enumerate(column_texts(df, names, text_columns(df, other), **options))}
+    staged = df.select(*keep, *[text.alias(c) for c, text in texts.items()])
+    return staged.select(*keep, texts_hash([F.col(c) for c in texts], style).alias("h"))
 
 
 def hash_counts(df: DataFrame, **options) -> DataFrame:
@@ -40,9 +44,16 @@ def sums_line(bucket: str = "bucket") -> Column:
 
 
 def hash_sums() -> list[Column]:
-    """Count, and sums of the hex digits 1 to 15, 16 to 30 and 31 to 32, of the hashes h, as aggregates."""
-    parts = [F.conv(F.substring("h", k, n), 16, 10).cast("decimal(20,0)") for k, n in ((1, 15), (16, 15), (31, 2))]
-    return [F.count(F.lit(1)).alias("n"), *[F.sum(p).alias(f"s{k + 1}") for k, p in enumerate(parts)]]
+    """Count, and sums of the hex digits 1 to 15, 16 to 30 and 31 to 32, of the hashes h, as aggregates.
+
+    The long ones are summed as two halves of 30 bits, which are plain integers up to 2^33 rows; decimals take several times as long.
+    """
+    sums = [F.count(F.lit(1)).alias("n")]
+    for k, start in enumerate((1, 16)):
+        part = F.conv(F.substring("h", start, 15), 16, 10).cast("bigint")
+        high, low = F.sum(F.shiftright(part, 30)), F.sum(part.bitwiseAND((1 << 30) - 1))
+        sums.append((high.cast("decimal(19,0)") * F.lit(1 << 30).cast("decimal(10,0)") + low).cast("decimal(30,0)").alias(f"s{k + 1}"))
+    return [*sums, F.sum(F.conv(F.substring("h", 31, 2), 16, 10).cast("bigint")).cast("decimal(30,0)").alias("s3")]
 
 
 def _continued(state: bytes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
