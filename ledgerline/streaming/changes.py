@@ -317,7 +317,7 @@ def _timeline(rows: DataFrame, events: DataFrame) -> DataFrame:
     kind = F.when(move, "out").when(F.col("kind") == "update", "set").otherwise(F.col("kind")).alias("kind")
     steps = (
         rows.select(F.col("_bk").alias("key"), "own", start.alias("at"), F.lit("base").alias("kind"), *nothing)
-        .union(events.select(F.col("row_key").alias("key"), "own", "at", kind, "new", "set_cols"))
+        .union(events.select(F.col("row_key").alias("key"), "own", "at", kind, *[F.when(~move, F.col(c)).alias(c) for c in ("new", "set_cols")]))
         .union(events.filter(move).select(F.col("to_key").alias("key"), F.col("to").alias("own"), "at", F.lit("in").alias("kind"), "new", "set_cols"))
     )
     return stored(with_previous(steps).select("id", *steps.columns, "prev"))
@@ -379,22 +379,26 @@ def _alive(steps: DataFrame, moved: DataFrame) -> DataFrame:
 
 
 def _origins(links: DataFrame) -> DataFrame:
-    """id and root of each (id, parent), where a root is its own parent, by pointer doubling."""
-    now = stored(links.select("id", F.col("parent").alias("root")))
+    """id and root of each (id, parent), where a root is its own parent, by pointer doubling over those that are none."""
+    roots = links.filter("id = parent").select("id", F.col("parent").alias("root"))
+    now = stored(links.filter("id <> parent").select("id", F.col("parent").alias("root")))
     while True:
         up = now.select(F.col("id").alias("root"), F.col("root").alias("higher"))
-        after = stored(now.join(up, "root").select("id", F.col("higher").alias("root"), (F.col("root") != F.col("higher")).alias("moved")))
+        after = stored(now.join(up, "root", "left").select("id", F.coalesce("higher", "root").alias("root"), F.col("higher").isNotNull().alias("moved")))
         now = after.select("id", "root")
         if after.filter("moved").isEmpty():
-            return now
+            return stored(roots.unionByName(now))
 
 
 def _fold_moved(rows: DataFrame, events: DataFrame, schema: T.StructType, keys: list[str], on_conflict: str, total: int, max_length: int = 0) -> DataFrame:
     """``_fold`` where updates move rows: keys that moves touch are resolved together, all others apart from them."""
     moves = events.filter(MOVES)
-    linked = stored(moves.select(F.col("row_key").alias("node")).union(moves.select("to_key")).distinct())
-    here = rows.join(linked, F.col("_bk") == F.col("node"), "left_semi").withColumn("own", F.struct(*[F.col("b")[k].alias(k) for k in keys]))
-    steps = _timeline(here, events.join(linked, F.col("row_key") == F.col("node"), "left_semi"))
+    linked = stored(moves.select(F.explode(F.array("row_key", "to_key")).alias("node")).distinct())
+    # Stored with what they meet, as each is read several times below.
+    rows = stored(rows.join(linked, F.col("_bk") == F.col("node"), "left").select("b", "_bk", F.col("node").isNotNull().alias("linked")))
+    events = stored(events.join(linked, F.col("row_key") == F.col("node"), "left").select(*events.columns, F.col("node").isNotNull().alias("linked")))
+    here = rows.filter("linked").select("b", "_bk", F.struct(*[F.col("b")[k].alias(k) for k in keys]).alias("own"))
+    steps = _timeline(here, events.filter("linked"))
     out = steps.filter("kind = 'out'").select(F.col("at").alias("_at"), F.col("prev").alias("src"))
     moved = stored(steps.filter("kind = 'in'").join(out, F.col("at") == F.col("_at")).drop("_at"))
     alive = stored(_alive(steps, moved))
@@ -423,7 +427,7 @@ def _fold_moved(rows: DataFrame, events: DataFrame, schema: T.StructType, keys:
     begun = here.join(begun, F.col("_bk") == F.col("key")).select("b", F.col("_root").alias("_bk"))
     followed = _fold(begun, told, schema, keys, "replace", total, max_length).join(ends, F.col("_id") == F.col("_root"))
     followed = followed.select(*[F.col("now")[f.name].alias(f.name) if f.name in keys else F.col(f.name) for f in schema.fields])
-    plain = _fold(rows.join(linked, F.col("_bk") == F.col("node"), "left_anti"), events.join(linked, F.col("row_key") == F.col("node"), "left_anti"), schema, keys, on_conflict, total, max_length)
+    plain = _fold(rows.filter("NOT linked").drop("linked"), events.filter("NOT linked").drop("linked"), schema, keys, on_conflict, total, max_length)
     return plain.drop("_id").unionByName(followed)
 
 
