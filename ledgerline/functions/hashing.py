@@ -80,4 +80,23 @@ def hash_bucket(h: Column | str, buckets: int) -> Column:
     return F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") % buckets
 
 
+def hash_halves(h: Column | str) -> list[Column]:
+    """The 16 bytes of an MD5 as two integers, hi and lo, which ``halves_hash`` puts together again.
+
+    Groups by them are hashed and kept as plain numbers, in less memory than by 32 hex digits.
+    """
+    h = F.col(h) if isinstance(h, str) else h
+    return [F.conv(F.substring(h, start, 16), 16, -10).cast("bigint").alias(name) for start, name in ((1, "hi"), (17, "lo"))]
+
+
+def halves_hash(hi: Column | str = "hi", lo: Column | str = "lo") -> Column:
+    """The hash, in hex digits, whose ``hash_halves`` these are."""
+    return F.lower(F.concat(F.lpad(F.hex(hi), 16, "0"), F.lpad(F.hex(lo), 16, "0")))
+
+
+def half_bucket(hi: Column | str, buckets: int) -> Column:
+    """``hash_bucket`` of the hash with this first half."""
+    return F.shiftrightunsigned(hi, 32) % buckets
+
+
 __all__ = ["NULL_TEXT", "hash_bucket", "hashable_columns", "is_json", "row_hash", "row_key", "text_columns"]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerline.functions.canonical import canonical_light
-from ledgerline.functions.hashing import hash_bucket
+from ledgerline.functions.hashing import half_bucket, halves_hash, hash_halves
 from ledgerline.operators.digests import bucket_digests, chunk_digests, hashed, table_digest
 
 
@@ -49,9 +49,14 @@ def hash_group_diff(source: DataFrame, target: DataFrame, **options) -> DataFram
 
 def hash_group_counts(source: DataFrame, target: DataFrame, **options) -> DataFrame:
     """h, source_n, target_n for each row hash of either side."""
-    a = hashed(source, other=target, **options).withColumn("d", F.lit(1))
-    b = hashed(target, other=source, **options).withColumn("d", F.lit(-1))
-    return a.unionByName(b).groupBy("h").agg(F.count_if(F.col("d") == 1).alias("source_n"), F.count_if(F.col("d") == -1).alias("target_n"))
+    return _half_counts(source, target, **options).select(halves_hash().alias("h"), "source_n", "target_n")
+
+
+def _half_counts(source: DataFrame, target: DataFrame, **options) -> DataFrame:
+    """``hash_group_counts`` by the halves hi and lo of the hash."""
+    a = hashed(source, other=target, **options).select(*hash_halves("h"), F.lit(1).alias("d"))
+    b = hashed(target, other=source, **options).select(*hash_halves("h"), F.lit(-1).alias("d"))
+    return a.unionByName(b).groupBy("hi", "lo").agg(F.count_if(F.col("d") == 1).alias("source_n"), F.count_if(F.col("d") == -1).alias("target_n"))
 
 
 def surplus() -> Column:
@@ -62,7 +67,7 @@ def surplus() -> Column:
 
 def hash_totals(source: DataFrame, target: DataFrame, **options) -> DataFrame:
     """One row, source_rows, target_rows, diff_rows (see ``surplus``): both sides are read once."""
-    counts = hash_group_counts(source, target, **options)
+    counts = _half_counts(source, target, **options)
     return counts.agg(*[F.coalesce(F.sum(f"{side}_n"), F.lit(0)).alias(f"{side}_rows") for side in ("source", "target")], surplus().alias("diff_rows"))
 
 
@@ -128,7 +133,7 @@ def _both(a: DataFrame, b: DataFrame, on: str) -> DataFrame:
 
 def bucket_counts(source: DataFrame, target: DataFrame, buckets: int = 100, **options) -> DataFrame:
     """bucket, source_rows, target_rows, diff_rows for each hash bucket of either side, by one grouping of hashes and one of buckets."""
-    counts = hash_group_counts(source, target, **options).withColumn("bucket", hash_bucket("h", buckets))
+    counts = _half_counts(source, target, **options).withColumn("bucket", half_bucket("hi", buckets))
     return counts.groupBy("bucket").agg(F.sum("source_n").alias("source_rows"), F.sum("target_n").alias("target_rows"), surplus().alias("diff_rows"))
 
 
