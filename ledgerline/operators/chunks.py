@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.session import stored
@@ -32,7 +32,7 @@ def assign_chunk(df: DataFrame, pk: str, chunk_rows: int) -> DataFrame:
     return df.withColumn("chunk", F.coalesce(F.floor((F.col(pk).cast("long") - F.lit(low)) / F.lit(width)), F.lit(last)).cast("long"))
 
 
-def position_chunks(df: DataFrame, order_by: list[str], chunk_rows: int) -> DataFrame:
+def position_chunks(df: DataFrame, order_by: list[Column | str], chunk_rows: int) -> DataFrame:
     """``df`` with ``position`` (0, 1, ... in the order given) and ``chunk`` (position div chunk_rows).
 
     Rows are range-partitioned and numbered within their partition; the partitions' counts, one row each,

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ledgerline.functions.canonical import canonical_light
 from ledgerline.functions.hashing import half_bucket, halves_hash, hash_halves
-from ledgerline.operators.digests import bucket_digests, chunk_digests, hashed, table_digest
+from ledgerline.operators.digests import bucket_digests, chunk_sums, hashed, placed_hashes, sums_line, table_digest
 
 
 def common_columns(source: DataFrame, target: DataFrame) -> list[str]:
@@ -54,9 +54,13 @@ def hash_group_counts(source: DataFrame, target: DataFrame, **options) -> DataFr
 
 def _half_counts(source: DataFrame, target: DataFrame, **options) -> DataFrame:
     """``hash_group_counts`` by the halves hi and lo of the hash."""
-    a = hashed(source, other=target, **options).select(*hash_halves("h"), F.lit(1).alias("d"))
-    b = hashed(target, other=source, **options).select(*hash_halves("h"), F.lit(-1).alias("d"))
-    return a.unionByName(b).groupBy("hi", "lo").agg(F.count_if(F.col("d") == 1).alias("source_n"), F.count_if(F.col("d") == -1).alias("target_n"))
+    return _counted(*[hashed(x, other=y, **options).select(*hash_halves("h")) for x, y in ((source, target), (target, source))])
+
+
+def _counted(a: DataFrame, b: DataFrame) -> DataFrame:
+    """hi, lo, source_n, target_n of the halves of both sides' hashes."""
+    both = a.select("hi", "lo", F.lit(1).alias("d")).unionByName(b.select("hi", "lo", F.lit(-1).alias("d")))
+    return both.groupBy("hi", "lo").agg(F.count_if(F.col("d") == 1).alias("source_n"), F.count_if(F.col("d") == -1).alias("target_n"))
 
 
 def surplus() -> Column:
@@ -67,7 +71,10 @@ def surplus() -> Column:
 
 def hash_totals(source: DataFrame, target: DataFrame, **options) -> DataFrame:
     """One row, source_rows, target_rows, diff_rows (see ``surplus``): both sides are read once."""
-    counts = _half_counts(source, target, **options)
+    return _totals(_half_counts(source, target, **options))
+
+
+def _totals(counts: DataFrame) -> DataFrame:
     return counts.agg(*[F.coalesce(F.sum(f"{side}_n"), F.lit(0)).alias(f"{side}_rows") for side in ("source", "target")], surplus().alias("diff_rows"))
 
 
@@ -158,7 +165,21 @@ def chunk_checksum_diff(source: DataFrame, target: DataFrame, keys: list[str], c
 
 def chunk_checksums(source: DataFrame, target: DataFrame, keys: list[str], chunk_rows: int = 50_000, **options) -> DataFrame:
     """chunk, source_rows, target_rows, differs for each chunk in key order of either side."""
-    return _both(chunk_digests(source, keys, chunk_rows, other=target, **options), chunk_digests(target, keys, chunk_rows, other=source, **options), "chunk")
+    return _chunks_compared(*_placed(source, target, keys, chunk_rows, options))
+
+
+def totals_and_checksums(source: DataFrame, target: DataFrame, keys: list[str], chunk_rows: int = 50_000, **options) -> tuple[DataFrame, DataFrame]:
+    """``hash_totals`` and ``chunk_checksums``, from rows that are hashed once for both."""
+    sides = _placed(source, target, keys, chunk_rows, options)
+    return _totals(_counted(*sides)), _chunks_compared(*sides)
+
+
+def _placed(source: DataFrame, target: DataFrame, keys: list[str], chunk_rows: int, options: dict) -> list[DataFrame]:
+    return [placed_hashes(x, keys, chunk_rows, other=y, **options) for x, y in ((source, target), (target, source))]
+
+
+def _chunks_compared(a: DataFrame, b: DataFrame) -> DataFrame:
+    return _both(*[chunk_sums(x).select("chunk", F.col("n").alias("n_rows"), sums_line("chunk").alias("digest")) for x in (a, b)], "chunk")
 
 
 def tables_equal(source: DataFrame, target: DataFrame, exact: bool = False, **options) -> DataFrame:

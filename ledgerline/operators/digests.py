@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.hashing import column_texts, hash_bucket, hashable_columns, text_columns, texts_hash
+from ledgerline.functions.hashing import column_texts, hash_bucket, hash_halves, hashable_columns, text_columns, texts_hash
 from ledgerline.functions.md5_state import Md5
 from ledgerline.operators.chunks import position_chunks
 from ledgerline.session import stored
@@ -43,17 +43,21 @@ def sums_line(bucket: str = "bucket") -> Column:
     return F.concat_ws(":", *[F.col(c).cast("string") for c in (bucket, "n", "s1", "s2", "s3")])
 
 
-def hash_sums() -> list[Column]:
-    """Count, and sums of the hex digits 1 to 15, 16 to 30 and 31 to 32, of the hashes h, as aggregates.
+def hash_sums(*halves: Column) -> list[Column]:
+    """Count, and sums of the hex digits 1 to 15, 16 to 30 and 31 to 32, as aggregates over the hashes h, or over their ``hash_halves`` where a projection has worked them out.
 
     The long ones are summed as two halves of 30 bits, which are plain integers up to 2^33 rows; decimals take several times as long.
     """
+    hi, lo = halves or hash_halves("h")
+    mask = (1 << 30) - 1
+    digits = [
+        (F.shiftrightunsigned(hi, 34), F.shiftrightunsigned(hi, 4).bitwiseAND(mask)),
+        (F.shiftleft(hi.bitwiseAND(15), 26).bitwiseOR(F.shiftrightunsigned(lo, 38)), F.shiftrightunsigned(lo, 8).bitwiseAND(mask)),
+    ]
     sums = [F.count(F.lit(1)).alias("n")]
-    for k, start in enumerate((1, 16)):
-        part = F.conv(F.substring("h", start, 15), 16, 10).cast("bigint")
-        high, low = F.sum(F.shiftright(part, 30)), F.sum(part.bitwiseAND((1 << 30) - 1))
-        sums.append((high.cast("decimal(19,0)") * F.lit(1 << 30).cast("decimal(10,0)") + low).cast("decimal(30,0)").alias(f"s{k + 1}"))
-    return [*sums, F.sum(F.conv(F.substring("h", 31, 2), 16, 10).cast("bigint")).cast("decimal(30,0)").alias("s3")]
+    for k, (high, low) in enumerate(digits):
+        sums.append((F.sum(high).cast("decimal(19,0)") * F.lit(1 << 30).cast("decimal(10,0)") + F.sum(low)).cast("decimal(30,0)").alias(f"s{k + 1}"))
+    return [*sums, F.sum(lo.bitwiseAND(255)).cast("decimal(30,0)").alias("s3")]
 
 
 def _continued(state: bytes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -128,3 +132,19 @@ def chunk_digests(df: DataFrame, keys: list[str], chunk_rows: int = 50_000, **op
     """chunk, n_rows, digest for chunks of ``chunk_rows`` rows in the order of the keys."""
     rows = position_chunks(hashed(df, keep=tuple(keys), **options), [*keys, "h"], chunk_rows)
     return rows.groupBy("chunk").agg(F.count(F.lit(1)).alias("n_rows"), list_digest(F.col("h")).alias("digest"))
+
+
+def placed_hashes(df: DataFrame, keys: list[str], chunk_rows: int = 50_000, **options) -> DataFrame:
+    """hi, lo and chunk of every row, stored, for the chunks of ``chunk_digests``.
+
+    Rows are hashed once: what is ranged, sampled and stored again holds the keys and two integers. Their order without signs is that of the hashes.
+    """
+    order = [F.col(half).bitwiseXOR(F.lit(-1 << 63)) for half in ("hi", "lo")]
+    names = [f"_key_{k}" for k in range(len(keys))]
+    rows = stored(hashed(df, keep=tuple(keys), **options).select(*[F.col(key).alias(name) for key, name in zip(keys, names)], *hash_halves("h")))
+    return position_chunks(rows, [*names, *order], chunk_rows).select("hi", "lo", "chunk")
+
+
+def chunk_sums(rows: DataFrame) -> DataFrame:
+    """chunk, n, s1, s2, s3 of ``placed_hashes``: sums combine before the exchange, where sorted hashes would all be sent and listed."""
+    return rows.groupBy("chunk").agg(*hash_sums(F.col("hi"), F.col("lo")))

@@ -54,8 +54,11 @@ def validate_estimates(source: DataFrame, target: DataFrame, table: str, toleran
 
 def validate_hash_group(source: DataFrame, target: DataFrame, table: str, **options) -> DataFrame:
     """All rows of both sides, as multisets of row hashes; diff_rows is the larger one-sided surplus."""
-    totals = compare.hash_totals(source, target, **options).withColumnRenamed("diff_rows", "d")
-    return _report(totals, table, "hash_group", F.col("d"), "list the differing hashes")
+    return _hash_group_report(compare.hash_totals(source, target, **options), table)
+
+
+def _hash_group_report(totals: DataFrame, table: str) -> DataFrame:
+    return _report(totals.withColumnRenamed("diff_rows", "d"), table, "hash_group", F.col("d"), "list the differing hashes")
 
 
 def validate_digest(source: DataFrame, target: DataFrame, table: str, **options) -> DataFrame:
@@ -75,7 +78,10 @@ def validate_checksum(source: DataFrame, target: DataFrame, table: str, keys: li
     """Digests of chunks in key order; diff_rows is the number of chunks that differ. Without keys, hash groups."""
     if not keys:
         return validate_hash_group(source, target, table, **options)
-    chunks = compare.chunk_checksums(source, target, keys, chunk_rows, **options)
+    return _checksum_report(compare.chunk_checksums(source, target, keys, chunk_rows, **options), table)
+
+
+def _checksum_report(chunks: DataFrame, table: str) -> DataFrame:
     totals = chunks.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("source_rows", "target_rows")], F.count_if("differs").alias("d"))
     return _report(totals, table, "checksum", F.col("d"), "compare the differing chunks by column")
 
@@ -114,14 +120,16 @@ def validate_light(source: DataFrame, target: DataFrame, table: str, order_by: l
     return _report(both, table, "light", F.when(equal, F.col("d")).otherwise(F.col("source_rows") - F.col("target_rows")), "compare by hash")
 
 
-def validate_full(source: DataFrame, target: DataFrame, table: str, keys: list[str] | None = None, **options) -> DataFrame:
+def validate_full(source: DataFrame, target: DataFrame, table: str, keys: list[str] | None = None, chunk_rows: int = CHUNK_ROWS, **options) -> DataFrame:
     """Counts, hash groups and, with keys, chunk checksums together; the largest difference counts.
 
-    Counts come with the hash groups, whose surplus is never less than their difference.
+    Counts come with the hash groups, whose surplus is never less than their difference. With keys, rows are hashed once for both.
     """
-    parts = validate_hash_group(source, target, table, **options)
     if keys:
-        parts = parts.unionByName(validate_checksum(source, target, table, keys, **options))
+        totals, chunks = compare.totals_and_checksums(source, target, keys, chunk_rows, **options)
+        parts = _hash_group_report(totals, table).unionByName(_checksum_report(chunks, table))
+    else:
+        parts = validate_hash_group(source, target, table, **options)
     worst = F.max(F.struct((F.col("status") == "fail").alias("bad"), F.abs("diff_rows").alias("size"), F.struct("*").alias("row")))
     return parts.groupBy("table_name").agg(worst.alias("w")).select("table_name", F.lit("full").alias("mode"), *[f"w.row.{c}" for c in ("status", "source_rows", "target_rows", "diff_rows", "error", "suggestion")])
 
