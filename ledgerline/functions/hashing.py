@@ -60,7 +60,11 @@ def texts_hash(texts: list[Column], style: str = "safe") -> Column:
     """``row_hash`` of the texts that ``column_texts`` gives."""
     if style == "compat":
         return F.md5(F.concat_ws("|", *[F.coalesce(t, F.lit(NULL_TEXT)) for t in texts]))
-    return F.md5(F.concat_ws("|", *[F.when(t.isNull(), F.lit("N")).otherwise(F.concat(F.length(t).cast("string"), F.lit(":"), t)) for t in texts]))
+    # One concatenation of all pieces: one a text, put together by another, would copy every text twice.
+    pieces = [F.lit("")]
+    for k, t in enumerate(texts):
+        pieces += [F.lit("|")] * (k > 0) + [F.coalesce(F.length(t).cast("string"), F.lit("N")), F.when(t.isNull(), F.lit("")).otherwise(F.lit(":")), F.coalesce(t, F.lit(""))]
+    return F.md5(F.concat(*pieces))
 
 
 def column_texts(df: DataFrame, columns: list[str], trim: set[str], compat: bool = True, float_digits: int | None = None) -> list[Column]:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.hashing import column_texts, hash_bucket, hash_halves, hashable_columns, text_columns, texts_hash
+from ledgerline.functions.hashing import column_texts, half_bucket, hash_bucket, hash_halves, hashable_columns, text_columns, texts_hash
 from ledgerline.functions.md5_state import Md5
 from ledgerline.operators.chunks import position_chunks
 from ledgerline.session import stored
@@ -60,6 +60,11 @@ def hash_sums(*halves: Column) -> list[Column]:
     return [*sums, F.sum(lo.bitwiseAND(255)).cast("decimal(30,0)").alias("s3")]
 
 
+def bucket_sums(rows: DataFrame, buckets: int) -> DataFrame:
+    """bucket, n, s1, s2, s3 of the hashes h: each is read as two integers once, for its bucket and its sums."""
+    return rows.select(*hash_halves("h")).groupBy(half_bucket("hi", buckets).alias("bucket")).agg(*hash_sums(F.col("hi"), F.col("lo")))
+
+
 def _continued(state: bytes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The state of an MD5 after the sorted hashes of one part, each n times, that were joined by commas to those before."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,12 +109,12 @@ def table_digest(df: DataFrame, exact: bool = False, buckets: int = 4096, part_r
         if n_rows > part_rows:
             return chained_digest(rows, n_rows, part_rows)
         return rows.agg(F.count(F.lit(1)).alias("n_rows"), list_digest(F.col("h")).alias("digest"))
-    return digest_of(rows.groupBy(hash_bucket("h", buckets).alias("bucket")).agg(*hash_sums()))
+    return digest_of(bucket_sums(rows, buckets))
 
 
 def digest_sums(df: DataFrame, buckets: int = 4096, **options) -> DataFrame:
     """bucket, n, s1, s2, s3: what ``table_digest`` is made of. Sums of two tables add up to those of both together."""
-    return hashed(df, **options).groupBy(hash_bucket("h", buckets).alias("bucket")).agg(*hash_sums())
+    return bucket_sums(hashed(df, **options), buckets)
 
 
 def digest_of(parts: DataFrame) -> DataFrame:
@@ -123,7 +128,7 @@ def digest_of(parts: DataFrame) -> DataFrame:
 def bucket_digests(df: DataFrame, buckets: int = 100, exact: bool = False, **options) -> DataFrame:
     """bucket, n_rows, digest for each hash bucket: MD5 of order-free sums, or with ``exact`` of the sorted hashes, which then fill one array a bucket."""
     if not exact:
-        sums = hashed(df, **options).groupBy(hash_bucket("h", buckets).alias("bucket")).agg(*hash_sums())
+        sums = bucket_sums(hashed(df, **options), buckets)
         return sums.select("bucket", F.col("n").alias("n_rows"), F.md5(sums_line()).alias("digest"))
     return hashed(df, **options).groupBy(hash_bucket("h", buckets).alias("bucket")).agg(F.count(F.lit(1)).alias("n_rows"), list_digest(F.col("h")).alias("digest"))
 

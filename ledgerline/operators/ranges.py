@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.functions.hashing import hash_halves
 from ledgerline.operators.chunks import position_chunks
 from ledgerline.operators.digests import hash_sums, hashed
 from ledgerline.operators.skew import salted_join
@@ -58,7 +59,7 @@ def _descended(rows: DataFrame, children: DataFrame, fan_out: int) -> DataFrame:
 
 def _compared(rows: DataFrame) -> DataFrame:
     """node, and count and sums of either side's hashes there; ``differs`` if they are not equal."""
-    sums = rows.groupBy("node", "side").agg(*hash_sums())
+    sums = rows.select("node", "side", *hash_halves("h")).groupBy("node", "side").agg(*hash_sums(F.col("hi"), F.col("lo")))
     zero = F.lit(0).cast("decimal(38,0)")
     picked = [F.coalesce(F.sum(F.when(F.col("side") == side, F.col(c))).cast("decimal(38,0)"), zero).alias(f"{side}_{c}") for side in ("source", "target") for c in SUMS]
     both = sums.groupBy("node").agg(*picked)

@@ -1,7 +1,10 @@
-"""Keyed tables are hashed once for totals and chunks, and chunks are compared by sums."""
+"""Keyed tables are hashed once for totals and chunks, chunks are compared by sums, and digests read each hash as two integers."""
+
+import hashlib
 
 from pyspark.sql import functions as F
 
+from ledgerline.functions.hashing import row_hash
 from ledgerline.operators import compare, digests
 from ledgerline.plans.validate import validate_full
 
@@ -42,3 +45,19 @@ def test_chunks_follow_hashes_without_sign(spark):
 def test_chunks_are_compared_by_sums(spark):
     df = spark.range(10)
     assert "collect_list" not in plan(compare.chunk_checksums(df, df, ["id"], 5))
+
+
+def test_digest_reads_a_hash_as_two_integers(spark):
+    df = spark.range(50)
+    assert plan(digests.table_digest(df)).count("conv(") == 2
+    parts = [(int(h[:8], 16) % 7, h) for h in (r.h for r in df.select(row_hash(df).alias("h")).collect())]
+    want = {b: [x for y, x in parts if y == b] for b, _ in parts}
+    got = {r.bucket: (r.n, int(r.s1), int(r.s2), int(r.s3)) for r in digests.digest_sums(df, 7).collect()}
+    assert got == {b: (len(hs), *[sum(int(h[i:j], 16) for h in hs) for i, j in ((0, 15), (15, 30), (30, 32))]) for b, hs in want.items()}
+
+
+def test_safe_hash_is_one_concatenation(spark):
+    rows = [("a|b", "é"), ("", None), (None, None), ("N", "x" * 40)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    assert [r.h for r in df.select(row_hash(df).alias("h")).collect()] == [hashlib.md5("|".join("N" if t is None else f"{len(t)}:{t}" for t in row).encode()).hexdigest() for row in rows]
+    assert "concat_ws" not in plan(digests.hashed(df))
