@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
+from math import prod
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +14,7 @@ from pyspark.sql import types as T
 from ledgerline.functions.canonical import canonical_light
 from ledgerline.functions.hashing import half_bucket, halves_hash, hash_halves
 from ledgerline.operators.digests import bucket_digests, chunk_sums, hashed, placed_hashes, sums_line, table_digest
+from ledgerline.session import shuffles_deleted
 
 
 def common_columns(source: DataFrame, target: DataFrame) -> list[str]:
@@ -221,40 +225,78 @@ def detect_keys(df: DataFrame, candidates: list[list[str]]) -> DataFrame:
     return out
 
 
-#: Relative standard deviation of the sketches of key discovery; a set of columns is given up where its estimate lies FAR of these below the rows.
+#: Relative standard deviation of the sketches of key discovery; a set of columns is given up where they have too few values in all combinations, each estimate taken FAR of these low.
 SKETCH_ERROR, FAR = 0.05, 4
-#: Sketches that one pass over the table keeps.
-SKETCHES = 16
+#: Sets of columns that one pass over the table looks at.
+SETS = 16
+#: Hashes that one pass groups: so many, or a part of PASSES of the rows where that is more; the first pass groups a part of FIRST of them, as most sets are given up there.
+HASHES, PASSES, FIRST = 2**24, 4, 16
 
 
 def discover_keys(df: DataFrame, most: int = 3, columns: list[str] | None = None) -> DataFrame:
     """key, n_rows, n_distinct, n_nulls, is_key: every smallest set of up to ``most`` columns that tells all rows apart and has no NULL.
 
-    Level by level, from single columns on. A set is not looked at if a key is part of it, if a column has NULLs, or if its columns' distinct values are too few
-    even in all combinations; sketches of those left, many in one pass, drop the sets that are clearly no keys; what remains is proved by ``detect_keys``. Columns are those of exact
+    Level by level, from single columns on. A set is not looked at if a key is part of it, if a column has NULLs, or if its columns' distinct values, by sketches, are too few
+    even in all combinations; what remains is proved or given up by ``_keys_among``. Columns are those of exact
     atomic types unless named. Names are listed in the order of the table. A table without rows has no keys.
     """
     fields = {f.name: f.dataType for f in df.schema.fields}
     names = columns or [c for c, t in fields.items() if not isinstance(t, (T.FloatType, T.DoubleType, T.ArrayType, T.MapType, T.StructType, T.VariantType))]
-    first = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(F.col(f"`{c}`")).alias(f"_{k}") for k, c in enumerate(names)]).first()
-    n, left = first["n"], [c for k, c in enumerate(names) if first[f"_{k}"] == first["n"]]
-    allowed = n * (1 - FAR * SKETCH_ERROR)
-    counts: dict[tuple[str, ...], float] = {}
-    found, proofs = [], []
-    for size in range(1, most + 1 if n else 1):
-        sets = [s for s in combinations(left, size) if not any(set(k) <= set(s) for k in found)]
-        sets = [s for s in sets if size == 1 or _combined(s, counts) >= allowed]
-        for at in range(0, len(sets), SKETCHES):
-            part = sets[at : at + SKETCHES]
-            told = df.agg(*[F.approx_count_distinct(F.struct(*[F.col(f"`{c}`") for c in s]), SKETCH_ERROR).alias(f"_{k}") for k, s in enumerate(part)]).first()
-            counts |= {s: told[f"_{k}"] for k, s in enumerate(part)}
-        likely = [list(s) for s in sets if counts[s] >= allowed]
-        if likely:
-            proofs += (proved := detect_keys(df, likely).filter("is_key").collect())
-            found += [r.key.split(",") for r in proved]
-    return df.sparkSession.createDataFrame([tuple(r) for r in proofs], "key string, n_rows bigint, n_distinct bigint, n_nulls bigint, is_key boolean")
-
-
-def _combined(columns: tuple[str, ...], counts: dict[tuple[str, ...], float]) -> float:
-    """The most distinct values that columns can have together, by sketches of all but one of them and of that one."""
-    return min(counts[rest] * counts[(c,)] * (1 + FAR * SKETCH_ERROR) ** 2 if (rest := tuple(x for x in columns if x != c)) in counts else float("inf") for c in columns)
+    counts: dict[str, float] = {}
+    found: list[tuple[str, ...]] = []
+    with shuffles_deleted(df.sparkSession):
+        first = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(F.col(f"`{c}`")).alias(f"_{k}") for k, c in enumerate(names)]).first()
+        n = first["n"]
+        left = [c for k, c in enumerate(names) if n and first[f"_{k}"] == n]
+        for at in range(0, len(left), SETS):
+            part = left[at : at + SETS]
+            told = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`"), SKETCH_ERROR).alias(f"_{k}") for k, c in enumerate(part)]).first()
+            counts |= {c: told[f"_{k}"] / (1 - FAR * SKETCH_ERROR) for k, c in enumerate(part)}
+        for size in range(1, most + 1):
+            sets = [s for s in combinations(left, size) if not any(set(k) <= set(s) for k in found) and prod(counts[c] for c in s) >= n]
+            found += [s for at in range(0, len(sets), SETS) for s in _keys_among(df, sets[at : at + SETS], n)]
+    return df.sparkSession.createDataFrame([(",".join(s), n, n, 0, True) for s in found], "key string, n_rows bigint, n_distinct bigint, n_nulls bigint, is_key boolean")
+
+
+def _keys_among(df: DataFrame, sets: list[tuple[str, ...]], n: int) -> list[tuple[str, ...]]:
+    """Those of the sets, without NULLs in the n rows, that tell all rows apart.
+
+    Rows are compared by 64-bit hashes, a slice of all hashes in each pass, so that the disk holds one slice at a time. A set stays while its hashes differ; it is given up
+    when one repeats and the rows of that hash are seen to be equal. Where they are not, and where equal values may have different hashes, ``detect_keys`` decides.
+    """
+    hashable = {f.name for f in df.schema.fields if _equal_hashes(f.dataType)}
+    open_sets = {k: s for k, s in enumerate(sets) if hashable.issuperset(s)}
+    unsure = {k: s for k, s in enumerate(sets) if k not in open_sets}
+    low, end, most = -(2**63), 2**63, max(HASHES, n // PASSES)
+    while open_sets and low < end:
+        take = most // FIRST if low == -end else most
+        high = min(end, low + max(1, 2**64 * take // (n * len(open_sets))))
+        hashes = df.select(*[_hash(s).alias(str(k)) for k, s in open_sets.items()]).unpivot([], [str(k) for k in open_sets], "k", "h")
+        counted = hashes.filter(F.col("h").between(low, high - 1)).groupBy(F.col("k").cast("int").alias("k"), "h").agg(F.count(F.lit(1)).alias("n"))
+        repeated = {r.k: r.h for r in counted.filter("n > 1").groupBy("k").agg(F.min("h").alias("h")).collect()}
+        if repeated:
+            equal = _all_equal(df, [(open_sets[k], h) for k, h in repeated.items()])
+            unsure |= {k: open_sets[k] for k, same in zip(repeated, equal, strict=True) if not same}
+            open_sets = {k: s for k, s in open_sets.items() if k not in repeated}
+        low = high
+    sure = open_sets | {k: s for k, s in unsure.items() if detect_keys(df, [list(s)]).first()["is_key"]}
+    return [sure[k] for k in sorted(sure)]
+
+
+def _hash(columns: tuple[str, ...]) -> Column:
+    return F.xxhash64(*[F.col(f"`{c}`") for c in columns])
+
+
+def _equal_hashes(kind: T.DataType) -> bool:
+    """Whether values that a grouping takes for equal have equal hashes, and have an order."""
+    if isinstance(kind, T.StringType):
+        return kind.isUTF8BinaryCollation()
+    return isinstance(kind, (T.IntegralType, T.DecimalType, T.BooleanType, T.BinaryType, T.DateType, T.TimestampType, T.TimestampNTZType))
+
+
+def _all_equal(df: DataFrame, asked: list[tuple[tuple[str, ...], int]]) -> list[bool]:
+    """For each set of columns and hash, whether all rows of that hash have the same values."""
+    here = [_hash(s) == h for s, h in asked]
+    values = [F.when(x, F.struct(*[F.col(f"`{c}`") for c in s])) for x, (s, _) in zip(here, asked, strict=True)]
+    row = df.filter(reduce(or_, here)).agg(*[(F.min(v) == F.max(v)).alias(f"_{k}") for k, v in enumerate(values)]).first()
+    return list(row)
